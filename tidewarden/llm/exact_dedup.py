@@ -36,11 +36,12 @@ def heavy_digests(keyed: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     sketch = (
         keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part"))
         .agg(F.expr(f"approx_top_k_accumulate(digest, {SKETCH_ITEMS})").alias("sketch"))
+        .groupBy(F.lit(0))  # grouped, so that tasks without rows make no sketch
         .agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
     )
     top = int(1 / share)
     candidates = sketch.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {top})")).alias("x")).select("x.item")
-    names = [r.item for r in candidates.collect()] if not keyed.isEmpty() else []  # `top` names at most
+    names = [r.item for r in candidates.collect()]  # `top` names at most
     named = keyed.sparkSession.createDataFrame([(n,) for n in names], "digest string")
     counted = keyed.join(F.broadcast(named), "digest", "left_semi").groupBy("digest").agg(*_aggregates())
     rows = F.lit(share * keyed.count())
