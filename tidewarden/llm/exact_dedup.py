@@ -36,7 +36,7 @@ def heavy_digests(keyed: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     sketch = (
         keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part"))
         .agg(F.expr(f"approx_top_k_accumulate(digest, {SKETCH_ITEMS})").alias("sketch"))
-        .groupBy(F.lit(0))  # grouped, so that tasks without rows make no sketch
+        .groupBy(F.lit("all").alias("all"))  # grouped, so that tasks without rows make no sketch
         .agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
     )
     top = int(1 / share)
