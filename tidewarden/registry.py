@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .queries import daily, detector  # noqa: E402, F401 - each registers its queries
+from .queries import daily, detector, sets, votes  # noqa: E402, F401 - each registers its queries
