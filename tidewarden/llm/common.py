@@ -62,7 +62,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches to a few MB, whatever the length of the rows; give the workers this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 

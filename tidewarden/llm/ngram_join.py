@@ -143,89 +143,121 @@ def postings(docs: DataFrame, shingles: np.ndarray, k: int, t: int) -> DataFrame
     return docs.select("text").mapInArrow(run, "shingle long, sig long, n int, pos int, mid int")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    """Columns of rows sorted by the first column, cut so that a piece holds one value; whether the piece begins that value."""
-    last = None
-    for batch in batches:
-        cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-        if not len(cols[0]):
-            continue
-        cuts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
-        for a, b in zip(cuts, np.append(cuts[1:], len(cols[0])), strict=True):
-            yield cols[0][a] != last, [x[a:b] for x in cols]
-            last = cols[0][a]
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
 
 
 def shared(rows: DataFrame) -> DataFrame:
     """Postings of shingles that two classes or more have, each class once."""
+    names = ["shingle", "sig", "n", "pos", "mid"]
 
     def run(batches):
-        out, held = [], None
-        size = 0
-        for new, cols in _runs(batches):
-            sig, n = cols[1], cols[2]
-            if new:
-                held, before = cols, None
-            keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
-            if not new and before is not None:
-                keep[0] = (sig[0], n[0]) != before
-            before = (sig[-1], n[-1])
-            cols = [x[keep] for x in cols]
-            if new:
-                held = cols if len(cols[0]) == 1 else None
-                if held is not None:
-                    continue
-            elif held is not None:
-                if not len(cols[0]):
-                    continue
-                cols, held = [np.concatenate((x, y)) for x, y in zip(held, cols, strict=True)], None
-            if len(cols[0]):
-                out.append(cols)
-                size += len(cols[0])
-            if size >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["shingle", "sig", "n", "pos", "mid"])
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["shingle", "sig", "n", "pos", "mid"])
+        last = None  # the last row of the batch before, and whether it has gone out
+        gone = False
+        for batch in batches:
+            cols = _columns(batch)
+            if not len(cols[0]):
+                continue
+            if last is not None:
+                cols = [np.concatenate((x, y)) for x, y in zip(last, cols, strict=True)]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:3]])
+            cols = [x[new] for x in cols]
+            heads = _starts(cols[0])
+            count = np.diff(np.append(heads, len(cols[0])))
+            several = count > 1
+            several[0] |= gone
+            keep = np.repeat(several, count)
+            gone_now = bool(several[-1])
+            if gone:
+                keep[0] = False
+            last, gone = [x[-1:] for x in cols], gone_now
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=names)
 
     parted = rows.repartition("shingle").sortWithinPartitions("shingle", "sig", "n")
     return parted.mapInArrow(run, rows.schema)
 
 
+def _fits(n, pos, mid, other, t: int):
+    """Whether pairs of rows can reach the overlap, by length, by the places of the shingle, and by halves of the sets."""
+    m, p, h = other
+    need = -(-t * (n.astype(np.int64) + m) // (100 + t))
+    ok = 100 * np.minimum(n, m).astype(np.int64) >= t * np.maximum(n, m).astype(np.int64)
+    ok &= np.minimum(n - pos, m - p) >= need
+    return ok & (np.minimum(mid, h) + np.minimum(n - mid, m - h) >= need)
+
+
 def pairs(rows: DataFrame, done: int, leaders: int, t: int) -> DataFrame:
     """Pairs (sig, n of either class) of leaders `done` to `done + leaders - 1` of each shingle with the classes after them.
 
-    rows: shingle, pos, sig, n, mid, comp; pairs within a component are left out. A row with a null second class says that the
-    shingle has more leaders to come."""
+    rows: shingle, pos, sig, n, mid, comp; pairs within a component are left out. A row with a null second class names, in
+    sig_a, a shingle that has more leaders to come. Memory: a batch, and the leaders of the shingle that goes on."""
+    names = ["sig_a", "n_a", "sig_b", "n_b"]
+
+    def made(a, n_a, b, n_b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n_a, pa.int32()), pa.array(b, pa.int64()), pa.array(n_b, pa.int32())], names=names)
 
     def run(batches):
-        lead, seen, told = [], 0, False
-        for new, (token, pos, sig, n, mid, comp) in _runs(batches):
-            if new:
-                lead, seen, told = [], 0, False
-            out = []
-            for k in range(len(sig)):
-                if len(lead) >= leaders:
-                    break
-                if seen + k >= done:
-                    lead.append((seen + k, sig[k], n[k], pos[k], mid[k], comp[k]))
-            for at, s, size, p, m, own in lead:
-                later = np.arange(len(sig)) + seen > at
-                short, long_ = np.minimum(n, size), np.maximum(n, size)
-                ok = later & (comp != own) & (100 * short.astype(np.int64) >= t * long_.astype(np.int64))
-                need = -(-t * (n.astype(np.int64) + size) // (100 + t))
-                ok &= np.minimum(n - pos, size - p) >= need  # positional: what can still be common from here on
-                ok &= np.minimum(mid, m) + np.minimum(n - mid, size - m) >= need  # suffix: halves by value
-                x = np.flatnonzero(ok)
-                if len(x):
-                    out.append((np.full(len(x), s), np.full(len(x), size), sig[x], n[x]))
+        token, seen, lead, told = None, 0, None, False
+        for batch in batches:
+            cols = _columns(batch)
+            if not len(cols[0]):
+                continue
+            out, more = [], []
+            # rows that go on with the shingle of the batch before
+            m = int(np.argmax(cols[0] != token)) if (cols[0] != token).any() else len(cols[0])
+            m = 0 if token is None else m
+            if m:
+                _, pos, sig, n, mid, comp = (x[:m] for x in cols)
+                room = max(0, done + leaders - max(seen, done))
+                at = max(done - seen, 0)
+                if room and at < m:
+                    lead = [np.concatenate((x, y[at : at + room])) for x, y in zip(lead, (np.arange(seen, seen + m), pos, sig, n, mid, comp), strict=True)]
+                for nth, p, s, k, h, own in zip(*lead, strict=True):
+                    ok = (comp != own) & (np.arange(seen, seen + m) > nth) & _fits(n, pos, mid, (k, p, h), t)
+                    x = np.flatnonzero(ok)
+                    out.append((np.full(len(x), s), np.full(len(x), k), sig[x], n[x]))
+                seen += m
+                if not told and seen > done + leaders and len(lead[0]) and (comp != lead[5][0]).any():
+                    told = True
+                    more.append(token)
+            cols = [x[m:] for x in cols]
+            if len(cols[0]):
+                tokens, pos, sig, n, mid, comp = cols
+                heads = _starts(tokens)
+                count = np.diff(np.append(heads, len(tokens)))
+                head = np.repeat(heads, count)
+                place = np.arange(len(tokens)) - head
+                act = np.flatnonzero(place > done)
+                for k in range(done, done + leaders):
+                    act = act[place[act] > k]
+                    if not len(act):
+                        break
+                    lo = head[act] + k
+                    ok = (comp[act] != comp[lo]) & _fits(n[act], pos[act], mid[act], (n[lo], pos[lo], mid[lo]), t)
+                    x, y = lo[ok], act[ok]
+                    out.append((sig[x], n[x], sig[y], n[y]))
+                long_ = np.flatnonzero((place >= done) & np.repeat(count > done + leaders, count))
+                differ = long_[comp[long_] != comp[head[long_] + done]]
+                named = np.unique(tokens[differ])
+                more += named.tolist()
+                a = heads[-1]
+                token, seen, told = tokens[-1], int(count[-1]), bool(len(named) and named[-1] == tokens[-1])
+                lead = [x[a + done : a + done + leaders] for x in (place, pos, sig, n, mid, comp)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out, strict=True)], names=["sig_a", "n_a", "sig_b", "n_b"])
-            if not told and len(lead) and seen + len(sig) > done + leaders and (comp != lead[0][5]).any():
-                told = True
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int32())], names=["sig_a", "n_a", "sig_b", "n_b"])
-            seen += len(sig)
+                a, n_a, b, n_b = (np.concatenate(x) for x in zip(*out, strict=True))
+                if len(a):
+                    key = c.mix(a.astype(np.uint64)) + b.astype(np.uint64)
+                    _, once = np.unique(key, return_index=True, sorted=False)
+                    yield made(a[once], n_a[once], b[once], n_b[once])
+            if more:
+                yield made(more, [0] * len(more), [None] * len(more), [None] * len(more))
 
     parted = rows.select("shingle", "pos", "sig", "n", "mid", "comp").repartition("shingle").sortWithinPartitions("shingle", "pos", "sig")
     return parted.mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
@@ -272,9 +304,10 @@ def verified(found: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node of each node's component, for the nodes of edges (a, b).
 
-    Large-star and small-star steps by turns until neither changes the edges; each step is a group-by and a join."""
+    Large-star and small-star steps by turns until a step of either kind changes nothing; each is a group-by and a join."""
     edges = c.stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    digest = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = digest(edges)
     while True:
         # large star: each node's larger neighbours link to its smallest neighbour (or itself)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -285,7 +318,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         edges = c.stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = digest(edges)
         if state == before:
             break
         before = state
@@ -301,33 +334,31 @@ def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFram
     first = known.where(F.col("n") > 0).groupBy("sig", "n").agg(F.min("doc_id").alias("first_id"))
     first = c.stage(first, "class-firsts")
     lists = c.stage(shared(postings(docs, frequent(docs, k), k, t)), "postings")
-    members = lists.select("sig", "n").distinct()
     key = F.struct(F.col("sig"), F.col("n").cast("long").alias("n"))
-    links, comps, done, leaders = None, None, 0, 1
+    comps, done, leaders = None, 0, 1
     while True:
-        rows = lists.withColumn("comp", F.col("sig"))
+        rows = lists.withColumn("comp", F.xxhash64(key))
         if comps is not None:
-            of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").cast("int").alias("n"), F.xxhash64("comp").alias("comp"))
-            rows = lists.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", F.xxhash64(key)))
-        else:
-            rows = lists.withColumn("comp", F.xxhash64(key))
+            of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").cast("int").alias("n"), F.xxhash64("comp").alias("of"))
+            rows = c.join_checked(rows, of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp"))
         found = c.stage(pairs(rows, done, leaders, t).distinct(), "pairs")
-        more = not found.where(F.col("sig_b").isNull()).isEmpty()
-        real = _ordered(found.where(F.col("sig_b").isNotNull()))
-        real = c.stage(real if links is None else real, "new-pairs")
+        real = c.stage(_ordered(found.where(F.col("sig_b").isNotNull())), "new-pairs")
         if not real.isEmpty():
             ends = real.select(F.col("sig_a").alias("sig"), F.col("n_a").alias("n")).unionByName(real.select(F.col("sig_b").alias("sig"), F.col("n_b").alias("n"))).distinct()
             ids = c.stage(first.join(ends, ["sig", "n"], "left_semi").where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")), "ends")
-            sets = c.stage(sets_of(docs, ids, k), "sets")
-            good = c.stage(verified(real, sets, t), "links")
-            links = good if links is None else links.unionByName(good)
+            good = c.stage(verified(real, sets_of(docs, ids, k), t), "links")
             a = F.struct(F.col("sig_a").alias("sig"), F.col("n_a").cast("long").alias("n"))
             b = F.struct(F.col("sig_b").alias("sig"), F.col("n_b").cast("long").alias("n"))
-            comps = components(links.select(a.alias("a"), b.alias("b")))
-        if not more:
+            edges = good.select(a.alias("a"), b.alias("b"))
+            if comps is not None:  # what is connected already stays so, as stars
+                edges = edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+            comps = components(edges)
+        more = found.where(F.col("sig_b").isNull()).select(F.col("sig_a").alias("shingle")).distinct()
+        more = c.stage(more, "more")
+        if more.isEmpty():
             break
-        done, leaders = done + leaders, min(2 * leaders, 1024)
-    del members
+        lists = c.stage(c.join_checked(lists, more, ["shingle"], "left_semi"), "postings")
+        done, leaders = done + leaders, min(4 * leaders, 1024)
     if comps is None:
         out = known.join(first, ["sig", "n"], "left").withColumn("component_id", F.coalesce("first_id", "doc_id"))
     else:
