@@ -33,8 +33,8 @@ from . import common as c
 WIDTH = 50
 GRAM = 20
 #: Text bytes of a shard, and anchors a bucket of the merge is to hold about.
-SHARD_BYTES = 2 << 20
-BUCKET_ANCHORS = 500_000
+SHARD_BYTES = 1 << 20
+BUCKET_ANCHORS = 250_000
 #: Bits of a place in a shard; the rest of 64 are the anchor's hash.
 PLACE_BITS = 28
 
@@ -165,10 +165,11 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = G
     word = words8(data)
     n = len(data) - gram + 1
     h = c.mix(word[:n] * np.uint64(0x9E3779B97F4A7C15) + c.mix(word[8 : n + 8] ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xBF58476D1CE4E5B9) + word[gram - 8 : n + gram - 8] * np.uint64(0xD6E8FEB86659FD93))
+    del word
     low = np.uint64(PLACE_BITS)
-    key = ((h >> low) << low) | np.arange(n, dtype=np.uint64)
-    best = _sliding_min(key, w)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    best = _sliding_min(((h >> low) << low) | np.arange(n, dtype=np.uint64), w)
+    del h
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     inside = row[: len(best)] == row[width - 1 : width - 1 + len(best)]
     at = np.flatnonzero(inside)
     if not len(at):
@@ -353,7 +354,7 @@ def _settle(width: int):
 
 
 #: Cuttings whose texts make one suffix array.
-SUFFIX_CUTTINGS = 30_000
+SUFFIX_CUTTINGS = 8_000
 
 
 def _by_suffixes(text, at, size, doc, key, first, h, width):
