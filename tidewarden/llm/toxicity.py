@@ -2,7 +2,7 @@
 
 Folding: compatibility forms, lower case, look-alike letters of other scripts to Latin, digit and sign substitutions to the
 letters they stand for (l, 1 and i are one letter), invisible characters dropped, other signs to spaces. The lexicon is
-learned from labelled documents: beginnings of words (3 to 12 letters) and whole words, weighted by the log odds of
+learned from labelled documents: beginnings of words (4 to 12 letters) and whole words, weighted by the log odds of
 documents with label 1 against label 0. A beginning gives way to a longer one that holds nearly all its documents,
 and then stands for all longer ones. Exception phrases are pairs of words around a term that clean documents repeat
 and toxic ones lack; a term within one does not count. A document's evidence is the sum of the weights
@@ -21,7 +21,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ LEAST_DOCUMENTS = 5
 LEAST_SHARE = 0.01
 LEAST_ODDS = 20.0
 LONGEST = 12
+#: Terms that each toxic document of the sample is to have before others are of no more use to it.
+COVER = 3
 
 #: Look-alikes and substitutions. Letters on the left of a pair are read as the one on the right.
 LOOK_ALIKES = (
@@ -67,7 +68,7 @@ def beginnings(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
         out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in range(3, min(len(w), LONGEST) + 1))
+        out.update(f" {w[:n]}" for n in range(4, min(len(w), LONGEST) + 1))
     return out
 
 
@@ -79,32 +80,40 @@ class Lexicon:
     model: tuple[float, ...] = field(default=())
 
 
-@lru_cache(maxsize=4)
-def _automaton(terms: tuple, exceptions: tuple):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for t, weight in terms:
-        a.add_word(t, (len(t), weight, a.get(t, (0, 0.0, False))[2]))
-    for e in exceptions:
-        a.add_word(e, (len(e), a.get(e, (0, 0.0, False))[1], True))
-    if len(a):
-        a.make_automaton()
-    return a
-
-
-def evidence(folded: str, lexicon: Lexicon) -> tuple[float, int]:
-    """Sum of the weights of hits outside exception phrases, and the number of words."""
-    words = folded.count(" ") - 1
-    if words < 1 or not lexicon.terms:
-        return 0.0, max(words, 0)
-    hits, spared = [], []
-    for end, (size, weight, exempt) in _automaton(lexicon.terms, lexicon.exceptions).iter(folded):
-        if exempt:
-            spared.append((end - size + 1, end))
-        if weight:
-            hits.append((end - size + 1, weight))
-    return sum(w for at, w in hits if not any(a <= at < b for a, b in spared)), words
+class Matcher:
+    """The automaton of a lexicon's terms and exception phrases; built once a task."""
+
+    def __init__(self, lexicon: Lexicon):
+        import ahocorasick
+
+        self.found = ahocorasick.Automaton()
+        for t, weight in lexicon.terms:
+            self.found.add_word(t, (len(t), weight, False))
+        for e in lexicon.exceptions:
+            self.found.add_word(e, (len(e), self.found.get(e, (0, 0.0, False))[1], True))
+        if len(self.found):
+            self.found.make_automaton()
+
+    def hits(self, folded: str) -> Iterator[tuple[int, int, float, bool]]:
+        """First and last place, weight, whether an exception, of each match."""
+        if len(self.found):
+            for end, (size, weight, exempt) in self.found.iter(folded):
+                yield end - size + 1, end, weight, exempt
+
+    def evidence(self, folded: str) -> tuple[float, int]:
+        """Sum of the weights of hits outside exception phrases, and the number of words."""
+        total, spared = [], []
+        for a, b, weight, exempt in self.hits(folded):
+            if exempt:
+                spared.append((a, b))
+            if weight:
+                total.append((a, weight))
+        if spared:
+            inside = bytearray(len(folded))
+            for a, b in spared:
+                inside[a:b] = b"\1" * (b - a)
+            total = [x for x in total if not inside[x[0]]]
+        return sum(w for _, w in total), max(folded.count(" ") - 1, 0)
 
 
 def features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -124,11 +133,11 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def _count(rows: DataFrame, of) -> DataFrame:
-    """what, toxic, clean: documents of either label in whose folded text `of` finds what."""
+def _count(rows: DataFrame, make) -> DataFrame:
+    """what, toxic, clean: documents of either label in whose folded text `make()` finds what."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter(), Counter()
+        found, of = (Counter(), Counter()), make()
         for batch in batches:
             for text, toxic in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 found[1 - toxic].update(of(fold(text)))
@@ -149,12 +158,40 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
         longer[short] = max(longer.get(short, 0), toxic[w])
     kept: dict[str, float] = {}
     for w in sorted(good, key=lambda w: (len(w), w)):
-        if longer.get(w, 0) >= 0.999 * toxic[w] or any(w[:n] in kept for n in range(4, len(w))):
+        if longer.get(w, 0) >= 0.999 * toxic[w] or any(w[:n] in kept for n in range(5, len(w))):
             continue
         kept[w] = float(odds[w])
     return sorted(kept.items(), key=lambda x: (-x[1] * toxic[x[0]], x[0]))[:TERMS]
 
 
+def _needed(rows: DataFrame, terms: list[tuple[str, float]], least: int) -> list[tuple[str, float]]:
+    """The terms that toxic documents of the sample need: greedily, the term in most documents that lack COVER terms yet.
+
+    Words that merely come along with true terms, as in copies of one document, are left out so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matcher = {t: n for n, (t, _) in enumerate(terms)}, Matcher(Lexicon(tuple(terms)))
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                folded = fold(text)
+                found.append(sorted({names[folded[a : b + 1]] for a, b, _, _ in matcher.hits(folded)}))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["terms"])
+
+    have = [set(r.terms) for r in rows.where("toxic = 1").select("text").mapInArrow(run, "terms array<int>").collect()]  # TOXIC_ROWS at most
+    lacking, chosen = [COVER] * len(have), []
+    while True:
+        count = Counter(n for d, k in zip(have, lacking, strict=True) if k for n in d)
+        best = max(count.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if best[1] < least:
+            return [terms[n] for n in sorted(chosen)]
+        chosen.append(best[0])
+        for i, d in enumerate(have):
+            if best[0] in d:
+                d.discard(best[0])
+                lacking[i] = max(0, lacking[i] - 1)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -174,25 +211,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not n_toxic or not n_clean:
         return Lexicon()
     least = min(n_toxic, max(LEAST_DOCUMENTS, int(LEAST_SHARE * n_toxic)))
-    often = _count(rows.where("toxic = 1"), beginnings).where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "what").limit(20 * TERMS)
+    often = _count(rows.where("toxic = 1"), lambda: beginnings).where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "what").limit(20 * TERMS)
     names = frozenset(r.what for r in often.collect())
-    counts = _count(rows, lambda folded: beginnings(folded) & names).collect()
+    counts = _count(rows, lambda: lambda folded: beginnings(folded) & names).collect()
     terms = choose_terms([(r.what, r.toxic, r.clean) for r in counts], n_toxic, n_clean)
+    terms = _needed(rows, terms, max(3, least // 2))
     lexicon = Lexicon(tuple(terms))
 
-    def phrases(folded: str) -> set[str]:
-        words, out = folded.split(), set()
-        for i, w in enumerate(words):
-            if next(_automaton(lexicon.terms, ()).iter(f" {w} "), None):
-                out.update(f" {a} {b} " for a, b in zip(words[max(i - 1, 0) : i + 1], words[i : i + 2], strict=False) if a is not b)
-        return out
+    def phrases():
+        matcher = Matcher(lexicon)
+
+        def of(folded: str) -> set[str]:
+            out, words = set(), folded.split()
+            at = {m[0] for m in matcher.hits(folded)}
+            place = 0
+            for i, w in enumerate(words):
+                if place in at:
+                    out.update(f" {a} {b} " for a, b in ((words[i - 1], w) if i else (None, w), (w, words[i + 1]) if i + 1 < len(words) else (w, None)) if a and b)
+                place += len(w) + 1
+            return out
+
+        return of
 
     spared = _count(rows, phrases).where("toxic = 0 and clean >= 3").orderBy(F.desc("clean"), "what").limit(TERMS) if terms else None
     lexicon = Lexicon(lexicon.terms, tuple(r.what for r in spared.collect()) if spared is not None else ())
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
         for batch in batches:
-            got = [evidence(fold(x), lexicon) for x in batch.column(0).to_pylist()]
+            got = [matcher.evidence(fold(x)) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(1)], names=["total", "words", "toxic"])
 
     seen = rows.mapInArrow(summed, "total double, words long, toxic int").toPandas().sort_values(["total", "words", "toxic"])  # bounded by the sample
@@ -207,8 +254,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = told.value
+        matcher = Matcher(known)
         for batch in batches:
-            got = [evidence(fold(x), known) for x in batch.column(1).to_pylist()]
+            got = [matcher.evidence(fold(x)) for x in batch.column(1).to_pylist()]
             total, words = np.array([g[0] for g in got], float), np.array([g[1] for g in got], np.int64)
             score = 1 / (1 + np.exp(-(features(total, words) @ np.array(known.model)))) if known.model else np.zeros(len(got))
             cols = [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(words), pa.array(total)]
