@@ -18,4 +18,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .queries import daily, detector, scans, sets, votes  # noqa: E402, F401 - each registers its queries
+from .queries import daily, detector, scans, sets, texts, votes  # noqa: E402, F401 - each registers its queries
+from .streaming import queries as _streaming  # noqa: E402, F401
