@@ -7,10 +7,10 @@ Steps, each a Spark job whose tables stay in the shared folder:
 3. `postings`: each class's prefix (for overlap t, |x| - ceil(t |x|) + 1 shingles) is dealt out by shingle. Shingles of one
    class alone end here.
 4. Rounds over the postings: the classes of a shingle are read in the order of their places in their own sets, and
-   the first ones (leaders; 1, then 2, 4, ... more in each round) are paired with the classes after them, unless both
-   are known to be connected. Length, positional and suffix bounds drop pairs; each pair is verified once, on whole
-   sets. Rounds end when each shingle's classes are all paired or connected, so no link between components is lost, and a group of
-   near copies costs a few pairs a member instead of all pairs.
+   the first ones (leaders; 1, then LEADERS more in each round) are paired with the classes after them, unless both
+   are known to be connected. Bounds by length, by position and by the Hamming distance of parity bitmaps drop pairs;
+   each pair is verified once, on whole sets. Rounds end when each shingle's classes are all paired or connected, so no
+   link between components is lost, and a group of near copies costs a few pairs a member instead of all pairs.
 5. Components by large-star and small-star steps over the verified links, as DataFrame joins.
 
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing; a text of fewer than
@@ -39,6 +39,9 @@ FREQUENT_KEPT = 500_000
 #: Text bytes over which a task counts at once.
 COUNT_BYTES = 8 << 20
 
+#: Leaders of a shingle in each round; the last number holds for all further rounds.
+LEADERS = (1, 8, 4096)
+
 _SIG = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -58,14 +61,53 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, k: int):
             yield batch, i, *_signatures(values, bounds), values, bounds
 
 
+def parity_bits(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, a bitmap of 64 bits or the power of two from 2 n on, in which each shingle turns one bit; with offsets.
+
+    Two bitmaps differ in as many bits at most as the sets differ in shingles. A longer one folds to a shorter one."""
+    n = np.diff(bounds)
+    size = np.where(n <= 32, 8, 1 << (np.ceil(np.log2(np.maximum(n, 33) * 2)).astype(np.int64) - 3))
+    at = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(len(n)), n)
+    bit = (values & (size[owner] * 8 - 1).astype(np.uint64)).astype(np.int64) + at[owner] * 8
+    odd = np.bincount(bit, minlength=int(at[-1]) * 8).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little"), at
+
+
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), sig for each document."""
+    """doc_id, n (size of the set), sig, bits (parity bitmap) for each document."""
+
+    def run(batches):
+        for batch, i, n, sig, values, bounds in _sets(batches, 1, k):
+            bits, at = parity_bits(values, bounds)
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(bits.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64)), raw], names=["doc_id", "n", "sig", "bits"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig long, bits binary")
+
+
+def _with_both(found: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """found (sig_a, n_a, sig_b, n_b) with the column of either class."""
+    side = lambda x: of.select(F.col("sig").alias(f"sig_{x}"), F.col("n").cast("int").alias(f"n_{x}"), F.col(column).alias(f"{column}_{x}"))
+    both = found.join(side("a"), ["sig_a", "n_a"]).join(side("b"), ["sig_b", "n_b"])
+    return both.select("sig_a", "n_a", "sig_b", "n_b", f"{column}_a", f"{column}_b")
+
+
+def possible(found: DataFrame, bitmaps: DataFrame, t: int) -> DataFrame:
+    """The pairs of found whose bitmaps leave the overlap possible (a suffix bound: a least Hamming distance of the sets)."""
 
     def run(batches):
-        for batch, i, n, sig, _, _ in _sets(batches, 1, k):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64))], names=["doc_id", "n", "sig"])
+        for batch in batches:
+            n = batch.column(1).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
+                m = min(len(x), len(y))
+                x, y = np.bitwise_xor.reduce(x.reshape(-1, m)), np.bitwise_xor.reduce(y.reshape(-1, m))
+                ok[i] = 100 * (n[i] - int(np.bitwise_count(x ^ y).sum())) >= 2 * (-(-t * n[i] // (100 + t))) * 100
+            yield batch.select(range(4)).filter(pa.array(ok))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig long")
+    return _with_both(found, bitmaps, "bits").mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
 
 
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -269,6 +311,12 @@ def _ordered(df: DataFrame) -> DataFrame:
     return both.select(F.col("a.sig").alias("sig_a"), F.col("a.n").alias("n_a"), F.col("b.sig").alias("sig_b"), F.col("b.n").alias("n_b")).distinct()
 
 
+def _ends(found: DataFrame) -> DataFrame:
+    """sig, n of the classes in found."""
+    side = lambda x: found.select(F.col(f"sig_{x}").alias("sig"), F.col(f"n_{x}").cast("long").alias("n"))
+    return side("a").unionByName(side("b")).distinct()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """sig, n, shingles (binary, 8 bytes each, sorted) of the documents in ids (doc_id, one of each class)."""
 
@@ -295,10 +343,7 @@ def verified(found: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                 ok[i] = 100 * both >= t * (len(x) + len(y) - both)
             yield batch.select(range(4)).filter(pa.array(ok))
 
-    left = sets.select(F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
-    both = found.join(left, ["sig_a", "n_a"]).join(right, ["sig_b", "n_b"]).select("sig_a", "n_a", "sig_b", "n_b", "set_a", "set_b")
-    return both.mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
+    return _with_both(found, sets, "shingles").mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,7 +357,7 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours link to its smallest neighbour (or itself)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = c.stage(large, "large-star")
         # small star: each node and its smaller neighbours link to its smallest neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -335,7 +380,7 @@ def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFram
     first = c.stage(first, "class-firsts")
     lists = c.stage(shared(postings(docs, frequent(docs, k), k, t)), "postings")
     key = F.struct(F.col("sig"), F.col("n").cast("long").alias("n"))
-    comps, done, leaders = None, 0, 1
+    comps, done, leaders = None, 0, LEADERS[0]
     while True:
         rows = lists.withColumn("comp", F.xxhash64(key))
         if comps is not None:
@@ -344,7 +389,9 @@ def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFram
         found = c.stage(pairs(rows, done, leaders, t).distinct(), "pairs")
         real = c.stage(_ordered(found.where(F.col("sig_b").isNotNull())), "new-pairs")
         if not real.isEmpty():
-            ends = real.select(F.col("sig_a").alias("sig"), F.col("n_a").alias("n")).unionByName(real.select(F.col("sig_b").alias("sig"), F.col("n_b").alias("n"))).distinct()
+            bitmaps = known.join(_ends(real), ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
+            real = c.stage(possible(real, bitmaps, t), "possible-pairs")
+            ends = _ends(real)
             ids = c.stage(first.join(ends, ["sig", "n"], "left_semi").where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")), "ends")
             good = c.stage(verified(real, sets_of(docs, ids, k), t), "links")
             a = F.struct(F.col("sig_a").alias("sig"), F.col("n_a").cast("long").alias("n"))
@@ -358,7 +405,7 @@ def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFram
         if more.isEmpty():
             break
         lists = c.stage(c.join_checked(lists, more, ["shingle"], "left_semi"), "postings")
-        done, leaders = done + leaders, min(4 * leaders, 1024)
+        done, leaders = done + leaders, LEADERS[min(LEADERS.index(leaders) + 1, len(LEADERS) - 1)]
     if comps is None:
         out = known.join(first, ["sig", "n"], "left").withColumn("component_id", F.coalesce("first_id", "doc_id"))
     else:
