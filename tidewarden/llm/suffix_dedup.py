@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WIDTH = 50
-GRAM = 20
+GRAM = 28
 #: Text bytes of a shard, and anchors a bucket of the merge is to hold about.
 SHARD_BYTES = 1 << 20
 BUCKET_ANCHORS = 250_000
+#: Fixed value: in a cut, the number of further window starts that says "this only tells other shards of an anchor".
+_TOLD = 255
 #: Bits of a place in a shard; the rest of 64 are the anchor's hash.
 PLACE_BITS = 28
 
@@ -164,7 +166,9 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = G
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     word = words8(data)
     n = len(data) - gram + 1
-    h = c.mix(word[:n] * np.uint64(0x9E3779B97F4A7C15) + c.mix(word[8 : n + 8] ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xBF58476D1CE4E5B9) + word[gram - 8 : n + gram - 8] * np.uint64(0xD6E8FEB86659FD93))
+    h = np.zeros(n, np.uint64)
+    for i in sorted({*range(0, gram - 7, 8), gram - 8}):
+        h = c.mix(h ^ word[i : n + i])
     del word
     low = np.uint64(PLACE_BITS)
     best = _sliding_min(((h >> low) << low) | np.arange(n, dtype=np.uint64), w)
@@ -198,6 +202,32 @@ def _unpack(blob: bytes, *kinds: str) -> tuple:
     return (*out, body[at:])
 
 
+def _pack_cuts(h: np.ndarray, row: np.ndarray, cut: np.ndarray, doc: np.ndarray, key: np.ndarray, raw: bytes = b"") -> bytes:
+    """hash (ascending, as differences), document, cut of anchors; documents are numbers into a table of (doc, key)."""
+    rows, at = np.unique(row, return_inverse=True)
+    table = _pack(doc[rows], key[rows])
+    return len(table).to_bytes(4, "little") + table + _pack(np.diff(h, prepend=0), at.astype("u4"), (cut >> 16).astype("i4"), ((cut >> 8) & 255).astype("u1"), (cut & 255).astype("u1"), raw=raw)
+
+
+def _unpack_cuts(blob: bytes) -> tuple:
+    """hash, doc, key, cut, raw."""
+    n = int.from_bytes(blob[:4], "little")
+    doc, key, _ = _unpack(blob[4 : 4 + n], "i8", "i8")
+    h, at, first, before, more, raw = _unpack(blob[4 + n :], "i8", "u4", "i4", "u1", "u1")
+    return np.cumsum(h), doc[at], key[at], (first.astype(np.int64) << 16) | (before.astype(np.int64) << 8) | more, raw
+
+
+def _cutting_hashes(text: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.ndarray, before: np.ndarray, limit: int = 1 << 19) -> np.ndarray:
+    """Hashes of cuttings with their anchor's hash and place; the text is taken in pieces."""
+    out, i = np.empty(len(at), np.uint64), 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + limit)))
+        a, b = at[i], int((at[i:j] + size[i:j]).max())
+        out[i:j] = c.span_hashes(text[a:b], at[i:j] - a, at[i:j] + size[i:j] - a)
+        i = j
+    return out ^ c.mix(h.astype(np.uint64) ^ c.mix(before.astype(np.uint64)))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """doc (never null), key (of the text), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -246,7 +276,7 @@ def _list_anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             send = ~own
             send[heads] = True  # of shared ones, one tells the other shards
             told = own[send]
-            hs, rs, cs = h[send], row[send], np.where(told, -1, cut[send])
+            hs, rs, cs = h[send], row[send], np.where(told, _TOLD, cut[send])
             # sorted by hash; buckets are ranges of the hash
             bucket = (hs * buckets) >> (64 - PLACE_BITS)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -255,7 +285,7 @@ def _list_anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
                 i, j = edges[b], edges[b + 1]
                 if i < j:
                     out_b.append(b)
-                    out.append(_pack(hs[i:j], doc[rs[i:j]], key[rs[i:j]], cs[i:j]))
+                    out.append(_pack_cuts(hs[i:j], rs[i:j], cs[i:j], doc, key))
             if own.any():
                 out_b.append(-1)
                 out.append(_pack(doc[row[own]], key[row[own]], cut[own], h[own]))
@@ -271,12 +301,12 @@ def _cut(first: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """(doc, key, cut, hash) of a bucket's anchors that two documents or more have."""
-    parts = [_unpack(x, "i8", "i8", "i8", "i8") for x in pdf["blob"]]
+    parts = [_unpack_cuts(x) for x in pdf["blob"]]
     merged = np.sort(np.concatenate([p[0] for p in parts]))
     out = []
     for h, doc, key, cut, _ in parts:
         n = np.searchsorted(merged, h, "right") - np.searchsorted(merged, h, "left")
-        ok = (n > 1) & (cut >= 0)
+        ok = (n > 1) & (cut & 255 != _TOLD)
         if ok.any():
             out.append((doc[ok], key[ok], cut[ok], h[ok]))
     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
@@ -297,7 +327,9 @@ def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             first, before, more = cut >> 16, (cut >> 8) & 255, cut & 255
             lo = off[row] + first
             size = more + width
-            same = c.span_hashes(data, lo, lo + size) ^ c.mix(h.astype(np.uint64) ^ c.mix(before.astype(np.uint64)))
+            by = np.argsort(lo, kind="stable")
+            same = np.empty(len(lo), np.uint64)
+            same[by] = _cutting_hashes(data, lo[by], size[by], h[by], before[by])
             order = np.lexsort((doc[row], same))
             s = same[order]
             heads = np.concatenate(([True], s[1:] != s[:-1]))
@@ -305,7 +337,7 @@ def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             settled = order[doc[row[order]] > least]
             send = order[heads]
             bucket = (h[send] * buckets) >> (64 - PLACE_BITS)
-            by = np.argsort(bucket, kind="stable")
+            by = np.argsort(h[send], kind="stable")
             send, bucket = send[by], bucket[by]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             raw = data.tobytes()
@@ -315,7 +347,7 @@ def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
                 if len(part):
                     text = b"".join([raw[x:y] for x, y in zip(lo[part].tolist(), (lo[part] + size[part]).tolist(), strict=True)])
                     out_b.append(b)
-                    out.append(_pack(h[part], doc[row[part]], key[row[part]], cut[part], raw=text))
+                    out.append(_pack_cuts(h[part], row[part], cut[part], doc, key, raw=text))
             if len(settled):
                 out_b.append(-1)
                 out.append(_pack(key[row[settled]], first[settled], first[settled] + size[settled]))
@@ -327,13 +359,13 @@ def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
 def _settle(width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """key, start, stop of the ranges that cuttings of smaller documents cover."""
-        parts = [_unpack(x, "i8", "i8", "i8", "i8") for x in pdf["blob"]]
+        parts = [_unpack_cuts(x) for x in pdf["blob"]]
         h, doc, key, cut = (np.concatenate([p[i] for p in parts]) for i in range(4))
         text = np.frombuffer(b"".join([p[4] for p in parts]), np.uint8)
         first, before, more = cut >> 16, (cut >> 8) & 255, cut & 255
         size = more + width
         at = np.cumsum(size) - size
-        same = c.span_hashes(text, at, at + size) ^ c.mix(h.astype(np.uint64) ^ c.mix(before.astype(np.uint64)))
+        same = _cutting_hashes(text, at, size, h, before)
         order = np.lexsort((doc, same))
         heads = np.concatenate(([True], same[order][1:] != same[order][:-1]))
         least = doc[order][np.flatnonzero(heads)][np.cumsum(heads) - 1]
