@@ -142,3 +142,18 @@ def test_mad_and_ewma(spark):
         sq = [v * v for v in x[max(0, i - 60) : i] if v is not None]
         w = [0.94 ** (len(sq) - 1 - k) for k in range(len(sq))]
         assert lt[i] == pytest.approx(math.sqrt(sum(a * b for a, b in zip(sq, w, strict=True)) / sum(w)))
+
+
+def test_ewma_steps_against_a_loop(spark):
+    rng = np.random.default_rng(9)
+    x = [float(v) for v in rng.normal(0, 1, 120)]
+    x[70] = 40.0
+    d = spark.createDataFrame([("k", i, v) for i, v in enumerate(x)], "series string, day long, r double")
+    got = {r.day: (r.z, r.sd) for r in windows.folded(d, "series", "day", volatility.ewma_step, volatility.ewma_start, "day long, z double, sd double").collect()}
+    mean = var = 0.0
+    for i, v in enumerate(x):
+        sd = math.sqrt(var)
+        z = (v - mean) / sd if i >= 20 else None
+        assert got[i][1] == pytest.approx(sd) and (got[i][0] == pytest.approx(z) if z is not None else got[i][0] is None or math.isnan(got[i][0]))
+        u = v if z is None else mean + max(-5, min(5, z)) * sd
+        mean, var = 0.94 * mean + 0.06 * u, 0.94 * var + 0.06 * (u - mean) ** 2
