@@ -164,3 +164,16 @@ def j4(spark, sf):
     of = lambda flag, x: li.where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("ticker"), F.col("l_orderkey").alias("day")).agg(F.max(x).alias("step"))
     o, n = of("A", "l_tax"), of("R", "l_discount")
     return o.withColumn("added", F.lit(False)).unionByName(n.join(o, ["ticker", "day"], "left_anti").withColumn("added", F.lit(True)))
+
+
+@query("J5_tables_running_out", """WITH t AS (SELECT l_suppkey AS ticker, max(epoch_us(l_shipdate) // 1000000) AS checked FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+SELECT ticker, checked, checked < (SELECT max(checked) FROM t) - 30 * 86400 AS running_out FROM t""")
+def j5(spark, sf):
+    """Payout tables whose last checked day lies 30 days or more behind the newest."""
+    t = table(spark, sf).where("l_returnflag <> 'N'").groupBy(F.col("l_suppkey").alias("ticker")).agg(F.max(market.epoch("l_shipdate")).alias("checked"))
+    top = t.agg((F.max("checked") - 30 * 86400).alias("line"))
+    return t.crossJoin(F.broadcast(top)).select("ticker", "checked", (F.col("checked") < F.col("line")).alias("running_out"))
+
+
+def table(spark, sf):
+    return market.table(spark, sf, "lineitem")

@@ -320,3 +320,27 @@ def k1(spark, sf):
 @query("D2_minimum_trades", f"WITH {TICKS} SELECT asset, t // 1800 * 1800 AS hour, arg_min(price, event_id) AS open, arg_max(price, event_id) AS close, count(*) AS n_src FROM ticks GROUP BY 1, 2 HAVING count(*) >= 3")
 def d2(spark, sf):
     return fold(market.ticks(spark, sf), ["asset"], 1800, least=3).select("asset", "hour", "open", "close", "n_src")
+
+
+@query("D1_to_hourly", f"WITH {BARS} SELECT asset, hour, open, high, low, close, volume, n_src FROM bars")
+def d1(spark, sf):
+    """Ticks to hourly bars."""
+    return market.bars(spark, sf)
+
+
+@query("H2_tail_recompute", f"WITH {MOVES} SELECT asset, hour, round(r, 6) AS r, round(gap, 6) AS gap, round(hole, 6) AS hole FROM moves")
+def h2(spark, sf):
+    """The last 48 rows of each instrument are computed anew with 1,000 rows before them; older rows stay as they were."""
+    b = usable(market.bars(spark, sf))
+    stored = jumps.channels(b, ["asset"], day()).select("asset", "hour", "r", "gap", "hole")
+    fresh = windows.last_rows(jumps.channels(windows.last_rows(b, ["asset"], "hour", 1048), ["asset"], day()), ["asset"], "hour", 48).select(*stored.columns)
+    out = stored.join(fresh.select("asset", "hour"), ["asset", "hour"], "left_anti").unionByName(fresh)
+    return out.select("asset", "hour", r6("r"), r6("gap"), r6("hole"))
+
+
+@query("H8_recount_drops_healed", f"WITH {MOVES}, was AS (SELECT asset, hour FROM moves WHERE abs(r) >= 2), now AS (SELECT asset, hour FROM moves WHERE abs(r) >= 2 AND hour // 3600 % 11 <> 0) SELECT w.asset, w.hour, n.hour IS NULL AS dropped FROM was w LEFT JOIN now n ON w.asset = n.asset AND w.hour = n.hour")
+def h8(spark, sf):
+    """Votes on moves that a revision healed (here hours divisible by 11) are dropped; the others are counted again."""
+    was = moves(spark, sf).where("abs(r) >= 2").select("asset", "hour")
+    now = was.where(F.floor(F.col("hour") / 3600) % 11 != 0).withColumn("still", F.lit(True))
+    return was.join(now, ["asset", "hour"], "left").select("asset", "hour", F.col("still").isNull().alias("dropped"))
