@@ -236,7 +236,7 @@ def _fits(n, pos, mid, other, t: int):
 
 
 def pairs(rows: DataFrame, done: int, leaders: int, t: int) -> DataFrame:
-    """Pairs (sig, n of either class) of leaders `done` to `done + leaders - 1` of each shingle with the classes after them.
+    """Pairs (sig, n of either class, the smaller first) of leaders `done` to `done + leaders - 1` of each shingle with the classes after them.
 
     rows: shingle, pos, sig, n, mid, comp; pairs within a component are left out. A row with a null second class names, in
     sig_a, a shingle that has more leaders to come. Memory: a batch, and the leaders of the shingle that goes on."""
@@ -294,6 +294,9 @@ def pairs(rows: DataFrame, done: int, leaders: int, t: int) -> DataFrame:
                 lead = [x[a + done : a + done + leaders] for x in (place, pos, sig, n, mid, comp)]
             if out:
                 a, n_a, b, n_b = (np.concatenate(x) for x in zip(*out, strict=True))
+                turn = (a > b) | ((a == b) & (n_a > n_b))
+                a, b = np.where(turn, b, a), np.where(turn, a, b)
+                n_a, n_b = np.where(turn, n_b, n_a), np.where(turn, n_a, n_b)
                 if len(a):
                     key = c.mix(a.astype(np.uint64)) + b.astype(np.uint64)
                     _, once = np.unique(key, return_index=True, sorted=False)
@@ -305,12 +308,6 @@ def pairs(rows: DataFrame, done: int, leaders: int, t: int) -> DataFrame:
     return parted.mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    a, b = F.struct(F.col("sig_a").alias("sig"), F.col("n_a").alias("n")), F.struct(F.col("sig_b").alias("sig"), F.col("n_b").alias("n"))
-    both = df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a") != F.col("b"))
-    return both.select(F.col("a.sig").alias("sig_a"), F.col("a.n").alias("n_a"), F.col("b.sig").alias("sig_b"), F.col("b.n").alias("n_b")).distinct()
-
-
 def _ends(found: DataFrame) -> DataFrame:
     """sig, n of the classes in found."""
     side = lambda x: found.select(F.col(f"sig_{x}").alias("sig"), F.col(f"n_{x}").cast("long").alias("n"))
@@ -349,10 +346,9 @@ def verified(found: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node of each node's component, for the nodes of edges (a, b).
 
-    Large-star and small-star steps by turns until a step of either kind changes nothing; each is a group-by and a join."""
+    Large-star and small-star steps, each a group-by and a join, by turns until the edges are stars: no node has two centres,
+    and no centre has one itself."""
     edges = c.stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    digest = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = digest(edges)
     while True:
         # large star: each node's larger neighbours link to its smallest neighbour (or itself)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -363,10 +359,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         edges = c.stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        state = digest(edges)
-        if state == before:
+        sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        seen = sides.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v"))
+        if seen.where((F.col("as_u") > 1) | ((F.col("as_u") > 0) & (F.col("as_v") > 0))).isEmpty():
             break
-        before = state
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return c.stage(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct(), "components")
 
@@ -387,7 +383,7 @@ def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFram
             of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").cast("int").alias("n"), F.xxhash64("comp").alias("of"))
             rows = c.join_checked(rows, of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp"))
         found = c.stage(pairs(rows, done, leaders, t).distinct(), "pairs")
-        real = c.stage(_ordered(found.where(F.col("sig_b").isNotNull())), "new-pairs")
+        real = found.where(F.col("sig_b").isNotNull())
         if not real.isEmpty():
             bitmaps = known.join(_ends(real), ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
             real = c.stage(possible(real, bitmaps, t), "possible-pairs")
