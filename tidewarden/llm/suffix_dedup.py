@@ -256,7 +256,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int):
 
 
 def _list_anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """bucket, blob: anchors that one document of a shard has; bucket -1: (doc, key, cut) of anchors shared within the shard."""
+    """bucket, settled, blob: anchors that one document of a shard has, and (settled) those shared within the shard."""
 
     def run(batches):
         for table, data, off in _chunks(batches, 2, SHARD_BYTES):
@@ -284,14 +284,21 @@ def _list_anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             for b in range(buckets):
                 i, j = edges[b], edges[b + 1]
                 if i < j:
-                    out_b.append(b)
+                    out_b.append((b, False))
                     out.append(_pack_cuts(hs[i:j], rs[i:j], cs[i:j], doc, key))
-            if own.any():
-                out_b.append(-1)
-                out.append(_pack(doc[row[own]], key[row[own]], cut[own], h[own]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
+            if own.any():  # any bucket will do for these
+                out_b.append((int(h[0]) % buckets, True))
+                out.append(_pack_cuts(h[own], row[own], cut[own], doc, key))
+            yield _blobs(out_b, out)
 
-    return rows.mapInArrow(run, "bucket int, blob binary")
+    return rows.mapInArrow(run, _BLOBS)
+
+
+_BLOBS = "bucket int, settled boolean, blob binary"
+
+
+def _blobs(where: list[tuple[int, bool]], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in where], pa.int32()), pa.array([k for _, k in where], pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "settled", "blob"])
 
 
 def _cut(first: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -301,9 +308,9 @@ def _cut(first: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """(doc, key, cut, hash) of a bucket's anchors that two documents or more have."""
-    parts = [_unpack_cuts(x) for x in pdf["blob"]]
-    merged = np.sort(np.concatenate([p[0] for p in parts]))
-    out = []
+    parts = [_unpack_cuts(x) for x in pdf["blob"][~pdf["settled"]]]
+    merged = np.sort(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]))
+    out = [(doc, key, cut, h) for h, doc, key, cut, _ in map(_unpack_cuts, pdf["blob"][pdf["settled"]])]
     for h, doc, key, cut, _ in parts:
         n = np.searchsorted(merged, h, "right") - np.searchsorted(merged, h, "left")
         ok = (n > 1) & (cut & 255 != _TOLD)
@@ -314,7 +321,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """bucket, blob: cuttings around shared anchors; bucket -1: (key, start, stop) of ranges already settled.
+    """bucket, settled, blob: cuttings around shared anchors, and (settled) ranges (key, start, stop) already found.
 
     rows: doc, key, text, cuts (array of cut), hashes (array)."""
 
@@ -346,20 +353,24 @@ def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
                 part = send[edges[b] : edges[b + 1]]
                 if len(part):
                     text = b"".join([raw[x:y] for x, y in zip(lo[part].tolist(), (lo[part] + size[part]).tolist(), strict=True)])
-                    out_b.append(b)
+                    out_b.append((b, False))
                     out.append(_pack_cuts(h[part], row[part], cut[part], doc, key, raw=text))
-            if len(settled):
-                out_b.append(-1)
+            if len(settled):  # any bucket will do for these
+                settled = settled[np.lexsort((first[settled], row[settled]))]
+                out_b.append((int(h[0]) % buckets, True))
                 out.append(_pack(key[row[settled]], first[settled], first[settled] + size[settled]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
+            yield _blobs(out_b, out)
 
-    return rows.mapInArrow(run, "bucket int, blob binary")
+    return rows.mapInArrow(run, _BLOBS)
 
 
 def _settle(width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """key, start, stop of the ranges that cuttings of smaller documents cover."""
-        parts = [_unpack_cuts(x) for x in pdf["blob"]]
+        found = [_unpack(x, "i8", "i8", "i8")[:3] for x in pdf["blob"][pdf["settled"]]]
+        parts = [_unpack_cuts(x) for x in pdf["blob"][~pdf["settled"]]]
+        if not parts:
+            return _ranges(found)
         h, doc, key, cut = (np.concatenate([p[i] for p in parts]) for i in range(4))
         text = np.frombuffer(b"".join([p[4] for p in parts]), np.uint8)
         first, before, more = cut >> 16, (cut >> 8) & 255, cut & 255
@@ -370,7 +381,7 @@ def _settle(width: int):
         heads = np.concatenate(([True], same[order][1:] != same[order][:-1]))
         least = doc[order][np.flatnonzero(heads)][np.cumsum(heads) - 1]
         gone = order[doc[order] > least]
-        found = [(key[gone], first[gone], first[gone] + size[gone])]
+        found.append((key[gone], first[gone], first[gone] + size[gone]))
         # cuttings that differ but have an anchor in common: one of each to the suffix array
         one = order[heads]
         by = one[np.argsort(h[one], kind="stable")]
@@ -379,12 +390,29 @@ def _settle(width: int):
         many = by[np.repeat(count > 1, count)]
         if len(many):
             found += _by_suffixes(text, at[many], size[many], doc[many], key[many], first[many], h[many], width)
-        cols = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return pd.DataFrame(dict(zip(("key", "start", "stop"), cols, strict=True)))
+        return _ranges(found)
 
     return run
 
 
+def _ranges(found: list[tuple]) -> pd.DataFrame:
+    """key, start, stop; ranges of a text that meet or overlap become one."""
+    key, start, stop = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((start, key))
+    key, start, stop = key[order], start[order], stop[order]
+    if len(key):
+        # the running maximum of the stops within a key
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.cumsum(new) - 1
+        span = int(stop.max()) + 1
+        top = np.maximum.accumulate(stop + group * span) - group * span
+        new[1:] |= start[1:] > top[:-1]
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(key)) - 1
+        key, start, stop = key[heads], start[heads], top[tails]
+    return pd.DataFrame({"key": key, "start": start, "stop": stop})
+
+
 #: Cuttings whose texts make one suffix array.
 SUFFIX_CUTTINGS = 8_000
 
@@ -413,15 +441,6 @@ def _by_suffixes(text, at, size, doc, key, first, h, width):
     return out
 
 
-def _expand(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpack(blob, *["i8"] * len(names))[:-1]], names=list(names))
-
-    return rows.select("blob").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):
@@ -440,15 +459,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     c.small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(total * 2 / (width - GRAM + 2) / BUCKET_ANCHORS) + 1)
-    listed = c.stage(_list_anchors(docs, buckets, width), "anchors")
-    among = listed.where(F.col("bucket") >= 0).groupBy("bucket").applyInPandas(_merge, "doc long, key long, cut long, hash long")
-    within = _expand(listed.where(F.col("bucket") < 0), ("doc", "key", "cut", "hash"))
-    shared = c.stage(among.unionByName(within).groupBy("key").agg(F.collect_list("cut").alias("cuts"), F.collect_list("hash").alias("hashes")), "shared-anchors")
+    listed = _list_anchors(docs, buckets, width)
+    anchors_ = listed.groupBy("bucket").applyInPandas(_merge, "doc long, key long, cut long, hash long")
+    shared = c.stage(anchors_.groupBy("key").agg(F.collect_list("cut").alias("cuts"), F.collect_list("hash").alias("hashes")), "shared-anchors")
     wanted = c.join_checked(docs, shared.select("key"), ["key"], "left_semi")
     joined = wanted.join(shared, "key").select("doc", "key", "text", "cuts", "hashes")
-    cut = c.stage(_cuttings(joined, buckets, width), "cuttings")
-    found = cut.where(F.col("bucket") >= 0).groupBy("bucket").applyInPandas(_settle(width), "key long, start long, stop long")
-    return found.unionByName(_expand(cut.where(F.col("bucket") < 0), ("key", "start", "stop")))
+    cut = _cuttings(joined, buckets, width)
+    return cut.groupBy("bucket").applyInPandas(_settle(width), "key long, start long, stop long")
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
