@@ -169,6 +169,20 @@ def test_repeats(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shard", [200, 700, 1 << 20])
+def test_repeats_at_several_places_of_a_document(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh \n"), n))
+    passage, other = text(180), text(90)
+    rows = [(1, text(20) + passage + text(30)), (2, "x" + text(300)), (3, passage + text(70) + passage + text(9) + passage)]
+    rows += [(4, other + text(40) + other), (4, text(11) + other + passage[20:100]), (5, text(5) + other + other), (None, passage[:120] + text(8) + passage[:120]), (None, "z" + other + other)]
+    rows += [(10 + i, text(15).join([passage[i : i + 100], other[i : i + 70], passage[i : i + 100], other])) for i in range(8)]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, rows).repartition(5, "doc_id")).collect()), key=key)
+    assert got == sorted(brute_repeats(rows, 50), key=key)
+
+
 def kasai(text, order):
     """The plain loop: common prefixes in text order, each at least the one before less one."""
     n, h = len(text), 0

@@ -7,10 +7,10 @@ judged on the input. Whole copies of a text are settled by digest first; of the
    GRAM bytes in each window of WIDTH bytes, so equal windows have equal anchors at equal places. Each shard's sorted list is dealt
    out by hash, and merged with the others by binary search: anchors of two documents or more are shared.
 2. Around shared anchors, the shard cuts out the text of the windows that the anchor governs. Equal cuttings within
-   a shard are settled there; one of each goes on, dealt out by the anchor's hash.
+   a shard are settled there; one text of each goes on with all its places in the smallest document, dealt out by the anchor's hash.
 3. Cuttings of one anchor that differ are joined to a text, whose suffix array is refined as by Larsson and Sadakane (ranks by
    8 bytes, doubled until they cover WIDTH). Common prefixes of neighbours (Kasai's array, all neighbours at once, 8 bytes a
-   step) part it into intervals of equal strings; in each, all documents but the smallest lose the string.
+   step) part it into intervals of equal strings; in each, all documents but the smallest lose the string, at every place.
 4. Covered ranges of a document are merged, and what is left is hashed.
 
 Defined cases: null text is empty; a null doc_id comes after all others, and null ones are one document; rows that repeat
@@ -320,6 +320,15 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("doc", "key", "cut", "hash"), cols, strict=True)))
 
 
+def _equal(same: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash and document; in that order, the first of each hash, and those of the hash's smallest document."""
+    order = np.lexsort((doc, same))
+    s, d = same[order], doc[order]
+    heads = np.ones(len(s), bool)
+    heads[1:] = s[1:] != s[:-1]
+    return order, heads, d == d[heads][np.cumsum(heads) - 1]
+
+
 def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
     """bucket, settled, blob: cuttings around shared anchors, and (settled) ranges (key, start, stop) already found.
 
@@ -337,24 +346,23 @@ def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             by = np.argsort(lo, kind="stable")
             same = np.empty(len(lo), np.uint64)
             same[by] = _cutting_hashes(data, lo[by], size[by], h[by], before[by])
-            order = np.lexsort((doc[row], same))
-            s = same[order]
-            heads = np.concatenate(([True], s[1:] != s[:-1]))
-            least = doc[row[order]][np.flatnonzero(heads)][np.cumsum(heads) - 1]
-            settled = order[doc[row[order]] > least]
-            send = order[heads]
+            order, heads, least = _equal(same, doc[row])
+            settled = order[~least]
+            # another shard may have a smaller document: all places in the smallest go on, the text with the first of them
+            send, copy = order[least], ~heads[least]
             bucket = (h[send] * buckets) >> (64 - PLACE_BITS)
             by = np.argsort(h[send], kind="stable")
-            send, bucket = send[by], bucket[by]
+            send, copy, bucket = send[by], copy[by], bucket[by]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             raw = data.tobytes()
             out_b, out = [], []
             for b in range(buckets):
-                part = send[edges[b] : edges[b + 1]]
+                part, again = send[edges[b] : edges[b + 1]], copy[edges[b] : edges[b + 1]]
                 if len(part):
-                    text = b"".join([raw[x:y] for x, y in zip(lo[part].tolist(), (lo[part] + size[part]).tolist(), strict=True)])
+                    one = part[~again]
+                    text = b"".join([raw[x:y] for x, y in zip(lo[one].tolist(), (lo[one] + size[one]).tolist(), strict=True)])
                     out_b.append((b, False))
-                    out.append(_pack_cuts(h[part], row[part], cut[part], doc, key, raw=text))
+                    out.append(_pack_cuts(h[part], row[part], cut[part], doc, key, raw=np.packbits(again).tobytes() + text))
             if len(settled):  # any bucket will do for these
                 settled = settled[np.lexsort((first[settled], row[settled]))]
                 out_b.append((int(h[0]) % buckets, True))
@@ -372,24 +380,34 @@ def _settle(width: int):
         if not parts:
             return _ranges(found)
         h, doc, key, cut = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        text = np.frombuffer(b"".join([p[4] for p in parts]), np.uint8)
+        marks = [(len(p[0]) + 7) // 8 for p in parts]  # bytes that tell which places have the text of the one before
+        own = ~np.concatenate([np.unpackbits(np.frombuffer(p[4], np.uint8, n), count=len(p[0])).astype(bool) for p, n in zip(parts, marks, strict=True)])
+        text = np.frombuffer(b"".join([p[4][n:] for p, n in zip(parts, marks, strict=True)]), np.uint8)
         first, before, more = cut >> 16, (cut >> 8) & 255, cut & 255
         size = more + width
-        at = np.cumsum(size) - size
-        same = _cutting_hashes(text, at, size, h, before)
-        order = np.lexsort((doc, same))
-        heads = np.concatenate(([True], same[order][1:] != same[order][:-1]))
-        least = doc[order][np.flatnonzero(heads)][np.cumsum(heads) - 1]
-        gone = order[doc[order] > least]
+        text_of = np.cumsum(own) - 1
+        at = np.cumsum(size[own]) - size[own]
+        same = _cutting_hashes(text, at, size[own], h[own], before[own])[text_of]
+        at = at[text_of]
+        order, heads, least = _equal(same, doc)
+        gone = order[~least]
         found.append((key[gone], first[gone], first[gone] + size[gone]))
         # cuttings that differ but have an anchor in common: one of each to the suffix array
         one = order[heads]
-        by = one[np.argsort(h[one], kind="stable")]
-        edge = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+        by = np.argsort(h[one], kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], h[one[by]][1:] != h[one[by]][:-1])))
         count = np.diff(np.append(edge, len(by)))
-        many = by[np.repeat(count > 1, count)]
+        several = by[np.repeat(count > 1, count)]
+        many = one[several]
         if len(many):
-            found += _by_suffixes(text, at[many], size[many], doc[many], key[many], first[many], h[many], width)
+            # what a cutting loses, it loses at all its places in the smallest document
+            places = order[least]
+            edge = np.append(np.flatnonzero(heads[least]), len(places))
+            for owner, begin, end in _by_suffixes(text, at[many], size[many], doc[many], h[many], width):
+                a, b = edge[several[owner]], edge[several[owner] + 1]
+                hit = np.repeat(np.arange(len(owner)), b - a)
+                to = places[np.arange(len(hit)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)]
+                found.append((key[to], first[to] + begin[hit], first[to] + end[hit]))
         return _ranges(found)
 
     return run
@@ -417,7 +435,8 @@ def _ranges(found: list[tuple]) -> pd.DataFrame:
 SUFFIX_CUTTINGS = 8_000
 
 
-def _by_suffixes(text, at, size, doc, key, first, h, width):
+def _by_suffixes(text, at, size, doc, h, width):
+    """Cutting, start and stop in it, of the ranges that repeat strings of smaller documents."""
     out, i = [], 0
     while i < len(at):
         j = min(i + SUFFIX_CUTTINGS, len(at))
@@ -431,12 +450,12 @@ def _by_suffixes(text, at, size, doc, key, first, h, width):
         starts = np.arange(windows.sum()) + np.repeat(new - head, windows)
         owner = np.repeat(np.arange(j - i), windows)
         hit = repeated_starts(part, doc[i:j][owner], starts, width)
-        place = first[i:j][owner] + (starts - new[owner])
+        place = starts - new[owner]
         o, p = owner[hit], place[hit]
         if len(o):
             begin = np.concatenate(([True], (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)))
             end = np.append(begin[1:], True)
-            out.append((key[i:j][o[begin]], p[begin], p[end] + width))
+            out.append((i + o[begin], p[begin], p[end] + width))
         i = j
     return out
 
