@@ -96,6 +96,29 @@ def test_trusted_fixpoint_against_a_loop(spark):
             assert got[(asset, h)] == (None if x is None else pytest.approx(x, abs=1e-6))
 
 
+def test_trusted_until_a_pass_finds_none(spark):
+    """Pairs of outliers, each hidden by the one before until that is gone: one pass for each pair."""
+    from tests.test_windows import brute_sigma
+
+    r = [1.0, -1.1] * 5
+    for k in range(12):
+        r += [1000 * 0.8**k, -1000 * 0.8**k, 1.0, -1.1]
+    hours, want, passes = [3600 * i for i in range(len(r))], list(r), 0
+    while True:
+        passes += 1
+        s = brute_sigma(hours, want, 10**7, 5)
+        wrong = [i for i, (a, b) in enumerate(zip(want, s, strict=True)) if a is not None and b and abs(a / b) > 6]
+        if not wrong:
+            break
+        for i in wrong:
+            want[i] = None
+    assert passes > 9
+    rows = spark.createDataFrame([("a", h, x) for h, x in zip(hours, r, strict=True)], "asset string, hour long, r double")
+    got = {x.hour: x for x in jumps.trusted(rows, ["asset"], 10**7, 5, mistake=6.0, cut=detector.staged).collect()}
+    assert [got[h].r for h in hours] == want
+    assert [got[h].sigma for h in hours] == [None if x is None else pytest.approx(x, rel=1e-6) for x in s]
+
+
 def test_pages_keep_blocks_whole():
     assert texts.packed([100, 300, 200, 500, 10], 400) == [0, 0, 1, 2, 3]
 

@@ -59,12 +59,12 @@ def score(rows: DataFrame, keys: list[str], seconds: int, least: int, r: str = "
     return s.withColumn("z", z).withColumn("word", word_of(F.col("z"), words)).withColumn("young", F.col(at) - first < seconds)
 
 
-def trusted(rows: DataFrame, keys: list[str], seconds: int, least: int, mistake: float = MISTAKE_SIGMA, passes: int = 8, cut=None) -> DataFrame:
+def trusted(rows: DataFrame, keys: list[str], seconds: int, least: int, mistake: float = MISTAKE_SIGMA, cut=None) -> DataFrame:
     """rows with r cleared of impossible readings, and the yardstick without them: repeated until a pass finds none.
 
-    Each pass is cut by `cut` (a staging function) so that the plan does not grow."""
+    Each pass takes out one reading at least, so this ends. Each is cut by `cut` (a staging function) so that the plan does not grow."""
     now = rows
-    for _ in range(passes):
+    while True:
         s = sigma(now, keys, "r", seconds, least)
         wrong = F.coalesce(F.abs(F.col("r") / F.when(F.col("sigma") > 0, F.col("sigma"))) > mistake, F.lit(False))
         s = s.withColumn("_wrong", wrong)
@@ -72,7 +72,6 @@ def trusted(rows: DataFrame, keys: list[str], seconds: int, least: int, mistake:
         if s.where("_wrong").isEmpty():
             return s.drop("_wrong")
         now = s.withColumn("r", F.when(~F.col("_wrong"), F.col("r"))).drop("_wrong", "sigma")
-    return sigma(now, keys, "r", seconds, least)
 
 
 def day_moves(rows: DataFrame, keys: list[str], day: str, moves: Column, extra: Column, seconds: int, least: int) -> DataFrame:
