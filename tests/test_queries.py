@@ -119,6 +119,32 @@ def test_trusted_until_a_pass_finds_none(spark):
     assert [got[h].sigma for h in hours] == [None if x is None else pytest.approx(x, rel=1e-6) for x in s]
 
 
+def test_streams_keep_all_ticks_over_many_batches(spark, monkeypatch, tmp_path):
+    """Ticks without an event_id, most of them of one instrument, in more slices than asked for."""
+    from datetime import datetime, timedelta
+
+    from tidewarden.streaming import events
+
+    monkeypatch.setattr(events, "SLICE_ROWS", 30, raising=False)
+    ticks = [(None if i % 5 == 0 else i, datetime(2024, 3, 1) + timedelta(seconds=i * 4111), i % 7, "buy" if i % 6 else "sell", 50.0 + i * 37 % 41, '{"k": 1}') for i in range(200)]
+    spark.createDataFrame(ticks, events.EVENTS).write.parquet(f"{tmp_path}/events.parquet")
+    found, acted, start, top = [], [], {}, {}
+    for n, at, _, asset, price, _ in ticks:
+        t = int((at - datetime(1970, 1, 1)).total_seconds())
+        if price <= 60:
+            continue
+        if asset not in start or t >= start[asset] + 86_400:
+            start[asset] = t
+        found.append((asset, n, t, start[asset]))
+        before = top.get((asset, t // 86_400))
+        acted.append((asset, n, "post" if before is None else "edit" if price > before else "silent"))
+        top[(asset, t // 86_400)] = max(price, before or price)
+    key = lambda r: [(x is None, str(x)) for x in r]
+    for name, want in (("H6_event_stream", found), ("H10_action_stream", acted)):
+        assert sorted((tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()), key=key) == sorted(want, key=key)
+    assert len(list(Path(events.split_files(spark, str(tmp_path), 4).removeprefix("file:")).glob("*.parquet"))) > 4
+
+
 def test_pages_keep_blocks_whole():
     assert texts.packed([100, 300, 200, 500, 10], 400) == [0, 0, 1, 2, 3]
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..cluster import ship
 from ..operators.bars import fold
 from ..sources.market import FEEDS, epoch
 from ..sources.staging import shared_dir
 
+#: Ticks of a slice of the replay, and so of a batch.
+SLICE_ROWS = 1_000_000
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
@@ -38,14 +39,19 @@ def _dir(spark: SparkSession, label: str) -> str:
 
 
 def split_files(spark: SparkSession, sf_dir: str, parts: int) -> str:
-    """A replay of the events: `parts` files one after another in order of time, as a feed would deliver them.
+    """A replay of the events: slices of time one after another, as a feed would deliver them; `parts` of them, or
+    more where they would hold over SLICE_ROWS. Ticks without a time come first.
 
-    The source takes files by their times, so each part is written when the one before is there."""
-    path = _dir(spark, "ticks")
+    The source takes files by their times, so each slice is one file, written when the one before is there."""
+    path, sliced = _dir(spark, "ticks"), _dir(spark, "slices")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cuts = [-1.0, *e.approxQuantile("event_id", [n / parts for n in range(1, parts)], 0.01), float("inf")]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        e.where((F.col("event_id") > a) & (F.col("event_id") <= b)).coalesce(1).write.mode("append").parquet(path)
+    parts = max(parts, -(-e.count() // SLICE_ROWS))
+    cuts = e.select(epoch("ts").cast("double").alias("t")).approxQuantile("t", [n / parts for n in range(1, parts)], min(0.01, 0.25 / parts))
+    number = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < epoch("ts"))), F.lit(0)) if cuts else F.lit(0)
+    e.withColumn("slice", number).write.partitionBy("slice").parquet(sliced)
+    held = spark.read.schema(T.StructType([*e.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(sliced)
+    for n in sorted(r[0] for r in held.select("slice").distinct().collect()) or [0]:
+        held.where(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -79,45 +85,80 @@ def upsert_stream(ticks: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "hour", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "n_src")
 
 
+def _by_batch(ticks: DataFrame, state: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """What step gives batch by batch (foreachBatch). step takes a batch and the kept state, and gives the new state and
+    what makes the batch's rows of it. Each batch writes its own version, so a repeated batch gives the same."""
+    spark, base, versions = ticks.sparkSession, _dir(ticks.sparkSession, "kept"), []
+
+    def run(batch: DataFrame, number: int) -> None:
+        old = spark.read.schema(state).parquet(versions[-1]) if versions else spark.createDataFrame([], state)
+        new, rows = step(batch, old)
+        path = f"{base}/state/v{number}"
+        new.write.mode("overwrite").parquet(path)
+        rows(spark.read.schema(state).parquet(path)).write.mode("overwrite").parquet(f"{base}/rows/v={number}")
+        versions.append(path)
+
+    q = ticks.writeStream.foreachBatch(run).option("checkpointLocation", _dir(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/rows").drop("v")
+
+
 def event_stream(ticks: DataFrame, span: int = 86_400) -> DataFrame:
-    """asset, event_id, found, event_start: 24-hour events from their first tick of note (price over 60); kept state is the start."""
+    """asset, event_id, found, event_start: 24-hour events from their first tick of note (price over 60); kept state is the starts.
+
+    Only seconds that may start an event reach Python, sorted by Spark and folded Arrow batch by Arrow batch. Starts are
+    `span` apart, so each bin of that length has one at most, and a tick's start is in its own bin or the one before.
+    A tick that comes after its event's time belongs to the event that runs."""
     ship(ticks.sparkSession)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        starts = []
-        for t in rows["t"]:
-            if start is None or t >= start + span:
-                start = int(t)
-            starts.append(start)
-        state.update((start,))
-        yield pd.DataFrame({"asset": key[0], "event_id": rows["event_id"], "found": rows["t"], "event_start": starts})
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asset, start = None, None
+        for rows in batches:
+            out = []
+            for a, t in zip(rows["asset"], rows["t"], strict=True):
+                if start is None or a != asset or t >= start + span:
+                    asset, start = a, t
+                    out.append((a, t))
+            yield pd.DataFrame(out, columns=["asset", "start"])
 
-    noted = ticks.where("price > 60")
-    return noted.groupBy("asset").applyInPandasWithState(step, "asset string, event_id long, found long, event_start long", "start long", "append", GroupStateTimeout.NoTimeout)
+    def step(batch: DataFrame, old: DataFrame):
+        latest = old.groupBy(F.col("asset").alias("_a")).agg(F.max("start").alias("_latest"))
+        noted = batch.where("price > 60").select("asset", "event_id", "t").join(latest, F.col("asset").eqNullSafe(F.col("_a")), "left").drop("_a")
+        may = noted.where(F.col("t").isNotNull() & (F.col("_latest").isNull() | (F.col("t") >= F.col("_latest") + span))).select("asset", "t").distinct()
+        new = old.unionByName(may.repartition("asset").sortWithinPartitions("asset", "t").mapInPandas(starts, "asset string, start long"))
+
+        def rows(kept: DataFrame) -> DataFrame:
+            at = F.floor(F.col("t") / span)
+            mine = lambda n, name: kept.select(F.col("asset").alias(f"_a{n}"), (F.floor(F.col("start") / span) + n).alias(f"_n{n}"), F.col("start").alias(name))
+            out = noted
+            for n, name in ((0, "_own"), (1, "_before")):
+                out = out.join(mine(n, name), F.col("asset").eqNullSafe(F.col(f"_a{n}")) & (at == F.col(f"_n{n}")), "left")
+            start = F.when(F.col("t") >= F.col("_own"), F.col("_own")).when(F.col("t") < F.col("_before") + span, F.col("_before")).otherwise(F.col("_latest"))
+            return out.select("asset", "event_id", F.col("t").alias("found"), start.alias("event_start"))
+
+        return new, rows
+
+    return _by_batch(ticks, "asset string, start long", step)
 
 
 def action_stream(ticks: DataFrame) -> DataFrame:
-    """asset, event_id, action: the first note of a day posts, a larger one edits, a smaller one is silent; state is (day, largest)."""
-    ship(ticks.sparkSession)
+    """asset, event_id, action: the first note of a day posts, a larger one edits, a smaller one is silent; state is each day's largest."""
+
+    def step(batch: DataFrame, old: DataFrame):
+        noted = batch.where("price > 60").select("asset", "event_id", "t", "price", F.floor(F.col("t") / 86_400).alias("day"))
+        tops = old.unionByName(noted.select("asset", "day", F.col("price").alias("top"))).groupBy("asset", "day").agg(F.max("top").alias("top"))
+
+        def rows(_: DataFrame) -> DataFrame:
+            w = Window.partitionBy("asset", "day").orderBy("t", F.col("event_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+            kept = old.select(F.col("asset").alias("_a"), F.col("day").alias("_d"), "top")
+            known = noted.join(kept, F.col("asset").eqNullSafe(F.col("_a")) & F.col("day").eqNullSafe(F.col("_d")), "left")
+            top = F.greatest(F.max("price").over(w), F.col("top"))
+            action = F.when(top.isNull(), "post").when(F.col("price") > top, "edit").otherwise("silent")
+            return known.select("asset", "event_id", action.alias("action"))
+
+        return tops, rows
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, top = state.get if state.exists else (-1, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        actions = []
-        for t, price in zip(rows["t"], rows["price"], strict=True):
-            if t // 86400 != day:
-                day, top, action = int(t // 86400), float(price), "post"
-            elif price > top:
-                top, action = float(price), "edit"
-            else:
-                action = "silent"
-            actions.append(action)
-        state.update((day, top))
-        yield pd.DataFrame({"asset": key[0], "event_id": rows["event_id"], "action": actions})
-
-    return ticks.where("price > 60").groupBy("asset").applyInPandasWithState(step, "asset string, event_id long, action string", "day long, top double", "append", GroupStateTimeout.NoTimeout)
+    return _by_batch(ticks, "asset string, day long, top double", step)
 
 
 __all__ = ["action_stream", "event_stream", "fold", "hourly_stream", "run_to_table", "split_files", "tick_stream", "upsert_stream"]
