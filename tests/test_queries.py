@@ -145,6 +145,13 @@ def test_streams_keep_all_ticks_over_many_batches(spark, monkeypatch, tmp_path):
     assert len(list(Path(events.split_files(spark, str(tmp_path), 4).removeprefix("file:")).glob("*.parquet"))) > 4
 
 
+def test_strings_of_whole_texts(spark, tmp_path):
+    text = "word " * 30 + "a < b & c > d End!"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.slug, r.escaped) for r in registry.QUERIES["G_strings_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("word_" * 30 + "a_b_c_d_end", "word " * 30 + "a &lt; b &amp; c &gt; d End!"), 2: (None, None)}
+
+
 def test_pages_keep_blocks_whole():
     assert texts.packed([100, 300, 200, 500, 10], 400) == [0, 0, 1, 2, 3]
 

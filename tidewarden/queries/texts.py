@@ -40,6 +40,12 @@ def g_strings(spark, sf):
     return d.select("doc_id", scalars.slug(F.left("text", F.lit(60))).alias("slug"), scalars.html_escape(F.left("text", F.lit(40))).alias("escaped"), F.concat_ws("|", "lang", "source").alias("tags"), (F.split_part("text", F.lit("\n"), F.lit(1)) == F.col("text")).alias("one_line"))
 
 
+@query("G_strings_whole", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
+def g_strings_whole(spark, sf):
+    """The slug and the escaping of whole texts; G_strings and its SQL take the beginnings."""
+    return table(spark, sf, "documents").select("doc_id", scalars.slug(F.col("text")).alias("slug"), scalars.html_escape(F.col("text")).alias("escaped"))
+
+
 @query("G_urls", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
 def g_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
