@@ -4,6 +4,7 @@ arithmetic over the byte buffers of Arrow string columns."""
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,19 +17,21 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 
 #: Bytes of text that one numpy pass takes at most (a longer document is a pass of its own).
-CHUNK_BYTES = 1 << 20
-#: Rows that a broadcast side may have; larger sides are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+CHUNK_BYTES = 1 << 18
+#: Bytes that a broadcast side may have (its values, plus 32 for each row); larger sides are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 _OWN_DIR: list[str] = []
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or a local one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one where it is unset and the master is local."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp"))
     return _OWN_DIR[0]
@@ -60,15 +63,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to a few MB, whatever the length of the rows; give the workers this package."""
+    """Keep Arrow batches to about 2 MB, whatever the length of the rows (for the whole session); give the workers this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a staged, narrow right side: broadcast when it has at most `limit` rows, else by shuffle."""
-    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
+def small(side: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a staged table's rows have `limit` bytes at most, by a count and the lengths of its strings."""
+    wide = [F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in side.dtypes if kind in ("string", "binary")]
+    fixed = 32 + 8 * (len(side.columns) - len(wide))
+    got = side.agg(F.sum(sum(wide, F.lit(fixed).cast("long"))).alias("bytes")).first()
+    return (got["bytes"] or 0) <= limit
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a staged, narrow right side: broadcast when it has at most `limit` bytes, else by shuffle."""
+    return left.join(F.broadcast(right) if small(right, limit) else right, on, how)
 
 
 # --- bytes of a string column -------------------------------------------------------------------
@@ -106,25 +117,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240611)
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULT = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        made = []
-        for p in (_P, _P_INV):
-            a = np.full(size, p, np.uint64)
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
-        if n > 4 * CHUNK_BYTES:
-            return made[0], made[1]
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+#: Which of 8 little-endian bytes count when so many are left.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes from which a span is hashed and compared in one piece instead of 8 bytes a step beside others.
+_LONG = 1024
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -159,12 +156,61 @@ def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) ->
     return starts, ends, np.diff(np.searchsorted(starts, off))
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a little-endian number (a view over a copy); zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one prefix sum over the bytes; equal bytes give equal hashes."""
-    power, inverse = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MULT[63])
+    """64-bit hashes of byte spans; equal bytes give equal hashes.
+
+    Each 8 bytes of a span go through `mix` with the hash so far, for all spans side by side; spans over _LONG bytes
+    are hashed by BLAKE2. Different spans collide with odds of 2^-64 a pair; where equality decides, compare bytes
+    as well (`equal_spans`, `repeats`)."""
+    size = ends - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * _MULT[63])
+    lanes, live, at = _lanes(data), np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(live):
+        left = size[live] - at
+        out[live] = mix((out[live] ^ (lanes[starts[live] + at] & _KEEP[np.minimum(left, 8)])) * _MULT[62])
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether spans of a (places, sizes) have the bytes of those of b beside them."""
+    same = size_a == size_b
+    lanes_a, at = _lanes(a), 0
+    lanes_b = lanes_a if b is a else _lanes(b)
+    live = np.flatnonzero(same & (size_a > 0) & (size_a <= _LONG))
+    while len(live):
+        left = size_a[live] - at
+        differ = (lanes_a[at_a[live] + at] ^ lanes_b[at_b[live] + at]) & _KEEP[np.minimum(left, 8)] != 0
+        same[live[differ]] = False
+        live, at = live[~differ & (left > 8)], at + 8
+    for i in np.flatnonzero(same & (size_a > _LONG)):
+        same[i] = np.array_equal(a[at_a[i] : at_a[i] + size_a[i]], b[at_b[i] : at_b[i] + size_b[i]])
+    return same
+
+
+def repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which spans (in order) have the bytes of an earlier span of their row. Hashes find candidates, bytes decide."""
+    keys = mix(span_hashes(data, starts, ends) ^ mix(rows.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(keys, kind="stable")
+    a, b = order[:-1], order[1:]
+    hit = keys[a] == keys[b]
+    a, b, again = a[hit], b[hit], np.zeros(len(keys), bool)
+    again[b] = True
+    if not ((rows[a] == rows[b]) & equal_spans(data, starts[a], data, starts[b], ends[a] - starts[a], ends[b] - starts[b])).all():
+        seen: set = set()  # different bytes with one hash
+        for i, (row, x, y) in enumerate(zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True)):
+            again[i] = (row, text := data[x:y].tobytes()) in seen
+            seen.add((row, text))
+    return again
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -42,9 +42,16 @@ class Texts:
         return self._made[name]
 
     def rows(self, keep: np.ndarray) -> Texts:
-        """Only the rows where keep is set."""
+        """Only the rows where keep is set, with what is known of their words."""
         sizes = np.diff(self.off)
-        return Texts(self.data[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))))
+        new = np.concatenate(([0], np.cumsum(sizes[keep])))
+        out = Texts(self.data[np.repeat(keep, sizes)], new)
+        if "spans" in self._made:
+            starts, ends, counts = self.spans
+            here = np.repeat(keep, counts)
+            moved = np.repeat(self.off[:-1][keep] - new[:-1], counts[keep])
+            out._made["spans"] = starts[here] - moved, ends[here] - moved, counts[keep]
+        return out
 
     @property
     def spans(self):
@@ -86,10 +93,7 @@ class Texts:
         words = self.spans[0]
         has = np.searchsorted(words, ends) > np.searchsorted(words, starts)
         starts, ends, rows = starts[has], ends[has], rows[has]
-        keys = c.mix(c.span_hashes(self.data, starts, ends) ^ c.mix(rows.astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(keys, kind="stable")
-        again = np.zeros(len(keys), bool)
-        again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+        again = c.repeats(self.data, starts, ends, rows)
         return np.bincount(rows, minlength=n), np.bincount(rows[again], minlength=n)
 
     @property
@@ -103,19 +107,32 @@ class Texts:
         grams = c.window_hashes(c.span_hashes(self.data, starts, ends), 3)
         if not len(grams):
             return np.zeros(n, np.int64)
-        inside = rows[: len(grams)] == rows[2:]
-        keys = c.mix(grams ^ c.mix(rows[: len(grams)].astype(np.uint64) + np.uint64(1)))
-        s = np.sort(keys[inside])
-        twice = s[1:][s[1:] == s[:-1]]
-        hit = np.zeros(len(grams), bool)
-        if len(twice):
-            at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-            hit = (twice[at] == keys) & inside
+        own = rows[: len(grams)]
+        inside = np.flatnonzero(own == rows[2:])
+        keys = c.mix(grams[inside] ^ c.mix(own[inside].astype(np.uint64) + np.uint64(1)))
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        a, b = inside[order[:-1][same]], inside[order[1:][same]]
+        size = ends - starts
+        proved = own[a] == own[b]
+        for i in range(3):  # hashes find candidates, bytes decide
+            proved &= c.equal_spans(self.data, starts[a + i], self.data, starts[b + i], size[a + i], size[b + i])
+        if not proved.all():  # different windows with one hash
+            a = b = self._windows_twice(inside)
         covered = np.zeros(len(rows), bool)
         for i in range(3):
-            covered[i : i + len(hit)] |= hit
+            covered[a + i] = covered[b + i] = True
         return np.bincount(rows[covered], minlength=n)
 
+    def _windows_twice(self, inside: np.ndarray) -> np.ndarray:
+        """The 3-word windows found twice or more in their row, by the words themselves."""
+        starts, ends, counts = self.spans
+        rows, by = np.repeat(np.arange(len(counts)), counts), {}
+        words = [self.data[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for i in inside.tolist():
+            by.setdefault((rows[i], *words[i : i + 3]), []).append(i)
+        return np.array([i for found in by.values() if len(found) > 1 for i in found], np.int64)
+
 
 @dataclass(frozen=True)
 class Rule:
