@@ -6,9 +6,11 @@ Zipf's law, p proportional to 1 / (r + 2), normalised over the pieces.
 
 Texts are encoded whole: a space becomes the marker U+2581, one marker is put before the text, and the path of highest
 total score is taken. A character that no piece covers is an unknown node of the lowest score less 10 and is
-written as its UTF-8 bytes. No piece holds a marker after another character, so the best path of a text is
+written as its UTF-8 bytes. Scores are added in fixed point, so sums are exact; of paths of equal score, the one whose last
+piece begins first is taken, at each place. No piece holds a marker after another character, so the best path of a text is
 the best paths of its segments (markers, then other characters) one after another; equal segments are solved once in a batch
-and kept in a bounded cache. Segments are solved together, position by position, in numpy.
+and kept in a bounded cache, found by hash and compared byte by byte. Segments of like length are solved together, position by
+position, in numpy; in a very long one, matches are found at all places together and the path is then folded over them.
 
 Decoding joins pieces and bytes, turns markers into spaces and drops the first space.
 
@@ -29,13 +31,18 @@ from pyspark.sql import functions as F
 from . import common as c
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments that a worker remembers; when there are more, it starts anew.
-CACHE_SEGMENTS = 1_000_000
-#: Bytes up to which segments are solved side by side; longer ones are solved one by one.
-WIDE = 96
+#: Segments, and bytes of segments, that a worker remembers; when there are more, it starts anew.
+CACHE_SEGMENTS = 300_000
+CACHE_BYTES = 4 << 20
+#: Bytes of the segments, padded to the longest, that are solved side by side; bytes from which a segment is solved alone.
+TOGETHER = 1 << 18
+ALONE = 1 << 11
 
 _MARK = "▁".encode()
-_UNKNOWN_PENALTY = np.float32(10)
+#: Fixed-point one, and the unknown node's distance from the lowest score.
+_ONE = 1 << 32
+_UNKNOWN_PENALTY = 10 * _ONE
+_NONE = np.iinfo(np.int64).min // 2
 
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +102,9 @@ class Model:
         logs = raw if m.trainer_spec.model_type == 1 else -np.log(2 - raw)
         if m.trainer_spec.model_type != 1:
             logs = logs - np.log(np.exp(logs).sum())
-        self.score = np.zeros(len(self.pieces), np.float32)
-        self.score[normal] = logs
-        self.unknown = np.float32(self.score[normal].min() - _UNKNOWN_PENALTY)
+        self.score = np.zeros(len(self.pieces), np.int64)
+        self.score[normal] = np.rint(logs * _ONE).astype(np.int64)
+        self.unknown = int(self.score[normal].min()) - _UNKNOWN_PENALTY
         self.bytes = np.zeros(256, np.int32)
         for i, p in enumerate(m.pieces):
             if p.type == kind.BYTE:
@@ -117,20 +124,23 @@ class Model:
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.tokens = np.zeros(0, np.int32)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.raw = np.zeros(0, np.uint8)
+        self.raw_at, self.raw_size = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def solve(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of segments in which markers are written out, one after another, and each segment's number of ids."""
         size = np.array([len(x) for x in segments])
         order = np.argsort(size, kind="stable")
-        narrow, ids, counts = int((size <= WIDE).sum()), [], []
-        edges = [*range(0, narrow, 4096), *range(narrow, len(segments) + 1)]
-        for a, b in zip(edges, [*edges[1:], len(segments)], strict=True):
-            if a < b:
-                got = self._solve_together([segments[i] for i in order[a:b]])
-                ids.append(got[0])
-                counts.append(got[1])
+        ids, counts, i = [], [], 0
+        while i < len(order):
+            j = min(i + 4096, len(order))
+            while j > i + 1 and (j - i) * size[order[j - 1]] > TOGETHER:
+                j = i + (j - i) // 2
+            got = self._solve_alone(segments[order[i]]) if j == i + 1 and size[order[i]] > ALONE else self._solve_together([segments[k] for k in order[i:j]])
+            ids.append(got[0])
+            counts.append(got[1])
+            i = j
         flat, count = np.concatenate(ids), np.concatenate(counts)
         first = np.cumsum(count) - count
         back = np.argsort(order)
@@ -138,16 +148,57 @@ class Model:
         new = np.cumsum(count) - count
         return flat[np.arange(len(flat)) + np.repeat(first - new, count)], count
 
+    def _solve_alone(self, segment: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long segment: all matches by numpy, then one fold over them."""
+        n = len(segment)
+        text = np.frombuffer(segment + b"\0" * (self.deepest + 1), np.uint8)
+        lead = np.flatnonzero((text[:n] & 0xC0) != 0x80)
+        live, state, found = lead, np.zeros(len(lead), np.int32), []
+        for d in range(self.deepest):
+            go = self.base[state] + text[live + d] + 1
+            ok = (self.base[state] > 0) & (live + d < n)
+            ok &= self.check[np.where(ok, go, 0)] == state
+            live, state = live[ok], go[ok]
+            if not len(live):
+                break
+            hit = self.value[state] >= 0
+            found.append((live[hit], live[hit] + d + 1, self.value[state[hit]]))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((end, start))
+        start, end, piece = start[order], end[order], piece[order]
+        edge = np.searchsorted(start, np.append(lead, n)).tolist()
+        stop, names, gain = end.tolist(), piece.tolist(), self.score[piece].tolist()
+        best, came, by = [_NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0
+        for k, (i, after) in enumerate(zip(lead.tolist(), [*lead[1:].tolist(), n], strict=True)):
+            here, single = best[i], False
+            if here == _NONE:
+                continue
+            for m in range(edge[k], edge[k + 1]):
+                to = stop[m]
+                single |= to == after
+                if here + gain[m] > best[to]:
+                    best[to], came[to], by[to] = here + gain[m], i, names[m]
+            if not single and here + self.unknown > best[after]:
+                best[after], came[after], by[after] = here + self.unknown, i, -1
+        out, at = [], n
+        while at:
+            i = came[at]
+            out.append([by[at]] if by[at] >= 0 else [int(self.bytes[b]) for b in segment[i:at]])
+            at = i
+        ids = np.array([x for part in reversed(out) for x in part], np.int32)
+        return ids, np.array([len(ids)])
+
     def _solve_together(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, size = len(segments), np.array([len(s) for s in segments])
         longest = int(size.max(initial=0))
         text = np.frombuffer(b"".join(s.ljust(longest + 4, b"\0") for s in segments), np.uint8).reshape(n, longest + 4)
-        best = np.full((n, longest + 1), -np.inf, np.float32)
+        best = np.full((n, longest + 1), _NONE, np.int64)
         best[:, 0] = 0
         piece = np.full((n, longest + 1), -2, np.int32)  # -1: unknown
         came = np.zeros((n, longest + 1), np.int32)
         for i in range(longest):
-            rows = np.flatnonzero((best[:, i] > -np.inf) & (size > i))
+            rows = np.flatnonzero((best[:, i] > _NONE) & (size > i))
             if not len(rows):
                 continue
             lead = text[rows, i]
@@ -218,28 +269,28 @@ class Model:
         cut[1:] |= lone[:-1]
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(text))
-        keys = c.span_hashes(text, starts, ends)
-        place = self._find(keys)
-        if place is None:
+        keys, size = c.span_hashes(text, starts, ends), ends - starts
+        raw = text.tobytes()
+        fresh, at = self._missing(keys)
+        if len(self.known) and (len(self.known) + len(fresh) > CACHE_SEGMENTS or len(self.raw) + size[at].sum() > CACHE_BYTES):
+            self._forget()
             fresh, at = self._missing(keys)
-            if len(self.known) + len(fresh) > CACHE_SEGMENTS:
-                self._forget()
-                fresh, at = self._missing(keys)
-            raw = text.tobytes()
-            self._learn(fresh, self.solve([raw[starts[i] : ends[i]].replace(b" ", _MARK) for i in at]))
-            place = np.searchsorted(self.known, keys)
-        counts = self.count[place]
+        solve = lambda places: self.solve([raw[starts[i] : ends[i]].replace(b" ", _MARK) for i in places])
+        if len(fresh):
+            self._learn(fresh, solve(at), text, starts[at], size[at])
+        place = np.searchsorted(self.known, keys)
+        counts, first, tokens = self.count[place].astype(np.int64), self.first[place].astype(np.int64), self.tokens
+        odd = np.flatnonzero(~c.equal_spans(text, starts, self.raw, self.raw_at[place], size, self.raw_size[place]))
+        if len(odd):  # other bytes with the hash of a known segment
+            more, counts[odd] = solve(odd)
+            first[odd] = len(tokens) + np.cumsum(counts[odd]) - counts[odd]
+            tokens = np.concatenate((tokens, more))
         total = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.tokens[np.arange(total[-1]) + np.repeat(self.first[place] - total[:-1], counts)]
+        ids = tokens[np.arange(total[-1]) + np.repeat(first - total[:-1], counts)]
         return ids, total[np.searchsorted(starts, new)]
 
-    def _find(self, keys: np.ndarray) -> np.ndarray | None:
-        if not len(self.known):
-            return None
-        place = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        return place if (self.known[place] == keys).all() else None
-
     def _missing(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes that no known segment has, each once, and where they are."""
         if len(self.known):
             place = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
             where = np.flatnonzero(self.known[place] != keys)
@@ -251,12 +302,16 @@ class Model:
         new[1:] = s[1:] != s[:-1]
         return s[new], order[new]
 
-    def _learn(self, keys: np.ndarray, solved: tuple[np.ndarray, np.ndarray]) -> None:
+    def _learn(self, keys: np.ndarray, solved: tuple[np.ndarray, np.ndarray], text: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
         ids, count = solved
-        first = len(self.tokens) + np.cumsum(count) - count
-        self.tokens = np.concatenate((self.tokens, ids)).astype(np.int32)
         at = np.searchsorted(self.known, keys)
-        self.known, self.first, self.count = np.insert(self.known, at, keys), np.insert(self.first, at, first), np.insert(self.count, at, count)
+        put = lambda old, new: np.insert(old, at, new).astype(old.dtype)
+        self.known, self.count, self.raw_size = put(self.known, keys), put(self.count, count), put(self.raw_size, size)
+        self.first = put(self.first, len(self.tokens) + np.cumsum(count) - count)
+        new = np.cumsum(size) - size
+        self.raw_at = put(self.raw_at, len(self.raw) + new)
+        self.raw = np.concatenate((self.raw, text[np.arange(size.sum()) + np.repeat(starts - new, size)]))
+        self.tokens = np.concatenate((self.tokens, ids)).astype(np.int32)
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts of token ids, as bytes and offsets; each text's first space is dropped."""
