@@ -4,19 +4,22 @@ Steps, each a Spark job whose tables stay in the shared folder:
 1. `classes`: documents with equal sets are one class (they link with one another by definition).
 2. `frequent`: shingles that many documents share are counted in each task and summed; this gives the global order,
    rare shingles first. Any order gives the same links; this one keeps common shingles out of prefixes.
-3. `postings`: each class's prefix (for overlap t, |x| - ceil(t |x|) + 1 shingles) is dealt out by shingle. Shingles of one
-   class alone end here.
-4. Rounds over the postings: the classes of a shingle are read in the order of their places in their own sets, and
-   the first ones (leaders; 1, then LEADERS more in each round) are paired with the classes after them, unless both
-   are known to be connected. Bounds by length, by position and by the Hamming distance of parity bitmaps drop pairs;
-   each pair is verified once, on whole sets. Rounds end when each shingle's classes are all paired or connected, so no
+3. `postings`: each class's prefix (for overlap t, |x| - ceil(t |x|) + 1 shingles) is dealt out by shingle; those of a
+   frequent shingle go to several tasks. Shingles of one class alone end here.
+4. Rounds over the postings: some classes of each shingle (leaders; 1, then LEADERS more in each round) are joined with
+   all its classes, unless both are known to be connected. Bounds by length, by position and by the halves of the suffixes
+   behind the shared shingle drop pairs, as does a bound on the Hamming distance of parity bitmaps; each pair is judged
+   once, on whole sets, and never comes again. Rounds end when all of a shingle's other classes are connected, so no
    link between components is lost, and a group of near copies costs a few pairs a member instead of all pairs.
 5. Components by large-star and small-star steps over the verified links, as DataFrame joins.
 
+Shingles are 64-bit hashes, sets have 64-bit signatures beside their size; texts are known by their MD5.
+
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing; a text of fewer than
 k words is one shingle; equal sets link; rows that repeat a doc_id are rows of their own with the same component if
 their texts link; a null doc_id takes part and is never a component's id unless all its members' ids are null;
-an empty table gives an empty result; other columns are ignored."""
+an empty table gives an empty result; other columns are ignored. `keep_one` keeps the row of the smallest doc_id of each
+component (null last, ties by the text's MD5), one row where several repeat both, and all rows that link with nothing."""
 
 from __future__ import annotations
 
@@ -39,10 +42,14 @@ FREQUENT_KEPT = 500_000
 #: Text bytes over which a task counts at once.
 COUNT_BYTES = 8 << 20
 
-#: Leaders of a shingle in each round; the last number holds for all further rounds.
+#: Documents of a frequent shingle that one task is to get about.
+HOT_ROWS = 256
+#: Leaders of a shingle in each round, at most; the last number holds for all further rounds.
 LEADERS = (1, 8, 4096)
 
 _SIG = np.uint64(0xD6E8FEB86659FD93)
+#: Stands for a null doc_id in joins.
+_NO_ID = -(1 << 63)
 
 
 def _signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +81,23 @@ def parity_bits(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return np.packbits(odd, bitorder="little"), at
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc (doc_id; the least long for null), digest (MD5 of the text), text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+
+
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), sig, bits (parity bitmap) for each document."""
+    """doc_id, digest (of the text), n (size of the set), sig, bits (parity bitmap) for each document."""
 
     def run(batches):
-        for batch, i, n, sig, values, bounds in _sets(batches, 1, k):
+        for batch, i, n, sig, values, bounds in _sets(batches, 2, k):
             bits, at = parity_bits(values, bounds)
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(bits.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64)), raw], names=["doc_id", "n", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, len(n)) for x in (0, 1)), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64)), raw], names=["doc", "digest", "n", "sig", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig long, bits binary")
+    made = _named(docs).mapInArrow(run, "doc long, digest binary, n long, sig long, bits binary")
+    return made.withColumn("doc_id", F.when(F.col("doc") != _NO_ID, F.col("doc"))).drop("doc")
 
 
 def _with_both(found: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -94,7 +108,7 @@ def _with_both(found: DataFrame, of: DataFrame, column: str) -> DataFrame:
 
 
 def possible(found: DataFrame, bitmaps: DataFrame, t: int) -> DataFrame:
-    """The pairs of found whose bitmaps leave the overlap possible (a suffix bound: a least Hamming distance of the sets)."""
+    """The pairs of found whose bitmaps leave the overlap possible (they give a least Hamming distance of the sets)."""
 
     def run(batches):
         for batch in batches:
@@ -110,8 +124,8 @@ def possible(found: DataFrame, bitmaps: DataFrame, t: int) -> DataFrame:
     return _with_both(found, bitmaps, "bits").mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
 
 
-def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """The most frequent shingles, rarest first."""
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, rarest first, and their counts."""
 
     def run(batches):
         held, size = [], 0
@@ -138,15 +152,15 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     counts = docs.select("text").mapInArrow(run, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
     top = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_KEPT).toPandas()
-    return top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    return top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy(), top["count"].to_numpy(np.int64)[::-1].copy()
 
 
 class Order:
     """Rare shingles first by hash, then the frequent ones by frequency."""
 
-    def __init__(self, shingles: np.ndarray):
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
         self.by_value = np.argsort(shingles)
-        self.values = shingles[self.by_value]
+        self.values, self.counts = shingles[self.by_value], counts
 
     def ranks(self, x: np.ndarray) -> np.ndarray:
         """0 for rare shingles, 1 + place for frequent ones."""
@@ -155,34 +169,44 @@ class Order:
         at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
         return np.where(self.values[at] == x, self.by_value[at] + 1, 0)
 
+    def tasks(self, rank: np.ndarray) -> np.ndarray:
+        """To how many tasks the postings of shingles of these ranks go."""
+        parts = np.concatenate(([1], 1 + self.counts // HOT_ROWS))
+        return parts[rank]
+
 
 def prefix_length(n: np.ndarray, t: int) -> np.ndarray:
     return n - -(-t * n // 100) + 1
 
 
-def postings(docs: DataFrame, shingles: np.ndarray, k: int, t: int) -> DataFrame:
-    """shingle, sig, n, pos, mid of the prefixes of all sets; mid is the number of the set's shingles below 2^63.
+def postings(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], k: int, t: int) -> DataFrame:
+    """shingle, part, sig, n, pos, low of the prefixes of all sets.
 
-    That number splits the set in two by value, for the suffix bound: two sets' intersection is at most the sum of the
-    smaller parts."""
-    told = docs.sparkSession.sparkContext.broadcast(shingles)
+    low is the number of the shingles behind pos, in the global order, that are below 2^63 by value: it splits the suffix in
+    two, and what two suffixes share is at most the sum of the smaller halves. part is 0 but for shingles of several tasks,
+    where it is their class's share, from 1."""
+    told = docs.sparkSession.sparkContext.broadcast(known)  # FREQUENT_KEPT at most
 
     def run(batches):
-        order = Order(told.value)
+        order = Order(*told.value)
         for _, _, n, sig, values, bounds in _sets(batches, 0, k):
             _, firsts = np.unique(sig, return_index=True)
             rank = order.ranks(values)
             owner = np.repeat(np.arange(len(n)), n)
-            low = np.bincount(owner[values < np.uint64(1 << 63)], minlength=len(n))
             place = np.lexsort((values, rank, owner))  # owner is ascending already, so places stay in their rows
+            small = np.concatenate(([0], np.cumsum(values[place] < np.uint64(1 << 63))))
+            low = small[bounds[1:]][owner] - small[1:]
             pos = np.arange(len(values)) - bounds[owner]
             once = np.zeros(len(n), bool)
             once[firsts] = True
             take = (pos < prefix_length(n, t)[owner]) & once[owner]
-            out = (values[place].view(np.int64), sig.view(np.int64)[owner], n[owner].astype(np.int32), pos.astype(np.int32), low[owner].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in out], names=["shingle", "sig", "n", "pos", "mid"])
+            place, owner = place[take], owner[take]
+            tasks = order.tasks(rank[place]).astype(np.uint64)
+            part = np.where(tasks > 1, c.mix(sig[owner]) % tasks + np.uint64(1), np.uint64(0))
+            out = (values[place].view(np.int64), part.astype(np.int32), sig.view(np.int64)[owner], n[owner].astype(np.int32), pos[take].astype(np.int32), low[take].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["shingle", "part", "sig", "n", "pos", "low"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, sig long, n int, pos int, mid int")
+    return docs.select("text").mapInArrow(run, "shingle long, part int, sig long, n int, pos int, low int")
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -195,8 +219,8 @@ def _starts(values: np.ndarray) -> np.ndarray:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Postings of shingles that two classes or more have, each class once."""
-    names = ["shingle", "sig", "n", "pos", "mid"]
+    """shingle, sig, n, pos, low: postings of shingles that two classes or more have (or that are dealt to several tasks), each class once."""
+    names = ["shingle", "sig", "n", "pos", "low"]
 
     def run(batches):
         last = None  # the last row of the batch before, and whether it has gone out
@@ -208,104 +232,51 @@ def shared(rows: DataFrame) -> DataFrame:
             if last is not None:
                 cols = [np.concatenate((x, y)) for x, y in zip(last, cols, strict=True)]
             new = np.ones(len(cols[0]), bool)
-            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:3]])
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:4]])
             cols = [x[new] for x in cols]
             heads = _starts(cols[0])
             count = np.diff(np.append(heads, len(cols[0])))
             several = count > 1
             several[0] |= gone
-            keep = np.repeat(several, count)
-            gone_now = bool(several[-1])
+            keep = np.repeat(several, count) | (cols[1] > 0)
+            gone_now = bool(keep[-1])
             if gone:
                 keep[0] = False
             last, gone = [x[-1:] for x in cols], gone_now
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=names)
-
-    parted = rows.repartition("shingle").sortWithinPartitions("shingle", "sig", "n")
-    return parted.mapInArrow(run, rows.schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for n, x in enumerate(cols) if n != 1], names=names)
 
+    parted = rows.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "sig", "n")
+    return parted.mapInArrow(run, "shingle long, sig long, n int, pos int, low int")
 
-def _fits(n, pos, mid, other, t: int):
-    """Whether pairs of rows can reach the overlap, by length, by the places of the shingle, and by halves of the sets."""
-    m, p, h = other
-    need = -(-t * (n.astype(np.int64) + m) // (100 + t))
-    ok = 100 * np.minimum(n, m).astype(np.int64) >= t * np.maximum(n, m).astype(np.int64)
-    ok &= np.minimum(n - pos, m - p) >= need
-    return ok & (np.minimum(mid, h) + np.minimum(n - mid, m - h) >= need)
 
+def leaders_of(rows: DataFrame, most: int, turn: int) -> DataFrame:
+    """shingle, lead (a class of it), left: `most` leaders at most of each shingle whose classes aren't all connected.
 
-def pairs(rows: DataFrame, done: int, leaders: int, t: int) -> DataFrame:
-    """Pairs (sig, n of either class, the smaller first) of leaders `done` to `done + leaders - 1` of each shingle with the classes after them.
+    left tells whether two classes or more remain that don't lead. The classes are dealt into `most` groups by hash, and the first of each
+    group by pos leads; both steps combine on the map side."""
+    group = F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(most)) if most > 1 else F.lit(0)
+    first = rows.groupBy("shingle", group.alias("group")).agg(F.min(F.struct("pos", "sig", "n", "low", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    if most == 1:
+        return first.where(F.col("lo") != F.col("hi")).select("shingle", "lead", (F.col("rows") > 2).alias("left"))
+    all_ = first.groupBy("shingle").agg(F.collect_list("lead").alias("leads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"))
+    all_ = all_.where(F.col("lo") != F.col("hi"))
+    return all_.select("shingle", F.explode("leads").alias("lead"), (F.col("rows") > F.size("leads") + 1).alias("left"))
 
-    rows: shingle, pos, sig, n, mid, comp; pairs within a component are left out. A row with a null second class names, in
-    sig_a, a shingle that has more leaders to come. Memory: a batch, and the leaders of the shingle that goes on."""
-    names = ["sig_a", "n_a", "sig_b", "n_b"]
 
-    def made(a, n_a, b, n_b):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n_a, pa.int32()), pa.array(b, pa.int64()), pa.array(n_b, pa.int32())], names=names)
+def pairs(rows: DataFrame, leads: DataFrame, t: int) -> DataFrame:
+    """sig_a, n_a, sig_b, n_b (the smaller first): leaders with classes of their shingles that can link with them.
 
-    def run(batches):
-        token, seen, lead, told = None, 0, None, False
-        for batch in batches:
-            cols = _columns(batch)
-            if not len(cols[0]):
-                continue
-            out, more = [], []
-            # rows that go on with the shingle of the batch before
-            m = int(np.argmax(cols[0] != token)) if (cols[0] != token).any() else len(cols[0])
-            m = 0 if token is None else m
-            if m:
-                _, pos, sig, n, mid, comp = (x[:m] for x in cols)
-                room = max(0, done + leaders - max(seen, done))
-                at = max(done - seen, 0)
-                if room and at < m:
-                    lead = [np.concatenate((x, y[at : at + room])) for x, y in zip(lead, (np.arange(seen, seen + m), pos, sig, n, mid, comp), strict=True)]
-                for nth, p, s, k, h, own in zip(*lead, strict=True):
-                    ok = (comp != own) & (np.arange(seen, seen + m) > nth) & _fits(n, pos, mid, (k, p, h), t)
-                    x = np.flatnonzero(ok)
-                    out.append((np.full(len(x), s), np.full(len(x), k), sig[x], n[x]))
-                seen += m
-                if not told and seen > done + leaders and len(lead[0]) and (comp != lead[5][0]).any():
-                    told = True
-                    more.append(token)
-            cols = [x[m:] for x in cols]
-            if len(cols[0]):
-                tokens, pos, sig, n, mid, comp = cols
-                heads = _starts(tokens)
-                count = np.diff(np.append(heads, len(tokens)))
-                head = np.repeat(heads, count)
-                place = np.arange(len(tokens)) - head
-                act = np.flatnonzero(place > done)
-                for k in range(done, done + leaders):
-                    act = act[place[act] > k]
-                    if not len(act):
-                        break
-                    lo = head[act] + k
-                    ok = (comp[act] != comp[lo]) & _fits(n[act], pos[act], mid[act], (n[lo], pos[lo], mid[lo]), t)
-                    x, y = lo[ok], act[ok]
-                    out.append((sig[x], n[x], sig[y], n[y]))
-                long_ = np.flatnonzero((place >= done) & np.repeat(count > done + leaders, count))
-                differ = long_[comp[long_] != comp[head[long_] + done]]
-                named = np.unique(tokens[differ])
-                more += named.tolist()
-                a = heads[-1]
-                token, seen, told = tokens[-1], int(count[-1]), bool(len(named) and named[-1] == tokens[-1])
-                lead = [x[a + done : a + done + leaders] for x in (place, pos, sig, n, mid, comp)]
-            if out:
-                a, n_a, b, n_b = (np.concatenate(x) for x in zip(*out, strict=True))
-                turn = (a > b) | ((a == b) & (n_a > n_b))
-                a, b = np.where(turn, b, a), np.where(turn, a, b)
-                n_a, n_b = np.where(turn, n_b, n_a), np.where(turn, n_a, n_b)
-                if len(a):
-                    key = c.mix(a.astype(np.uint64)) + b.astype(np.uint64)
-                    _, once = np.unique(key, return_index=True, sorted=False)
-                    yield made(a[once], n_a[once], b[once], n_b[once])
-            if more:
-                yield made(more, [0] * len(more), [None] * len(more), [None] * len(more))
-
-    parted = rows.select("shingle", "pos", "sig", "n", "mid", "comp").repartition("shingle").sortWithinPartitions("shingle", "pos", "sig")
-    return parted.mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
+    Pairs within a component are left out. The bounds are by length, and by the place of the shingle with the halves of what stands behind it:
+    at the first shingle that two sets share in the global order, they share no more than it and the smaller halves."""
+    n, m = F.col("n"), F.col("lead.n")
+    need = F.expr(f"({t}L * (n + lead.n) + {99 + t}L) div {100 + t}L")
+    halves = F.least("low", "lead.low") + F.least(n - F.col("pos") - 1 - F.col("low"), m - F.col("lead.pos") - 1 - F.col("lead.low"))
+    fits = (F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * t) & (halves + 1 >= need)
+    both = rows.join(leads.select("shingle", "lead"), (rows["shingle"] == leads["shingle"]) & (F.col("comp") != F.col("lead.comp")) & fits)
+    a, b = F.struct(F.col("sig"), n.alias("n")), F.struct(F.col("lead.sig").alias("sig"), m.alias("n"))
+    ordered = both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ordered.select(F.col("a.sig").alias("sig_a"), F.col("a.n").alias("n_a"), F.col("b.sig").alias("sig_b"), F.col("b.n").alias("n_b")).distinct()
 
 
 def _ends(found: DataFrame) -> DataFrame:
@@ -315,7 +286,7 @@ def _ends(found: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """sig, n, shingles (binary, 8 bytes each, sorted) of the documents in ids (doc_id, one of each class)."""
+    """sig, n, shingles (binary, 8 bytes each, sorted) of the documents in ids (doc, digest; one of each class)."""
 
     def run(batches):
         for _, _, n, sig, values, bounds in _sets(batches, 0, k):
@@ -323,7 +294,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, at, pa.py_buffer(values.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)), raw], names=["sig", "n", "shingles"])
 
-    wanted = c.join_checked(docs.select(F.col("doc_id").cast("long"), "text"), ids, ["doc_id"], "left_semi")
+    wanted = c.join_checked(_named(docs), ids, ["doc", "digest"], "left_semi")
     return wanted.select("text").mapInArrow(run, "sig long, n int, shingles binary").dropDuplicates(["sig", "n"])
 
 
@@ -367,54 +338,79 @@ def components(edges: DataFrame) -> DataFrame:
     return c.stage(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct(), "components")
 
 
-def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    c.small_batches(spark)
-    known = c.stage(classes(docs, k), "classes")
-    first = known.where(F.col("n") > 0).groupBy("sig", "n").agg(F.min("doc_id").alias("first_id"))
-    first = c.stage(first, "class-firsts")
+def _connected(docs: DataFrame, known: DataFrame, k: int, t: int) -> DataFrame | None:
+    """node, comp (sig and n of classes) of all classes that link with others; None if none do. known: the staged table of `classes`."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "digest")).alias("first")
+    firsts = c.stage(known.where(F.col("n") > 0).groupBy("sig", "n").agg(first).select("sig", "n", "first.doc", "first.digest"), "class-firsts")
     lists = c.stage(shared(postings(docs, frequent(docs, k), k, t)), "postings")
     key = F.struct(F.col("sig"), F.col("n").cast("long").alias("n"))
-    comps, done, leaders = None, 0, LEADERS[0]
+    comps, judged, turn = None, None, 0
     while True:
-        rows = lists.withColumn("comp", F.xxhash64(key))
+        most = LEADERS[min(turn, len(LEADERS) - 1)]
+        rows = lists.withColumn("comp", key)
         if comps is not None:
-            of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").cast("int").alias("n"), F.xxhash64("comp").alias("of"))
-            rows = c.join_checked(rows, of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp"))
-        found = c.stage(pairs(rows, done, leaders, t).distinct(), "pairs")
-        real = found.where(F.col("sig_b").isNotNull())
-        if not real.isEmpty():
-            bitmaps = known.join(_ends(real), ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
-            real = c.stage(possible(real, bitmaps, t), "possible-pairs")
-            ends = _ends(real)
-            ids = c.stage(first.join(ends, ["sig", "n"], "left_semi").where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")), "ends")
-            good = c.stage(verified(real, sets_of(docs, ids, k), t), "links")
-            a = F.struct(F.col("sig_a").alias("sig"), F.col("n_a").cast("long").alias("n"))
-            b = F.struct(F.col("sig_b").alias("sig"), F.col("n_b").cast("long").alias("n"))
-            edges = good.select(a.alias("a"), b.alias("b"))
-            if comps is not None:  # what is connected already stays so, as stars
-                edges = edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+            of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").cast("int").alias("n"), F.col("comp").alias("of"))
+            rows = c.join_checked(rows, of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp")).drop("of")
+            rows = c.stage(rows, "connected-postings")
+        leads = c.stage(leaders_of(rows, most, turn), "leaders")
+        if leads.isEmpty():
+            return comps
+        found = pairs(rows, leads, t)
+        if judged is not None:
+            found = found.join(judged, ["sig_a", "n_a", "sig_b", "n_b"], "left_anti")
+        found = c.stage(found, "pairs")
+        bitmaps = known.join(_ends(found), ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
+        real = c.stage(possible(found, bitmaps, t), "possible-pairs")
+        ids = c.stage(firsts.join(_ends(real), ["sig", "n"], "left_semi").select("doc", "digest"), "ends")
+        good = c.stage(verified(real, sets_of(docs, ids, k), t), "links")
+        a = F.struct(F.col("sig_a").alias("sig"), F.col("n_a").cast("long").alias("n"))
+        b = F.struct(F.col("sig_b").alias("sig"), F.col("n_b").cast("long").alias("n"))
+        edges = good.select(a.alias("a"), b.alias("b"))
+        if comps is not None:  # what is connected already stays so, as stars
+            edges = edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        if comps is not None or not good.isEmpty():
             comps = components(edges)
-        more = found.where(F.col("sig_b").isNull()).select(F.col("sig_a").alias("shingle")).distinct()
-        more = c.stage(more, "more")
-        if more.isEmpty():
-            break
-        lists = c.stage(c.join_checked(lists, more, ["shingle"], "left_semi"), "postings")
-        done, leaders = done + leaders, LEADERS[min(LEADERS.index(leaders) + 1, len(LEADERS) - 1)]
-    if comps is None:
-        out = known.join(first, ["sig", "n"], "left").withColumn("component_id", F.coalesce("first_id", "doc_id"))
-    else:
+        judged = found if judged is None else judged.unionByName(found)
+        more = leads.where("left")
+        kept = rows.drop("comp").join(more.select("shingle").distinct(), "shingle", "left_semi")
+        gone = more.select("shingle", "lead.sig", "lead.n")
+        lists = c.stage(kept.join(gone, ["shingle", "sig", "n"], "left_anti"), "postings")
+        turn += 1
+
+
+def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    c.small_batches(docs.sparkSession)
+    known = c.stage(classes(docs, k), "classes")
+    comps = _connected(docs, known, k, t)
+    ids = known.where(F.col("n") > 0).groupBy("sig", "n").agg(F.min("doc_id").alias("least"))
+    if comps is not None:
         of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").alias("n"), "comp")
-        joined = first.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", key))
-        least = joined.groupBy("comp").agg(F.min("first_id").alias("least"))
-        ids = c.stage(joined.join(least, "comp").select("sig", "n", "least"), "component-ids")
-        out = known.join(ids, ["sig", "n"], "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        joined = ids.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", F.struct("sig", "n")))
+        least = joined.groupBy("comp").agg(F.min("least").alias("of_all"))
+        ids = joined.join(least, "comp").select("sig", "n", F.col("of_all").alias("least"))
+    out = known.join(c.stage(ids, "component-ids"), ["sig", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFrame:
-    """The documents with all their columns, one of each component: that with the smallest doc_id."""
-    found = near_components(docs, k, t)
-    gone = c.stage(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return c.join_checked(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """The documents with all their columns: one row of each component, and all that link with nothing."""
+    c.small_batches(docs.sparkSession)
+    known = c.stage(classes(docs, k), "classes")
+    comps = _connected(docs, known, k, t)
+    rows = known.where(F.col("n") > 0).select("sig", "n", "digest", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"))
+    rows = rows.groupBy("sig", "n", "no_id", "doc", "digest").agg(F.count(F.lit(1)).alias("copies")).withColumn("comp", F.struct("sig", "n"))
+    if comps is not None:
+        of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").alias("n"), F.col("comp").alias("of"))
+        rows = rows.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp"))
+    rows = c.stage(rows.select("comp", "no_id", "doc", "digest", "copies"), "members")
+    first = rows.groupBy("comp").agg(F.min(F.struct("no_id", "doc", "digest")).alias("first"), F.sum("copies").alias("all")).where(F.col("all") > 1)
+    told = rows.join(first, "comp").withColumn("stays", F.struct("no_id", "doc", "digest") == F.col("first")).where(~F.col("stays") | (F.col("copies") > 1))
+    doc, digest, stays = "__near_doc", "__near_digest", "__near_stays"
+    acts = c.stage(told.select(F.col("doc").alias(doc), F.col("digest").alias(digest), F.col("stays").alias(stays)), "near-copies")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), digest: F.unhex(F.md5(text))})
+    joined = c.join_checked(named, acts, [doc, digest], "left")
+    alone = joined.where(F.col(stays).isNull()).select(*docs.columns)
+    # rows that repeat both doc_id and text, of which one is to stay
+    return alone.unionByName(joined.where(F.col(stays)).dropDuplicates([doc, digest]).select(*docs.columns))
