@@ -5,9 +5,11 @@ judged on the input. Whole copies of a text are settled by digest first; of the
 
 1. A shard is a chunk of documents. Of its suffixes, those at anchors are listed: the leftmost smallest hash of
    GRAM bytes in each window of WIDTH bytes, so equal windows have equal anchors at equal places. Each shard's sorted list is dealt
-   out by hash, and merged with the others by binary search: anchors of two documents or more are shared.
+   out by another hash of the same bytes, and merged with the others by binary search: anchors of two documents or more are shared.
+   This step only saves work: a window whose anchor one document has stands in no other document.
 2. Around shared anchors, the shard cuts out the text of the windows that the anchor governs. Equal cuttings within
    a shard are settled there; one text of each goes on with all its places in the smallest document, dealt out by the anchor's hash.
+   Hashes find equal cuttings, their bytes decide.
 3. Cuttings of one anchor that differ are joined to a text, whose suffix array is refined as by Larsson and Sadakane (ranks by
    8 bytes, doubled until they cover WIDTH). Common prefixes of neighbours (Kasai's array, all neighbours at once, 8 bytes a
    step) part it into intervals of equal strings; in each, all documents but the smallest lose the string, at every place.
@@ -32,13 +34,15 @@ from . import common as c
 
 WIDTH = 50
 GRAM = 28
-#: Text bytes of a shard, and anchors a bucket of the merge is to hold about.
+#: Text bytes of a shard, anchors a bucket of the merge is to hold about, and buckets at least.
 SHARD_BYTES = 1 << 20
-BUCKET_ANCHORS = 250_000
-#: Fixed value: in a cut, the number of further window starts that says "this only tells other shards of an anchor".
-_TOLD = 255
-#: Bits of a place in a shard; the rest of 64 are the anchor's hash.
-PLACE_BITS = 28
+BUCKET_ANCHORS = 200_000
+LEAST_BUCKETS = 64
+#: Bits of an anchor's hash that are listed: at 1 TB of text, three anchors in 10,000 look shared that are not.
+HASH_BITS = 48
+#: Bytes of a text in which anchors are looked for at once, and the bits of a place there; longer texts go piece by piece.
+PIECE_BYTES = 1 << 24
+_PLACE = np.uint64(24)
 
 _LAST = np.iinfo(np.int64).max
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -160,31 +164,40 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """hash, row, first and last window start, and place of each anchor; places count in data.
 
-    An anchor governs the windows from the first to the last start."""
-    w = width - gram + 1
-    if len(data) < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    An anchor governs the windows from the first to the last start. Which place is a window's anchor depends on the window's bytes alone."""
+    if not gram < width <= gram + 200:
+        raise ValueError(f"width must be from {gram + 1} to {gram + 200}")
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    found = [_anchors(data[i : i + PIECE_BYTES], row[i : i + PIECE_BYTES], i, width, gram) for i in range(0, max(len(data) - width + 1, 0), PIECE_BYTES - width + 1)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def _anchors(data: np.ndarray, row: np.ndarray, base: int, width: int, gram: int) -> tuple[np.ndarray, ...]:
     word = words8(data)
     n = len(data) - gram + 1
-    h = np.zeros(n, np.uint64)
+    h = np.zeros(max(n, 0), np.uint64)
     for i in sorted({*range(0, gram - 7, 8), gram - 8}):
         h = c.mix(h ^ word[i : n + i])
     del word
-    low = np.uint64(PLACE_BITS)
-    best = _sliding_min(((h >> low) << low) | np.arange(n, dtype=np.uint64), w)
-    del h
-    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
-    inside = row[: len(best)] == row[width - 1 : width - 1 + len(best)]
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(row[: len(data) - width + 1] == row[width - 1 :])
     if not len(at):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    b = best[at]
+    b = _sliding_min(((h >> _PLACE) << _PLACE) | np.arange(n, dtype=np.uint64), width - gram + 1)[at]
     new = np.ones(len(b), bool)
     new[1:] = (b[1:] != b[:-1]) | (row[at[1:]] != row[at[:-1]])
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(b)) - 1
-    place = (b[heads] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-    return (b[heads] >> low).astype(np.int64), row[at[heads]], at[heads], at[tails], place
+    place = (b[heads] & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
+    # minima crowd at the low end, so another hash of the same bytes is listed
+    name = (c.mix(h[place]) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    return name, row[at[heads]].astype(np.int64), at[heads] + base, at[tails] + base, place + base
+
+
+def _buckets(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending hashes, the buckets present and where each begins (and, last, where all end)."""
+    bucket = ((h >> (HASH_BITS - 32)) * buckets) >> 32
+    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return bucket[heads], np.append(heads, len(h))
 
 
 def _pack(*arrays: np.ndarray, raw: bytes = b"") -> bytes:
@@ -202,19 +215,28 @@ def _unpack(blob: bytes, *kinds: str) -> tuple:
     return (*out, body[at:])
 
 
-def _pack_cuts(h: np.ndarray, row: np.ndarray, cut: np.ndarray, doc: np.ndarray, key: np.ndarray, raw: bytes = b"") -> bytes:
-    """hash (ascending, as differences), document, cut of anchors; documents are numbers into a table of (doc, key)."""
+def _pack_rows(h: np.ndarray, row: np.ndarray, table: tuple[np.ndarray, ...], *more: np.ndarray, raw: bytes = b"") -> bytes:
+    """Ascending hashes (as differences) with their texts, which are numbers into a table of (doc, key_a, key_b), and more columns."""
     rows, at = np.unique(row, return_inverse=True)
-    table = _pack(doc[rows], key[rows])
-    return len(table).to_bytes(4, "little") + table + _pack(np.diff(h, prepend=0), at.astype("u4"), (cut >> 16).astype("i4"), ((cut >> 8) & 255).astype("u1"), (cut & 255).astype("u1"), raw=raw)
+    head = _pack(*(x[rows] for x in table))
+    return len(head).to_bytes(4, "little") + head + _pack(np.diff(h, prepend=0), at.astype("u4"), *more, raw=raw)
 
 
-def _unpack_cuts(blob: bytes) -> tuple:
-    """hash, doc, key, cut, raw."""
+def _unpack_rows(blob: bytes, *kinds: str) -> tuple:
+    """hash, doc, key_a, key_b, more columns, raw."""
     n = int.from_bytes(blob[:4], "little")
-    doc, key, _ = _unpack(blob[4 : 4 + n], "i8", "i8")
-    h, at, first, before, more, raw = _unpack(blob[4 + n :], "i8", "u4", "i4", "u1", "u1")
-    return np.cumsum(h), doc[at], key[at], (first.astype(np.int64) << 16) | (before.astype(np.int64) << 8) | more, raw
+    doc, key_a, key_b, _ = _unpack(blob[4 : 4 + n], "i8", "i8", "i8")
+    h, at, *more = _unpack(blob[4 + n :], "i8", "u4", *kinds)
+    return np.cumsum(h), doc[at], key_a[at], key_b[at], *more
+
+
+_CUT = ("i4", "u1", "u1")
+
+
+def _unpack_cuts(blob: bytes) -> tuple:
+    """hash, doc, key_a, key_b, first window start in the text, places from there to the anchor and to the last start, raw."""
+    *cols, first, before, more, raw = _unpack_rows(blob, *_CUT)
+    return *cols, first.astype(np.int64), before.astype(np.int64), more.astype(np.int64), raw
 
 
 def _cutting_hashes(text: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.ndarray, before: np.ndarray, limit: int = 1 << 19) -> np.ndarray:
@@ -228,11 +250,33 @@ def _cutting_hashes(text: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.nd
     return out ^ c.mix(h.astype(np.uint64) ^ c.mix(before.astype(np.uint64)))
 
 
+def _same_texts(text: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for cuttings of equal bytes, anchor and place of it, and for no others: hashes, checked by bytes."""
+    same, salt = _cutting_hashes(text, at, size, h, before), 0
+    while True:
+        order = np.argsort(same, kind="stable")
+        a, b = order[:-1], order[1:]
+        hit = same[a] == same[b]
+        a, b = a[hit], b[hit]
+        wrong = ~((h[a] == h[b]) & (before[a] == before[b]) & c.equal_spans(text, at[a], text, at[b], size[a], size[b]))
+        if not wrong.any():
+            return same
+        salt += 1
+        for i in np.flatnonzero(np.isin(same, same[b[wrong]])):
+            told = b"%d %d " % (h[i], before[i]) + text[at[i] : at[i] + size[i]].tobytes()
+            same[i] = int.from_bytes(hashlib.blake2b(told, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+
+
+def _keys(text) -> tuple:
+    """key_a, key_b: 120 bits of a text's SHA-256."""
+    sha = F.sha2(text, 256)
+    return tuple(F.conv(F.substring(sha, i, 15), 16, 10).cast("long").alias(name) for name, i in (("key_a", 1), ("key_b", 16)))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc (never null), key (of the text), text."""
+    """doc (never null), key_a, key_b (of the text), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sha = F.sha2(text, 256)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.conv(F.substring(sha, 1, 15), 16, 10).cast("long").alias("key"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), *_keys(text), text.alias("text"))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int):
@@ -255,41 +299,41 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int):
         yield whole()
 
 
+def _table(table: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(table.column(n).to_numpy() for n in ("doc", "key_a", "key_b"))
+
+
 def _list_anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """bucket, settled, blob: anchors that one document of a shard has, and (settled) those shared within the shard."""
+    """bucket, settled, blob: anchors that one document of a shard has, and (settled) those shared within the shard.
+
+    rows: doc, key_a, key_b, text."""
 
     def run(batches):
-        for table, data, off in _chunks(batches, 2, SHARD_BYTES):
-            doc, key = table.column("doc").to_numpy(), table.column("key").to_numpy()
-            h, row, lo, hi, place = anchors(data, off, width)
+        for table, data, off in _chunks(batches, 3, SHARD_BYTES):
+            names = _table(table)
+            doc = names[0]
+            h, row = anchors(data, off, width)[:2]
             if not len(h):
                 continue
-            cut = _cut(lo - off[row], place - lo, hi - lo)
-            order = np.argsort(h, kind="stable")
-            h, row, cut = h[order], row[order], cut[order]
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+            h, row = h[once], row[once]
             heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            count = np.diff(np.append(heads, len(h)))
-            group = np.repeat(np.arange(len(heads)), count)
+            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
             several = np.zeros(len(heads), bool)
             several[group[1:][(h[1:] == h[:-1]) & (doc[row[1:]] != doc[row[:-1]])]] = True
             own = several[group]
             send = ~own
             send[heads] = True  # of shared ones, one tells the other shards
-            told = own[send]
-            hs, rs, cs = h[send], row[send], np.where(told, _TOLD, cut[send])
-            # sorted by hash; buckets are ranges of the hash
-            bucket = (hs * buckets) >> (64 - PLACE_BITS)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            out_b, out = [], []
-            for b in range(buckets):
-                i, j = edges[b], edges[b + 1]
-                if i < j:
-                    out_b.append((b, False))
-                    out.append(_pack_cuts(hs[i:j], rs[i:j], cs[i:j], doc, key))
+            hs, rs, told = h[send], row[send], own[send].astype("u1")
+            present, edges = _buckets(hs, buckets)
+            where = [(int(b), False) for b in present]
+            out = [_pack_rows(hs[i:j], rs[i:j], names, told[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
             if own.any():  # any bucket will do for these
-                out_b.append((int(h[0]) % buckets, True))
-                out.append(_pack_cuts(h[own], row[own], cut[own], doc, key))
-            yield _blobs(out_b, out)
+                where.append((int(h[0]) % buckets, True))
+                out.append(_pack_rows(h[own], row[own], names))
+            yield _blobs(where, out)
 
     return rows.mapInArrow(run, _BLOBS)
 
@@ -301,23 +345,18 @@ def _blobs(where: list[tuple[int, bool]], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in where], pa.int32()), pa.array([k for _, k in where], pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "settled", "blob"])
 
 
-def _cut(first: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """First window start in the document, places from there to the anchor and to the last start, in one number."""
-    return (first << 16) | (before << 8) | more
-
-
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc, key, cut, hash) of a bucket's anchors that two documents or more have."""
-    parts = [_unpack_cuts(x) for x in pdf["blob"][~pdf["settled"]]]
+    """(key_a, key_b, hash) of a bucket's anchors that two documents or more have."""
+    parts = [_unpack_rows(x, "u1") for x in pdf["blob"][~pdf["settled"]]]
     merged = np.sort(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]))
-    out = [(doc, key, cut, h) for h, doc, key, cut, _ in map(_unpack_cuts, pdf["blob"][pdf["settled"]])]
-    for h, doc, key, cut, _ in parts:
+    out = [(key_a, key_b, h) for h, _, key_a, key_b, _ in map(_unpack_rows, pdf["blob"][pdf["settled"]])]
+    for h, _, key_a, key_b, told, _ in parts:
         n = np.searchsorted(merged, h, "right") - np.searchsorted(merged, h, "left")
-        ok = (n > 1) & (cut & 255 != _TOLD)
+        ok = (n > 1) & (told == 0)
         if ok.any():
-            out.append((doc[ok], key[ok], cut[ok], h[ok]))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-    return pd.DataFrame(dict(zip(("doc", "key", "cut", "hash"), cols, strict=True)))
+            out.append((key_a[ok], key_b[ok], h[ok]))
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pd.DataFrame(dict(zip(("key_a", "key_b", "hash"), cols, strict=True)))
 
 
 def _equal(same: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,68 +369,71 @@ def _equal(same: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _cuttings(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """bucket, settled, blob: cuttings around shared anchors, and (settled) ranges (key, start, stop) already found.
+    """bucket, settled, blob: cuttings around shared anchors, and (settled) ranges (key_a, key_b, start, stop) already found.
 
-    rows: doc, key, text, cuts (array of cut), hashes (array)."""
+    rows: doc, key_a, key_b, text, hashes (array)."""
 
     def run(batches):
-        for table, data, off in _chunks(batches, 2, SHARD_BYTES):
-            doc, key = table.column("doc").to_numpy(), table.column("key").to_numpy()
-            lists, hashes = table.column("cuts").combine_chunks(), table.column("hashes").combine_chunks()
-            cut, h = lists.flatten().to_numpy(), hashes.flatten().to_numpy()
-            row = np.repeat(np.arange(table.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-            first, before, more = cut >> 16, (cut >> 8) & 255, cut & 255
-            lo = off[row] + first
-            size = more + width
+        for table, data, off in _chunks(batches, 3, SHARD_BYTES):
+            names = _table(table)
+            doc, key_a, key_b = names
+            lists = table.column("hashes").combine_chunks()
+            owner = np.repeat(np.arange(table.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            pair = lambda h, row: c.mix(h.astype(np.uint64) ^ c.mix(row.astype(np.uint64) + np.uint64(1)))
+            wanted = np.sort(pair(lists.flatten().to_numpy(), owner))
+            h, row, lo, hi, place = anchors(data, off, width)
+            if not len(h) or not len(wanted):
+                continue
+            mine = pair(h, row)
+            take = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+            h, row, lo, before, more = h[take], row[take], lo[take], (place - lo)[take], (hi - lo)[take]
+            first, size = lo - off[row], more + width
             by = np.argsort(lo, kind="stable")
             same = np.empty(len(lo), np.uint64)
-            same[by] = _cutting_hashes(data, lo[by], size[by], h[by], before[by])
+            same[by] = _same_texts(data, lo[by], size[by], h[by], before[by])
             order, heads, least = _equal(same, doc[row])
             settled = order[~least]
             # another shard may have a smaller document: all places in the smallest go on, the text with the first of them
             send, copy = order[least], ~heads[least]
-            bucket = (h[send] * buckets) >> (64 - PLACE_BITS)
             by = np.argsort(h[send], kind="stable")
-            send, copy, bucket = send[by], copy[by], bucket[by]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            raw = data.tobytes()
-            out_b, out = [], []
-            for b in range(buckets):
-                part, again = send[edges[b] : edges[b + 1]], copy[edges[b] : edges[b + 1]]
-                if len(part):
-                    one = part[~again]
-                    text = b"".join([raw[x:y] for x, y in zip(lo[one].tolist(), (lo[one] + size[one]).tolist(), strict=True)])
-                    out_b.append((b, False))
-                    out.append(_pack_cuts(h[part], row[part], cut[part], doc, key, raw=np.packbits(again).tobytes() + text))
+            send, copy = send[by], copy[by]
+            present, edges = _buckets(h[send], buckets)
+            raw, where, out = data.tobytes(), [(int(b), False) for b in present], []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                part, again = send[i:j], copy[i:j]
+                one = part[~again]
+                text = b"".join([raw[x:y] for x, y in zip(lo[one].tolist(), (lo[one] + size[one]).tolist(), strict=True)])
+                cut = (first[part].astype("i4"), before[part].astype("u1"), more[part].astype("u1"))
+                out.append(_pack_rows(h[part], row[part], names, *cut, raw=np.packbits(again).tobytes() + text))
             if len(settled):  # any bucket will do for these
                 settled = settled[np.lexsort((first[settled], row[settled]))]
-                out_b.append((int(h[0]) % buckets, True))
-                out.append(_pack(key[row[settled]], first[settled], first[settled] + size[settled]))
-            yield _blobs(out_b, out)
+                where.append((int(h[0]) % buckets, True))
+                out.append(_pack(key_a[row[settled]], key_b[row[settled]], first[settled], first[settled] + size[settled]))
+            yield _blobs(where, out)
 
     return rows.mapInArrow(run, _BLOBS)
 
 
 def _settle(width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """key, start, stop of the ranges that cuttings of smaller documents cover."""
-        found = [_unpack(x, "i8", "i8", "i8")[:3] for x in pdf["blob"][pdf["settled"]]]
+        """key_a, key_b, start, stop of the ranges that cuttings of smaller documents cover."""
+        found = [_unpack(x, "i8", "i8", "i8", "i8")[:4] for x in pdf["blob"][pdf["settled"]]]
         parts = [_unpack_cuts(x) for x in pdf["blob"][~pdf["settled"]]]
         if not parts:
             return _ranges(found)
-        h, doc, key, cut = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        h, doc, key_a, key_b, first, before, more = (np.concatenate([p[i] for p in parts]) for i in range(7))
         marks = [(len(p[0]) + 7) // 8 for p in parts]  # bytes that tell which places have the text of the one before
-        own = ~np.concatenate([np.unpackbits(np.frombuffer(p[4], np.uint8, n), count=len(p[0])).astype(bool) for p, n in zip(parts, marks, strict=True)])
-        text = np.frombuffer(b"".join([p[4][n:] for p, n in zip(parts, marks, strict=True)]), np.uint8)
-        first, before, more = cut >> 16, (cut >> 8) & 255, cut & 255
+        own = ~np.concatenate([np.unpackbits(np.frombuffer(p[7], np.uint8, n), count=len(p[0])).astype(bool) for p, n in zip(parts, marks, strict=True)])
+        text = np.frombuffer(b"".join([p[7][n:] for p, n in zip(parts, marks, strict=True)]), np.uint8)
+        del parts
         size = more + width
         text_of = np.cumsum(own) - 1
         at = np.cumsum(size[own]) - size[own]
-        same = _cutting_hashes(text, at, size[own], h[own], before[own])[text_of]
+        same = _same_texts(text, at, size[own], h[own], before[own])[text_of]
         at = at[text_of]
         order, heads, least = _equal(same, doc)
         gone = order[~least]
-        found.append((key[gone], first[gone], first[gone] + size[gone]))
+        found.append((key_a[gone], key_b[gone], first[gone], first[gone] + size[gone]))
         # cuttings that differ but have an anchor in common: one of each to the suffix array
         one = order[heads]
         by = np.argsort(h[one], kind="stable")
@@ -407,28 +449,28 @@ def _settle(width: int):
                 a, b = edge[several[owner]], edge[several[owner] + 1]
                 hit = np.repeat(np.arange(len(owner)), b - a)
                 to = places[np.arange(len(hit)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)]
-                found.append((key[to], first[to] + begin[hit], first[to] + end[hit]))
+                found.append((key_a[to], key_b[to], first[to] + begin[hit], first[to] + end[hit]))
         return _ranges(found)
 
     return run
 
 
 def _ranges(found: list[tuple]) -> pd.DataFrame:
-    """key, start, stop; ranges of a text that meet or overlap become one."""
-    key, start, stop = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
-    order = np.lexsort((start, key))
-    key, start, stop = key[order], start[order], stop[order]
-    if len(key):
-        # the running maximum of the stops within a key
-        new = np.concatenate(([True], key[1:] != key[:-1]))
+    """key_a, key_b, start, stop; ranges of a text that meet or overlap become one."""
+    key_a, key_b, start, stop = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+    order = np.lexsort((start, key_b, key_a))
+    key_a, key_b, start, stop = key_a[order], key_b[order], start[order], stop[order]
+    if len(start):
+        # the running maximum of the stops within a text
+        new = np.concatenate(([True], (key_a[1:] != key_a[:-1]) | (key_b[1:] != key_b[:-1])))
         group = np.cumsum(new) - 1
         span = int(stop.max()) + 1
         top = np.maximum.accumulate(stop + group * span) - group * span
         new[1:] |= start[1:] > top[:-1]
         heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(key)) - 1
-        key, start, stop = key[heads], start[heads], top[tails]
-    return pd.DataFrame({"key": key, "start": start, "stop": stop})
+        tails = np.append(heads[1:], len(start)) - 1
+        key_a, key_b, start, stop = key_a[heads], key_b[heads], start[heads], top[tails]
+    return pd.DataFrame({"key_a": key_a, "key_b": key_b, "start": start, "stop": stop})
 
 
 #: Cuttings whose texts make one suffix array.
@@ -470,56 +512,58 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+_KEY = ["key_a", "key_b"]
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """key (of the text), start, stop: ranges, maybe overlapping, that repeat strings of smaller documents.
+    """key_a, key_b (of the text), start, stop: ranges, maybe overlapping, that repeat strings of smaller documents.
 
-    docs: doc, key, text, one row of each key (or rows that are equal)."""
+    docs: doc, key_a, key_b, text, one row of each text (or rows that are equal)."""
     spark = docs.sparkSession
     c.small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, int(total * 2 / (width - GRAM + 2) / BUCKET_ANCHORS) + 1)
+    buckets = max(LEAST_BUCKETS, int(total * 2 / (width - GRAM + 2) / BUCKET_ANCHORS) + 1)
     listed = _list_anchors(docs, buckets, width)
-    anchors_ = listed.groupBy("bucket").applyInPandas(_merge, "doc long, key long, cut long, hash long")
-    shared = c.stage(anchors_.groupBy("key").agg(F.collect_list("cut").alias("cuts"), F.collect_list("hash").alias("hashes")), "shared-anchors")
-    wanted = c.join_checked(docs, shared.select("key"), ["key"], "left_semi")
-    joined = wanted.join(shared, "key").select("doc", "key", "text", "cuts", "hashes")
+    anchors_ = listed.groupBy("bucket").applyInPandas(_merge, "key_a long, key_b long, hash long")
+    shared = c.stage(anchors_.groupBy(*_KEY).agg(F.collect_list("hash").alias("hashes")), "shared-anchors")
+    joined = c.join_checked(docs, shared.select(*_KEY), _KEY, "left_semi").join(shared, _KEY).select("doc", *_KEY, "text", "hashes")
     cut = _cuttings(joined, buckets, width)
-    return cut.groupBy("bucket").applyInPandas(_settle(width), "key long, start long, stop long")
+    return cut.groupBy("bucket").applyInPandas(_settle(width), "key_a long, key_b long, start long, stop long")
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, spans, removed, sha of what is left, from key, text, ranges."""
+    """key_a, key_b, removed, spans, sha of what is left, from key_a, key_b, text, ranges."""
     for batch in batches:
-        rows = []
-        for key, text, ranges in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            raw, left, at, spans = text.encode(), hashlib.sha256(), 0, merge_ranges([(r["start"], r["stop"]) for r in ranges])
-            for a, b in spans:
+        removed, spans, left_sha = [], [], []
+        for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            raw, left, at, gone = text.encode(), hashlib.sha256(), 0, merge_ranges([(r["start"], r["stop"]) for r in ranges])
+            for a, b in gone:
                 left.update(raw[at:a])
                 at = b
             left.update(raw[at:])
-            rows.append((key, sum(b - a for a, b in spans), len(spans), left.hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["key", "removed", "spans", "sha"])
+            removed.append(sum(b - a for a, b in gone))
+            spans.append(len(gone))
+            left_sha.append(left.hexdigest())
+        cols = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left_sha, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*_KEY, "removed", "spans", "left_sha"])
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
-    base = c.stage(base, "texts")
+    base = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), *_keys(text))
+    base = c.stage(base.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))), "texts")
     several = base.groupBy("sha").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     several = c.stage(several.select("sha", "first"), "copies")
     known = c.join_checked(base, several, ["sha"], "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
-    copies = c.stage(known.where("copy").select("doc", "key").distinct(), "copy-ids")
-    unique = c.join_checked(_marked(docs).where(F.octet_length("text") >= width), copies, ["doc", "key"], "left_anti").select("doc", "key", "text")
-    ranges = repeated_spans(unique, width).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    copies = c.stage(known.where("copy").select("doc", *_KEY).distinct(), "copy-ids")
+    unique = c.join_checked(_marked(docs).where(F.octet_length("text") >= width), copies, ["doc", *_KEY], "left_anti").select("doc", *_KEY, "text")
+    ranges = repeated_spans(unique, width).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     ranges = c.stage(ranges, "ranges")
-    touched = c.join_checked(unique, ranges.select("key"), ["key"], "left_semi").dropDuplicates(["key"])
-    cut = touched.join(ranges, "key").select("key", "text", "ranges").mapInArrow(_left, "key long, removed long, spans long, sha string")
-    cut = cut.withColumnRenamed("sha", "left_sha")
+    touched = c.join_checked(unique, ranges.select(*_KEY), _KEY, "left_semi").dropDuplicates(_KEY)
+    cut = touched.join(ranges, _KEY).select(*_KEY, "text", "ranges").mapInArrow(_left, "key_a long, key_b long, removed long, spans long, left_sha string")
     whole = F.col("copy") & (F.col("n_bytes") >= width)
-    return known.join(cut, "key", "left").select(
+    return known.join(cut, _KEY, "left").select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).when(F.col("copy"), F.lit(0)).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).when(F.col("copy"), F.lit(0)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
