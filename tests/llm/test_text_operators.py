@@ -127,6 +127,38 @@ def test_ngram_components(spark, seed):
     assert got == sorted(brute_components(rows), key=key)
 
 
+def test_ngram_links_of_null_and_repeated_ids(spark):
+    other = " ".join(f"q{i}" for i in range(60))
+    rows = [(5, BASE * 3), (None, BASE * 3 + " and more"), (7, BASE * 3 + " and more still yet"), (None, other), (9, other + " x"), (9, BASE * 3 + " and"), (9, "words that are like nothing else here at all"), (None, None)]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    got = sorted((tuple(r) for r in ngram_join.near_components(frame(spark, rows)).collect()), key=key)
+    assert got == sorted(brute_components(rows), key=key)
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in ngram_join.keep_one(frame(spark, rows[:-1])).collect())
+    assert kept == [(5, BASE * 3), (9, other + " x"), (9, "words that are like nothing else here at all")]
+
+
+def test_ngram_keep_one_of_repeated_rows(spark):
+    rows = [(1, BASE), (1, BASE), (1, "\t" + BASE), (2, None), (2, None), (3, ""), (4, "a b"), (4, "a b")]
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    assert [i for i, _ in kept] == [1, 2, 2, 3, 4] and ngram_join.keep_one(frame(spark, [])).count() == 0
+
+
+def test_ngram_hot_shingles_and_many_rounds(spark, monkeypatch):
+    """Shingles dealt to several tasks, and more rounds than one, give the same links."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "LEADERS", (1, 2))
+    rng = np.random.default_rng(7)
+    base = [f"v{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.integers(0, 9)):
+            w[rng.integers(len(w))] = f"x{rng.integers(30)}"
+        rows.append((int(rng.permutation(500)[0]) * 200 + i, " ".join(w)))
+    got = sorted(tuple(r) for r in ngram_join.near_components(frame(spark, rows)).collect())
+    assert got == sorted(brute_components(rows))
+
+
 def test_ngram_empty_and_keep_one(spark):
     assert ngram_join.near_components(frame(spark, [])).count() == 0
     rows = [(1, BASE), (2, BASE + " more"), (3, "other words that have nothing in common with it"), (4, None)]
@@ -183,6 +215,20 @@ def test_repeats_at_several_places_of_a_document(spark, monkeypatch, shard):
     assert got == sorted(brute_repeats(rows, 50), key=key)
 
 
+def test_repeats_of_long_texts_in_pieces(spark, monkeypatch):
+    """Texts longer than a piece, rows of null and repeated ids that are near copies of one another."""
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 300)
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefghij \n"), n))
+    long_ = text(2500)
+    rows = [(3, long_), (None, long_[:1200] + "!" + long_[1201:]), (None, text(40) + long_[700:1500]), (8, text(30) + long_[250:420] + text(30)), (8, long_[900:1000] + text(99)), (2, text(10) + long_[295:360])]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()), key=key)
+    assert got == sorted(brute_repeats(rows, 50), key=key)
+    with pytest.raises(ValueError):
+        suffix_dedup.anchors(np.zeros(9, np.uint8), np.array([0, 9]), width=300)
+
+
 def kasai(text, order):
     """The plain loop: common prefixes in text order, each at least the one before less one."""
     n, h = len(text), 0
@@ -211,6 +257,46 @@ def test_suffix_array(letters):
         assert suffix_dedup.common_prefixes(text, order, n + 8).tolist() == kasai(raw, order)
 
 
+def thue_morse(n):
+    """n letters a and b that polynomial hashes modulo 2^64 map to the value of their complement."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def swapped(text):
+    return text.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_texts_do_not_collide(spark):
+    rows = []
+    for n in (64, 512, 1024, 2048, 4096):
+        x, y = thue_morse(n), swapped(thue_morse(n))
+        data = np.frombuffer((x + y + x).encode(), np.uint8)
+        at, size = np.array([0, n, 2 * n]), np.full(3, n)
+        h = common.span_hashes(data, at, at + n)
+        assert h[0] == h[2] != h[1]
+        assert common.equal_spans(data, at, data, at[[0, 0, 0]], size, size).tolist() == [True, False, True]
+        texts = [f"{x}\n{y}\n{x}", x, y, " ".join([x, y, "c"] * 2 + [y, x, "c"]), f"{x} one two three four five six", f"{y} one two three four five six"]
+        rows += [(n + i, t) for i, t in enumerate(texts)]
+    got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.score_documents(frame(spark, rows)).collect())
+    assert got == [(i, *base_counts(t)) for i, t in rows]
+    assert {r.doc_id: r.component_id for r in ngram_join.near_components(frame(spark, rows)).collect()} == {i: c for i, _, c in brute_components(rows)}
+
+
+def test_colliding_hashes_are_told_apart_by_bytes(monkeypatch):
+    """With a hash that maps all spans to one value, results stay."""
+    texts = ["x y x\nline\nother\nline", "a b c a b c", "a b c d", "line\nline"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    monkeypatch.setattr(common, "span_hashes", lambda d, s, e: np.zeros(len(s), np.uint64))
+    t = quality.Texts(data, off)
+    assert [(int(d), int(r)) for d, r in zip(t.lines[1], t.n_repeat_words, strict=True)] == [base_counts(x)[3:] for x in texts]
+    assert t.rows(np.array([True, False, True, True])).n_words.tolist() == [6, 4, 2]
+    at, size = np.array([0, 2, 6, 11]), np.array([1, 1, 4, 4])
+    same = suffix_dedup._same_texts(data, at, size, np.ones(4, np.int64), np.zeros(4, np.int64))
+    told = [bytes(data[a : a + n]) for a, n in zip(at, size, strict=True)]
+    assert [[a == b for b in same] for a in same.tolist()] == [[a == b for b in told] for a in told]
+
+
 def test_hashes_of_spans():
     data = np.frombuffer(b"abc abd abc  ab", np.uint8)
     s, e, n = common.word_spans(data, np.array([0, 3, 3, 15]))
