@@ -7,8 +7,11 @@ record by Content-Length and verifies the SHA-1 digests of block and payload.
 
 Defined cases: null html is an empty payload; null url gives urn:page:<page_id>; a null page_id is written as
 record `null` and read back as null (it is never the response that others refer to, unless no other is);
-repeated page_ids are records each; an empty table gives no archive and an empty result; other columns are ignored.
-A record that is cut short, framed wrongly or fails its digest raises ValueError."""
+repeated page_ids are records each, and of those that repeat both the largest page_id and the payload one is the response;
+an empty table gives no archive and an empty result; other columns are ignored. Records of other writers are read too: of any
+type, with any record id (page_id is null then), with or without digests. A record that is cut short, framed wrongly or
+fails a SHA-1 digest raises ValueError. An archive is one value in a task, so it may have 2 GB at most; those written here
+have about ARCHIVE_BYTES and one record more."""
 
 from __future__ import annotations
 
@@ -43,9 +46,14 @@ def _id(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def _page(value: str) -> int | None:
-    text = value.removeprefix("<urn:page:").removesuffix(">")
-    return None if text == "null" else int(text)
+def _page(value: str | None) -> int | None:
+    """The page's number in a record id that `_id` made; None for others."""
+    text = (value or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(text) if text.removeprefix("-").isdigit() else None
+
+
+def _bare(digest: str | None) -> str | None:
+    return digest.removeprefix("sha1:") if digest and digest.startswith("sha1:") else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -96,12 +104,15 @@ def read_records(pieces: Iterable[bytes]) -> Iterator[dict]:
         block = content[end + 4 : end + 4 + size]
         if size < 0 or len(block) != size or content[end + 4 + size :] != b"\r\n\r\n":
             raise ValueError("Content-Length does not frame the record")
-        if (want := head.get("warc-block-digest")) and want != f"sha1:{sha1_base32(block)}":
+        if (want := _bare(head.get("warc-block-digest"))) and want != sha1_base32(block):
             raise ValueError("the block's digest differs")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        if head.get("warc-type") == "response" and head.get("warc-payload-digest") != f"sha1:{sha1_base32(payload)}":
+        http, payload = {}, block
+        if head.get("content-type", "").startswith("application/http") and b"\r\n\r\n" in block:
+            top, _, payload = block.partition(b"\r\n\r\n")
+            http = _headers(top.partition(b"\r\n")[2])
+        if head.get("warc-type") != "revisit" and (want := _bare(head.get("warc-payload-digest"))) and want != sha1_base32(payload):
             raise ValueError("the payload's digest differs")
-        yield {"head": head, "http": _headers(http.partition(b"\r\n")[2]), "payload": payload}
+        yield {"head": head, "http": http, "payload": payload}
 
 
 def write_pages(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least: int = REVISIT_BYTES) -> None:
@@ -109,16 +120,25 @@ def write_pages(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES,
 
     Of records with equal payloads of `least` bytes or more, that with the largest page_id is the response and
     the others revisit it. Groups are found by digest: (digest, page_id) is shuffled with map-side combining;
-    only digests of two or more pages are joined back."""
+    only digests of two or more pages are joined back. Rows are told apart by what they hold, not by a place in a scan; rows
+    that repeat a group's largest page_id are written to a table with numbers, and the first of them is the response."""
     c.small_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("rid", F.monotonically_increasing_id())
-    keyed = c.stage(base.where(F.octet_length("html") >= least).select("digest", "page_id", "rid"), "payload-digests")
-    same = keyed.groupBy("digest").agg(F.max(F.struct("page_id", "rid")).alias("top"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    same = c.stage(same.select("digest", F.col("top.page_id").alias("top_id"), F.col("top.rid").alias("top_rid")), "equal-payloads")
-    joined = c.join_checked(base, same, ["digest"], "left").select(
-        "page_id", "url", "html", F.when(F.col("top_rid") != F.col("rid"), F.col("top_id")).alias("refers_to"), F.coalesce(F.col("top_rid") != F.col("rid"), F.lit(False)).alias("revisit")
-    )
+    base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    keyed = c.stage(base.where(F.octet_length("html") >= least).select("digest", "page_id"), "payload-digests")
+    ids = keyed.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    same = ids.groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n")).where(F.col("n") > 1)
+    same = c.stage(same.select("digest", F.col("top.page_id").alias("top_id"), F.col("top.n").alias("n_top")), "equal-payloads")
+    joined = c.join_checked(base, same, ["digest"], "left")
+    is_top = F.col("page_id").eqNullSafe(F.col("top_id"))
+    tied = F.coalesce(is_top & (F.col("n_top") > 1), F.lit(False))
+    plain = joined.where(~tied).withColumn("revisit", F.col("n_top").isNotNull() & ~is_top)
+    if not same.where("n_top > 1").isEmpty():
+        several = c.stage(joined.where(tied).withColumn("rid", F.monotonically_increasing_id()), "repeated-responses")
+        firsts = c.stage(several.groupBy("digest").agg(F.min("rid").alias("first_rid")), "first-responses")
+        several = c.join_checked(several, firsts, ["digest"], "inner").withColumn("revisit", F.col("rid") != F.col("first_rid"))
+        plain = plain.unionByName(several.select(*plain.columns))
+    joined = plain.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("top_id")).alias("refers_to"), "revisit")
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -138,32 +158,41 @@ def write_pages(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES,
     sink.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record under path."""
+_READ = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+
+def _row(r: dict) -> dict:
+    head, revisit, payload = r["head"], r["head"].get("warc-type") == "revisit", r["payload"]
+    told = r["http"].get("content-length", "")
+    size = int(told) if told.isdigit() and (revisit or "content-encoding" not in r["http"]) else len(payload)
+    if not revisit and told.isdigit() and size != len(payload) and "transfer-encoding" not in r["http"]:
+        raise ValueError("Content-Length of the response differs from its payload")
+    return {
+        "page_id": _page(head.get("warc-record-id")), "record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "payload_bytes": size,
+        "payload_digest": _bare(head.get("warc-payload-digest")) or (None if revisit else sha1_base32(payload)),
+        "record_type": head.get("warc-type"), "refers_to": _page(head.get("warc-refers-to")) if revisit else None, "payload": None if revisit else payload,
+    }
+
+
+def read_archives(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
+    """page_id, record_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record under path."""
     c.small_batches(spark)
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    schema = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 view, rows, held = memoryview(content.as_buffer()), [], 0
                 for r in read_records(bytes(view[i : i + READ_BYTES]) for i in range(0, len(view), READ_BYTES)):
-                    head, revisit = r["head"], r["head"]["warc-type"] == "revisit"
-                    rows.append({
-                        "page_id": _page(head["warc-record-id"]), "url": head.get("warc-target-uri"), "payload_bytes": int(r["http"]["content-length"]), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
-                        "record_type": head["warc-type"], "refers_to": _page(head["warc-refers-to"]) if revisit else None, "payload": None if revisit else r["payload"],
-                    })
-                    if not revisit and rows[-1]["payload_bytes"] != len(r["payload"]):
-                        raise ValueError("Content-Length of the response differs from its payload")
+                    rows.append(_row(r))
                     held += len(r["payload"])
                     if held >= c.CHUNK_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                        yield pa.RecordBatch.from_pylist(rows, schema=_READ)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                    yield pa.RecordBatch.from_pylist(rows, schema=_READ)
 
-    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.select("content").mapInArrow(read, schema)
 
 
