@@ -5,10 +5,13 @@ closes each document. Files are scanned in blocks: a vectorised comparison finds
 gives the lengths of documents that lie within it, the tokens before its first and after its last separator.
 Documents that cross blocks are stitched by a prefix scan over the blocks of a file, which is a window over one
 row a block. Files are written by Spark's text sink: a row is a document's identifiers, and the bytes that part rows
-are the separator's own, so writing needs no index and no driver.
+are the separator's own, so writing needs no index and no driver. The same rows' doc_ids go, by the same task, to files of
+their own, 9 bytes and a separator each: the nth document of a token file is the nth of the name file beside it, whichever tasks run
+or run again.
 
 Defined cases: null and empty texts are documents of no tokens; repeated rows are documents each; an empty
-table gives no document; other columns are ignored. A file whose last document lacks its separator raises ValueError,
+table gives no document; other columns are ignored. A file is one value in a task, so it may have 2 GB at most; those written
+here have FILE_DOCUMENTS documents. A file whose last document lacks its separator raises ValueError,
 as does a file whose size is not a multiple of the identifier's."""
 
 from __future__ import annotations
@@ -29,31 +32,64 @@ BLOCK_TOKENS = 1 << 19
 WIDTH = 2
 SEPARATOR = 2
 #: Documents in a file at most.
-FILE_DOCUMENTS = 20_000
+FILE_DOCUMENTS = 5_000
+_CONCURRENT = "spark.sql.maxConcurrentOutputFileWriters"
+_NAME_BYTES = 9 + WIDTH
 
 
 def write_files(docs: DataFrame, path: str, model_path: str = sp.MODEL_PATH) -> None:
-    """Encode the texts of docs and write them to flat files under path, in the order of docs' partitions."""
+    """Encode the texts of docs; write tokens to flat files under path/kind=tokens, and doc_ids in the same order to path/kind=names."""
     spark = docs.sparkSession
     c.small_batches(spark)
     with open(model_path, "rb") as f:
-        proto = spark.sparkContext.broadcast(f.read())
+        proto = spark.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sp._model(proto.value)
         if len(model.pieces) > 1 << 8 * WIDTH:
             raise ValueError("the vocabulary does not fit the identifier's width")
         for batch in batches:
-            data, off = c.utf8(batch.column(0))
+            data, off = c.utf8(batch.column(1))
             for i, j in c.chunks(off):
                 ids, ends = model.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                raw = pa.py_buffer(ids.astype("<u2").tobytes())
-                at = pa.py_buffer((ends * WIDTH).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), j - i, [None, at, raw])], names=["tokens"])
-
-    rows = docs.select("text").mapInArrow(encode, "tokens binary").select(F.col("tokens").cast("string").alias("value"))
+                names = np.zeros((j - i, 9), np.uint8)
+                doc = batch.column(0).slice(i, j - i)
+                names[:, 0] = doc.is_null().to_numpy(zero_copy_only=False)
+                names[:, 1:] = doc.fill_null(0).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
+                for kind, raw, at in (("tokens", ids.astype("<u2").tobytes(), ends * WIDTH), ("names", names.tobytes(), np.arange(j - i + 1) * 9)):
+                    values = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * (j - i)), values], names=["kind", "value"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "kind string, value binary").select("kind", F.col("value").cast("string"))
     mark = SEPARATOR.to_bytes(WIDTH, "little").decode("latin-1")
-    rows.write.option("lineSep", mark).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+    before = spark.conf.get(_CONCURRENT)
+    spark.conf.set(_CONCURRENT, "2")  # both kinds are open at once, so that rows are not sorted and stay in order
+    try:
+        rows.write.partitionBy("kind").option("lineSep", mark).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+    finally:
+        spark.conf.set(_CONCURRENT, before)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def _place() -> tuple:
+    """Task and number of a written file, from its path."""
+    return tuple(F.regexp_extract("file", r"part-(\d+)-[^/]*[-.]c(\d+)", i).cast("long").alias(n) for i, n in ((1, "task"), (2, "nth")))
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """file, ordinal, doc_id of every row of the name files under path."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, _NAME_BYTES)
+                ids = np.ascontiguousarray(rows[:, 1:9]).view("<i8").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(np.arange(len(rows))), pa.array(ids, mask=rows[:, 0] > 0)], names=["file", "ordinal", "doc_id"])
+
+    return _files(spark, path).mapInArrow(read, "file string, ordinal long, doc_id long")
 
 
 def scan_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, separator: int = SEPARATOR) -> DataFrame:
@@ -76,8 +112,7 @@ def scan_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, separ
                     yield pa.RecordBatch.from_pydict({"file": [name], "block": [k // block], "head": [head], "tail": [tail], "n_ends": [len(ends)], "inner": [inner.astype(np.int64)]}, schema=kinds)
 
     kinds = pa.schema([("file", pa.string()), ("block", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n_ends", pa.int64()), ("inner", pa.list_(pa.int64()))])
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(scan, schema)
+    return _files(spark, path).mapInArrow(scan, schema)
 
 
 def count_tokens(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, separator: int = SEPARATOR) -> DataFrame:
@@ -100,17 +135,16 @@ def count_tokens(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, sepa
 
 
 def document_counts(docs: DataFrame, model_path: str = sp.MODEL_PATH, block: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_tokens: docs written to token files and counted from the files alone.
+    """doc_id, n_tokens: docs written to token files and counted from the files alone, with the names written beside them.
 
-    A file has no index, so documents are known by their places: the sink keeps the order of docs' partitions, and names
-    files by partition and number (docs must be a scan of files, or another plan whose order repeats). The same scan's (partition, place) is joined with what the files hold; the join fails
-    if any document is missing from either side."""
+    The query fails if a document is missing from either."""
     spark = docs.sparkSession
+    if docs.isEmpty():
+        return spark.createDataFrame([], "doc_id long, n_tokens long")
     path = c.new_path(spark, "tokens")
-    places = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("place"))
     write_files(docs, path, model_path)
-    name = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)", 1).cast("long"), F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)", 2).cast("long")
-    found = count_tokens(spark, path, block).select((F.shiftleft(name[0], 33) + name[1] * FILE_DOCUMENTS + F.col("ordinal")).alias("place"), "n_tokens")
-    both = places.join(found, "place", "full")
-    broken = F.when(F.col("n_tokens").isNull(), F.raise_error(F.lit("a document is missing from the token files")))
+    names = read_names(spark, f"{path}/kind=names").select(*_place(), "ordinal", "doc_id", F.lit(True).alias("named"))
+    found = count_tokens(spark, f"{path}/kind=tokens", block).select(*_place(), "ordinal", "n_tokens")
+    both = names.join(found, ["task", "nth", "ordinal"], "full")
+    broken = F.when(F.col("n_tokens").isNull() | F.col("named").isNull(), F.raise_error(F.lit("a document is missing from the token files or the names")))
     return both.select("doc_id", F.coalesce(broken.cast("long"), F.col("n_tokens")).alias("n_tokens"))
