@@ -5,6 +5,7 @@ import gzip
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewarden.llm import common, licenses, mixing, sentencepiece, token_files, toxicity, warc
 
@@ -50,6 +51,33 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_repeated_pages(spark):
+    rows = [(1, f"http://{i}/", "same", "k") for i in range(40)] + [(1, "u", "other", "k"), (0, "u", "same", "k"), (None, "u", "none", "k"), (None, "v", "none", "k"), (2, "u", "alone", "k")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(6)
+    got = warc.round_trip(pages).toPandas()
+    assert len(got) == len(rows)
+    by = {d: g for d, g in got.groupby("payload_digest")}
+    same, none = by[warc.sha1_base32(b"same")], by[warc.sha1_base32(b"none")]
+    assert (same["record_type"] == "response").sum() == 1 and same["record_type"].count() == 41 and same[same["record_type"] == "revisit"]["refers_to"].eq(1).all()
+    assert same[same["record_type"] == "response"]["page_id"].tolist() == [1]
+    assert sorted(none["record_type"]) == ["response", "revisit"] and none["refers_to"].isna().all()
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    def made(kind, block, *lines):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0a1b>", *lines, f"Content-Length: {len(block)}", "", ""]
+        return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\nbody"
+    raw = made("warcinfo", b"software: x\r\n") + made("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request") + made("response", http, "Content-Type: application/http;msgtype=response", "WARC-Target-URI: http://a/")
+    raw += made("metadata", b"", "WARC-Payload-Digest: md5:00") + made("resource", b"text", f"WARC-Payload-Digest: sha1:{warc.sha1_base32(b'text')}")
+    (tmp_path / "x.warc.gz").write_bytes(raw)
+    got = warc.read_archives(spark, str(tmp_path), "*.warc.gz").collect()
+    assert [(r.record_type, r.page_id, r.record_id) for r in got] == [(k, None, "<urn:uuid:0a1b>") for k in ("warcinfo", "request", "response", "metadata", "resource")]
+    assert [bytes(r.payload) for r in got] == [b"software: x\r\n", b"", b"body", b"", b"text"] and got[2].url == "http://a/"
+    assert [r.payload_digest for r in got[2:]] == [warc.sha1_base32(x) for x in (b"body", b"", b"text")]
+
+
 def test_warc_reader_is_strict():
     rec = warc.record(1, "u", b"payload", warc.sha1_base32(b"payload"))
     both = rec + warc.record(2, "u", b"", warc.sha1_base32(b""))
@@ -122,7 +150,7 @@ def test_sentencepiece_is_the_best_path(monkeypatch):
 
 def test_very_long_texts(spark):
     line = " ".join(f"word{i % 977}" for i in range(60_000))
-    rows = [(1, line), (2, "漢字かな" * 20_000), (3, "x" * 100_000), (4, line[:400_000] + " mit license " + line[:9])]
+    rows = [(1, line, "s"), (2, "漢字かな" * 20_000, "s"), (3, "x" * 100_000, "s"), (4, line[:400_000] + " mit license " + line[:9], "s")]
     docs = frame(spark, rows)
     out = {r.doc_id: r for r in sentencepiece.encode_documents(docs).select("doc_id", "n_tokens", "round_trip").collect()}
     assert all(r.round_trip and r.n_tokens > 1000 for r in out.values())
@@ -130,16 +158,17 @@ def test_very_long_texts(spark):
     assert {r.doc_id: r.base_labels for r in licenses.scan(docs).collect()} == {1: "", 2: "", 3: "", 4: "mit"}
 
 
-def test_token_counts(spark, tmp_path):
-    rows = [(i, t, "s") for i, t in enumerate(TEXTS)]
-    path = str(tmp_path / "docs")
-    frame(spark, rows).write.parquet(path)
-    docs = spark.read.parquet(path)
-    want = {r.doc_id: r.n_tokens for r in sentencepiece.encode_documents(docs).collect()}
-    for block in (3, 64, token_files.BLOCK_TOKENS):
-        assert {r.doc_id: r.n_tokens for r in token_files.document_counts(docs, block=block).collect()} == want
-    frame(spark, []).write.parquet(path + "0")
-    assert token_files.document_counts(spark.read.parquet(path + "0")).count() == 0
+def test_token_counts(spark, monkeypatch):
+    rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(None, "no id", "s"), (3, "again", "s"), (-5, "below zero", "s")]
+    docs = frame(spark, rows)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
+    want = sorted((r for r in sentencepiece.encode_documents(docs).select("doc_id", "n_tokens").collect()), key=key)
+    for block, size in ((3, 2), (64, 3), (token_files.BLOCK_TOKENS, 5000)):
+        monkeypatch.setattr(token_files, "FILE_DOCUMENTS", size)
+        # the plan is dealt out anew at each scan; names and tokens are of one scan
+        got = token_files.document_counts(docs.repartition(3, F.rand()), block=block).collect()
+        assert sorted(got, key=key) == want
+    assert token_files.document_counts(frame(spark, [])).count() == 0
 
 
 def test_token_scan_of_blocks(spark, tmp_path):
