@@ -120,5 +120,53 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM g
 """
 
+#: A window is 50 bytes, 100 hexadecimal digits, cut from pieces of 1,000 windows; a row number stands for the row.
+_OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, hex(coalesce(text, '')) AS x FROM documents),
+c AS (SELECT rid, doc, x, unnest(range((length(x) // 2 - 50) // 1000 + 1)) AS piece FROM d WHERE length(x) >= 100),
+y AS (SELECT rid, doc, piece, substr(x, 2000 * piece + 1, 2098) AS y FROM c),
+b AS (SELECT rid, doc, piece, y, unnest(range(length(y) // 2 - 49)) AS i FROM y),
+w AS (SELECT rid, doc, 1000 * piece + i AS p, substr(y, 2 * i + 1, 100) AS s FROM b),
+m AS (SELECT s, min(doc) AS least FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT rid, p, coalesce(p - lag(p) OVER (PARTITION BY rid ORDER BY p) > 50, true) AS fresh FROM w JOIN m USING (s) WHERE doc > least),
+n AS (SELECT rid, p, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY p) AS span FROM g),
+r AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY rid, span),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS since, lead(a) OVER (PARTITION BY rid ORDER BY a) IS NULL AS final FROM r),
+t AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)) || CASE WHEN final THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
+
+
+def _op10() -> str:
+    """Phrases are found by the words that follow one another; templates by votes for diagonals."""
+    quoted = lambda x: f"'{x}'" if isinstance(x, str) else "NULL" if x is None else str(x)
+    table = lambda rows: ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+    phrases = [(*p.split(), *[None] * (4 - len(p.split())), label) for p, label in licenses.PHRASES]
+    templates = [(n, at, *pair.split(), size, label) for n, at, pair, size, _, label in licenses.template_rows((), licenses.TEMPLATES)]
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), p AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+q AS (SELECT rid, pos, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM p WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+f(a, b, c, e, label) AS (VALUES {table(phrases)}),
+h AS (SELECT rid, pos, label FROM q JOIN f ON q.a = f.a AND q.b = f.b AND (f.c IS NULL OR q.c = f.c) AND (f.e IS NULL OR q.e = f.e)),
+base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM h GROUP BY rid),
+t(template, spot, a, b, n, label) AS (VALUES {table(templates)}),
+v AS (SELECT DISTINCT rid, template, n, label, spot, pos - spot AS diagonal FROM q JOIN t ON q.a = t.a AND q.b = t.b),
+g AS (SELECT rid, template, diagonal, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {licenses.NEAR}, true) AS apart FROM (SELECT DISTINCT rid, template, diagonal FROM v)),
+u AS (SELECT rid, template, diagonal, sum(apart::INT) OVER (PARTITION BY rid, template ORDER BY diagonal) AS passage FROM g),
+s AS (SELECT rid, label, count(DISTINCT spot)::DOUBLE / n AS share FROM v JOIN u USING (rid, template, diagonal) GROUP BY rid, template, n, label, passage),
+own AS (SELECT rid, max(share) AS share, list(DISTINCT label) AS labels FROM s WHERE share >= {licenses.MIN_SHARE} GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, coalesce(share, 0.0::DOUBLE)) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
+"""
+
+
 #: SQL of the operators that it can express; the others are tested against brute force, round trips or held-out rows.
-SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_exact_dedup": _OP3, "op4_ngram_jaccard": _OP4, "op5_mixing": _OP5, "op6_warc": _OP6}
+SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_exact_dedup": _OP3, "op4_ngram_jaccard": _OP4, "op5_mixing": _OP5, "op6_warc": _OP6, "op7_suffix_dedup": _OP7, "op10_license_scan": _op10()}
