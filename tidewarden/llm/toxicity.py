@@ -60,7 +60,8 @@ def fold(text: str | None) -> str:
         return " "
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return f" {' '.join(text.lower().translate(_FOLD).split())} "
+    words = text.lower().translate(_FOLD).split()
+    return f" {' '.join(words)} " if words else " "
 
 
 def beginnings(folded: str) -> set[str]:
@@ -127,7 +128,8 @@ def remainder(doc_id="doc_id"):
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of the training sample: rows whose remainder isn't 0, TOXIC_ROWS and CLEAN_ROWS at most."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder() != 0)
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder() != 0).join(there, "doc_id", "left_semi")
     first = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = c.stage(first(1, TOXIC_ROWS).unionByName(first(0, CLEAN_ROWS)), "labelled")
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
