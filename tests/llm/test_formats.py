@@ -186,22 +186,89 @@ def test_token_scan_of_blocks(spark, tmp_path):
         token_files.count_tokens(spark, str(tmp_path), 8).collect()
 
 
-def test_licenses(spark):
+def license_words(t):
     import re
 
+    return [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+
+
+def brute_spans(t):
+    """(template, label, first, last, share) of base phrases and of templates matched in part, by plain loops."""
+    w, out = license_words(t), []
+    for phrase, label in licenses.PHRASES:
+        k = phrase.split()
+        out += [(phrase, label, p, p + len(k) - 1, 1.0) for p in range(len(w)) if w[p : p + len(k)] == k]
+    for text, label in licenses.TEMPLATES:
+        k = text.split()
+        found = {(p - i, i) for p in range(len(w) - 1) for i in range(len(k) - 1) if w[p : p + 2] == k[i : i + 2]}
+        runs = []
+        for d in sorted({d for d, _ in found}):
+            if not runs or d - runs[-1][-1] > licenses.NEAR:
+                runs.append([])
+            runs[-1].append(d)
+        for run in runs:
+            here = [(d, i) for d, i in found if d in run]
+            share = len({i for _, i in here}) / (len(k) - 1)
+            if share >= licenses.MIN_SHARE:
+                out.append((text, label, min(d + i for d, i in here), max(d + i for d, i in here) + 1, share))
+    return w, out
+
+
+def test_licenses(spark):
+    mit, bsd = licenses.WHOLE_TEXTS[0][0], licenses.WHOLE_TEXTS[1][0]
     texts = [None, "", "MIT License", "the Apache-License, and the apache  license; mit license", "cc\nby cc by", "gnu general public licenses", "GNU General public license mit", "miK license", "é mit license é",
-             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its associated documentation files", "gnu lesser general public license", "mit " * 50]
-    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
-        places = [(p, label) for phrase, label in licenses.PHRASES for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
-        r = got[i]
-        assert (r.n_words, r.n_base) == (len(w), len(places))
-        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
-        assert r.base_labels == ",".join(sorted({x for _, x in places})) and 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
-    assert got[9].labels == "mit" and "lgpl" in got[10].labels
-    assert licenses.scan(frame(spark, [])).count() == 0
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its associated documentation files", "gnu lesser general public license", "mit " * 50,
+             mit, "see " * 9 + bsd.replace("the ", "the very ") + " end", mit[300:] + " mit license", bsd[:500] + " " + mit[400:], "of the " * 300, mit + " " + mit, "gnu affero general public license " * 3]
+    docs = frame(spark, [*((i, t, "s") for i, t in enumerate(texts)), (2, "mit license twice: mit license", "s")])
+    got = sorted(licenses.scan(docs).collect(), key=lambda r: (r.doc_id, r.n_words))
+    assert len(got) == len(texts) + 1
+    told = {}
+    for r in licenses.spans(docs).collect():
+        told.setdefault((r.doc_id, r.rid), []).append((r.template, r.label, r.first_word, r.last_word, r.share))
+    all_texts = sorted([*enumerate(texts), (2, "mit license twice: mit license")], key=lambda x: (x[0], len(license_words(x[1]))))
+    wanted = []
+    for r, (i, t) in zip(got, all_texts, strict=True):
+        w, spans = brute_spans(t)
+        phrases = [s for s in spans if s[0] in dict(licenses.PHRASES)]
+        own = [s for s in spans if s not in phrases]
+        starts = [s[2] for s in phrases]
+        assert (r.doc_id, r.n_words, r.n_base) == (i, len(w), len(phrases))
+        assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if starts else (None, None))
+        assert r.base_labels == ",".join(sorted({s[1] for s in phrases})) and r.labels == ",".join(sorted({s[1] for s in spans}))
+        assert abs(r.score - max([0.0, *(s[4] for s in spans)])) < 1e-12, (i, own)
+        if spans:
+            wanted.append(sorted(spans))
+    assert sorted(sorted(x) for x in told.values()) == sorted(wanted)
+    assert got[9 + 1].labels == "mit" and "lgpl" in got[10 + 1].labels
+    assert licenses.scan(frame(spark, [])).count() == 0 and licenses.spans(frame(spark, [])).count() == 0
+
+
+def plain_evidence(lexicon, text):
+    """Sum of the weights of terms outside exception phrases, by plain search."""
+    t, total = toxicity.fold(text), 0.0
+    places = lambda x: [i for i in range(len(t)) if t.startswith(x, i)]
+    spared = {j for e in lexicon.exceptions for i in places(e) for j in range(i, i + len(e) - 1)}  # the closing space begins the next word
+    for term, weight in lexicon.terms:
+        total += sum(weight for i in places(term) if i not in spared)
+    return total, len(t.split())
+
+
+def test_toxicity_scores_by_plain_search(spark):
+    lexicon = toxicity.Lexicon(((" vill", 2.0), (" scoundrel ", 3.5), (" rogu", 1.25), (" vile ", 0.5)), (" cartoon scoundrel ", " rogue wave "), (-3.0, 1.0, 0.5))
+    long_ = " ".join(["plain words stand here"] * 30_000) + " villain"
+    texts = [None, "", " ", "a v1lla1n", "VILLAINS and rogues", "the cartoon scoundrel", "cartoon scoundrel scoundrel", "rogue wave rogue", "vile vilе", "scoundrel", "x" * 100_000, long_, "villain " * 2000, "ｖｉｌｌａｉｎ", "vil\u00adlain", "no harm"]
+    rows = [*((i, t, "s") for i, t in enumerate(texts)), (4, texts[4], "s"), (4, "something else", "s"), (None, texts[3], "s")]
+    got = toxicity.score_documents(frame(spark, rows), lexicon).collect()
+    made = []
+    for i, t, _ in rows:
+        total, words = plain_evidence(lexicon, t)
+        z = lexicon.model[0] + lexicon.model[1] * np.log1p(total) + lexicon.model[2] * np.log1p(100 * total / (words + 20))
+        score = 1 / (1 + np.exp(-z))
+        made.append((-9 if i is None else i, round(float(score), 9), int(score >= 0.5), words))
+    assert sorted((-9 if r.doc_id is None else r.doc_id, round(r.score, 9), r.predicted, r.n_words) for r in got) == sorted(made)
+    assert toxicity.score_documents(frame(spark, []), lexicon).count() == 0
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(frame(spark, []), labels).terms == ()
 
 
 def test_toxicity_folds_and_learns(spark):
