@@ -2,8 +2,10 @@
 
 Steps, each a Spark job whose tables stay in the shared folder:
 1. `classes`: documents with equal sets are one class (they link with one another by definition).
-2. `frequent`: shingles that many documents share are counted in each task and summed; this gives the global order,
-   rare shingles first. Any order gives the same links; this one keeps common shingles out of prefixes.
+2. `frequencies`: each task counts all its shingles in a sketch of two rows of WIDTH counters, and the tasks' sketches are
+   summed; the smaller of a shingle's two counters gives the global order, rare shingles first. Any order gives the same links; this
+   one keeps common shingles out of prefixes. Chance adds the same to all counters, give or take its root, so a shingle is told
+   from rare ones if it is in more documents than a few times the root of (all shingles / WIDTH).
 3. `postings`: each class's prefix (for overlap t, |x| - ceil(t |x|) + 1 shingles) is dealt out by shingle; those of a
    frequent shingle go to several tasks. Shingles of one class alone end here.
 4. Rounds over the postings: some classes of each shingle (leaders; 1, then LEADERS more in each round) are joined with
@@ -23,6 +25,7 @@ component (null last, ties by the text's MD5), one row where several repeat both
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +38,13 @@ from . import common as c
 #: Words in a shingle; a link needs 100 * intersection >= THRESHOLD * union.
 K = 5
 THRESHOLD = 75
-#: A shingle enters the order by frequency if a task finds it in as many documents at least.
-FREQUENT_IN_TASK = 3
-#: Most frequent shingles that the order holds (8 bytes each, broadcast); others follow the order of their hashes.
-FREQUENT_KEPT = 500_000
-#: Text bytes over which a task counts at once.
-COUNT_BYTES = 8 << 20
+#: Counters of a row of the sketch, and in a block of it that one task sums; the sketch has a fixed size whatever the input.
+WIDTH = 1 << 21
+BLOCK = 1 << 16
+#: Shingles that a task counts at once.
+COUNT_SHINGLES = 1 << 20
+#: Steps of the order for each doubling of a count.
+STEPS = 16
 
 #: Documents of a frequent shingle that one task is to get about.
 HOT_ROWS = 256
@@ -124,71 +128,87 @@ def possible(found: DataFrame, bitmaps: DataFrame, t: int) -> DataFrame:
     return _with_both(found, bitmaps, "bits").mapInArrow(run, "sig_a long, n_a int, sig_b long, n_b int")
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, rarest first, and their counts."""
+def _counters(shingles: np.ndarray) -> list[np.ndarray]:
+    """Each shingle's counters, one in each row of the sketch."""
+    mask = np.uint64(WIDTH - 1)
+    return [(shingles & mask).astype(np.int64), ((shingles >> np.uint64(32)) & mask).astype(np.int64) + WIDTH]
 
-    def run(batches):
-        held, size = [], 0
 
-        def counted():
-            s = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            count = np.diff(np.append(at, len(s)))
-            often = count >= FREQUENT_IN_TASK
-            return pa.RecordBatch.from_arrays([pa.array(s[at][often].view(np.int64)), pa.array(count[often])], names=["shingle", "count"])
+def frequencies(docs: DataFrame, k: int) -> np.ndarray:
+    """The sketch's counts on a scale of STEPS to a doubling, 2 * WIDTH of them."""
 
-        for _, _, n, sig, values, bounds in _sets(batches, 0, k):
+    def count(batches):
+        total, held, size = np.zeros(2 * WIDTH, np.uint32), [], 0
+
+        def add():
+            nonlocal total
+            for at in _counters(np.concatenate(held)):
+                total += np.bincount(at, minlength=2 * WIDTH).astype(np.uint32)
+
+        for _, _, n, sig, values, _ in _sets(batches, 0, k):
             # copies of one set in a chunk count once
             _, firsts = np.unique(sig, return_index=True)
             once = np.zeros(len(n), bool)
             once[firsts] = True
             held.append(values[np.repeat(once, n)])
-            size += held[-1].nbytes
-            if size >= COUNT_BYTES:
-                yield counted()
+            size += len(held[-1])
+            if size >= COUNT_SHINGLES:
+                add()
                 held, size = [], 0
         if size:
-            yield counted()
+            add()
+        if total.any():
+            blocks = range(2 * WIDTH // BLOCK)
+            packed = [zlib.compress(total[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in blocks]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
+        scaled = [(STEPS * np.log2(1 + x.astype(float))).astype(np.uint16).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(scaled, pa.binary())], names=["block", "counts"])
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
-    top = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_KEPT).toPandas()
-    return top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy(), top["count"].to_numpy(np.int64)[::-1].copy()
+    made = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary")
+    out = np.zeros(2 * WIDTH, np.uint16)
+    for r in made.collect():  # 2 * WIDTH counters in all
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint16)
+    return out
 
 
 class Order:
-    """Rare shingles first by hash, then the frequent ones by frequency."""
+    """Rare shingles first, by the sketch; its ranks are steps of the scale."""
 
-    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
-        self.by_value = np.argsort(shingles)
-        self.values, self.counts = shingles[self.by_value], counts
+    def __init__(self, scale: np.ndarray):
+        self.scale = scale
+        counts = np.exp2(scale[:WIDTH].astype(np.float32) / STEPS)
+        self.chance = float(counts.mean())
 
     def ranks(self, x: np.ndarray) -> np.ndarray:
-        """0 for rare shingles, 1 + place for frequent ones."""
-        if not len(self.values):
-            return np.zeros(len(x), np.int64)
-        at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
-        return np.where(self.values[at] == x, self.by_value[at] + 1, 0)
+        a, b = _counters(x)
+        return np.minimum(self.scale[a], self.scale[b]).astype(np.int64)
 
     def tasks(self, rank: np.ndarray) -> np.ndarray:
         """To how many tasks the postings of shingles of these ranks go."""
-        parts = np.concatenate(([1], 1 + self.counts // HOT_ROWS))
-        return parts[rank]
+        sure = np.exp2(rank / STEPS) - self.chance - 5 * self.chance**0.5
+        return 1 + (np.maximum(sure, 0) // HOT_ROWS).astype(np.int64)
 
 
 def prefix_length(n: np.ndarray, t: int) -> np.ndarray:
     return n - -(-t * n // 100) + 1
 
 
-def postings(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], k: int, t: int) -> DataFrame:
+def postings(docs: DataFrame, scale: np.ndarray, k: int, t: int) -> DataFrame:
     """shingle, part, sig, n, pos, low of the prefixes of all sets.
 
     low is the number of the shingles behind pos, in the global order, that are below 2^63 by value: it splits the suffix in
     two, and what two suffixes share is at most the sum of the smaller halves. part is 0 but for shingles of several tasks,
     where it is their class's share, from 1."""
-    told = docs.sparkSession.sparkContext.broadcast(known)  # FREQUENT_KEPT at most
+    told = docs.sparkSession.sparkContext.broadcast(scale)  # of a fixed size
 
     def run(batches):
-        order = Order(*told.value)
+        order = Order(told.value)
         for _, _, n, sig, values, bounds in _sets(batches, 0, k):
             _, firsts = np.unique(sig, return_index=True)
             rank = order.ranks(values)
@@ -342,7 +362,7 @@ def _connected(docs: DataFrame, known: DataFrame, k: int, t: int) -> DataFrame |
     """node, comp (sig and n of classes) of all classes that link with others; None if none do. known: the staged table of `classes`."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "digest")).alias("first")
     firsts = c.stage(known.where(F.col("n") > 0).groupBy("sig", "n").agg(first).select("sig", "n", "first.doc", "first.digest"), "class-firsts")
-    lists = c.stage(shared(postings(docs, frequent(docs, k), k, t)), "postings")
+    lists = c.stage(shared(postings(docs, frequencies(docs, k), k, t)), "postings")
     key = F.struct(F.col("sig"), F.col("n").cast("long").alias("n"))
     comps, judged, turn = None, None, 0
     while True:
@@ -386,9 +406,9 @@ def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFram
     ids = known.where(F.col("n") > 0).groupBy("sig", "n").agg(F.min("doc_id").alias("least"))
     if comps is not None:
         of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").alias("n"), "comp")
-        joined = ids.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", F.struct("sig", "n")))
-        least = joined.groupBy("comp").agg(F.min("least").alias("of_all"))
-        ids = joined.join(least, "comp").select("sig", "n", F.col("of_all").alias("least"))
+        joined = c.stage(ids.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", F.struct("sig", "n"))), "class-components")
+        least = c.stage(joined.groupBy("comp").agg(F.min("least").alias("of_all")), "least-ids")
+        ids = c.join_checked(joined, least, ["comp"], "inner").select("sig", "n", F.col("of_all").alias("least"))
     out = known.join(c.stage(ids, "component-ids"), ["sig", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -405,7 +425,9 @@ def keep_one(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFrame:
         rows = rows.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp"))
     rows = c.stage(rows.select("comp", "no_id", "doc", "digest", "copies"), "members")
     first = rows.groupBy("comp").agg(F.min(F.struct("no_id", "doc", "digest")).alias("first"), F.sum("copies").alias("all")).where(F.col("all") > 1)
-    told = rows.join(first, "comp").withColumn("stays", F.struct("no_id", "doc", "digest") == F.col("first")).where(~F.col("stays") | (F.col("copies") > 1))
+    first = c.stage(first.select("comp", "first"), "kept-rows")
+    told = c.join_checked(rows, first, ["comp"], "inner").withColumn("stays", F.struct("no_id", "doc", "digest") == F.col("first"))
+    told = told.where(~F.col("stays") | (F.col("copies") > 1))
     doc, digest, stays = "__near_doc", "__near_digest", "__near_stays"
     acts = c.stage(told.select(F.col("doc").alias(doc), F.col("digest").alias(digest), F.col("stays").alias(stays)), "near-copies")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
