@@ -4,11 +4,9 @@ import math
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewarden.operators import bars, jumps, quality, volatility, vote, windows
+from tidewarden.operators import bars, calendar, jumps, quality, volatility, vote, windows
 
 
 def rows_of(df, *cols):
@@ -70,17 +68,93 @@ def test_trusted_drops_impossible(spark):
     assert out[120].r is None and out[120].sigma is None and 0.5 < out[199].sigma < 2
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 400), max_size=30), st.lists(st.integers(0, 400), max_size=3))
-def test_greedy_starts(found, anchors):
-    found = sorted(found)
-    starts = windows.greedy_starts(found, 24, anchors)
-    assert len(starts) == len(found)
-    for f, s in zip(found, starts, strict=True):
-        assert (s <= f < s + 24) or (s in anchors and f < s <= f + 24)
-    if not anchors:
-        distinct = sorted(set(starts))
-        assert all(b - a >= 24 for a, b in zip(distinct, distinct[1:], strict=False))
+def test_event_starts_of_many_keys(spark):
+    """Against a plain loop over each key, with and without fixed starts."""
+    rng = np.random.default_rng(4)
+    found = {k: sorted({int(x) for x in rng.integers(0, 400, rng.integers(0, 30))}) for k in range(60)}
+    pins = {k: sorted({int(x) for x in rng.integers(0, 400, rng.integers(0, 4))}) for k in range(60)}
+    df = spark.createDataFrame([(k, t) for k, ts in found.items() for t in ts], "k long, found long")
+    fixed = spark.createDataFrame([(k, t) for k, ts in pins.items() for t in ts], "k long, anchor long")
+    for anchors in (None, fixed):
+        got = {(r.k, r.found): r.event_start for r in windows.event_starts(df, "k", "found", 24, anchors).collect()}
+        for k, times in found.items():
+            last, of = None, pins[k] if anchors is not None else []
+            for t in times:
+                holding = [p for p in of if 0 <= t - p < 24]
+                coming = [p for p in of if 0 < p - t <= 24]
+                if holding:
+                    want = holding[0]
+                elif last is not None and t - last < 24:
+                    want = last
+                elif coming:
+                    want = coming[0]
+                else:
+                    want = last = t
+                assert got.pop((k, t)) == want
+        assert not got
+
+
+@pytest.mark.parametrize("upto", [False, True])
+def test_earlier_rows_of_a_size(spark, upto):
+    rng = np.random.default_rng(8)
+    rows = [(k, t, float(rng.integers(0, 12))) for k in range(3) for t in sorted(rng.permutation(200)[: 5 if k == 2 else 60].tolist())]
+    df = spark.createDataFrame(rows, "k int, at long, x double")
+    got = {(r.k, r.at): (r["_n"], r["_last"] and r["_last"].at) for r in windows.earlier_at_least(df, ["k"], "at", F.col("x"), F.col("x") * 0.9, ["at"], upto=upto).collect()}
+    for k, t, x in rows:
+        hits = [u for j, u, y in rows if j == k and (u < t or upto and u == t) and y >= 0.9 * x]
+        assert got[(k, t)] == (len(hits), max(hits, default=None))
+
+
+def test_trailing_rows_cross_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(2)
+        rows = [(k, t, None if rng.random() < 0.2 else float(rng.normal())) for k in "ab" for t in range(40)]
+        df = spark.createDataFrame(rows, "k string, t long, x double")
+        got = {(r.k, r.t): (r.q95, r.q99) for r in volatility.trailing_quantiles(df, ["k"], "t", "x", 15, 5).collect()}
+        count = lambda n, x: (n + 1, (n, x))
+        folds = {(r.k, r.t): (r.n, r.y) for r in windows.folded(df, ["k"], "t", ["x"], count, lambda: 0, "n bigint, y double").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, t, x in rows:
+        w = [y for j, u, y in rows if j == k and t - 15 <= u < t and y is not None]
+        want = (np.quantile(w, 0.95), np.quantile(w, 0.99)) if len(w) >= 5 else (None, None)
+        assert got[(k, t)] == (pytest.approx(want) if want[0] is not None else want)
+        assert folds[(k, t)] == (t, x)
+
+
+def test_asof_in_bins(spark):
+    rng = np.random.default_rng(6)
+    left = [(str(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 80), rng.integers(-40, 300, 80), strict=True))]
+    right = sorted({(str(k), int(t)) for k, t in zip(rng.integers(0, 3, 12), rng.integers(-40, 300, 12), strict=True)})
+    a, b = spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame([(k, t, t) for k, t in right], "k string, u long, v long")
+    got = {r.i: r.v for r in windows.asof_backward(a, b, ["k"], "t", "u", ["v"], bin_size=25).collect()}
+    assert got == {i: max((u for j, u in right if j == k and u <= t), default=None) for k, t, i in left}
+
+
+def test_range_mean_late_in_a_long_series(spark):
+    rows = [("a", t, 1e7 if t < 50 else 1e-9 * (t % 3)) for t in range(200)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    got = {r.t: r.m for r in df.withColumn("m", windows.range_mean("x", "t", ["k"], 10, 1)).collect()}
+    assert got[150] == pytest.approx(np.mean([1e-9 * (t % 3) for t in range(140, 150)]), rel=1e-9)
+
+
+def test_futures_calendar_by_counting_days(spark):
+    from datetime import date, timedelta
+
+    def back(day, n):
+        while n:
+            day -= timedelta(days=1)
+            n -= day.weekday() < 5
+        return day
+
+    days = [date(2023, 12, 20) + timedelta(days=i) for i in range(40)]
+    df = spark.createDataFrame([(d, n) for d in days for n in range(13)], "d date, n int")
+    for r in df.withColumn("b", calendar.weekdays_before(F.col("d"), F.col("n"))).collect():
+        assert r.b == back(r.d, r.n)
+    c = {(r.ticker, r.year, r.month): r for r in calendar.contracts(spark, spark.createDataFrame([(2024,), (2025,)], "year int")).collect()}
+    assert c["ZC=F", 2024, 12].last_day == date(2024, 12, 13) and c["BZ=F", 2025, 1].last_day == date(2024, 11, 29) and c["LE=F", 2024, 8].last_day == date(2024, 8, 30)
+    assert c["ZC=F", 2024, 9].held is False and c["ZC=F", 2024, 9].contract == "ZCU24.CBT" and ("KC=F", 2024, 1) not in c
 
 
 def test_event_starts_by_hand(spark):
@@ -120,7 +194,7 @@ def test_islands(spark):
 
 def test_validation_order(spark):
     b = spark.createDataFrame([(1.0, 2.0, 0.5, 1.5, 1.0), (None, 2.0, 0.5, 1.5, 1.0), (0.0, 2.0, 0.0, 1.5, -1.0), (3.0, 2.0, 0.5, 1.5, -1.0), (1.0, 2.0, 0.5, 1.5, -1.0), (2.005, 2.0, 0.5, 1.5, 1.0)], "open double, high double, low double, close double, volume double")
-    assert [r[0] for r in b.select(quality.invalid_reason(0.01)).collect()] == ["", "no price: a removed bar", "price not positive", "OHLC inconsistent", "volume negative", ""]
+    assert [r[0] for r in b.select(quality.invalid_reason(0.01)).collect()] == ["", "removed", "not above zero", "body outside range", "volume below zero", ""]
 
 
 def test_tally(spark):
@@ -149,7 +223,7 @@ def test_ewma_steps_against_a_loop(spark):
     x = [float(v) for v in rng.normal(0, 1, 120)]
     x[70] = 40.0
     d = spark.createDataFrame([("k", i, v) for i, v in enumerate(x)], "series string, day long, r double")
-    got = {r.day: (r.z, r.sd) for r in windows.folded(d, "series", "day", volatility.ewma_step, volatility.ewma_start, "day long, z double, sd double").collect()}
+    got = {r.day: (r.z, r.sd) for r in windows.folded(d, ["series"], "day", ["r"], volatility.ewma_step, volatility.ewma_start, "z double, sd double").collect()}
     mean = var = 0.0
     for i, v in enumerate(x):
         sd = math.sqrt(var)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,14 +20,107 @@ def generate_sessions(days: DataFrame, zone: str, opens: str, closes: str) -> Da
     return d.select("day", (local(opens, 0) - zero).alias("open_at"), (local(closes, overnight) - zero).alias("close_at"))
 
 
-def reference_week(hour: Column, offset: int) -> Column:
-    """Whether an hour lies in Sunday 17:00 to Friday 17:00 of a zone `offset` seconds from UTC."""
-    local = hour + offset
+def local_seconds(at: Column, zone: str) -> Column:
+    """The clock of a zone at an epoch second, as seconds since 1970 on that clock; summer time counts."""
+    stamp = F.timestamp_seconds(at)
+    return at + F.unix_timestamp(F.from_utc_timestamp(stamp, zone)) - F.unix_timestamp(F.from_utc_timestamp(stamp, "UTC"))
+
+
+def reference_week(at: Column, zone: str = "America/New_York") -> Column:
+    """Whether a second lies in Sunday 17:00 to Friday 17:00 by the clock of `zone`."""
+    local = local_seconds(at, zone)
     day, time = weekday(F.floor(local / 86400)), F.pmod(local, F.lit(86400))
     return (day.between(1, 4)) | ((day == 0) & (time >= 17 * 3600)) | ((day == 5) & (time < 17 * 3600))
 
 
+def regular_session(at: Column, opens: int, closes: int, zone: str = "America/New_York") -> Column:
+    """Whether a second lies in the hours [opens, closes) (seconds of the day) of a weekday, by the clock of `zone`."""
+    local = local_seconds(at, zone)
+    time = F.pmod(local, F.lit(86400))
+    return weekday(F.floor(local / 86400)).between(1, 5) & (time >= opens) & (time < closes)
+
+
 def business_days_back(day: Column, n: int) -> Column:
     """The n-th weekday before a day (Python-free: the fifteen days before hold ten weekdays at least)."""
     before = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n * 2 + 4)), lambda k: day - k), lambda d: ~weekday(d).isin(0, 6))
     return F.element_at(before, n)
+
+
+#: Letters of the delivery months, January to December, and the contract rules of futures: months listed, months held,
+#: weekdays from the last day of trading to the month's end, months by which it comes before the delivery month, or a day of the month and
+#: weekdays before it; weekdays before the delivery month by which the contract is left, or weekdays before its last day; suffix.
+MONTHS = "FGHJKMNQUVXZ"
+SPECS = (
+    ("KC=F", "HKNUZ", "HKNUZ", 8, 0, None, None, 12, None, "NYB"),
+    ("CC=F", "HKNUZ", "HKNUZ", 11, 0, None, None, 15, None, "NYB"),
+    ("CT=F", "HKNVZ", "HKNZ", 16, 0, None, None, 10, None, "NYB"),
+    ("LE=F", "GJMQVZ", "GJMQVZ", 0, 0, None, None, 12, None, "CME"),
+    ("BZ=F", MONTHS, MONTHS, 0, 2, None, None, None, 3, "NYM"),
+    ("ZT=F", "HMUZ", "HMUZ", 0, 0, None, None, 3, None, "CBT"),
+    ("ZN=F", "HMUZ", "HMUZ", 7, 0, None, None, 3, None, "CBT"),
+    ("ZB=F", "HMUZ", "HMUZ", 7, 0, None, None, 3, None, "CBT"),
+    ("ZC=F", "HKNUZ", "HKNZ", 0, 0, 15, 1, 14, None, "CBT"),
+    ("ZW=F", "HKNUZ", "HKNUZ", 0, 0, 15, 1, 14, None, "CBT"),
+    ("ZS=F", "FHKNQUX", "FHKNX", 0, 0, 15, 1, 14, None, "CBT"),
+    ("SB=F", "HKNV", "HKNV", 0, 1, None, None, None, 16, "NYB"),
+    ("PL=F", "FJNV", "FJNV", 2, 0, None, None, 3, None, "NYM"),
+    ("FGBL=F", "HMUZ", "HMUZ", 0, 0, 10, 2, None, 3, "EUX"),
+    ("TFM=F", MONTHS, MONTHS, 1, 1, None, None, None, 1, "NDX"),
+)
+_SPEC = "ticker string, listed string, held string, ltd_back int, ltd_months int, ltd_day int, ltd_day_back int, roll_back int, roll_ltd int, suffix string"
+
+
+def specs_sql() -> str:
+    """SPECS as rows of a VALUES list."""
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in SPECS)
+
+
+def weekdays_before(day: Column, n: Column) -> Column:
+    """The n-th weekday before a date (the date itself for 0): whole weeks back, then the days that are left, past a weekend."""
+    # Monday 0 to Friday 4; a weekend day counts from the Monday after it
+    at = F.weekday(day)
+    monday = F.when(at >= 5, F.date_add(day, 7 - at)).otherwise(F.date_sub(day, at))
+    place = F.when(at >= 5, F.lit(0)).otherwise(at)
+    weeks = F.ceil((n - place) / 5).cast("int")
+    weeks = F.greatest(weeks, F.lit(0))
+    return F.when(n == 0, day).otherwise(F.date_add(monday, (place - n + weeks * 5 - weeks * 7).cast("int")))
+
+
+def weekday_from(day: Column) -> Column:
+    """The date, or the Monday after it at a weekend."""
+    return F.when(F.weekday(day) >= 5, F.date_add(day, 7 - F.weekday(day))).otherwise(day)
+
+
+def contracts(spark: SparkSession, years: DataFrame) -> DataFrame:
+    """ticker, contract, year, month, held, last_day, leaves (the last day on which it is held) of each listed contract of the delivery years."""
+    months = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")
+    spec = spark.createDataFrame(SPECS, _SPEC)  # a row an instrument
+    c = years.select("year", months).crossJoin(F.broadcast(spec)).withColumn("code", F.substring(F.lit(MONTHS), F.col("month"), F.lit(1)))
+    c = c.where(F.expr("instr(listed, code) > 0"))
+    first = F.make_date("year", "month", F.lit(1))
+    month_end = F.date_sub(F.add_months(first, 1 - F.col("ltd_months")), 1)
+    end = F.date_sub(month_end, F.greatest(F.weekday(month_end) - 4, F.lit(0)))
+    by_day = weekdays_before(F.make_date("year", "month", F.coalesce("ltd_day", F.lit(1))), F.coalesce("ltd_day_back", F.lit(1)))
+    c = c.withColumn("last_day", F.when(F.col("ltd_day").isNotNull(), by_day).otherwise(weekdays_before(end, F.col("ltd_back"))))
+    by_last, by_month = weekdays_before(F.col("last_day"), F.coalesce("roll_ltd", F.lit(0))), weekdays_before(weekday_from(first), F.coalesce("roll_back", F.lit(0)) + 1)
+    c = c.withColumn("leaves", F.when(F.col("roll_ltd").isNotNull(), by_last).otherwise(by_month))
+    name = F.concat(F.regexp_replace("ticker", "=F$", ""), "code", F.lpad((F.col("year") % 100).cast("string"), 2, "0"), F.lit("."), "suffix")
+    return c.select("ticker", name.alias("contract"), "year", "month", F.expr("instr(held, code) > 0").alias("held"), "last_day", "leaves")
+
+
+def rolls(rows: DataFrame) -> DataFrame:
+    """ticker, contract, first_day of the held contracts: in front from the weekday after the one before is left."""
+    line = Window.partitionBy("ticker").orderBy("year", "month")
+    before = F.lag("leaves").over(line)
+    return rows.where("held").select("ticker", "contract", weekday_from(F.date_add(before, 1)).alias("first_day")).where("first_day is not null")
+
+
+def roll_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """ticker, session (date) of the first two sessions from the day before each edge on, within seven days after it; edges are the morrows of
+    last trading days, and rolls. Sessions meet the edges of their week or the one before by an equi-join on weeks."""
+    edges = rows.select("ticker", F.date_add("last_day", 1).alias("edge")).union(rolls(rows).select("ticker", "first_day")).distinct()
+    week = lambda d: F.floor(F.unix_date(d) / 7)
+    spread = edges.withColumn("week", F.explode(F.array(*(week(F.date_sub("edge", 1)) + i for i in (0, 1, 2)))))
+    met = spread.join(sessions.withColumn("week", week(F.col("session"))), "week").where((F.col("session") >= F.date_sub("edge", 1)) & (F.col("session") <= F.date_add("edge", 7)))
+    nth = F.row_number().over(Window.partitionBy("ticker", "edge").orderBy("session"))
+    return met.withColumn("nth", nth).where("nth <= 2").select("ticker", "session").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import range_mean
+from .windows import earlier_at_least, range_mean
 
 #: Words and their thresholds on |z|, the size beyond which a reading is a broken price, the way back
 #: and length of a broken stretch, and the share of a size that counts as rare as it.
@@ -84,12 +84,8 @@ def day_moves(rows: DataFrame, keys: list[str], day: str, moves: Column, extra:
 
 
 def rarest_since(scored: DataFrame, keys: list[str], bottom: float, share: float = RARE_SHARE) -> DataFrame:
-    """Readings of |z| >= bottom with the last earlier reading of their sign and at least `share` of their size.
-
-    Only readings that could match (|z| >= share * bottom) are joined, on keys and sign; each is rare by its threshold."""
+    """Readings of |z| >= bottom with the last earlier reading of their keys and sign and at least `share` of their size."""
     known = scored.where(F.abs("z") >= share * bottom).withColumn("_sign", F.signum("z"))
-    a = known.where(F.abs("z") >= bottom)
-    b = known.select(*keys, "_sign", F.col("hour").alias("_h"), F.col("z").alias("_z"))
-    hit = a.join(b, [*keys, "_sign"]).where((F.col("_h") < F.col("hour")) & (F.abs("_z") >= share * F.abs("z")))
-    best = hit.groupBy(*keys, "hour").agg(F.max("_h").alias("since_hour"), F.max_by("_z", "_h").alias("since_z"))
-    return a.drop("_sign").join(best, [*keys, "hour"], "left")
+    flagged = known.where(F.abs("z") >= bottom)
+    out = earlier_at_least(flagged, [*keys, "_sign"], "hour", F.abs("z"), F.abs("z") * share, ["hour", "z"], points=known)
+    return out.withColumn("since_hour", F.col("_last.hour")).withColumn("since_z", F.col("_last.z")).drop("_sign", "_n", "_last")

@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
+
+from .windows import quantiles, trailing
 
 
 def long_run_sigma(rows: DataFrame, keys: list[str], at: str, r: str, span: int, lam: float, least: int) -> DataFrame:
-    """rows with sigma_lt: root of the mean of the squares of the `span` rows before, weighted lam^age, by the weights in use.
+    """rows with sigma_lt: root of the mean of the squares of the `span` rows before, weighted lam^age, by the weights in use."""
+
+    def compute(w: np.ndarray) -> list[np.ndarray]:
+        there = ~np.isnan(w)
+        age = there[:, ::-1].cumsum(axis=1)[:, ::-1] - 1
+        weight = np.where(there, lam ** np.maximum(age, 0), 0.0)
+        total = weight.sum(axis=1)
+        mean = (weight * np.where(there, w, 0.0) ** 2).sum(axis=1) / np.where(total > 0, total, 1.0)
+        return [np.where(there.sum(axis=1) >= least, np.sqrt(mean), np.nan)]
 
-    Running sums of lam^-t would overflow; the frame is short, so its squares are folded in order."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-span, -1)
-    squares = F.collect_list(F.col(r) * F.col(r)).over(w)
-    fold = lambda f: F.aggregate("_sq", F.lit(0.0), lambda s, v: s * F.lit(lam) + f(v))
-    out = rows.withColumn("_sq", squares)
-    return out.withColumn("sigma_lt", F.when(F.size("_sq") >= least, F.sqrt(fold(lambda v: v) / fold(lambda v: F.lit(1.0))))).drop("_sq")
+    return trailing(rows, keys, at, r, span, compute, "sigma_lt double")
 
 
 def trailing_quantiles(rows: DataFrame, keys: list[str], at: str, x: str, span: int, least: int) -> DataFrame:
     """rows with q95, q99 of x over the `span` rows before."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-span, -1)
-    enough = F.count(x).over(w) >= least
-    q = F.percentile(x, F.array(F.lit(0.95), F.lit(0.99))).over(w)
-    return rows.withColumn("_q", F.when(enough, q)).withColumn("q95", F.col("_q")[0]).withColumn("q99", F.col("_q")[1]).drop("_q")
-
-
-def _median(a):
-    s, n = F.array_sort(a), F.size(a)
-    at = lambda i: F.element_at(s, i.cast("int"))
-    return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    return trailing(rows, keys, at, x, span, lambda w: quantiles(w, (0.95, 0.99), least), "q95 double, q99 double")
 
 
 def rolling_mad(rows: DataFrame, keys: list[str], at: str, x: str, n: int) -> DataFrame:
     """rows with mad: median distance to the median of the n rows before, null if any of them is missing."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-n, -1)
-    out = rows.withColumn("_l", F.collect_list(x).over(w))
-    out = out.withColumn("_m", F.when(F.size("_l") == n, _median(F.col("_l"))))
-    return out.withColumn("mad", F.when(F.col("_m").isNotNull(), _median(F.transform("_l", lambda v: F.abs(v - F.col("_m")))))).drop("_l", "_m")
+    return trailing(rows, keys, at, x, n, lambda w: [np.median(np.abs(w - np.median(w, axis=1, keepdims=True)), axis=1)], "mad double")
 
 
 def ewma_start():
-    return {"mean": 0.0, "var": 0.0, "n": 0}
+    return 0.0, 0.0, 0
 
 
-def ewma_step(state, row, lam: float = 0.94, cut: float = 5.0):
-    """z against the state before the row; the update is winsorised at `cut` deviations and uses the old mean."""
-    sd = state["var"] ** 0.5
-    z = (row.r - state["mean"]) / sd if state["n"] >= 20 and sd > 0 else None
-    x = row.r if z is None else state["mean"] + max(-cut, min(cut, z)) * sd
-    var = lam * state["var"] + (1 - lam) * (x - state["mean"]) ** 2
-    return {"mean": lam * state["mean"] + (1 - lam) * x, "var": var, "n": state["n"] + 1}, {"day": row.day, "z": z, "sd": sd}
+def ewma_step(state, r, lam: float = 0.94, cut: float = 5.0):
+    """(z, sd) against the state (mean, variance, n) before the row; the update is winsorised at `cut` deviations and uses the old mean."""
+    mean, var, n = state
+    sd = var**0.5
+    z = (r - mean) / sd if n >= 20 and sd > 0 else None
+    x = r if z is None else mean + max(-cut, min(cut, z)) * sd
+    return (lam * mean + (1 - lam) * x, lam * var + (1 - lam) * (x - mean) ** 2, n + 1), (z, sd)

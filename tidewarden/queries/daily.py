@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
 from ..operators import volatility, windows
 from ..registry import query
 from ..sources import market
@@ -38,12 +37,18 @@ def e18(spark, sf):
     return volatility.long_run_sigma(returns(spark, sf), ["series"], "day", "r", 60, 0.94, 20).select("day", r6("sigma_lt"))
 
 
-@query("E19_ewma_state")
+@query("E19_ewma_state", f"""WITH RECURSIVE {DAILY}, k AS (SELECT day, r, row_number() OVER (ORDER BY day) AS i FROM ret WHERE r IS NOT NULL),
+e(i, day, m, v, z, sd) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE
+  UNION ALL
+  SELECT i, day, 0.94::DOUBLE * m + 0.06::DOUBLE * x, 0.94::DOUBLE * v + 0.06::DOUBLE * (x - m) * (x - m), z, sd
+  FROM (SELECT *, CASE WHEN z IS NULL THEN r ELSE m + greatest(-5.0::DOUBLE, least(5.0::DOUBLE, z)) * sd END AS x
+    FROM (SELECT k.i, k.day, k.r, e.m, e.v, sqrt(e.v) AS sd, CASE WHEN k.i > 20 AND e.v > 0 THEN (k.r - e.m) / sqrt(e.v) END AS z FROM e JOIN k ON k.i = e.i + 1)))
+SELECT day, round(z, 6) AS z, round(sd, 6) AS sd FROM e WHERE i > 0""")
 def e19(spark, sf):
-    """Sequential z with winsorised updates; a fold, tested against a plain loop."""
-    ship(spark)
+    """Sequential z with winsorised updates: a fold in the order of days."""
     d = returns(spark, sf).where("r is not null").select("series", "day", "r")
-    return windows.folded(d, "series", "day", volatility.ewma_step, volatility.ewma_start, "day long, z double, sd double").select("day", r6("z"), r6("sd"))
+    return windows.folded(d, ["series"], "day", ["r"], volatility.ewma_step, volatility.ewma_start, "z double, sd double").select("day", r6("z"), r6("sd"))
 
 
 @query("E20_rolling_quantiles", f"""WITH {DAILY}, w AS (SELECT day, abs(r) AS a FROM ret WHERE r IS NOT NULL)
@@ -72,12 +77,12 @@ def e22(spark, sf):
 
 @query("E23_known_rank", f"""WITH {DAILY} SELECT a.day, round(avg((b.close <= a.close)::INT), 6) AS rank_known, count(*) AS n_known FROM ret a JOIN ret b ON b.available_at <= a.day GROUP BY 1""")
 def e23(spark, sf):
-    """Share of the values known on a day that are not above it: counts by bins of value, not pairs of days.
-
-    Ranks need all earlier values; the index is one value a day, so the day-by-day join is of a small daily table."""
-    d = returns(spark, sf).select("day", "close", "available_at")
-    b = d.select(F.col("close").alias("c2"), F.col("available_at").alias("known"))
-    return d.join(b, F.col("known") <= F.col("day")).groupBy("day").agg(r6(F.avg((F.col("c2") <= F.col("close")).cast("double")), "rank_known"), F.count(F.lit(1)).alias("n_known"))
+    """Share of the values known on a day that are not above it: counted by blocks of ranks, not by pairs of days."""
+    d = returns(spark, sf).select("series", "day", "close", "available_at")
+    known = d.select("series", F.col("available_at").alias("day"), "close")
+    least = windows.earlier_at_least(d, ["series"], "day", -F.col("close"), -F.col("close"), [], points=known, upto=True).withColumnRenamed("_n", "n_upto").drop("_last")
+    all_ = windows.earlier_at_least(d, ["series"], "day", F.lit(0.0), F.lit(0.0), [], points=known, upto=True).select("day", F.col("_n").alias("n_known"))
+    return least.join(all_, "day").where("n_known > 0").select("day", r6(F.col("n_upto") / F.col("n_known"), "rank_known"), "n_known")
 
 
 @query("C8_asof_backward", f"WITH {DAILY}, e AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS t FROM orders) SELECT o_orderkey, t, ret.close AS known_close, ret.day AS known_day FROM e ASOF LEFT JOIN ret ON e.t >= ret.available_at")
@@ -85,8 +90,8 @@ def c8(spark, sf):
     """Each order with the index value known at its time."""
     e = market.table(spark, sf, "orders").select("o_orderkey", market.epoch("o_orderdate").alias("t"), F.lit("index").alias("series"))
     d = returns(spark, sf).select("series", "available_at", F.col("close").alias("known_close"), F.col("day").alias("known_day"))
-    # one series: partition the time line by year, carrying the last value into each year
-    return windows.asof_backward(e, d, ["series"], "t", "available_at", ["known_close", "known_day"]).select("o_orderkey", "t", "known_close", "known_day")
+    # one series: its time line is cut into months, and the last value is carried into each
+    return windows.asof_backward(e, d, ["series"], "t", "available_at", ["known_close", "known_day"], bin_size=30 * market.DAY).select("o_orderkey", "t", "known_close", "known_day")
 
 
 @query("C9_asof_forward", "WITH l AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS t FROM events), n AS (SELECT event_type, t FROM l WHERE event_id % 10 = 0) SELECT event_id, l.t, min(n.t) AS next_t FROM l LEFT JOIN n ON l.event_type = n.event_type AND n.t > l.t GROUP BY 1, 2")

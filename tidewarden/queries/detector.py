@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
-from ..operators import jumps, windows
+from ..operators import calendar, jumps, windows
 from ..operators.bars import fold
 from ..registry import query
 from ..sources import market
@@ -53,24 +52,29 @@ def staged(df):
     return stage(df, "pass")
 
 
-@query("E3_broken_stretch")
+@query("E3_broken_stretch", f"""WITH RECURSIVE {MOVES}, mv AS (SELECT asset, hour, r, row_number() OVER (PARTITION BY asset ORDER BY hour) AS i FROM moves WHERE r IS NOT NULL),
+k AS (SELECT * FROM mv WHERE asset IN (SELECT asset FROM mv WHERE abs(r) >= 3)),
+e(asset, i, hour, size, moved, n, inside) AS (
+  SELECT DISTINCT asset, 0::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT, FALSE FROM k
+  UNION ALL
+  SELECT k.asset, k.i, k.hour, CASE WHEN e.n > 0 THEN e.size ELSE abs(k.r) END, CASE WHEN e.n > 0 THEN e.moved + k.r ELSE k.r END,
+    CASE WHEN e.n > 0 THEN CASE WHEN abs(e.moved + k.r) <= 0.5 * e.size THEN 0 ELSE e.n - 1 END WHEN abs(k.r) >= 3 THEN 23 ELSE 0 END, e.n > 0
+  FROM e JOIN k ON k.asset = e.asset AND k.i = e.i + 1)
+SELECT asset, hour, inside AS in_stretch FROM e WHERE i > 0""")
 def e3(spark, sf):
-    """Hours after a move of 5 or more (in log) until the price is half way back; kept state, so a fold over the breaks' own instruments."""
-    ship(spark)
+    """Hours after a move of 3 or more (in log) until the price is half way back; instruments without one are left out."""
     m = moves(spark, sf).where("r is not null").select("asset", "hour", "r")
     hit = m.join(m.where("abs(r) >= 3").select("asset").distinct(), "asset", "left_semi")
 
-    def step(state, row):
+    def step(state, r):
+        """state: size of the break, move since, bars that may still be within."""
         size, moved, left = state
         if left:
-            moved, left, gone = moved + row.r, left - 1, True
-            state = (size, moved, 0 if abs(moved) <= jumps.STRETCH_BACK * size else left)
-        else:
-            gone = False
-            state = (abs(row.r), row.r, jumps.STRETCH_BARS - 1) if abs(row.r) >= 3 else (0.0, 0.0, 0)
-        return state, {"asset": row.asset, "hour": row.hour, "in_stretch": gone}
+            moved += r
+            return (size, moved, 0 if abs(moved) <= jumps.STRETCH_BACK * size else left - 1), (True,)
+        return (abs(r), r, jumps.STRETCH_BARS - 1 if abs(r) >= 3 else 0), (False,)
 
-    return windows.folded(hit, "asset", "hour", step, lambda: (0.0, 0.0, 0), "asset string, hour long, in_stretch boolean")
+    return windows.folded(hit, ["asset"], "hour", ["r"], step, lambda: (0.0, 0.0, 0), "in_stretch boolean").select("asset", "hour", "in_stretch")
 
 
 @query("E4_minimum_count", "WITH " + TICKS + ", b AS (SELECT asset, count(DISTINCT t // 3600) AS n_hours, count(DISTINCT t // 86400) AS n_days FROM ticks GROUP BY 1) SELECT asset, ceil(sqrt(252 * n_hours / n_days))::BIGINT AS min_count FROM b")
@@ -95,11 +99,14 @@ s AS (SELECT *, CASE WHEN count(x) OVER w >= 5 THEN sqrt(pi() / 2 * avg(x) OVER
 SELECT asset, kind, hour, round(gap, 6) AS gap, round(gap / CASE WHEN sigma > 0 THEN sigma END, 6) AS z FROM s""")
 def e7(spark, sf):
     """Gaps scored against gaps of their kind."""
+    return gaps(spark, sf).select("asset", "kind", "hour", r6("gap"), r6("z"))
+
+
+def gaps(spark, sf):
     w = Window.partitionBy("asset").orderBy("hour")
     kind = F.when(F.col("hour") - F.lag("hour").over(w) >= 10800, "long").otherwise("night")
     g = moves(spark, sf).withColumn("kind", kind).where("gap is not null")
-    s = jumps.score(g, ["asset", "kind"], 30 * 86400, 5, r="gap")
-    return s.select("asset", "kind", "hour", r6("gap"), r6("z"))
+    return jumps.score(g, ["asset", "kind"], 30 * 86400, 5, r="gap")
 
 
 _DAYS = f"""{SCORED}, dm AS (SELECT *, hour // 86400 AS d, CASE WHEN r IS NOT NULL OR gap IS NOT NULL THEN coalesce(r, 0) + coalesce(gap, 0) END AS mv,
@@ -137,19 +144,14 @@ def e10(spark, sf):
     return moves(spark, sf).select("asset", "hour", "is_open", r6("r"), r6("gap"), r6("hole"))
 
 
-_NY = "CAST(hour AS BIGINT) - 18000"  # winter New York: the events are of January
-
-
-@query("E11_session_ids", f"""WITH {BARS} SELECT asset, hour, strftime(make_timestamp((hour - 18000) * 1000000), '%Y-%m-%d') AS fund_day, strftime(make_timestamp((hour + 7 * 3600 - 18000) * 1000000), '%Y-%m-%d') AS fx_day,
-  ((hour - 18000 + 7 * 3600 + 259200) // 604800)::BIGINT AS fx_week FROM bars""")
+@query("E11_session_ids", f"""WITH {BARS}, l AS (SELECT asset, hour, hour - CASE WHEN hour // 86400 BETWEEN 19792 AND 20029 THEN 14400 ELSE 18000 END AS local FROM bars)
+SELECT asset, hour, strftime(make_timestamp(local * 1000000), '%Y-%m-%d') AS fund_day, strftime(make_timestamp((local + 25200) * 1000000), '%Y-%m-%d') AS fx_day,
+  ((local + 25200 + 259200) // 604800)::BIGINT AS fx_week FROM l""")
 def e11(spark, sf):
     """Trading days by template: a fund's day in New York, the currency day that turns at 17:00 there, its week."""
-    b = market.bars(spark, sf)
-    local = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("hour"), "America/New_York")) + F.lit(0)
-    zone = (F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds("hour"), "America/New_York")) - F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds("hour"), "UTC"))).alias("z")
-    del local
-    b = b.withColumn("z", zone)
-    return b.select("asset", "hour", market.day_text(F.col("hour") + F.col("z")).alias("fund_day"), market.day_text(F.col("hour") + F.col("z") + 7 * 3600).alias("fx_day"), F.floor((F.col("hour") + F.col("z") + 7 * 3600 + 259200) / 604800).alias("fx_week"))
+    b = market.bars(spark, sf).withColumn("local", calendar.local_seconds(F.col("hour"), "America/New_York"))
+    turned = F.col("local") + 7 * 3600
+    return b.select("asset", "hour", market.day_text("local").alias("fund_day"), market.day_text(turned).alias("fx_day"), F.floor((turned + 259200) / 604800).alias("fx_week"))
 
 
 #: Sessions of the exchange template: weekdays, 14:00 to 21:00 UTC.
@@ -213,21 +215,33 @@ def e14(spark, sf):
     return out.crossJoin(F.broadcast(newest)).select("asset", "hour", r6(held, "held"))
 
 
-@query("E15_rarest_since", f"""WITH {SCORED}, k AS (SELECT asset, hour, z FROM scored WHERE abs(z) >= 0.95 * 1.5)
-SELECT a.asset, a.hour, round(a.z, 6) AS z, max(b.hour) AS since_hour, round(arg_max(b.z, b.hour), 6) AS since_z
-FROM (SELECT * FROM k WHERE abs(z) >= 1.5) a LEFT JOIN k b ON a.asset = b.asset AND sign(a.z) = sign(b.z) AND b.hour < a.hour AND abs(b.z) >= 0.95 * abs(a.z) GROUP BY 1, 2, 3""")
+_KINDS = f"""{SCORED}, gk AS (SELECT asset, hour, gap, CASE WHEN hour - lag(hour) OVER (PARTITION BY asset ORDER BY hour) >= 10800 THEN 'long' ELSE 'night' END AS kind FROM moves),
+gx AS (SELECT *, abs(gap) * abs(lag(gap) OVER (PARTITION BY asset, kind ORDER BY hour)) AS x FROM gk WHERE gap IS NOT NULL),
+gs AS (SELECT *, CASE WHEN count(x) OVER w >= 5 THEN sqrt(pi() / 2 * avg(x) OVER w) END AS s FROM gx WINDOW w AS (PARTITION BY asset, kind ORDER BY hour RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING)),
+kinds AS (SELECT asset, 'hour' AS kind, hour, z FROM scored UNION ALL SELECT asset, kind, hour, gap / CASE WHEN s > 0 THEN s END FROM gs)"""
+
+
+def readings(spark, sf):
+    """asset, kind, hour, z: hours, and gaps by their kind, each by its own yardstick."""
+    hours = scored(spark, sf).select("asset", F.lit("hour").alias("kind"), "hour", "z")
+    return hours.unionByName(gaps(spark, sf).select("asset", "kind", "hour", "z"))
+
+
+@query("E15_rarest_since", f"""WITH {_KINDS}, k AS (SELECT * FROM kinds WHERE abs(z) >= 0.95 * 1.5)
+SELECT a.asset, a.kind, a.hour, round(a.z, 6) AS z, max(b.hour) AS since_hour, round(arg_max(b.z, b.hour), 6) AS since_z FROM (SELECT * FROM k WHERE abs(z) >= 1.5) a
+LEFT JOIN k b ON a.asset = b.asset AND a.kind = b.kind AND sign(a.z) = sign(b.z) AND b.hour < a.hour AND abs(b.z) >= 0.95 * abs(a.z) GROUP BY 1, 2, 3, 4""")
 def e15(spark, sf):
-    out = jumps.rarest_since(scored(spark, sf), ["asset"], 1.5)
-    return out.select("asset", "hour", r6("z"), "since_hour", r6("since_z"))
+    """Hours are set against hours, nights against nights, long pauses against long pauses."""
+    out = jumps.rarest_since(readings(spark, sf), ["asset", "kind"], 1.5)
+    return out.select("asset", "kind", "hour", r6("z"), "since_hour", r6("since_z"))
 
 
 @query("C11_theta_self_join", f"""WITH {SCORED}, k AS (SELECT asset, hour, z FROM scored WHERE abs(z) >= 2)
 SELECT a.asset, a.hour, count(b.hour) AS n_as_large FROM k a LEFT JOIN k b ON a.asset = b.asset AND b.hour < a.hour AND abs(b.z) >= abs(a.z) GROUP BY 1, 2""")
 def c11(spark, sf):
+    """How many earlier readings of the instrument were as large."""
     k = scored(spark, sf).where("abs(z) >= 2").select("asset", "hour", "z")
-    b = k.select(F.col("asset").alias("a"), F.col("hour").alias("h"), F.col("z").alias("y"))
-    out = k.join(b, (F.col("asset") == F.col("a")) & (F.col("h") < F.col("hour")) & (F.abs("y") >= F.abs("z")), "left")
-    return out.groupBy("asset", "hour").agg(F.count("h").alias("n_as_large"))
+    return windows.earlier_at_least(k, ["asset"], "hour", F.abs("z"), F.abs("z"), []).select("asset", "hour", F.col("_n").alias("n_as_large"))
 
 
 @query("E16_event_starts", f"""WITH RECURSIVE {SCORED}, k AS (SELECT asset, hour + 3600 AS found, row_number() OVER (PARTITION BY asset ORDER BY hour) AS i FROM scored WHERE word IS NOT NULL),
@@ -235,17 +249,25 @@ e AS (SELECT asset, found, i, found AS start FROM k WHERE i = 1 UNION ALL SELECT
 SELECT asset, found, start AS event_start FROM e""")
 def e16(spark, sf):
     """24 hours from the first reading of an event; later readings don't extend it."""
-    ship(spark)
     k = scored(spark, sf).where("word is not null").select("asset", (F.col("hour") + 3600).alias("found"))
     return windows.event_starts(k, "asset", "found", 86400)
 
 
-@query("E16_anchored_event_starts")
+@query("E16_anchored_event_starts", f"""WITH RECURSIVE {SCORED}, f AS (SELECT asset, hour + 3600 AS found FROM scored WHERE word IS NOT NULL),
+pins AS (SELECT DISTINCT asset, found // 864000 * 864000 + 43200 AS pin FROM f),
+t AS (SELECT f.asset, f.found, min(CASE WHEN f.found >= pin AND f.found < pin + 86400 THEN pin END) AS held, min(CASE WHEN pin > f.found AND pin <= f.found + 86400 THEN pin END) AS ahead FROM f LEFT JOIN pins ON pins.asset = f.asset GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY found) AS i FROM t WHERE held IS NULL),
+e(asset, i, found, current, start) AS (
+  SELECT DISTINCT asset, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM k
+  UNION ALL
+  SELECT k.asset, k.i, k.found, CASE WHEN k.found < e.current + 86400 OR k.ahead IS NOT NULL THEN e.current ELSE k.found END,
+    CASE WHEN k.found < e.current + 86400 THEN e.current WHEN k.ahead IS NOT NULL THEN k.ahead ELSE k.found END
+  FROM e JOIN k ON k.asset = e.asset AND k.i = e.i + 1)
+SELECT asset, found, start AS event_start FROM e WHERE i > 0 UNION ALL SELECT asset, found, held FROM t WHERE held IS NOT NULL""")
 def e16_anchored(spark, sf):
     """As E16 with pinned starts: here each instrument's every tenth day at noon."""
-    ship(spark)
     k = scored(spark, sf).where("word is not null").select("asset", (F.col("hour") + 3600).alias("found"))
-    pins = k.groupBy("asset", F.floor(F.col("found") / 864000).alias("d")).agg(F.lit(1)).select("asset", (F.col("d") * 864000 + 43200).alias("anchor"))
+    pins = k.select("asset", (F.floor(F.col("found") / 864000) * 864000 + 43200).alias("anchor")).distinct()
     return windows.event_starts(k, "asset", "found", 86400, pins)
 
 
@@ -260,7 +282,6 @@ j AS (SELECT k.*, start FROM k JOIN e USING (asset, i)), t AS (SELECT *, row_num
 SELECT asset, start AS event_start, hour, round(z, 6) AS z, word, n_rows FROM t WHERE n = 1""")
 def d12(spark, sf):
     """The largest reading of each event."""
-    ship(spark)
     k = scored(spark, sf).where("word is not null").select("asset", "hour", (F.col("hour") + 3600).alias("found"), "z", "word")
     e = windows.event_starts(k, "asset", "found", 86400)
     best = F.max_by(F.struct("hour", "z", "word"), F.struct(F.abs("z"), -F.col("hour"))).alias("b")

@@ -24,26 +24,31 @@ def new_path(spark, label):
 
 
 def sharded(spark, sf):
-    """A store of day-partitioned Parquet shards, and newer CSV shards of the last days."""
+    """A store of bars: shards of whole ten-day spans, and of single days that were delivered after them. A span and its days
+    both exist where a write ended between laying down the days and removing the span. The last days are CSV."""
     b = market.bars(spark, sf).withColumn("day", F.floor(F.col("hour") / 86400))
+    span = F.concat(F.lit("span-"), F.floor(F.col("day") / 10).cast("string"))
+    one = F.concat(span, F.lit("-"), F.col("day").cast("string"))
     old, new = new_path(spark, "settled"), new_path(spark, "open")
-    b.where("day < 19740").write.partitionBy("asset", "day").parquet(old)
-    b.where("day >= 19735").withColumn("close", F.col("close") + 1).write.partitionBy("asset", "day").option("header", True).csv(new)
+    later = b.where("day % 10 >= 5").withColumn("close", F.col("close") + 1).withColumn("shard", one)
+    b.withColumn("shard", span).unionByName(later.where("day % 2 = 0")).write.partitionBy("asset", "day", "shard").parquet(old)
+    later.where("day % 2 = 1").write.partitionBy("asset", "day", "shard").option("header", True).csv(new)
     return old, new
 
 
-_STORE = f"{BARS}, store AS (SELECT asset, hour, open, CASE WHEN hour // 86400 >= 19735 THEN close + 1 ELSE close END AS close, n_src FROM bars)"
+_STORE = f"{BARS}, store AS (SELECT asset, hour, open, CASE WHEN hour // 86400 % 10 >= 5 THEN close + 1 ELSE close END AS close, n_src, hour // 86400 % 10 >= 5 AS of_a_day FROM bars)"
 
 
 def load(spark, sf, since_day=None):
+    """Of copies of a bar, that of the last shard stays: by span, a whole span before its days, days in order."""
     old, new = sharded(spark, sf)
-    parts = T.StructType([*BAR.fields, T.StructField("asset", T.StringType()), T.StructField("day", T.LongType())])
-    settled = spark.read.schema(parts).parquet(old).withColumn("rank", F.lit(0))
-    recent = spark.read.schema(parts).option("header", True).option("mode", "FAILFAST").csv(new).withColumn("rank", F.lit(1))
-    both = settled.unionByName(recent)
+    parts = T.StructType([*BAR.fields, *(T.StructField(n, t) for n, t in (("asset", T.StringType()), ("day", T.LongType()), ("shard", T.StringType())))])
+    both = spark.read.schema(parts).parquet(old).unionByName(spark.read.schema(parts).option("header", True).option("mode", "FAILFAST").csv(new))
     if since_day is not None:
         both = both.where(F.col("day") >= since_day)  # partition pruning
-    return ob.keep_last(both, ["asset", "hour"], F.desc("rank"))
+    name = F.split("shard", "-")
+    both = both.withColumn("span", F.get(name, F.lit(1)).cast("long")).withColumn("of_day", F.coalesce(F.get(name, F.lit(2)).cast("long"), F.lit(-1).cast("long")))
+    return ob.keep_last(both, ["asset", "hour"], F.desc("span"), F.desc("of_day"))
 
 
 @query("A1_load_store", f"WITH {_STORE} SELECT asset, hour, round(open, 6) AS open, round(close, 6) AS close, n_src FROM store")
@@ -52,9 +57,10 @@ def a1(spark, sf):
     return load(spark, sf).select("asset", "hour", r6("open"), r6("close"), "n_src")
 
 
-@query("A2_shard_precedence", f"WITH {_STORE} SELECT asset, count(*) AS n, count(*) FILTER (hour // 86400 >= 19735) AS n_from_open FROM store GROUP BY 1")
+@query("A2_shard_precedence", f"WITH {_STORE} SELECT asset, count(*) AS n, count(*) FILTER (of_a_day) AS n_from_days FROM store GROUP BY 1")
 def a2(spark, sf):
-    return load(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.sum("rank").cast("long").alias("n_from_open"))
+    """How many bars come from shards of a day."""
+    return load(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("of_day") >= 0).alias("n_from_days"))
 
 
 @query("A3_pruned_since", f"WITH {_STORE} SELECT asset, hour, round(close, 6) AS close FROM store WHERE hour // 86400 >= 19738")
@@ -142,10 +148,13 @@ def a9(spark, sf):
     return market.ticks(spark, sf).select("asset", F.col("t").alias("open_time"), F.col("price").alias("open"), (F.col("t") + 60).alias("close_time"))
 
 
-@query("A10_sessions_csv", "WITH d AS (SELECT unnest(generate_series(19723, 19753)) AS day) SELECT day, day * 86400 + 52200 AS open_at, day * 86400 + 75600 AS close_at FROM d WHERE (day + 4) % 7 BETWEEN 1 AND 5 AND EXISTS (SELECT 1 FROM events WHERE epoch_us(ts) // 86400000000 = day)")
+@query("A10_sessions_csv", """WITH d AS (SELECT DISTINCT epoch_us(ts) // 86400000000 AS day FROM events UNION SELECT DISTINCT epoch_us(o_orderdate) // 86400000000 FROM orders),
+t AS (SELECT day, make_timestamp(day * 86400000000 + 34200000000) AS o, make_timestamp(day * 86400000000 + 57600000000) AS c FROM d WHERE (day + 4) % 7 BETWEEN 1 AND 5)
+SELECT day, epoch_us(o AT TIME ZONE 'America/New_York') // 1000000 AS open_at, epoch_us(c AT TIME ZONE 'America/New_York') // 1000000 AS close_at FROM t""")
 def a10(spark, sf):
-    """Sessions of the days that ticks touch, generated from New York clock times, written as CSV and read back."""
-    days = market.ticks(spark, sf).select(F.floor(F.col("t") / 86400).alias("day")).distinct().where("day between 19723 and 19753")
+    """Sessions of the days of ticks and orders, generated from New York clock times (summer time counts), written as CSV and read back."""
+    days = market.ticks(spark, sf).select(F.floor(F.col("t") / 86400).alias("day"))
+    days = days.union(table(spark, sf, "orders").select(F.floor(epoch("o_orderdate") / 86400))).distinct()
     path = new_path(spark, "sessions")
     calendar.generate_sessions(days, "America/New_York", "09:30", "16:00").write.option("header", True).csv(path)
     return spark.read.schema("day long, open_at long, close_at long").option("header", True).option("mode", "FAILFAST").csv(path)
@@ -197,18 +206,40 @@ def a16(spark, sf):
     return back.select("k", "v.n", "v.last")
 
 
-@query("A17_absent_is_empty", "SELECT NULL::VARCHAR AS reading_id WHERE FALSE")
-def a17(spark, sf):
-    """A table that was never written reads as an empty one."""
-    path = f"{sf}/never-written.parquet"
+def read_or_empty(spark, path, schema):
+    """The Parquet table at path, or an empty one where it was never written."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.parquet(path) if there else spark.createDataFrame([], "reading_id string")
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+@query("A17_absent_is_empty", "SELECT event_type AS reading_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
+def a17(spark, sf):
+    """Deliveries of two instruments' ledgers, one of which was never written and reads as an empty one."""
+    path = new_path(spark, "ledger")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("reading_id"))
+    e.where("reading_id <> 'error'").write.parquet(f"{path}/others")
+    both = read_or_empty(spark, f"{path}/others", e.schema).unionByName(read_or_empty(spark, f"{path}/error", e.schema))
+    return both.groupBy("reading_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A18_hot_and_cold", f"WITH {_STORE} SELECT count(*) AS n, count(DISTINCT hour) AS hours FROM store")
+@query("A18_hot_and_cold", f"""WITH {BARS}, c AS (SELECT asset, hour, close, (hour // 86400 // 7 + 1) * 7 * 86400 + 3 * 86400 <= (SELECT max(hour) FROM bars) AS cold FROM bars),
+held AS (SELECT DISTINCT asset FROM c WHERE NOT cold) SELECT asset, cold, count(*) AS n, round(sum(CASE WHEN cold THEN close ELSE close + 1 END), 4) AS total, asset IN (SELECT asset FROM held) AS is_held FROM c GROUP BY 1, 2""")
 def a18(spark, sf):
-    return load(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hour").alias("hours"))
+    """Weeks settle three days after their end, by the newest bar. Settled ones are read from the cold tier, open ones from the hot tier, which is
+    newer; an instrument is held where the hot tier has it. Rows that the cold tier has of open weeks give way."""
+    b = market.bars(spark, sf)
+    newest = b.agg(F.max("hour").alias("newest"))
+    week = F.floor(F.col("hour") / (7 * 86400))
+    b = b.crossJoin(F.broadcast(newest)).select("asset", "hour", "close", ((week + 1) * 7 * 86400 + 3 * 86400 <= F.col("newest")).alias("cold"))
+    hot, cold = new_path(spark, "hot"), new_path(spark, "cold")
+    b.write.parquet(cold)
+    b.where("not cold").withColumn("close", F.col("close") + 1).write.parquet(hot)
+    hot, cold = spark.read.schema(b.schema).parquet(hot), spark.read.schema(b.schema).parquet(cold)
+    both = cold.join(hot, ["asset", "hour"], "left_anti").unionByName(hot)
+    held = hot.select("asset").distinct().withColumn("held", F.lit(True))
+    out = both.groupBy("asset", "cold").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total")).join(held, "asset", "left")
+    return out.select("asset", "cold", "n", "total", F.coalesce("held", F.lit(False)).alias("is_held"))
 
 
 @query("A20_fetch_missing", f"WITH {FEED_BARS}, newest AS (SELECT asset, max(hour) - 10800 AS since FROM fbars WHERE feed = 0 AND hour < 1706000000 GROUP BY 1) SELECT f.asset, count(*) AS n, min(f.hour) AS first FROM fbars f JOIN newest USING (asset) WHERE feed = 1 AND f.hour >= since GROUP BY 1")
@@ -216,30 +247,38 @@ def a20(spark, sf):
     """The window to ask for starts three hours before the newest stored bar."""
     f = market.feed_bars(spark, sf)
     newest = f.where("feed = 0 and hour < 1706000000").groupBy("asset").agg((F.max("hour") - 10800).alias("since"))
-    return f.where("feed = 1").join(F.broadcast(newest), "asset").where("hour >= since").groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.min("hour").alias("first"))
+    return f.where("feed = 1").join(newest, "asset").where("hour >= since").groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.min("hour").alias("first"))
 
 
-@query("A21_request_batches", f"WITH {BARS}, n AS (SELECT asset, hour // 86400 AS d, max(hour) AS newest, row_number() OVER (ORDER BY asset, hour // 86400) AS i FROM bars GROUP BY 1, 2) SELECT (i - 1) // 8 AS batch, count(*) AS n, min(newest) AS since FROM n GROUP BY 1")
+@query("A21_request_batches", f"""WITH {BARS}, n AS (SELECT asset, hour // 86400 AS d, max(hour) AS newest, row_number() OVER (ORDER BY asset, hour // 86400) AS i FROM bars GROUP BY 1, 2)
+SELECT (i - 1) // 8 AS batch, count(*) AS n, min(newest) AS since FROM n GROUP BY 1""")
 def a21(spark, sf):
-    """Eight series a request; its lower bound is the least of the batch."""
+    """Eight series a request; its lower bound is the least of the batch. Series are numbered within their instrument, after the instruments before."""
     n = market.bars(spark, sf).groupBy("asset", F.floor(F.col("hour") / 86400).alias("d")).agg(F.max("hour").alias("newest"))
-    n = n.withColumn("i", F.row_number().over(Window.orderBy("asset", "d")))  # one row a series and day
-    return n.groupBy(F.floor((F.col("i") - 1) / 8).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("newest").alias("since"))
+    before = windows.counts_before(n, "asset")
+    n = n.withColumn("i", F.row_number().over(Window.partitionBy("asset").orderBy("d"))).join(before, "asset")
+    return n.groupBy(F.floor((F.col("before") + F.col("i") - 1) / 8).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("newest").alias("since"))
 
 
 _ALIGN = f"""{FEED_BARS}, s AS (SELECT * FROM fbars WHERE feed = 0 AND close > 0), v AS (SELECT * FROM fbars WHERE feed = 1 AND close > 0),
 g AS (SELECT s.asset, count(*) AS n, median(abs(ln(v.close / s.close))) AS gap FROM s JOIN v USING (asset, hour) GROUP BY 1), ok AS (SELECT asset FROM g WHERE n >= 50 AND gap <= 1.2)"""
 
 
+def agreeing(s, v):
+    """asset of the instruments of which two feeds overlap in 50 hours or more with a small median gap."""
+    j = s.select("asset", "hour", F.col("close").alias("a")).join(v.select("asset", "hour", F.col("close").alias("b")), ["asset", "hour"])
+    gap = F.percentile(F.abs(F.ln(F.col("b") / F.col("a"))), 0.5)
+    return j.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), gap.alias("gap")).where("n >= 50 and gap <= 1.2").select("asset")
+
+
 @query("A22_gated_splice", f"WITH {_ALIGN}, o AS (SELECT asset, min(hour) + 86400 AS oldest FROM s GROUP BY 1) SELECT v.asset, v.hour, round(v.close, 6) AS close FROM v JOIN o USING (asset) JOIN ok USING (asset) WHERE v.hour < oldest")
 def a22(spark, sf):
     """A deeper source only adds rows below the oldest stored, and only where the overlap agrees."""
     f = market.feed_bars(spark, sf).where("close > 0")
     s, v = f.where("feed = 0"), f.where("feed = 1")
-    j = s.select("asset", "hour", F.col("close").alias("a")).join(v.select("asset", "hour", F.col("close").alias("b")), ["asset", "hour"])
-    ok = j.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.abs(F.ln(F.col("b") / F.col("a"))), 0.5).alias("gap")).where("n >= 50 and gap <= 1.2").select("asset")
+    ok = agreeing(s, v)
     oldest = s.groupBy("asset").agg((F.min("hour") + 86400).alias("oldest"))
-    return v.join(F.broadcast(oldest), "asset").where("hour < oldest").join(F.broadcast(ok), "asset", "left_semi").select("asset", "hour", r6("close"))
+    return v.join(oldest, "asset").where("hour < oldest").join(ok, "asset", "left_semi").select("asset", "hour", r6("close"))
 
 
 @query("A23_repair_missing", f"WITH {_ALIGN} SELECT v.asset, v.hour, round(v.close, 6) AS close FROM v JOIN ok USING (asset) ANTI JOIN s USING (asset, hour)")
@@ -247,15 +286,16 @@ def a23(spark, sf):
     """Only hours the store lacks, and only from a source that agrees."""
     f = market.feed_bars(spark, sf).where("close > 0")
     s, v = f.where("feed = 0"), f.where("feed = 1")
-    j = s.select("asset", "hour", F.col("close").alias("a")).join(v.select("asset", "hour", F.col("close").alias("b")), ["asset", "hour"])
-    ok = j.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.abs(F.ln(F.col("b") / F.col("a"))), 0.5).alias("gap")).where("n >= 50 and gap <= 1.2").select("asset")
-    return v.join(F.broadcast(ok), "asset", "left_semi").join(s, ["asset", "hour"], "left_anti").select("asset", "hour", r6("close"))
+    ok = agreeing(s, v)
+    return v.join(ok, "asset", "left_semi").join(s, ["asset", "hour"], "left_anti").select("asset", "hour", r6("close"))
 
 
-@query("A24_fill_gaps", f"WITH {_ALIGN}, miss AS (SELECT asset, hour FROM v ANTI JOIN s USING (asset, hour)) SELECT asset, count(*) AS filled FROM miss GROUP BY 1")
+@query("A24_fill_gaps", f"WITH {_ALIGN}, miss AS (SELECT asset, hour FROM v ANTI JOIN s USING (asset, hour) WHERE asset IN (SELECT asset FROM ok)) SELECT asset, count(*) AS filled FROM miss GROUP BY 1")
 def a24(spark, sf):
+    """Hours that the store lacks, of instruments whose feeds agree."""
     f = market.feed_bars(spark, sf).where("close > 0")
-    return f.where("feed = 1").join(f.where("feed = 0"), ["asset", "hour"], "left_anti").groupBy("asset").agg(F.count(F.lit(1)).alias("filled"))
+    s, v = f.where("feed = 0"), f.where("feed = 1")
+    return v.join(agreeing(s, v), "asset", "left_semi").join(s, ["asset", "hour"], "left_anti").groupBy("asset").agg(F.count(F.lit(1)).alias("filled"))
 
 
 @query("A25_hours_by_end", f"WITH {TICKS} SELECT event_id, ((least(t + 3600, (t // 86400) * 86400 + 75600) - 1) // 3600 * 3600)::BIGINT AS hour FROM ticks")
@@ -280,10 +320,23 @@ def a27(spark, sf):
     return d.crossJoin(F.broadcast(top)).select("s", "newest", (F.col("newest") >= F.col("top")).alias("covered"))
 
 
-@query("A28_error_classes", "SELECT CASE event_type WHEN 'error' THEN 'unreachable' WHEN 'view' THEN 'no data' ELSE 'answered' END AS class, count(*) AS n FROM events GROUP BY 1")
+@query("A28_error_classes", """WITH a AS (SELECT user_id, event_id, CASE WHEN value IS NULL THEN 'no data' WHEN event_type <> 'error' THEN 'answered' WHEN value < 20 THEN 'key refused' WHEN value < 40 THEN 'day quota' WHEN value < 60 THEN 'rate limited' ELSE 'unreachable' END AS class FROM events),
+b AS (SELECT *, class IN ('unreachable', 'no data') AS silent, lag(class IN ('unreachable', 'no data'), 1, FALSE) OVER w AS was FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, coalesce(bool_or(silent AND was OR class IN ('key refused', 'day quota')) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stopped FROM b)
+SELECT class, count(*) AS n, count(*) FILTER (class = 'rate limited') AS n_retried, count(*) FILTER (stopped) AS n_not_asked FROM c GROUP BY 1""")
 def a28(spark, sf):
-    kind = F.when(F.col("event_type") == "error", "unreachable").when(F.col("event_type") == "view", "no data").otherwise("answered")
-    return table(spark, sf, "events").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    """Answers of a provider by class. A refused key or a spent day's quota ends a user's requests, as do two silent answers one after another;
+    a limited rate is asked again."""
+    e, value = table(spark, sf, "events"), F.col("value")
+    refused = F.when(value < 20, "key refused").when(value < 40, "day quota").when(value < 60, "rate limited").otherwise("unreachable")
+    kind = F.when(value.isNull(), "no data").when(F.col("event_type") != "error", "answered").otherwise(refused)
+    line = Window.partitionBy("user_id").orderBy("event_id")
+    e = e.select("user_id", "event_id", kind.alias("class")).withColumn("silent", F.col("class").isin("unreachable", "no data"))
+    ends = (F.col("silent") & F.lag("silent", 1, False).over(line)) | F.col("class").isin("key refused", "day quota")
+    e = e.withColumn("ends", ends)
+    stopped = F.coalesce(F.bool_or("ends").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    counts = F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") == "rate limited").alias("n_retried"), F.count_if(F.col("stopped")).alias("n_not_asked")
+    return e.withColumn("stopped", stopped).groupBy("class").agg(*counts)
 
 
 @query("A29_expected_hours", f"WITH {BARS}, d AS (SELECT DISTINCT asset, hour // 86400 AS d FROM bars), s AS (SELECT asset, d, unnest(generate_series(d * 86400 + 50400, d * 86400 + 72000, 3600)) AS hour FROM d WHERE (d + 4) % 7 BETWEEN 1 AND 5) SELECT s.asset, s.d, count(*) AS expected, count(b.hour) AS stored FROM s LEFT JOIN bars b ON b.asset = s.asset AND b.hour = s.hour GROUP BY 1, 2")
@@ -299,10 +352,10 @@ def a29(spark, sf):
 def b1(spark, sf):
     """Ranges narrowed by one, to find bars whose body leaves them."""
     b = market.bars(spark, sf).where("n_src > 2").withColumn("low", F.col("low") + 1).withColumn("high", F.col("high") - 1)
-    return b.select("asset", "hour", ((F.col("low") > F.least("open", "close") + 0.005) | (F.greatest("open", "close") > F.col("high") + 0.005)).alias("bad"))
+    return b.select("asset", "hour", quality.ohlc_inconsistent(0.01).alias("bad"))
 
 
-@query("B2_invalid_reasons", f"WITH {BARS} SELECT asset, hour, CASE WHEN hour // 3600 % 13 = 0 THEN 'no price: a removed bar' WHEN least(open, high, low, close) <= 0 THEN 'price not positive' WHEN hour // 3600 % 17 = 0 AND low < high THEN 'OHLC inconsistent' WHEN hour // 3600 % 19 = 0 THEN 'volume negative' ELSE '' END AS reason FROM bars")
+@query("B2_invalid_reasons", f"WITH {BARS} SELECT asset, hour, CASE WHEN hour // 3600 % 13 = 0 THEN 'removed' WHEN least(open, high, low, close) <= 0 THEN 'not above zero' WHEN hour // 3600 % 17 = 0 AND low < high THEN 'body outside range' WHEN hour // 3600 % 19 = 0 THEN 'volume below zero' ELSE '' END AS reason FROM bars")
 def b2(spark, sf):
     """First rule broken; hours by 13, 17 and 19 are spoilt on purpose."""
     h = F.floor(F.col("hour") / 3600)
@@ -317,22 +370,21 @@ def b3(spark, sf):
     b = market.bars(spark, sf)
     days = b.select(F.floor(F.col("hour") / 86400).alias("day")).distinct()
     s = calendar.generate_sessions(days, "America/New_York", "09:30", "16:00").drop("day")
-    assets = b.select("asset").distinct()
-    return quality.overlaps(b, s.crossJoin(F.broadcast(assets)), ["asset"]).select("asset", "hour", "in_session")
+    return quality.overlaps(b, s, []).select("asset", "hour", "in_session")
 
 
 @query("B4_gate", f"WITH {BARS} SELECT asset, count(*) AS n, count(*) FILTER (least(open, low) > 0 AND (hour // 86400 + 4) % 7 BETWEEN 1 AND 5 AND hour % 86400 < 75600 AND hour % 86400 + 3600 > 52200) AS usable FROM bars GROUP BY 1")
 def b4(spark, sf):
     b = market.bars(spark, sf)
     days = b.select(F.floor(F.col("hour") / 86400).alias("day")).distinct()
-    s = calendar.generate_sessions(days, "America/New_York", "09:30", "16:00").drop("day").crossJoin(F.broadcast(b.select("asset").distinct()))
-    g = quality.overlaps(b, s, ["asset"]).withColumn("reason", quality.invalid_reason(0.01))
+    s = calendar.generate_sessions(days, "America/New_York", "09:30", "16:00").drop("day")
+    g = quality.overlaps(b, s, []).withColumn("reason", quality.invalid_reason(0.01))
     return g.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("reason") == "") & F.col("in_session")).alias("usable"))
 
 
 @query("B5_thin_volume", f"WITH {BARS} SELECT asset, hour, volume <= 0 OR coalesce(volume < 0.5 * CASE WHEN count(CASE WHEN volume > 0 THEN volume END) OVER w >= 20 THEN quantile_cont(CASE WHEN volume > 0 THEN volume END, 0.5) OVER w END, FALSE) AS thin FROM bars WINDOW w AS (PARTITION BY asset ORDER BY hour ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)")
 def b5(spark, sf):
-    return market.bars(spark, sf).select("asset", "hour", quality.thin("volume", ["asset"], 100, 20, 0.5).alias("thin"))
+    return quality.thin(market.bars(spark, sf), "volume", ["asset"], 100, 20, 0.5).select("asset", "hour", "thin")
 
 
 @query("B6_opening_misprints", f"WITH {BARS}, w AS (SELECT asset, hour, open, close, lag(close) OVER x AS pc, lag(hour) OVER x AS ph FROM bars WHERE least(open, low) > 0 WINDOW x AS (PARTITION BY asset ORDER BY hour)) SELECT asset, hour FROM w WHERE hour - ph > 3600 AND abs(ln(open / pc)) >= 0.5 AND abs(ln(close / open)) >= 0.5 AND sign(ln(open / pc)) <> sign(ln(close / open))")
@@ -350,16 +402,25 @@ def b7(spark, sf):
     return market.feed_bars(spark, sf).where(ok("open") & ok("close")).groupBy("feed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("B8_regular_session", f"WITH {TICKS} SELECT event_id, (t - 18000) % 86400 BETWEEN 34200 AND 57599 AND ((t - 18000) // 86400 + 4) % 7 BETWEEN 1 AND 5 AS regular FROM ticks")
+#: Stamps all through the year: an hour of each order's day by its key.
+_STAMPS = """s AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 + o_orderkey % 24 * 3600 + 1800 AS t FROM orders),
+l AS (SELECT o_orderkey, t, (make_timestamp(t * 1000000) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS ny FROM s)"""
+
+
+def stamps(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", (epoch("o_orderdate") + F.col("o_orderkey") % 24 * 3600 + 1800).alias("t"))
+
+
+@query("B8_regular_session", f"WITH {_STAMPS} SELECT o_orderkey, isodow(ny) <= 5 AND ny::TIME >= TIME '09:30:00' AND ny::TIME < TIME '16:00:00' AS regular FROM l")
 def b8(spark, sf):
-    """09:30 to 16:00 New York, weekdays (January: five hours behind UTC)."""
-    local = F.col("t") - 18000
-    return market.ticks(spark, sf).select("event_id", ((local % 86400).between(34200, 57599) & calendar.weekday(F.floor(local / 86400)).between(1, 5)).alias("regular"))
+    """09:30 to 16:00 by New York's clock, weekdays, summer and winter."""
+    return stamps(spark, sf).select("o_orderkey", calendar.regular_session(F.col("t"), 34200, 57600).alias("regular"))
 
 
-@query("B9_reference_week", f"WITH {BARS}, l AS (SELECT asset, hour, ((hour - 18000) // 86400 + 4) % 7 AS d, (hour - 18000) % 86400 AS s FROM bars) SELECT asset, hour, d BETWEEN 1 AND 4 OR (d = 0 AND s >= 61200) OR (d = 5 AND s < 61200) AS inside FROM l")
+@query("B9_reference_week", f"WITH {_STAMPS} SELECT o_orderkey, dayname(ny - INTERVAL 17 HOUR) NOT IN ('Friday', 'Saturday') AS inside FROM l")
 def b9(spark, sf):
-    return market.bars(spark, sf).select("asset", "hour", calendar.reference_week(F.col("hour"), -18000).alias("inside"))
+    """Sunday 17:00 to Friday 17:00 by New York's clock."""
+    return stamps(spark, sf).select("o_orderkey", calendar.reference_week(F.col("t")).alias("inside"))
 
 
 @query("B10_session_of_hour", f"WITH {BARS} SELECT asset, hour, (hour + 10800) // 86400 AS session FROM bars WHERE ((hour + 10800) // 86400 + 4) % 7 BETWEEN 1 AND 5")
@@ -432,13 +493,54 @@ def n9(spark, sf):
     return back.groupBy("asset", "feed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("G_front_contract", "WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 86400000000 AS d, epoch_us(date_trunc('month', o_orderdate)) // 86400000000 AS m FROM orders) SELECT o_orderkey, CASE WHEN d < m + 14 THEN 0 ELSE 1 END AS ahead FROM o")
+def contracts(spark, sf):
+    """The calendar rows of all contracts whose delivery year is an order's, or one beside it."""
+    years = table(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    years = years.select(F.explode(F.array(*(F.col("year") + i for i in (-1, 0, 1)))).alias("year")).distinct()
+    return calendar.contracts(spark, years)
+
+
+_WEEKDAYS = f"""spec(ticker, listed, held, ltd_back, ltd_months, ltd_day, ltd_day_back, roll_back, roll_ltd, suffix) AS (VALUES {calendar.specs_sql()}),
+oy AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), yy AS (SELECT DISTINCT y + unnest([-1, 0, 1]) AS y FROM oy),
+wd AS (SELECT d::DATE AS d, row_number() OVER (ORDER BY d) AS n FROM (SELECT unnest(generate_series((SELECT make_date(min(y)::INT - 1, 1, 1) FROM yy), (SELECT make_date(max(y)::INT + 2, 1, 1) FROM yy), INTERVAL 1 DAY)) AS d) WHERE isodow(d) <= 5),
+c AS (SELECT spec.*, y, instr('FGHJKMNQUVXZ', code) AS m, code FROM spec, yy, (SELECT unnest(string_split('FGHJKMNQUVXZ', '')) AS code) WHERE contains(listed, code)),
+b AS (SELECT *, CASE WHEN ltd_day IS NOT NULL THEN make_date(y::INT, m::INT, ltd_day::INT) ELSE (make_date(y::INT, m::INT, 1) + to_months((1 - ltd_months)::INT))::DATE END AS bound, CASE WHEN ltd_day IS NOT NULL THEN ltd_day_back - 1 ELSE ltd_back END AS back FROM c),
+l AS (SELECT b.*, w.d AS ltd, w.n AS ltd_n FROM b JOIN wd w ON w.n = (SELECT max(n) FROM wd WHERE wd.d < b.bound) - b.back),
+h AS (SELECT l.*, CASE WHEN roll_ltd IS NOT NULL THEN ltd_n - roll_ltd ELSE (SELECT min(n) FROM wd WHERE wd.d >= make_date(l.y::INT, l.m::INT, 1)) - roll_back - 1 END AS end_n FROM l WHERE contains(held, code)),
+f AS (SELECT ticker, replace(ticker, '=F', '') || code || lpad((y % 100)::VARCHAR, 2, '0') || '.' || suffix AS contract, lag(end_n) OVER (PARTITION BY ticker ORDER BY y, m) + 1 AS first_n FROM h),
+roll AS (SELECT ticker, contract, wd.d AS first_day FROM f JOIN wd ON wd.n = f.first_n)"""
+
+
+@query("G_last_trading_days", f"WITH {_WEEKDAYS} SELECT ticker, y::INT AS year, m::INT AS month, ltd::VARCHAR AS last_day FROM l")
+def g_last(spark, sf):
+    """Each listed contract's last trading day, by the exchange's rule on weekdays."""
+    return contracts(spark, sf).select("ticker", "year", "month", F.col("last_day").cast("string"))
+
+
+@query("G_roll_days", f"WITH {_WEEKDAYS} SELECT ticker, contract, first_day::VARCHAR AS first_day FROM roll")
+def g_rolls(spark, sf):
+    """Each held contract and the first day on which it is in front: the weekday after the one before it is left."""
+    return calendar.rolls(contracts(spark, sf)).select("ticker", "contract", F.col("first_day").cast("string"))
+
+
+@query("G_roll_sessions", f"""WITH {_WEEKDAYS}, e AS (SELECT ticker, (ltd + 1)::DATE AS edge FROM l UNION SELECT ticker, first_day FROM roll),
+s AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE isodow(o_orderdate) <= 5),
+j AS (SELECT ticker, edge, d, row_number() OVER (PARTITION BY ticker, edge ORDER BY d) AS n FROM e JOIN s ON d >= edge - 1) SELECT DISTINCT ticker, d::VARCHAR AS session FROM j WHERE n <= 2 AND d <= edge + 7""")
+def g_roll_sessions(spark, sf):
+    """The first two sessions from the day before each last trading day's morrow or roll on, within a week: their opening gaps may hold a roll."""
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("session")).where(F.dayofweek("o_orderdate").between(2, 6)).distinct()
+    return calendar.roll_sessions(contracts(spark, sf), days).select("ticker", F.col("session").cast("string"))
+
+
+@query("G_front_contract", f"""WITH {_WEEKDAYS}, t AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS k FROM spec),
+o AS (SELECT o_orderkey, o_orderdate::DATE AS d, ticker FROM orders JOIN t ON t.k = o_custkey % (SELECT count(*) FROM spec))
+SELECT o_orderkey, o.ticker, contract, first_day::VARCHAR AS since FROM o ASOF LEFT JOIN roll ON o.ticker = roll.ticker AND o.d >= roll.first_day""")
 def g_front(spark, sf):
-    """The contract in force: the month's until its 15th, the next one's after; an as-of lookup over generated rolls."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.floor(epoch("o_orderdate") / 86400).alias("d"), F.floor(epoch("date_trunc('MONTH', o_orderdate)") / 86400).alias("m"), F.lit("x").alias("k"))
-    months = o.select("k", "m").distinct()
-    rolls = months.select("k", F.col("m").alias("at"), F.lit(0).alias("ahead")).unionByName(months.select("k", (F.col("m") + 14).alias("at"), F.lit(1).alias("ahead")))
-    return windows.asof_backward(o, rolls, ["k"], "d", "at", ["ahead"]).select("o_orderkey", "ahead")
+    """The contract in force on each order's day, for an instrument by the customer: an as-of lookup over the rolls, cut into months."""
+    names = F.array(*(F.lit(t) for t in sorted(x[0] for x in calendar.SPECS)))
+    o = table(spark, sf, "orders").select("o_orderkey", F.get(names, (F.col("o_custkey") % len(calendar.SPECS)).cast("int")).alias("ticker"), F.floor(epoch("o_orderdate") / 86400).alias("d"))
+    rolls = calendar.rolls(contracts(spark, sf)).select("ticker", F.unix_date("first_day").cast("long").alias("at"), "contract", F.col("first_day").cast("string").alias("since"))
+    return windows.asof_backward(o, rolls, ["ticker"], "d", "at", ["contract", "since"], bin_size=30).select("o_orderkey", "ticker", "contract", "since")
 
 
 @query("G_business_days", "WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 86400000000 AS d FROM orders) SELECT o_orderkey, list_filter(list_transform(generate_series(1, 10), lambda k: d - k), lambda x: (x + 4) % 7 BETWEEN 1 AND 5)[3] AS third_before FROM o")
