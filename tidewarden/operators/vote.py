@@ -19,21 +19,43 @@ def candidates(bars: DataFrame, size: float) -> DataFrame:
     return b.select("asset", "hour", "prev_hour", F.col("close").alias("price"), "prev_close", "move")
 
 
-def judge(cands: DataFrame, feeds: DataFrame, names: DataFrame) -> DataFrame:
+def judge(cands: DataFrame, feeds: DataFrame, names: DataFrame, skips: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
     """Each candidate put to every feed of names (feed): its answer and move.
 
-    confirmed: the same way and at least half as far; unconfirmed: not so; unknown: the feed has no price at either end."""
+    confirmed: the same way and at least half as far; unconfirmed: not so; unknown: the feed has no price at either end. Feeds are not asked about the
+    hours of the day that they skip (skips: feed, skip array). A feed that changed contract within the move (changed: asset, feed, first, the first
+    hour after a change) has nothing to say about it: unknown."""
     asked = cands.crossJoin(F.broadcast(names))  # names is a fixed handful of feeds
+    if skips is not None:
+        of_day = (F.floor(F.col("hour") / 3600) % 24).cast("int")
+        asked = asked.join(F.broadcast(skips), "feed", "left").where(~F.coalesce(F.array_contains("skip", of_day), F.lit(False))).drop("skip")  # a row a feed
     good = feeds.where((F.col("open") > 0) & (F.col("close") > 0)).select("asset", "feed", F.col("hour").alias("h"), F.col("close").alias("c"))
     end = good.select("asset", "feed", F.col("h").alias("hour"), F.col("c").alias("c1"))
     begin = good.select("asset", "feed", F.col("h").alias("prev_hour"), F.col("c").alias("c0"))
     j = asked.join(end, ["asset", "feed", "hour"], "left").join(begin, ["asset", "feed", "prev_hour"], "left")
+    if changed is not None:
+        crossed = crosses(asked, changed).withColumn("_crossed", F.lit(True))
+        j = j.join(crossed, ["asset", "feed", "hour"], "left").withColumn("c1", F.when(F.col("_crossed").isNull(), F.col("c1")))
     own = F.ln(F.col("c1") / F.col("c0"))
     same = (F.signum(own) == F.signum("move")) & (F.abs(own) >= SHARE * F.abs("move"))
     answer = F.when(own.isNull(), "unknown").when(same, "confirmed").otherwise("unconfirmed")
     return j.select(*cands.columns, "feed", answer.alias("answer"), F.when(own.isNotNull(), own).alias("own_move"))
 
 
+def crosses(moves: DataFrame, changed: DataFrame) -> DataFrame:
+    """asset, feed, hour of the moves (prev_hour, hour] in which the feed's contract changed: an equi-join on the days that a move touches."""
+    day = lambda c: F.floor(F.col(c) / 86400)
+    days = moves.select("asset", "feed", "prev_hour", "hour", F.explode(F.sequence(day("prev_hour"), day("hour"))).alias("_d"))
+    at = changed.select("asset", "feed", "first", day("first").alias("_d"))
+    return days.join(at, ["asset", "feed", "_d"]).where("first > prev_hour and first <= hour").select("asset", "feed", "hour").distinct()
+
+
+def overnight(judged: DataFrame, least: int = 2) -> DataFrame:
+    """asset, hour, night: the median move of the feeds that answered, where `least` of them did."""
+    shown = judged.where("own_move is not null").groupBy("asset", "hour").agg(F.percentile("own_move", 0.5).alias("night"), F.count(F.lit(1)).alias("n"))
+    return shown.where(F.col("n") >= least).select("asset", "hour", "night")
+
+
 def tally(judged: DataFrame) -> DataFrame:
     """asset, hour, verdict, n_yes, n_no, feeds, seen. The stored feed is one vote that saw the move; unknown ones don't count.
 
@@ -56,10 +78,13 @@ def switches(store: DataFrame, feeds: DataFrame, session: str, step_bp: float =
     return by.withColumn("step", F.abs(F.col("off") - F.lag("off").over(w)) * 1e4).where(F.col("step") >= step_bp).select("asset", "feed", "first", "step")
 
 
-def alignment(store: DataFrame, feed: DataFrame, keys: list[str], least: int, corr: float, gap_bp: float) -> DataFrame:
-    """keys, n, corr, gap_bp, passes: whether a feed's overlap with the store is close enough to splice it."""
+def alignment(store: DataFrame, feed: DataFrame, keys: list[str], least: int = 200, corr: float = 0.90, gap_bp: float = 25.0, worst: int = 3) -> DataFrame:
+    """keys, n, corr, gap_bp, worst_hours, passes: whether a feed's overlap with the store is close enough to splice it, and the hours of the largest gaps."""
     j = store.select(*keys, "hour", F.col("close").alias("a")).join(feed.select(*keys, "hour", F.col("close").alias("b")), [*keys, "hour"]).where("a > 0 and b > 0")
     w = Window.partitionBy(*keys).orderBy("hour")
-    j = j.withColumn("da", F.ln(F.col("a") / F.lag("a").over(w))).withColumn("db", F.ln(F.col("b") / F.lag("b").over(w))).withColumn("gap", F.abs(F.ln(F.col("b") / F.col("a"))) * 1e4)
-    g = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("da", "db").alias("corr"), F.percentile("gap", 0.5).alias("gap_bp"))
+    gap = F.abs(F.ln(F.col("b") / F.col("a"))) * 1e4
+    j = j.withColumn("da", F.ln(F.col("a") / F.lag("a").over(w))).withColumn("db", F.ln(F.col("b") / F.lag("b").over(w))).withColumn("gap", gap)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("gap", 6).desc(), "hour"))
+    far = j.withColumn("_nth", nth).where(F.col("_nth") <= worst).groupBy(*keys).agg(F.sort_array(F.collect_list("hour")).alias("worst_hours"))
+    g = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("da", "db").alias("corr"), F.percentile("gap", 0.5).alias("gap_bp")).join(far, keys)
     return g.withColumn("passes", F.coalesce((F.col("n") >= least) & (F.col("corr") >= corr) & (F.col("gap_bp") <= gap_bp), F.lit(False)))

@@ -10,19 +10,13 @@ from ..operators import bars as ob
 from ..operators import calendar, quality, vote, windows
 from ..registry import query
 from ..sources import market
-from ..sources.staging import shared_dir, stage
+from ..sources.staging import exists, new_path, stage
 from .common import BARS, FEED_BARS, TICKS, r6
 
 epoch, table = market.epoch, market.table
 BAR = T.StructType([T.StructField("hour", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in ("open", "high", "low", "close", "volume")] + [T.StructField("n_src", T.LongType())])
 
 
-def new_path(spark, label):
-    import uuid
-
-    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:12]}-{label}"
-
-
 def sharded(spark, sf):
     """A store of bars: shards of whole ten-day spans, and of single days that were delivered after them. A span and its days
     both exist where a write ended between laying down the days and removing the span. The last days are CSV."""
@@ -208,9 +202,7 @@ def a16(spark, sf):
 
 def read_or_empty(spark, path, schema):
     """The Parquet table at path, or an empty one where it was never written."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 @query("A17_absent_is_empty", "SELECT event_type AS reading_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")

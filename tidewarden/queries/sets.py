@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import basket
 from ..operators.bars import islands
 from ..registry import query
 from ..sources import market
@@ -58,14 +59,18 @@ def d7(spark, sf):
 SELECT asset, count(*) AS n, min(hour) AS first, max(hour) AS last, count(DISTINCT hour // 86400) AS n_days, any_value(md) AS median_per_day, max(gap) AS max_gap, count(*) FILTER (volume = 0) AS zero_volume, count(*) FILTER (n_src < m) AS partial_hours,
   count(*) FILTER (least(open, high, low, close) <= 0) AS nonpositive, count(*) FILTER (low > least(open, close) OR greatest(open, close) > high) AS inconsistent FROM x JOIN m USING (asset) JOIN pd USING (asset) GROUP BY 1""")
 def d8(spark, sf):
+    """One row an instrument; medians are group-bys of their own, joined to the bars as a row an instrument."""
     b = market.bars(spark, sf)
-    w = Window.partitionBy("asset")
     per_day = b.groupBy("asset", F.floor(F.col("hour") / 86400).alias("d")).agg(F.count(F.lit(1)).alias("k")).groupBy("asset").agg(F.percentile("k", 0.5).alias("md"))
-    x = b.withColumn("gap", F.col("hour") - F.lag("hour").over(w.orderBy("hour"))).withColumn("m", F.percentile("n_src", 0.5).over(w)).join(per_day, "asset")
+    median = b.groupBy("asset").agg(F.percentile("n_src", 0.5).alias("m"))
+    gap = F.col("hour") - F.lag("hour").over(Window.partitionBy("asset").orderBy("hour"))
+    x = b.withColumn("gap", gap).join(median, "asset").join(per_day, "asset")
     return x.groupBy("asset").agg(
-        F.count(F.lit(1)).alias("n"), F.min("hour").alias("first"), F.max("hour").alias("last"), F.count_distinct(F.floor(F.col("hour") / 86400)).alias("n_days"), F.any_value("md").alias("median_per_day"), F.max("gap").alias("max_gap"),
-        F.count_if(F.col("volume") == 0).alias("zero_volume"), F.count_if(F.col("n_src") < F.col("m")).alias("partial_hours"), F.count_if(F.least("open", "high", "low", "close") <= 0).alias("nonpositive"),
-        F.count_if((F.col("low") > F.least("open", "close")) | (F.greatest("open", "close") > F.col("high"))).alias("inconsistent"))
+        F.count(F.lit(1)).alias("n"), F.min("hour").alias("first"), F.max("hour").alias("last"), F.count_distinct(F.floor(F.col("hour") / 86400)).alias("n_days"),
+        F.any_value("md").alias("median_per_day"), F.max("gap").alias("max_gap"), F.count_if(F.col("volume") == 0).alias("zero_volume"),
+        F.count_if(F.col("n_src") < F.col("m")).alias("partial_hours"), F.count_if(F.least("open", "high", "low", "close") <= 0).alias("nonpositive"),
+        F.count_if((F.col("low") > F.least("open", "close")) | (F.greatest("open", "close") > F.col("high"))).alias("inconsistent"),
+    )
 
 
 @query("D9_precision", f"WITH {BARS}, t AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY hour DESC) AS n FROM bars) SELECT asset, max(length(split_part(rtrim(printf('%.6f', close), '0'), '.', 2)))::BIGINT AS decimals FROM t WHERE n <= 500 GROUP BY 1")
@@ -107,13 +112,25 @@ def d19(spark, sf):
     """Rows at or above their group's 99.9th percentile."""
     li = table(spark, sf, "lineitem")
     q = li.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.999).alias("q"))
-    return li.join(F.broadcast(q), "l_returnflag").where("l_extendedprice >= q").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("top"))
+    return li.join(q, "l_returnflag").where("l_extendedprice >= q").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("top"))
 
 
-@query("D20_cross_footing", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query("D20_cross_footing", """WITH d AS (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::DECIMAL(18,2)) AS qty FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, n, qty::DOUBLE AS qty, TRUE AS foots FROM d
+UNION ALL SELECT l_returnflag, NULL, sum(n)::BIGINT, sum(qty)::DOUBLE, sum(n) = any_value(direct) FROM d JOIN (SELECT l_returnflag AS f, count(*) AS direct FROM lineitem GROUP BY 1) ON f = l_returnflag GROUP BY 1
+UNION ALL SELECT NULL, NULL, sum(n)::BIGINT, sum(qty)::DOUBLE, sum(n) = (SELECT count(*) FROM lineitem) FROM d""")
 def d20(spark, sf):
-    """Counts by two keys with their subtotals and total, which must agree."""
-    return table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"))
+    """Counts by two keys with their subtotals and total, and whether each subtotal is the sum of the rows below it."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("decimal(18,2)").alias("q"))
+    level = F.grouping_id().alias("level")
+    t = li.rollup("l_returnflag", "l_linestatus").agg(level, F.count(F.lit(1)).alias("n"), F.sum("q").alias("qty"))
+    below = t.where("level = 0").groupBy("l_returnflag").agg(F.sum("n").alias("sum_n"), F.sum("qty").alias("sum_qty"))
+    sums = below.select("l_returnflag", F.lit(1).alias("level"), "sum_n", "sum_qty")
+    sums = sums.unionByName(below.agg(F.sum("sum_n").alias("sum_n"), F.sum("sum_qty").alias("sum_qty")).select(F.lit(None).cast("string").alias("l_returnflag"), F.lit(3).alias("level"), "sum_n", "sum_qty"))
+    sums = sums.select(F.col("l_returnflag").alias("of"), F.col("level").alias("at"), "sum_n", "sum_qty")
+    j = t.join(sums, (t["level"] == sums["at"]) & t["l_returnflag"].eqNullSafe(sums["of"]), "left")
+    foots = F.when(F.col("level") == 0, True).otherwise(F.coalesce((F.col("n") == F.col("sum_n")) & (F.col("qty") == F.col("sum_qty")), F.lit(False)))
+    return j.select("l_returnflag", "l_linestatus", "n", F.col("qty").cast("double").alias("qty"), foots.alias("foots"))
 
 
 @query("D20_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -178,9 +195,10 @@ def c6(spark, sf):
     return o.join(li, o.o_orderkey == li.l_orderkey, "left_semi").select("o_orderkey")
 
 
-@query("C7_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("C7_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def c7(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    """Customers without an urgent order."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -279,3 +297,22 @@ def e28(spark, sf):
 def d4(spark, sf):
     b = market.bars(spark, sf).where(F.least("open", "close") > 0)
     return b.groupBy("asset", F.floor(F.col("hour") / 86400).alias("d")).agg(r6(F.sum(F.ln(F.col("close") / F.col("open"))), "move"), F.max("hour").alias("last_hour"), F.bool_or(F.col("n_src") > 3).alias("busy"))
+
+
+_BASKET = """config AS (SELECT 'T' || (c_custkey - CASE WHEN c_custkey % 40 = 1 THEN 1 ELSE 0 END) AS ticker, ['feed', 'book', 'desk'][(c_custkey // 2 % 3 + 1)::INT] AS source,
+  c_mktsegment || ' ' || c_nationkey % 40 AS block, n_name AS template, CASE WHEN c_custkey % 31 <> 0 THEN c_acctbal / 1000 END AS tick FROM customer JOIN nation ON n_nationkey = c_nationkey),
+told AS (SELECT n_name AS template FROM nation WHERE n_regionkey <> 3)"""
+
+
+@query("A19_basket", f"""WITH {_BASKET} SELECT ticker, source, block, template, tick, CASE WHEN tick IS NULL THEN 'a field is missing' WHEN source = 'desk' THEN 'unknown source' WHEN tick <= 0 THEN 'tick not above zero'
+  WHEN count(*) OVER (PARTITION BY source, ticker) > 1 THEN 'listed twice' WHEN template NOT IN (SELECT template FROM told) THEN 'template not described' WHEN count(*) OVER (PARTITION BY block) < 2 THEN 'block too small' ELSE '' END AS problem FROM config""")
+def a19(spark, sf):
+    """The instrument dimension checked row by row: customers as instruments of their segment's and nation's block."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    key = F.col("c_custkey")
+    source = F.element_at(F.array(*map(F.lit, ("feed", "book", "desk"))), (F.floor(key / 2) % 3 + 1).cast("int"))
+    config = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.concat(F.lit("T"), (key - (key % 40 == 1).cast("long")).cast("string")).alias("ticker"), source.alias("source"),
+        F.concat_ws(" ", "c_mktsegment", (F.col("c_nationkey") % 40).cast("string")).alias("block"), F.col("n_name").alias("template"), F.when(key % 31 != 0, F.col("c_acctbal") / 1000).alias("tick"),
+    )
+    return basket.problems(config, n.where("n_regionkey <> 3").select(F.col("n_name").alias("template")), ["feed", "book"])

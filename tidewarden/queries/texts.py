@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
 from ..functions import scalars
+from ..operators import windows
 from ..registry import query
 from ..sources import market
+from ..sources.staging import stage
 from .common import BARS, SCORED, r6
 from .detector import scored
 
@@ -91,7 +91,11 @@ def g_clean(spark, sf):
 _SPAN = "CASE WHEN s >= 86400 THEN (s // 86400)::BIGINT || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END WHEN s >= 3600 THEN (s // 3600)::BIGINT || ' hour' || CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END ELSE (s // 60)::BIGINT || ' minute' || CASE WHEN s // 60 = 1 THEN '' ELSE 's' END END"
 
 
-@query("K2_describe", f"WITH {SCORED}, k AS (SELECT asset, hour, z, word, hour - lag(hour) OVER (PARTITION BY asset ORDER BY hour) AS s FROM scored WHERE word IS NOT NULL) SELECT asset, hour, concat(asset, ' ', CASE WHEN z > 0 THEN 'up' ELSE 'down' END, ': ', word, coalesce(', first in ' || {_SPAN}, '')) AS line FROM k")
+_K2 = f"""{SCORED}, words AS (SELECT asset, hour, z, word, hour - lag(hour) OVER (PARTITION BY asset ORDER BY hour) AS s FROM scored WHERE word IS NOT NULL),
+lines AS (SELECT asset, hour, concat(asset, ' ', CASE WHEN z > 0 THEN 'up' ELSE 'down' END, ': ', word, coalesce(', first in ' || {_SPAN}, '')) AS line FROM words)"""
+
+
+@query("K2_describe", f"WITH {_K2} SELECT asset, hour, line FROM lines")
 def k2(spark, sf):
     s = scored(spark, sf).where("word is not null")
     gap = F.col("hour") - F.lag("hour").over(Window.partitionBy("asset").orderBy("hour"))
@@ -107,29 +111,30 @@ def k3(spark, sf):
     return s.groupBy("d").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "; ").alias("message"), F.count(F.lit(1)).alias("n"))
 
 
-def packed(sizes: list[int], budget: int) -> list[int]:
-    """Page of each block: a page holds blocks up to the budget; a block is never split."""
-    page, used, out = 0, 0, []
-    for n in sizes:
-        if used and used + n > budget:
-            page, used = page + 1, 0
-        used += n
-        out.append(page)
-    return out
-
-
-@query("K4_digest_pages")
+@query("K4_digest_pages", f"""WITH RECURSIVE {_K2}, b AS (SELECT hour // 86400 AS d, sum(length(line) + 1)::BIGINT AS size, count(*) AS n_lines, (hour // 86400 + 3) // 7 AS week FROM lines GROUP BY 1, 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY d) AS i FROM b),
+e(week, i, d, size, n_lines, page, used) AS (
+  SELECT DISTINCT week, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM k
+  UNION ALL
+  SELECT k.week, k.i, k.d, k.size, k.n_lines, e.page + CASE WHEN e.used > 0 AND e.used + k.size > 400 THEN 1 ELSE 0 END, CASE WHEN e.used > 0 AND e.used + k.size > 400 THEN k.size ELSE e.used + k.size END
+  FROM e JOIN k ON k.week = e.week AND k.i = e.i + 1)
+SELECT d, size, n_lines, week, page FROM e WHERE i > 0""")
 def k4(spark, sf):
     """A week's lines in pages of 400 characters that keep a day's block whole: an ordered fold within the week."""
-    ship(spark)
     lines = k2(spark, sf).withColumn("d", F.floor(F.col("hour") / 86400))
     blocks = lines.groupBy("d").agg(F.sum(F.length("line") + 1).alias("size"), F.count(F.lit(1)).alias("n_lines")).withColumn("week", F.floor((F.col("d") + 3) / 7))
+    return windows.folded(blocks, ["week"], "d", ["size"], page_step(400), lambda: (0, 0), "page bigint")
 
-    def pages(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d")
-        return pdf.assign(page=packed(pdf["size"].tolist(), 400))
 
-    return blocks.groupBy("week").applyInPandas(pages, "d long, size long, n_lines long, week long, page long")
+def page_step(budget: int):
+    """A page holds blocks up to the budget; a block is never split. State: page, characters on it."""
+
+    def step(state, size):
+        page, used = state
+        page, used = (page + 1, size) if used and used + size > budget else (page, used + size)
+        return (page, used), (page,)
+
+    return step
 
 
 @query("K5_coming_week", f"WITH {BARS}, x AS (SELECT (min(hour) // 86400 + 3) // 7 * 7 + 4 AS monday FROM bars) SELECT hour // 86400 AS d, count(*) AS n, string_agg(DISTINCT asset, ',' ORDER BY asset) AS assets FROM bars, x WHERE hour // 86400 >= monday AND hour // 86400 < monday + 7 GROUP BY 1")
@@ -173,21 +178,29 @@ def h7(spark, sf):
 
 @query("H11_week_slots", f"WITH {BARS}, c AS (SELECT (hour // 86400 + 3) // 7 AS wk, max(hour) + 3900 AS turn FROM bars WHERE hour % 86400 <= 72000 AND (hour // 86400 + 4) % 7 BETWEEN 1 AND 5 GROUP BY 1) SELECT b.asset, b.hour, max(c.turn) AS slot FROM bars b LEFT JOIN c ON c.turn <= b.hour GROUP BY 1, 2")
 def h11(spark, sf):
-    """The weekly slot of an hour: the last week's end (its last close and five minutes) at or before it."""
-    from ..operators.windows import asof_backward
-
+    """The weekly slot of an hour: the last week's end (its last close and five minutes) at or before it; an as-of lookup week by week."""
     b = market.bars(spark, sf).select("asset", "hour")
     week = (F.pmod(F.floor(F.col("hour") / 86400) + 4, F.lit(7))).between(1, 5) & (F.col("hour") % 86400 <= 72000)
     turns = b.where(week).groupBy(F.floor((F.floor(F.col("hour") / 86400) + 3) / 7).alias("wk")).agg((F.max("hour") + 3900).alias("slot"))
-    per = turns.crossJoin(F.broadcast(b.select("asset").distinct())).select("asset", "slot", F.col("slot").alias("turn"))
-    return asof_backward(b, per, ["asset"], "hour", "turn", ["slot"]).select("asset", "hour", "slot")
+    turns = turns.select("slot", F.col("slot").alias("turn"))
+    return windows.asof_backward(b, turns, [], "hour", "turn", ["slot"], bin_size=7 * 86400).select("asset", "hour", "slot")
 
 
-@query("H12_idempotent_delivery", f"WITH {SCORED} SELECT count(*) AS sent, 0::BIGINT AS again FROM scored WHERE word IS NOT NULL")
+@query("H12_idempotent_delivery", f"""WITH {SCORED}, was AS (SELECT asset, hour, word, hour // 3600 % 10 = 0 AS unsure FROM scored WHERE abs(z) >= 1.5),
+now AS (SELECT asset, hour, CASE WHEN abs(z) >= 3.1 THEN 'extreme' WHEN abs(z) >= 2.5 THEN 'rare' WHEN abs(z) >= 2.0 THEN 'large' ELSE 'notable' END AS word FROM scored WHERE abs(z) >= 1.4)
+SELECT now.asset, CASE WHEN was.hour IS NULL THEN 'send' WHEN was.word <> now.word THEN 'edit' WHEN unsure THEN 'adopt' ELSE 'skip' END AS action, count(*) AS n FROM now LEFT JOIN was ON was.asset = now.asset AND was.hour = now.hour GROUP BY 1, 2""")
 def h12(spark, sf):
-    """A second delivery sends only rows whose fingerprint the ledger lacks: none."""
-    s = scored(spark, sf).where("word is not null").select(F.sha1(F.concat_ws(":", "asset", F.col("hour").cast("string"), "word")).alias("print"))
-    return s.agg(F.count(F.lit(1)).alias("sent")).crossJoin(F.broadcast(s.join(s.withColumnRenamed("print", "p"), F.col("print") == F.col("p"), "left_anti").agg(F.count(F.lit(1)).alias("again"))))
+    """A second delivery, after the words' thresholds moved, set against the ledger of the first: readings that the ledger lacks are sent, those whose
+    fingerprint differs are edited, sends that never were confirmed (hours divisible by ten) are adopted, the others are left alone."""
+    z = F.abs("z")
+    reading = F.concat_ws(":", "asset", F.col("hour").cast("string"))
+    printed = lambda df: df.select("asset", reading.alias("id"), F.sha1(F.concat_ws(":", reading, "word")).alias("print"), "hour")
+    s = scored(spark, sf)
+    ledger = stage(printed(s.where("word is not null")).select("id", F.col("print").alias("sent"), (F.floor(F.col("hour") / 3600) % 10 == 0).alias("unsure")), "ledger")
+    again = F.when(z >= 3.1, "extreme").when(z >= 2.5, "rare").when(z >= 2.0, "large").when(z >= 1.4, "notable")
+    now = printed(s.withColumn("word", again).where("word is not null")).join(ledger, "id", "left")
+    action = F.when(F.col("sent").isNull(), "send").when(F.col("sent") != F.col("print"), "edit").when(F.col("unsure"), "adopt").otherwise("skip")
+    return now.groupBy("asset", action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("H13_missed_runs", f"WITH {BARS}, g AS (SELECT asset, hour, (hour - lag(hour) OVER (PARTITION BY asset ORDER BY hour)) // 3600 - 1 AS missed FROM bars) SELECT asset, hour, missed, missed % 2 = 0 AS remind FROM g WHERE missed >= 1")
@@ -211,4 +224,4 @@ def h15(spark, sf):
     o = d.where("d < 19740").withColumn("a", F.lit(16))
     n = d.where("d >= 19728").withColumn("closes", F.when(F.col("d") % 10 == 0, 13).otherwise(16).cast("long"))
     ok = o.join(n, ["asset", "d"]).groupBy("asset").agg(F.count(F.lit(1)).alias("k"), F.avg((F.col("a") != F.col("closes")).cast("int")).alias("x")).where("k >= 10 and x <= 0.5")
-    return n.join(o, ["asset", "d"], "left_anti").join(F.broadcast(ok), "asset", "left_semi").select("asset", "d", "closes")
+    return n.join(o, ["asset", "d"], "left_anti").join(ok, "asset", "left_semi").select("asset", "d", "closes")

@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset."""
+    """spark.checkpoint.dir; a local folder where it is unset and the master is local."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp"))
     return _OWN[0]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that `clear` removes."""
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex[:12]}-{label}"
+    _MADE.append((spark, path))
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def clear() -> None:
+    """Remove what was staged so far. Called when the process ends; long sessions call it once results are read."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        with contextlib.suppress(Exception):  # the session may be gone already
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(clear)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex[:12]}-{label}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

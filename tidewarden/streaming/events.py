@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..cluster import ship
 from ..operators.bars import fold
 from ..sources.market import FEEDS, epoch
-from ..sources.staging import shared_dir
+from ..sources.staging import new_path
 
 #: Ticks of a slice of the replay, and so of a batch.
 SLICE_ROWS = 1_000_000
@@ -32,18 +32,12 @@ def hourly_stream(ticks: DataFrame, late: str = "3 hours") -> DataFrame:
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n_src"))
 
 
-def _dir(spark: SparkSession, label: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}-{label}"
-
-
 def split_files(spark: SparkSession, sf_dir: str, parts: int) -> str:
     """A replay of the events: slices of time one after another, as a feed would deliver them; `parts` of them, or
     more where they would hold over SLICE_ROWS. Ticks without a time come first.
 
     The source takes files by their times, so each slice is one file, written when the one before is there."""
-    path, sliced = _dir(spark, "ticks"), _dir(spark, "slices")
+    path, sliced = new_path(spark, "ticks"), new_path(spark, "slices")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     parts = max(parts, -(-e.count() // SLICE_ROWS))
     cuts = e.select(epoch("ts").cast("double").alias("t")).approxQuantile("t", [n / parts for n in range(1, parts)], min(0.01, 0.25 / parts))
@@ -58,47 +52,45 @@ def split_files(spark: SparkSession, sf_dir: str, parts: int) -> str:
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """All that a stream has to give, in a file sink with its checkpoint."""
     spark = stream.sparkSession
-    out = _dir(spark, "out")
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", _dir(spark, "checkpoint")).trigger(availableNow=True).start()
+    out = new_path(spark, "out")
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def upsert_stream(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Hours of ticks merged batch by batch (foreachBatch): a batch folds its own ticks, and hours it shares with the
-    store are put together from both. Each batch writes its own version, so a repeated batch gives the same."""
-    spark, base, versions = ticks.sparkSession, _dir(ticks.sparkSession, "store"), []
+    """Hours of ticks put together from batches (foreachBatch). A batch writes the fold of its own ticks, and nothing else of the store; hours
+    that several batches have are merged when the store is read. The folder of a batch has its number, so a repeated batch, or one after a
+    restart from the checkpoint, gives the same."""
+    spark, base = ticks.sparkSession, new_path(ticks.sparkSession, "store")
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy(*keys, (F.floor(F.col("t") / 3600) * 3600).alias("hour")).agg(
-            F.min(F.struct("t", "event_id", "price")).alias("first"), F.max(F.struct("t", "event_id", "price")).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n_src"))
-        if versions:
-            old = spark.read.parquet(versions[-1])
-            fresh = old.unionByName(fresh).groupBy(*keys, "hour").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n_src").alias("n_src"))
-        path = f"{base}/v{number}"
-        fresh.write.mode("overwrite").parquet(path)
-        versions.append(path)
-
-    q = ticks.writeStream.foreachBatch(merge).option("checkpointLocation", _dir(spark, "checkpoint")).trigger(availableNow=True).start()
+        at = F.struct("t", "event_id", "price")
+        hour = (F.floor(F.col("t") / 3600) * 3600).alias("hour")
+        own = batch.groupBy(*keys, hour).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n_src"))
+        own.write.mode("overwrite").parquet(f"{base}/batch={number}")
+
+    q = ticks.writeStream.foreachBatch(merge).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
-    s = spark.read.parquet(versions[-1])
+    s = spark.read.parquet(base).groupBy(*keys, "hour").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n_src").alias("n_src"))
     return s.select(*keys, "hour", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "n_src")
 
 
 def _by_batch(ticks: DataFrame, state: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """What step gives batch by batch (foreachBatch). step takes a batch and the kept state, and gives the new state and
-    what makes the batch's rows of it. Each batch writes its own version, so a repeated batch gives the same."""
-    spark, base, versions = ticks.sparkSession, _dir(ticks.sparkSession, "kept"), []
+    what makes the batch's rows of it. Each batch writes its own version and takes that of the batch before from its folder, so a repeated
+    batch, or one after a restart from the checkpoint, gives the same."""
+    spark, base = ticks.sparkSession, new_path(ticks.sparkSession, "kept")
 
     def run(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(state).parquet(versions[-1]) if versions else spark.createDataFrame([], state)
+        before = f"{base}/state/v{number - 1}"
+        old = spark.read.schema(state).parquet(before) if number else spark.createDataFrame([], state)
         new, rows = step(batch, old)
         path = f"{base}/state/v{number}"
         new.write.mode("overwrite").parquet(path)
         rows(spark.read.schema(state).parquet(path)).write.mode("overwrite").parquet(f"{base}/rows/v={number}")
-        versions.append(path)
 
-    q = ticks.writeStream.foreachBatch(run).option("checkpointLocation", _dir(spark, "checkpoint")).trigger(availableNow=True).start()
+    q = ticks.writeStream.foreachBatch(run).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/rows").drop("v")
 
