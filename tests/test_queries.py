@@ -53,10 +53,18 @@ def test_all_queries_have_sql():
 def test_basket_problems(spark):
     from tidewarden.operators import basket
 
-    rows = [("a", "x", "b1", "t", 1.0), ("b", "x", "b1", "t", 0.0), ("c", "y", "b1", "t", 1.0), ("d", "x", "b1", "u", 1.0), ("e", "x", "b1", "t", 1.0), ("e", "x", "b1", "t", 2.0), ("f", "x", "b2", "t", 1.0), (None, "x", "b1", "t", 1.0)]
-    df, told = spark.createDataFrame(rows, "ticker string, source string, block string, template string, tick double"), spark.createDataFrame([("t",)], "template string")
+    rows = [
+        ("a", "x", "b1", "t", 1.0), ("b", "x", "b1", "t", 0.0), ("c", "y", "b1", "t", 1.0), ("d", "x", "b1", "u", 1.0), ("e", "x", "b1", "t", 1.0),
+        ("e", "x", "b1", "t", 2.0), ("f", "x", "b2", "t", 1.0), (None, "x", "b1", "t", 1.0),
+    ]
+    df, told = spark.createDataFrame(
+        rows, "ticker string, source string, block string, template string, tick double",
+    ), spark.createDataFrame([("t",)], "template string")
     got = sorted((r.ticker or "", r.problem) for r in basket.problems(df, told, ["x"]).collect())
-    assert got == [("", "a field is missing"), ("a", ""), ("b", "tick not above zero"), ("c", "unknown source"), ("d", "template not described"), ("e", "listed twice"), ("e", "listed twice"), ("f", "block too small")]
+    assert got == [
+        ("", "a field is missing"), ("a", ""), ("b", "tick not above zero"), ("c", "unknown source"), ("d", "template not described"),
+        ("e", "listed twice"), ("e", "listed twice"), ("f", "block too small"),
+    ]
     assert basket.checked(df.where("ticker = 'a' or ticker = 'b'").withColumn("tick", F.lit(1.0)), told, ["x"]).count() == 2
     with pytest.raises(Exception, match="tick not above zero"):
         basket.checked(df, told, ["x"]).collect()
@@ -138,7 +146,10 @@ def test_streams_keep_all_ticks_over_many_batches(spark, monkeypatch, tmp_path):
     from tidewarden.streaming import events
 
     monkeypatch.setattr(events, "SLICE_ROWS", 30, raising=False)
-    ticks = [(None if i % 5 == 0 else i, datetime(2024, 3, 1) + timedelta(seconds=i * 4111), i % 7, "buy" if i % 6 else "sell", 50.0 + i * 37 % 41, '{"k": 1}') for i in range(200)]
+    ticks = [(
+        None if i % 5 == 0 else i, datetime(2024, 3, 1) + timedelta(seconds=i * 4111), i % 7, "buy" if i % 6 else "sell", 50.0 + i * 37 % 41,
+        '{"k": 1}',
+    ) for i in range(200)]
     spark.createDataFrame(ticks, events.EVENTS).write.parquet(f"{tmp_path}/events.parquet")
     found, acted, start, top = [], [], {}, {}
     for n, at, _, asset, price, _ in ticks:

@@ -14,8 +14,13 @@ def rows_of(df, *cols):
 
 
 def test_fold_first_last_and_volume(spark):
-    t = spark.createDataFrame([("a", 10, 1, 5.0, 1), ("a", 20, 2, 7.0, 2), ("a", 20, 3, 6.0, 3), ("a", 3600, 4, 9.0, 4), ("b", 5, 5, 1.0, 5)], "asset string, t long, event_id long, price double, size long")
-    assert rows_of(bars.fold(t, ["asset"], 3600), "asset", "hour", "open", "high", "low", "close", "volume", "n_src") == [("a", 0, 5.0, 7.0, 5.0, 6.0, 6.0, 3), ("a", 3600, 9.0, 9.0, 9.0, 9.0, 4.0, 1), ("b", 0, 1.0, 1.0, 1.0, 1.0, 5.0, 1)]
+    t = spark.createDataFrame(
+        [("a", 10, 1, 5.0, 1), ("a", 20, 2, 7.0, 2), ("a", 20, 3, 6.0, 3), ("a", 3600, 4, 9.0, 4), ("b", 5, 5, 1.0, 5)],
+        "asset string, t long, event_id long, price double, size long",
+    )
+    assert rows_of(bars.fold(t, ["asset"], 3600), "asset", "hour", "open", "high", "low", "close", "volume", "n_src") == [
+        ("a", 0, 5.0, 7.0, 5.0, 6.0, 6.0, 3), ("a", 3600, 9.0, 9.0, 9.0, 9.0, 4.0, 1), ("b", 0, 1.0, 1.0, 1.0, 1.0, 5.0, 1),
+    ]
     assert bars.fold(t, ["asset"], 3600, least=2).count() == 1 and bars.fold(t.limit(0), ["asset"], 3600).count() == 0
 
 
@@ -99,7 +104,9 @@ def test_earlier_rows_of_a_size(spark, upto):
     rng = np.random.default_rng(8)
     rows = [(k, t, float(rng.integers(0, 12))) for k in range(3) for t in sorted(rng.permutation(200)[: 5 if k == 2 else 60].tolist())]
     df = spark.createDataFrame(rows, "k int, at long, x double")
-    got = {(r.k, r.at): (r["_n"], r["_last"] and r["_last"].at) for r in windows.earlier_at_least(df, ["k"], "at", F.col("x"), F.col("x") * 0.9, ["at"], upto=upto).collect()}
+    got = {(r.k, r.at): (r["_n"], r["_last"] and r["_last"].at) for r in windows.earlier_at_least(
+        df, ["k"], "at", F.col("x"), F.col("x") * 0.9, ["at"], upto=upto,
+    ).collect()}
     for k, t, x in rows:
         hits = [u for j, u, y in rows if j == k and (u < t or upto and u == t) and y >= 0.9 * x]
         assert got[(k, t)] == (len(hits), max(hits, default=None))
@@ -153,7 +160,9 @@ def test_futures_calendar_by_counting_days(spark):
     for r in df.withColumn("b", calendar.weekdays_before(F.col("d"), F.col("n"))).collect():
         assert r.b == back(r.d, r.n)
     c = {(r.ticker, r.year, r.month): r for r in calendar.contracts(spark, spark.createDataFrame([(2024,), (2025,)], "year int")).collect()}
-    assert c["ZC=F", 2024, 12].last_day == date(2024, 12, 13) and c["BZ=F", 2025, 1].last_day == date(2024, 11, 29) and c["LE=F", 2024, 8].last_day == date(2024, 8, 30)
+    assert c[
+        "ZC=F", 2024, 12,
+    ].last_day == date(2024, 12, 13) and c["BZ=F", 2025, 1].last_day == date(2024, 11, 29) and c["LE=F", 2024, 8].last_day == date(2024, 8, 30)
     assert c["ZC=F", 2024, 9].held is False and c["ZC=F", 2024, 9].contract == "ZCU24.CBT" and ("KC=F", 2024, 1) not in c
 
 
@@ -193,13 +202,29 @@ def test_islands(spark):
 
 
 def test_validation_order(spark):
-    b = spark.createDataFrame([(1.0, 2.0, 0.5, 1.5, 1.0), (None, 2.0, 0.5, 1.5, 1.0), (0.0, 2.0, 0.0, 1.5, -1.0), (3.0, 2.0, 0.5, 1.5, -1.0), (1.0, 2.0, 0.5, 1.5, -1.0), (2.005, 2.0, 0.5, 1.5, 1.0)], "open double, high double, low double, close double, volume double")
-    assert [r[0] for r in b.select(quality.invalid_reason(0.01)).collect()] == ["", "removed", "not above zero", "body outside range", "volume below zero", ""]
+    b = spark.createDataFrame(
+        [
+            (1.0, 2.0, 0.5, 1.5, 1.0), (None, 2.0, 0.5, 1.5, 1.0), (0.0, 2.0, 0.0, 1.5, -1.0), (3.0, 2.0, 0.5, 1.5, -1.0), (1.0, 2.0, 0.5, 1.5, -1.0),
+            (2.005, 2.0, 0.5, 1.5, 1.0),
+        ],
+        "open double, high double, low double, close double, volume double",
+    )
+    assert [r[0] for r in b.select(quality.invalid_reason(0.01)).collect()] == [
+        "", "removed", "not above zero", "body outside range", "volume below zero", "",
+    ]
 
 
 def test_tally(spark):
-    j = spark.createDataFrame([("x", 1, 0, "confirmed"), ("x", 1, 1, "unknown"), ("x", 2, 0, "unconfirmed"), ("x", 3, 0, "unconfirmed"), ("x", 3, 1, "unconfirmed"), ("x", 4, 0, "unknown")], "asset string, hour long, feed long, answer string")
-    assert rows_of(vote.tally(j), "hour", "verdict", "n_yes", "n_no", "seen") == [(1, "real", 2, 0, "0"), (2, "uncertain", 1, 1, ""), (3, "not real", 1, 2, ""), (4, "uncertain", 1, 0, "")]
+    j = spark.createDataFrame(
+        [
+            ("x", 1, 0, "confirmed"), ("x", 1, 1, "unknown"), ("x", 2, 0, "unconfirmed"), ("x", 3, 0, "unconfirmed"), ("x", 3, 1, "unconfirmed"),
+            ("x", 4, 0, "unknown"),
+        ],
+        "asset string, hour long, feed long, answer string",
+    )
+    assert rows_of(vote.tally(j), "hour", "verdict", "n_yes", "n_no", "seen") == [
+        (1, "real", 2, 0, "0"), (2, "uncertain", 1, 1, ""), (3, "not real", 1, 2, ""), (4, "uncertain", 1, 0, ""),
+    ]
 
 
 def test_mad_and_ewma(spark):
@@ -223,7 +248,9 @@ def test_ewma_steps_against_a_loop(spark):
     x = [float(v) for v in rng.normal(0, 1, 120)]
     x[70] = 40.0
     d = spark.createDataFrame([("k", i, v) for i, v in enumerate(x)], "series string, day long, r double")
-    got = {r.day: (r.z, r.sd) for r in windows.folded(d, ["series"], "day", ["r"], volatility.ewma_step, volatility.ewma_start, "z double, sd double").collect()}
+    got = {r.day: (r.z, r.sd) for r in windows.folded(
+        d, ["series"], "day", ["r"], volatility.ewma_step, volatility.ewma_start, "z double, sd double",
+    ).collect()}
     mean = var = 0.0
     for i, v in enumerate(x):
         sd = math.sqrt(var)

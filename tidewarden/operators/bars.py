@@ -45,7 +45,9 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], is_settled: Colum
 def changed_partitions(stored: DataFrame, merged: DataFrame, part: str) -> DataFrame:
     """Values of `part` whose rows differ, by an order-free digest of the rows."""
     cols = sorted(stored.columns)
-    digest = lambda df, name: df.groupBy(part).agg(F.struct(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.count(F.lit(1))).alias(name))
+    digest = lambda df, name: df.groupBy(part).agg(F.struct(
+        F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.count(F.lit(1)),
+    ).alias(name))
     return digest(stored, "a").join(digest(merged, "b"), part, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(part)
 
 

@@ -14,7 +14,10 @@ def problems(config: DataFrame, templates: DataFrame, sources: list[str], least:
     named = ["source", "ticker"]
     listed = config.groupBy(*named).agg(F.count(F.lit(1)).alias("_listed"))
     members = config.groupBy("block").agg(F.count(F.lit(1)).alias("_members"))
-    c = config.join(listed, named, "left").join(members, "block", "left").join(templates.select("template", F.lit(True).alias("_told")).distinct(), "template", "left")
+    c = (
+        config.join(listed, named, "left").join(members, "block", "left")
+        .join(templates.select("template", F.lit(True).alias("_told")).distinct(), "template", "left")
+    )
     missing = F.lit(False)
     for n in ("ticker", "source", "block", "template", "tick"):
         missing = missing | F.col(n).isNull()

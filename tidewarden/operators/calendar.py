@@ -13,9 +13,14 @@ def weekday(day: Column) -> Column:
 
 def generate_sessions(days: DataFrame, zone: str, opens: str, closes: str) -> DataFrame:
     """day, open_at, close_at (epoch seconds) of weekdays, from local clock times; a close before the open is the next day's."""
-    local = lambda text, add: F.unix_timestamp(F.to_utc_timestamp(F.to_timestamp(F.concat(F.date_add("date", add).cast("string"), F.lit(f" {text}:00"))), zone))
+    local = lambda text, add: F.unix_timestamp(F.to_utc_timestamp(
+        F.to_timestamp(F.concat(F.date_add("date", add).cast("string"), F.lit(f" {text}:00"))), zone,
+    ))
     overnight = 1 if closes <= opens else 0
-    d = days.select("day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("date")).where(weekday(F.col("day")).between(1, 5))
+    d = (
+        days.select("day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("date"))
+        .where(weekday(F.col("day")).between(1, 5))
+    )
     zero = F.unix_timestamp(F.to_timestamp(F.lit("1970-01-01 00:00:00")))
     return d.select("day", (local(opens, 0) - zero).alias("open_at"), (local(closes, overnight) - zero).alias("close_at"))
 
@@ -102,7 +107,9 @@ def contracts(spark: SparkSession, years: DataFrame) -> DataFrame:
     end = F.date_sub(month_end, F.greatest(F.weekday(month_end) - 4, F.lit(0)))
     by_day = weekdays_before(F.make_date("year", "month", F.coalesce("ltd_day", F.lit(1))), F.coalesce("ltd_day_back", F.lit(1)))
     c = c.withColumn("last_day", F.when(F.col("ltd_day").isNotNull(), by_day).otherwise(weekdays_before(end, F.col("ltd_back"))))
-    by_last, by_month = weekdays_before(F.col("last_day"), F.coalesce("roll_ltd", F.lit(0))), weekdays_before(weekday_from(first), F.coalesce("roll_back", F.lit(0)) + 1)
+    by_last, by_month = weekdays_before(F.col("last_day"), F.coalesce("roll_ltd", F.lit(0))), weekdays_before(
+        weekday_from(first), F.coalesce("roll_back", F.lit(0)) + 1,
+    )
     c = c.withColumn("leaves", F.when(F.col("roll_ltd").isNotNull(), by_last).otherwise(by_month))
     name = F.concat(F.regexp_replace("ticker", "=F$", ""), "code", F.lpad((F.col("year") % 100).cast("string"), 2, "0"), F.lit("."), "suffix")
     return c.select("ticker", name.alias("contract"), "year", "month", F.expr("instr(held, code) > 0").alias("held"), "last_day", "leaves")
@@ -121,6 +128,9 @@ def roll_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     edges = rows.select("ticker", F.date_add("last_day", 1).alias("edge")).union(rolls(rows).select("ticker", "first_day")).distinct()
     week = lambda d: F.floor(F.unix_date(d) / 7)
     spread = edges.withColumn("week", F.explode(F.array(*(week(F.date_sub("edge", 1)) + i for i in (0, 1, 2)))))
-    met = spread.join(sessions.withColumn("week", week(F.col("session"))), "week").where((F.col("session") >= F.date_sub("edge", 1)) & (F.col("session") <= F.date_add("edge", 7)))
+    met = (
+        spread.join(sessions.withColumn("week", week(F.col("session"))), "week")
+        .where((F.col("session") >= F.date_sub("edge", 1)) & (F.col("session") <= F.date_add("edge", 7)))
+    )
     nth = F.row_number().over(Window.partitionBy("ticker", "edge").orderBy("session"))
     return met.withColumn("nth", nth).where("nth <= 2").select("ticker", "session").distinct()

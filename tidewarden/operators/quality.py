@@ -26,7 +26,10 @@ def invalid_reason(tick: float) -> Column:
     prices = [F.col(x) for x in ("open", "high", "low", "close")]
     missing = prices[0].isNull() | prices[1].isNull() | prices[2].isNull() | prices[3].isNull()
     return (
-        F.when(missing, "removed").when(F.least(*prices) <= 0, "not above zero").when(ohlc_inconsistent(tick), "body outside range").when(F.col("volume") < 0, "volume below zero").otherwise("")
+        (
+            F.when(missing, "removed").when(F.least(*prices) <= 0, "not above zero").when(ohlc_inconsistent(tick), "body outside range")
+            .when(F.col("volume") < 0, "volume below zero").otherwise("")
+        )
     )
 
 
@@ -34,7 +37,10 @@ def overlaps(bars: DataFrame, sessions: DataFrame, keys: list[str], seconds: int
     """bars with in_session: whether [hour, hour + seconds) meets a session [open, close) of its keys.
 
     Sessions are dealt to the days they touch, so the range join is an equi-join on keys and day. Without keys, sessions hold for all bars."""
-    days = sessions.withColumn("day", F.explode(F.sequence(F.floor(F.col("open_at") / 86400), F.floor((F.col("close_at") - 1) / 86400)))).select(*keys, "day", "open_at", "close_at")
+    days = (
+        sessions.withColumn("day", F.explode(F.sequence(F.floor(F.col("open_at") / 86400), F.floor((F.col("close_at") - 1) / 86400))))
+        .select(*keys, "day", "open_at", "close_at")
+    )
     b = bars.withColumn("day", F.explode(F.array_distinct(F.array(F.floor(F.col("hour") / 86400), F.floor((F.col("hour") + seconds - 1) / 86400)))))
     hit = b.join(days, [*keys, "day"]).where((F.col("hour") < F.col("close_at")) & (F.col("hour") + seconds > F.col("open_at")))
     inside = hit.select(*keys, "hour").distinct().withColumn("in_session", F.lit(True))

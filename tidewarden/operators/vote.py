@@ -28,7 +28,9 @@ def judge(cands: DataFrame, feeds: DataFrame, names: DataFrame, skips: DataFrame
     asked = cands.crossJoin(F.broadcast(names))  # names is a fixed handful of feeds
     if skips is not None:
         of_day = (F.floor(F.col("hour") / 3600) % 24).cast("int")
-        asked = asked.join(F.broadcast(skips), "feed", "left").where(~F.coalesce(F.array_contains("skip", of_day), F.lit(False))).drop("skip")  # a row a feed
+        asked = asked.join(F.broadcast(skips), "feed", "left").where(~F.coalesce(
+            F.array_contains("skip", of_day), F.lit(False),
+        )).drop("skip")  # a row a feed
     good = feeds.where((F.col("open") > 0) & (F.col("close") > 0)).select("asset", "feed", F.col("hour").alias("h"), F.col("close").alias("c"))
     end = good.select("asset", "feed", F.col("h").alias("hour"), F.col("c").alias("c1"))
     begin = good.select("asset", "feed", F.col("h").alias("prev_hour"), F.col("c").alias("c0"))
@@ -52,7 +54,9 @@ def crosses(moves: DataFrame, changed: DataFrame) -> DataFrame:
 
 def overnight(judged: DataFrame, least: int = 2) -> DataFrame:
     """asset, hour, night: the median move of the feeds that answered, where `least` of them did."""
-    shown = judged.where("own_move is not null").groupBy("asset", "hour").agg(F.percentile("own_move", 0.5).alias("night"), F.count(F.lit(1)).alias("n"))
+    shown = (
+        judged.where("own_move is not null").groupBy("asset", "hour").agg(F.percentile("own_move", 0.5).alias("night"), F.count(F.lit(1)).alias("n"))
+    )
     return shown.where(F.col("n") >= least).select("asset", "hour", "night")
 
 
@@ -72,15 +76,30 @@ def tally(judged: DataFrame) -> DataFrame:
 
 def switches(store: DataFrame, feeds: DataFrame, session: str, step_bp: float = ROLL_STEP_BP, least: int = 3) -> DataFrame:
     """First hours of the sessions at which a feed's median offset to the store stepped."""
-    j = store.select("asset", "hour", session, F.col("close").alias("s")).where("s > 0").join(feeds.where("close > 0").select("asset", "feed", "hour", "close"), ["asset", "hour"])
-    by = j.groupBy("asset", "feed", session).agg(F.percentile(F.ln(F.col("close") / F.col("s")), 0.5).alias("off"), F.min("hour").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    j = (
+        store.select("asset", "hour", session, F.col("close").alias("s")).where("s > 0")
+        .join(feeds.where("close > 0").select("asset", "feed", "hour", "close"), ["asset", "hour"])
+    )
+    by = (
+        j.groupBy("asset", "feed", session)
+        .agg(F.percentile(F.ln(F.col("close") / F.col("s")), 0.5).alias("off"), F.min("hour").alias("first"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= least)
+    )
     w = Window.partitionBy("asset", "feed").orderBy(session)
-    return by.withColumn("step", F.abs(F.col("off") - F.lag("off").over(w)) * 1e4).where(F.col("step") >= step_bp).select("asset", "feed", "first", "step")
+    return (
+        by.withColumn("step", F.abs(F.col("off") - F.lag("off").over(w)) * 1e4).where(F.col("step") >= step_bp)
+        .select("asset", "feed", "first", "step")
+    )
 
 
-def alignment(store: DataFrame, feed: DataFrame, keys: list[str], least: int = 200, corr: float = 0.90, gap_bp: float = 25.0, worst: int = 3) -> DataFrame:
+def alignment(
+    store: DataFrame, feed: DataFrame, keys: list[str], least: int = 200, corr: float = 0.90, gap_bp: float = 25.0, worst: int = 3,
+) -> DataFrame:
     """keys, n, corr, gap_bp, worst_hours, passes: whether a feed's overlap with the store is close enough to splice it, and the hours of the largest gaps."""
-    j = store.select(*keys, "hour", F.col("close").alias("a")).join(feed.select(*keys, "hour", F.col("close").alias("b")), [*keys, "hour"]).where("a > 0 and b > 0")
+    j = (
+        store.select(*keys, "hour", F.col("close").alias("a")).join(feed.select(*keys, "hour", F.col("close").alias("b")), [*keys, "hour"])
+        .where("a > 0 and b > 0")
+    )
     w = Window.partitionBy(*keys).orderBy("hour")
     gap = F.abs(F.ln(F.col("b") / F.col("a"))) * 1e4
     j = j.withColumn("da", F.ln(F.col("a") / F.lag("a").over(w))).withColumn("db", F.ln(F.col("b") / F.lag("b").over(w))).withColumn("gap", gap)

@@ -33,7 +33,9 @@ def range_mean(x: Column | str, at: str, keys: list[str], seconds: int, least: i
     return F.when(n >= least, total.cast("double") / n)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], bin_size: int | None = None) -> DataFrame:
+def asof_backward(
+    left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], bin_size: int | None = None,
+) -> DataFrame:
     """Each left row with the values of the last right row at or before it.
 
     Both sides are one stream in time order and a running last value is carried on: one shuffle, no range join. With bin_size, the
@@ -49,7 +51,10 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
         opens = bins.withColumn("_asked", F.lit(True)).unionByName(last.withColumn("_asked", F.lit(False)))
         opens = opens.withColumn("_open", F.last("_v", ignorenulls=True).over(line)).where(F.col("_asked") & F.col("_open").isNotNull())
         start = (F.col("_bin") * bin_size - 1).cast(dict(right.dtypes)[right_at]).alias(right_at)
-        right = right.select(*keys, "_bin", right_at, *values).unionByName(opens.select(*keys, "_bin", start, *[F.col("_open")[v].alias(v) for v in values]))
+        right = (
+            right.select(*keys, "_bin", right_at, *values)
+            .unionByName(opens.select(*keys, "_bin", start, *[F.col("_open")[v].alias(v) for v in values]))
+        )
         return asof_backward(left, right, [*keys, "_bin"], left_at, right_at, values).drop("_bin")
     right_cols = [F.col(v).alias(f"_r_{v}") for v in values]
     empty = [F.lit(None).cast(dict(right.dtypes)[v]).alias(f"_r_{v}") for v in values]
@@ -81,7 +86,9 @@ def counts_before(rows: DataFrame, key: str) -> DataFrame:
     return n.select(key, F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("before"))
 
 
-def earlier_at_least(rows: DataFrame, keys: list[str], at: str, value: Column, least: Column, carry: list[str], points: DataFrame | None = None, upto: bool = False) -> DataFrame:
+def earlier_at_least(
+    rows: DataFrame, keys: list[str], at: str, value: Column, least: Column, carry: list[str], points: DataFrame | None = None, upto: bool = False,
+) -> DataFrame:
     """rows with _n, the number of earlier rows of their key whose value is `least` or more, and the `carry` columns of the last
     of them in the struct _last. (keys, at) names a row. Earlier rows are those of `points` (rows themselves if None), before `at` or, with
     `upto`, at it too; rows and points both give value and least.
@@ -89,18 +96,30 @@ def earlier_at_least(rows: DataFrame, keys: list[str], at: str, value: Column, l
     Values and bounds are ranked together within the key; the ranks above a bound are a few blocks of lengths that are powers of two, and each
     value lies in one block of each length, so a lookup is a running count and a running last within its blocks: no row is paired with all before it."""
     points = rows if points is None else points
-    asked = rows.select(*keys, F.col(at).alias("_at"), least.cast("double").alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast(f"struct<{','.join(f'{n}:{t}' for n, t in points.dtypes if n in carry)}>").alias("_row"))
-    held = points.select(*keys, F.col(at).alias("_at"), value.cast("double").alias("_v"), F.lit(1).alias("_side"), F.struct(*[n for n in points.columns if n in carry]).alias("_row"))
+    asked = rows.select(
+        *keys, F.col(at).alias("_at"), least.cast("double").alias("_v"), F.lit(0).alias("_side"),
+        F.lit(None).cast(f"struct<{','.join(f'{n}:{t}' for n, t in points.dtypes if n in carry)}>").alias("_row")
+    )
+    held = points.select(
+        *keys, F.col(at).alias("_at"), value.cast("double").alias("_v"), F.lit(1).alias("_side"),
+        F.struct(*[n for n in points.columns if n in carry]).alias("_row")
+    )
     both = asked.unionByName(held).where(F.col("_v").isNotNull())
     key = Window.partitionBy(*keys)
-    ranked = both.withColumn("_rank", F.row_number().over(key.orderBy("_v", "_side")) - 1).withColumn("_bits", F.ceil(F.log2(F.count(F.lit(1)).over(key) + 1)).cast("int"))
+    ranked = (
+        both.withColumn("_rank", F.row_number().over(key.orderBy("_v", "_side")) - 1)
+        .withColumn("_bits", F.ceil(F.log2(F.count(F.lit(1)).over(key) + 1)).cast("int"))
+    )
     cut = ranked.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_bits")))).withColumn("_block", F.expr("shiftright(_rank, _level)"))
     # a bound looks into the block to the right of its own where its own is a left one; values matter only in right ones
     odd = F.col("_block") % 2 == 1
     cut = cut.where(F.when(F.col("_side") == 1, odd).otherwise(~odd)).withColumn("_block", F.col("_block") + (F.col("_side") == 0).cast("int"))
     first = F.col("_side") if not upto else -F.col("_side")
     line = Window.partitionBy(*keys, "_level", "_block").orderBy("_at", first).rowsBetween(Window.unboundedPreceding, -1)
-    seen = cut.withColumn("_c", F.count("_row").over(line)).withColumn("_l", F.last(F.when(F.col("_side") == 1, F.struct("_at", "_row")), ignorenulls=True).over(line))
+    seen = (
+        cut.withColumn("_c", F.count("_row").over(line))
+        .withColumn("_l", F.last(F.when(F.col("_side") == 1, F.struct("_at", "_row")), ignorenulls=True).over(line))
+    )
     found = seen.where("_side = 0").groupBy(*keys, "_at").agg(F.sum("_c").alias("_n"), F.max_by("_l", "_l._at").alias("_l"))
     found = found.select(*keys, F.col("_at").alias(at), "_n", F.col("_l._row").alias("_last"))
     return rows.join(found, [*keys, at], "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("bigint")))

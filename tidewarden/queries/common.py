@@ -3,7 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TICKS = r"""ticks AS (SELECT event_id, event_type AS asset, user_id % 3 AS feed, epoch_us(ts) // 1000000 AS t, value AS price, CAST(regexp_extract(props, '\d+') AS BIGINT) AS size FROM events)"""
+TICKS = r"""ticks AS (SELECT event_id, event_type AS asset, user_id % 3 AS feed, epoch_us(ts) // 1000000 AS t, value AS price,
+  CAST(regexp_extract(props, '\d+') AS BIGINT) AS size FROM events)"""
 _FOLD = "arg_min(price, event_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, event_id) AS close, sum(size)::DOUBLE AS volume, count(*) AS n_src"
 BARS = f"{TICKS}, bars AS (SELECT asset, t // 3600 * 3600 AS hour, {_FOLD} FROM ticks GROUP BY 1, 2)"
 FEED_BARS = f"{TICKS}, fbars AS (SELECT asset, feed, t // 3600 * 3600 AS hour, {_FOLD} FROM ticks GROUP BY 1, 2, 3)"
@@ -22,7 +23,8 @@ _WORD = "CASE WHEN abs(z) >= 3.0 THEN 'extreme' WHEN abs(z) >= 2.5 THEN 'rare' W
 SCORED = f"""{MOVES}, prod AS (SELECT asset, hour, abs(r) * abs(lag(r) OVER (PARTITION BY asset ORDER BY hour)) AS x FROM moves WHERE r IS NOT NULL),
 sg AS (SELECT asset, hour, CASE WHEN count(x) OVER w >= {LEAST} THEN sqrt(pi() / 2 * avg(x) OVER w) END AS sigma FROM prod
   WINDOW w AS (PARTITION BY asset ORDER BY hour RANGE BETWEEN {WEEK} PRECEDING AND 1 PRECEDING)),
-zed AS (SELECT moves.*, sigma, CASE WHEN sigma > 0 THEN r / sigma END AS z, hour - min(CASE WHEN r IS NOT NULL THEN hour END) OVER (PARTITION BY asset) < {WEEK} AS young
+zed AS (SELECT moves.*, sigma, CASE WHEN sigma > 0 THEN r / sigma END AS z, hour - min(CASE WHEN r IS NOT NULL THEN hour END) OVER (PARTITION BY
+  asset) < {WEEK} AS young
   FROM moves LEFT JOIN sg USING (asset, hour)),
 scored AS (SELECT *, {_WORD} AS word FROM zed)"""
 

@@ -14,7 +14,9 @@ from ..sources.staging import exists, new_path, stage
 from .common import BARS, FEED_BARS, TICKS, r6
 
 epoch, table = market.epoch, market.table
-BAR = T.StructType([T.StructField("hour", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in ("open", "high", "low", "close", "volume")] + [T.StructField("n_src", T.LongType())])
+BAR = T.StructType([T.StructField("hour", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in (
+    "open", "high", "low", "close", "volume",
+)] + [T.StructField("n_src", T.LongType())])
 
 
 def sharded(spark, sf):
@@ -30,18 +32,24 @@ def sharded(spark, sf):
     return old, new
 
 
-_STORE = f"{BARS}, store AS (SELECT asset, hour, open, CASE WHEN hour // 86400 % 10 >= 5 THEN close + 1 ELSE close END AS close, n_src, hour // 86400 % 10 >= 5 AS of_a_day FROM bars)"
+_STORE = f"""{BARS}, store AS (SELECT asset, hour, open, CASE WHEN hour // 86400 % 10 >= 5 THEN close + 1 ELSE close END AS close, n_src, hour //
+  86400 % 10 >= 5 AS of_a_day FROM bars)"""
 
 
 def load(spark, sf, since_day=None):
     """Of copies of a bar, that of the last shard stays: by span, a whole span before its days, days in order."""
     old, new = sharded(spark, sf)
-    parts = T.StructType([*BAR.fields, *(T.StructField(n, t) for n, t in (("asset", T.StringType()), ("day", T.LongType()), ("shard", T.StringType())))])
+    parts = T.StructType([
+        *BAR.fields, *(T.StructField(n, t) for n, t in (("asset", T.StringType()), ("day", T.LongType()), ("shard", T.StringType())))
+    ])
     both = spark.read.schema(parts).parquet(old).unionByName(spark.read.schema(parts).option("header", True).option("mode", "FAILFAST").csv(new))
     if since_day is not None:
         both = both.where(F.col("day") >= since_day)  # partition pruning
     name = F.split("shard", "-")
-    both = both.withColumn("span", F.get(name, F.lit(1)).cast("long")).withColumn("of_day", F.coalesce(F.get(name, F.lit(2)).cast("long"), F.lit(-1).cast("long")))
+    both = (
+        both.withColumn("span", F.get(name, F.lit(1)).cast("long"))
+        .withColumn("of_day", F.coalesce(F.get(name, F.lit(2)).cast("long"), F.lit(-1).cast("long")))
+    )
     return ob.keep_last(both, ["asset", "hour"], F.desc("span"), F.desc("of_day"))
 
 
@@ -66,7 +74,10 @@ def a3(spark, sf):
 def a4(spark, sf):
     path = new_path(spark, "csv")
     market.bars(spark, sf).select("asset", *BAR.fieldNames()).write.option("header", True).csv(path)
-    back = spark.read.schema(T.StructType([T.StructField("asset", T.StringType()), *BAR.fields])).option("header", True).option("mode", "FAILFAST").csv(path)
+    back = (
+        spark.read.schema(T.StructType([T.StructField("asset", T.StringType()), *BAR.fields])).option("header", True).option("mode", "FAILFAST")
+        .csv(path)
+    )
     return back.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
 
@@ -77,9 +88,11 @@ def revised(b):
     return store, new
 
 
-_MERGE = f"""{BARS}, st AS (SELECT asset, hour, n_src, CASE WHEN hour // 3600 % 11 <> 0 THEN close END AS close FROM bars WHERE hour // 3600 % 7 <> 0),
+_MERGE = f"""{BARS}, st AS (SELECT asset, hour, n_src, CASE WHEN hour // 3600 % 11 <> 0 THEN close END AS close FROM bars WHERE hour // 3600 % 7 <>
+  0),
 nw AS (SELECT asset, hour, n_src, close + 1 AS close FROM bars WHERE hour // 3600 % 5 = 0 OR hour // 3600 % 7 = 0),
-merged AS (SELECT asset, hour, CASE WHEN st.hour IS NOT NULL AND (nw.hour IS NULL OR st.close IS NULL OR hour // 86400 < 19735) THEN st.close ELSE nw.close END AS close, st.hour IS NULL AS added FROM (SELECT *, hour AS h FROM st) st FULL JOIN nw USING (asset, hour))"""
+merged AS (SELECT asset, hour, CASE WHEN st.hour IS NOT NULL AND (nw.hour IS NULL OR st.close IS NULL OR hour // 86400 < 19735) THEN st.close ELSE
+  nw.close END AS close, st.hour IS NULL AS added FROM (SELECT *, hour AS h FROM st) st FULL JOIN nw USING (asset, hour))"""
 
 
 def merged(spark, sf):
@@ -97,10 +110,15 @@ def a7b(spark, sf):
     """Merging the same delivery again changes nothing."""
     _, new, once = merged(spark, sf)
     twice = ob.upsert(once, new, ["asset", "hour"], F.floor(F.col("hour") / 86400) < 19735).select("asset", "hour", F.col("close").alias("again"))
-    return once.join(twice, ["asset", "hour"], "full").groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("close").eqNullSafe(F.col("again"))).alias("n_different"))
+    return (
+        once.join(twice, ["asset", "hour"], "full").groupBy("asset")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("close").eqNullSafe(F.col("again"))).alias("n_different"))
+    )
 
 
-@query("A5_changed_partitions", f"WITH {_MERGE}, a AS (SELECT hour // 86400 AS day, asset, hour, close FROM st), b AS (SELECT hour // 86400 AS day, asset, hour, close FROM merged) SELECT DISTINCT day FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))")
+@query("A5_changed_partitions", f"""WITH {_MERGE}, a AS (SELECT hour // 86400 AS day, asset, hour, close FROM st), b AS (SELECT hour // 86400 AS day,
+  asset, hour, close FROM merged) SELECT DISTINCT day FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM
+  a))""")
 def a5(spark, sf):
     """Only partitions whose rows differ are written again."""
     store, _, now = merged(spark, sf)
@@ -114,7 +132,9 @@ def a5b(spark, sf):
     """Dynamic overwrite of the changed partitions gives the merged store."""
     store, _, now = merged(spark, sf)
     day = F.floor(F.col("hour") / 86400)
-    store, now = stage(store.withColumn("day", day), "store").select("asset", "hour", "close", "day"), stage(now.withColumn("day", day), "merged").select("asset", "hour", "close", "day")
+    store, now = stage(
+        store.withColumn("day", day), "store",
+    ).select("asset", "hour", "close", "day"), stage(now.withColumn("day", day), "merged").select("asset", "hour", "close", "day")
     path = new_path(spark, "partitions")
     store.write.partitionBy("day").parquet(path)
     part = now.join(ob.changed_partitions(store, now, "day"), "day", "left_semi")
@@ -122,11 +142,18 @@ def a5b(spark, sf):
     return spark.read.parquet(path).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
 
-@query("A6_settled_layout", """WITH o AS (SELECT epoch_us(date_trunc('month', o_orderdate)) // 1000000 AS m, epoch_us(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH) // 1000000 + 7 * 86400 AS closes, count(*) AS n FROM orders GROUP BY 1, 2)
+@query("A6_settled_layout", """WITH o AS (SELECT epoch_us(date_trunc('month', o_orderdate)) // 1000000 AS m, epoch_us(date_trunc('month', o_orderdate)
+  + INTERVAL 1 MONTH) // 1000000 + 7 * 86400 AS closes, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT m, n, closes <= (SELECT max(epoch_us(o_orderdate) // 1000000) FROM orders) AS settled FROM o""")
 def a6(spark, sf):
     """Months close seven days after their end, by the newest row."""
-    o = table(spark, sf, "orders").select(epoch("o_orderdate").alias("t"), epoch("date_trunc('MONTH', o_orderdate)").alias("m"), epoch("date_trunc('MONTH', o_orderdate) + INTERVAL '1' MONTH").alias("e"))
+    o = (
+        table(spark, sf, "orders")
+        .select(
+            epoch("o_orderdate").alias("t"), epoch("date_trunc('MONTH', o_orderdate)").alias("m"),
+            epoch("date_trunc('MONTH', o_orderdate) + INTERVAL '1' MONTH").alias("e"),
+        )
+    )
     newest = o.agg(F.max("t").alias("newest"))
     g = o.groupBy("m", "e").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(newest))
     return g.select("m", "n", (F.col("e") + 7 * 86400 <= F.col("newest")).alias("settled"))
@@ -142,9 +169,12 @@ def a9(spark, sf):
     return market.ticks(spark, sf).select("asset", F.col("t").alias("open_time"), F.col("price").alias("open"), (F.col("t") + 60).alias("close_time"))
 
 
-@query("A10_sessions_csv", """WITH d AS (SELECT DISTINCT epoch_us(ts) // 86400000000 AS day FROM events UNION SELECT DISTINCT epoch_us(o_orderdate) // 86400000000 FROM orders),
-t AS (SELECT day, make_timestamp(day * 86400000000 + 34200000000) AS o, make_timestamp(day * 86400000000 + 57600000000) AS c FROM d WHERE (day + 4) % 7 BETWEEN 1 AND 5)
-SELECT day, epoch_us(o AT TIME ZONE 'America/New_York') // 1000000 AS open_at, epoch_us(c AT TIME ZONE 'America/New_York') // 1000000 AS close_at FROM t""")
+@query("A10_sessions_csv", """WITH d AS (SELECT DISTINCT epoch_us(ts) // 86400000000 AS day FROM events UNION SELECT DISTINCT epoch_us(o_orderdate) //
+  86400000000 FROM orders),
+t AS (SELECT day, make_timestamp(day * 86400000000 + 34200000000) AS o, make_timestamp(day * 86400000000 + 57600000000) AS c FROM d WHERE (day + 4) %
+  7 BETWEEN 1 AND 5)
+SELECT day, epoch_us(o AT TIME ZONE 'America/New_York') // 1000000 AS open_at, epoch_us(c AT TIME ZONE 'America/New_York') // 1000000 AS close_at FROM
+  t""")
 def a10(spark, sf):
     """Sessions of the days of ticks and orders, generated from New York clock times (summer time counts), written as CSV and read back."""
     days = market.ticks(spark, sf).select(F.floor(F.col("t") / 86400).alias("day"))
@@ -175,19 +205,25 @@ def a13(spark, sf):
     return back.groupBy("provider").agg(F.count(F.lit(1)).alias("rows"), F.sum("calls").alias("calls"))
 
 
-@query("A14_merge_releases", """WITH o AS (SELECT lang AS country, source AS title, doc_id % 50 AS slot, max(CASE WHEN doc_id % 3 = 0 THEN n_chars::VARCHAR ELSE '' END) AS actual FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2, 3),
-n AS (SELECT lang AS country, source AS title, doc_id % 50 AS slot, max(CASE WHEN doc_id % 5 = 0 THEN n_chars::VARCHAR ELSE ' ' END) AS actual FROM documents GROUP BY 1, 2, 3)
+@query("A14_merge_releases", """WITH o AS (SELECT lang AS country, source AS title, doc_id % 50 AS slot, max(CASE WHEN doc_id % 3 = 0 THEN
+  n_chars::VARCHAR ELSE '' END) AS actual FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2, 3),
+n AS (SELECT lang AS country, source AS title, doc_id % 50 AS slot, max(CASE WHEN doc_id % 5 = 0 THEN n_chars::VARCHAR ELSE ' ' END) AS actual FROM
+  documents GROUP BY 1, 2, 3)
 SELECT country, title, slot, coalesce(nullif(trim(n.actual), ''), nullif(o.actual, '')) AS actual FROM o FULL JOIN n USING (country, title, slot)""")
 def a14(spark, sf):
     """Releases as JSON lines; an empty field never overwrites a filled one."""
     d = table(spark, sf, "documents").withColumn("slot", F.col("doc_id") % 50)
-    of = lambda rows, k, empty: rows.groupBy(F.col("lang").alias("country"), F.col("source").alias("title"), "slot").agg(F.max(F.when(F.col("doc_id") % k == 0, F.col("n_chars").cast("string")).otherwise(empty)).alias("actual"))
+    of = lambda rows, k, empty: rows.groupBy(
+        F.col("lang").alias("country"), F.col("source").alias("title"), "slot",
+    ).agg(F.max(F.when(F.col("doc_id") % k == 0, F.col("n_chars").cast("string")).otherwise(empty)).alias("actual"))
     path = new_path(spark, "releases")
     of(d.where("doc_id % 2 = 0"), 3, "").write.json(path)
     old = spark.read.schema("country string, title string, slot long, actual string").json(path).withColumnRenamed("actual", "a")
     new = of(d, 5, " ").withColumnRenamed("actual", "b")
     filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return old.join(new, ["country", "title", "slot"], "full").select("country", "title", "slot", F.coalesce(filled("b"), filled("a")).alias("actual"))
+    return (
+        old.join(new, ["country", "title", "slot"], "full").select("country", "title", "slot", F.coalesce(filled("b"), filled("a")).alias("actual"))
+    )
 
 
 @query("A16_state_document", "SELECT event_type AS k, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
@@ -215,8 +251,10 @@ def a17(spark, sf):
     return both.groupBy("reading_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A18_hot_and_cold", f"""WITH {BARS}, c AS (SELECT asset, hour, close, (hour // 86400 // 7 + 1) * 7 * 86400 + 3 * 86400 <= (SELECT max(hour) FROM bars) AS cold FROM bars),
-held AS (SELECT DISTINCT asset FROM c WHERE NOT cold) SELECT asset, cold, count(*) AS n, round(sum(CASE WHEN cold THEN close ELSE close + 1 END), 4) AS total, asset IN (SELECT asset FROM held) AS is_held FROM c GROUP BY 1, 2""")
+@query("A18_hot_and_cold", f"""WITH {BARS}, c AS (SELECT asset, hour, close, (hour // 86400 // 7 + 1) * 7 * 86400 + 3 * 86400 <= (SELECT max(hour)
+  FROM bars) AS cold FROM bars),
+held AS (SELECT DISTINCT asset FROM c WHERE NOT cold) SELECT asset, cold, count(*) AS n, round(sum(CASE WHEN cold THEN close ELSE close + 1 END), 4)
+  AS total, asset IN (SELECT asset FROM held) AS is_held FROM c GROUP BY 1, 2""")
 def a18(spark, sf):
     """Weeks settle three days after their end, by the newest bar. Settled ones are read from the cold tier, open ones from the hot tier, which is
     newer; an instrument is held where the hot tier has it. Rows that the cold tier has of open weeks give way."""
@@ -234,15 +272,20 @@ def a18(spark, sf):
     return out.select("asset", "cold", "n", "total", F.coalesce("held", F.lit(False)).alias("is_held"))
 
 
-@query("A20_fetch_missing", f"WITH {FEED_BARS}, newest AS (SELECT asset, max(hour) - 10800 AS since FROM fbars WHERE feed = 0 AND hour < 1706000000 GROUP BY 1) SELECT f.asset, count(*) AS n, min(f.hour) AS first FROM fbars f JOIN newest USING (asset) WHERE feed = 1 AND f.hour >= since GROUP BY 1")
+@query("A20_fetch_missing", f"""WITH {FEED_BARS}, newest AS (SELECT asset, max(hour) - 10800 AS since FROM fbars WHERE feed = 0 AND hour < 1706000000
+  GROUP BY 1) SELECT f.asset, count(*) AS n, min(f.hour) AS first FROM fbars f JOIN newest USING (asset) WHERE feed = 1 AND f.hour >= since GROUP BY 1""")
 def a20(spark, sf):
     """The window to ask for starts three hours before the newest stored bar."""
     f = market.feed_bars(spark, sf)
     newest = f.where("feed = 0 and hour < 1706000000").groupBy("asset").agg((F.max("hour") - 10800).alias("since"))
-    return f.where("feed = 1").join(newest, "asset").where("hour >= since").groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.min("hour").alias("first"))
+    return (
+        f.where("feed = 1").join(newest, "asset").where("hour >= since").groupBy("asset")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("hour").alias("first"))
+    )
 
 
-@query("A21_request_batches", f"""WITH {BARS}, n AS (SELECT asset, hour // 86400 AS d, max(hour) AS newest, row_number() OVER (ORDER BY asset, hour // 86400) AS i FROM bars GROUP BY 1, 2)
+@query("A21_request_batches", f"""WITH {BARS}, n AS (SELECT asset, hour // 86400 AS d, max(hour) AS newest, row_number() OVER (ORDER BY asset, hour //
+  86400) AS i FROM bars GROUP BY 1, 2)
 SELECT (i - 1) // 8 AS batch, count(*) AS n, min(newest) AS since FROM n GROUP BY 1""")
 def a21(spark, sf):
     """Eight series a request; its lower bound is the least of the batch. Series are numbered within their instrument, after the instruments before."""
@@ -253,7 +296,8 @@ def a21(spark, sf):
 
 
 _ALIGN = f"""{FEED_BARS}, s AS (SELECT * FROM fbars WHERE feed = 0 AND close > 0), v AS (SELECT * FROM fbars WHERE feed = 1 AND close > 0),
-g AS (SELECT s.asset, count(*) AS n, median(abs(ln(v.close / s.close))) AS gap FROM s JOIN v USING (asset, hour) GROUP BY 1), ok AS (SELECT asset FROM g WHERE n >= 50 AND gap <= 1.2)"""
+g AS (SELECT s.asset, count(*) AS n, median(abs(ln(v.close / s.close))) AS gap FROM s JOIN v USING (asset, hour) GROUP BY 1), ok AS (SELECT asset FROM
+  g WHERE n >= 50 AND gap <= 1.2)"""
 
 
 def agreeing(s, v):
@@ -263,7 +307,8 @@ def agreeing(s, v):
     return j.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), gap.alias("gap")).where("n >= 50 and gap <= 1.2").select("asset")
 
 
-@query("A22_gated_splice", f"WITH {_ALIGN}, o AS (SELECT asset, min(hour) + 86400 AS oldest FROM s GROUP BY 1) SELECT v.asset, v.hour, round(v.close, 6) AS close FROM v JOIN o USING (asset) JOIN ok USING (asset) WHERE v.hour < oldest")
+@query("A22_gated_splice", f"""WITH {_ALIGN}, o AS (SELECT asset, min(hour) + 86400 AS oldest FROM s GROUP BY 1) SELECT v.asset, v.hour,
+  round(v.close, 6) AS close FROM v JOIN o USING (asset) JOIN ok USING (asset) WHERE v.hour < oldest""")
 def a22(spark, sf):
     """A deeper source only adds rows below the oldest stored, and only where the overlap agrees."""
     f = market.feed_bars(spark, sf).where("close > 0")
@@ -273,7 +318,8 @@ def a22(spark, sf):
     return v.join(oldest, "asset").where("hour < oldest").join(ok, "asset", "left_semi").select("asset", "hour", r6("close"))
 
 
-@query("A23_repair_missing", f"WITH {_ALIGN} SELECT v.asset, v.hour, round(v.close, 6) AS close FROM v JOIN ok USING (asset) ANTI JOIN s USING (asset, hour)")
+@query("A23_repair_missing", f"""WITH {_ALIGN} SELECT v.asset, v.hour, round(v.close, 6) AS close FROM v JOIN ok USING (asset) ANTI JOIN s USING
+  (asset, hour)""")
 def a23(spark, sf):
     """Only hours the store lacks, and only from a source that agrees."""
     f = market.feed_bars(spark, sf).where("close > 0")
@@ -282,22 +328,30 @@ def a23(spark, sf):
     return v.join(ok, "asset", "left_semi").join(s, ["asset", "hour"], "left_anti").select("asset", "hour", r6("close"))
 
 
-@query("A24_fill_gaps", f"WITH {_ALIGN}, miss AS (SELECT asset, hour FROM v ANTI JOIN s USING (asset, hour) WHERE asset IN (SELECT asset FROM ok)) SELECT asset, count(*) AS filled FROM miss GROUP BY 1")
+@query("A24_fill_gaps", f"""WITH {_ALIGN}, miss AS (SELECT asset, hour FROM v ANTI JOIN s USING (asset, hour) WHERE asset IN (SELECT asset FROM ok))
+  SELECT asset, count(*) AS filled FROM miss GROUP BY 1""")
 def a24(spark, sf):
     """Hours that the store lacks, of instruments whose feeds agree."""
     f = market.feed_bars(spark, sf).where("close > 0")
     s, v = f.where("feed = 0"), f.where("feed = 1")
-    return v.join(agreeing(s, v), "asset", "left_semi").join(s, ["asset", "hour"], "left_anti").groupBy("asset").agg(F.count(F.lit(1)).alias("filled"))
+    return (
+        v.join(agreeing(s, v), "asset", "left_semi").join(s, ["asset", "hour"], "left_anti").groupBy("asset").agg(F.count(F.lit(1)).alias("filled"))
+    )
 
 
-@query("A25_hours_by_end", f"WITH {TICKS} SELECT event_id, ((least(t + 3600, (t // 86400) * 86400 + 75600) - 1) // 3600 * 3600)::BIGINT AS hour FROM ticks")
+@query("A25_hours_by_end", f"""WITH {TICKS} SELECT event_id, ((least(t + 3600, (t // 86400) * 86400 + 75600) - 1) // 3600 * 3600)::BIGINT AS hour FROM
+  ticks""")
 def a25(spark, sf):
     """Half-hour stamps filed under the hour of their last minute, ends capped at the session's close."""
     t = F.col("t")
-    return market.ticks(spark, sf).select("event_id", (F.floor((F.least(t + 3600, F.floor(t / 86400) * 86400 + 75600) - 1) / 3600) * 3600).alias("hour"))
+    return (
+        market.ticks(spark, sf).select("event_id", (F.floor((F.least(t + 3600, F.floor(t / 86400) * 86400 + 75600) - 1) / 3600) * 3600).alias("hour"))
+    )
 
 
-@query("A26_trailing_hours", f"WITH {FEED_BARS}, l AS (SELECT asset, hour // 86400 AS d, max(hour) AS last FROM fbars WHERE feed = 0 GROUP BY 1, 2) SELECT f.asset, f.hour, round(f.close, 6) AS close FROM fbars f JOIN l ON l.asset = f.asset AND l.d = f.hour // 86400 WHERE f.feed = 1 AND f.hour > l.last")
+@query("A26_trailing_hours", f"""WITH {FEED_BARS}, l AS (SELECT asset, hour // 86400 AS d, max(hour) AS last FROM fbars WHERE feed = 0 GROUP BY 1, 2)
+  SELECT f.asset, f.hour, round(f.close, 6) AS close FROM fbars f JOIN l ON l.asset = f.asset AND l.d = f.hour // 86400 WHERE f.feed = 1 AND f.hour >
+  l.last""")
 def a26(spark, sf):
     """Hours after the first feed's last bar of a day come from the second."""
     f = market.feed_bars(spark, sf).withColumn("d", F.floor(F.col("hour") / 86400))
@@ -305,16 +359,21 @@ def a26(spark, sf):
     return f.where("feed = 1").join(last, ["asset", "d"]).where("hour > last").select("asset", "hour", r6("close"))
 
 
-@query("A27_series_covered", "WITH d AS (SELECT o_orderstatus AS s, max(epoch_us(o_orderdate) // 1000000) AS newest FROM orders GROUP BY 1) SELECT s, newest, newest >= (SELECT max(newest) FROM d) AS covered FROM d")
+@query("A27_series_covered", """WITH d AS (SELECT o_orderstatus AS s, max(epoch_us(o_orderdate) // 1000000) AS newest FROM orders GROUP BY 1) SELECT
+  s, newest, newest >= (SELECT max(newest) FROM d) AS covered FROM d""")
 def a27(spark, sf):
     d = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("s")).agg(F.max(epoch("o_orderdate")).alias("newest"))
     top = d.agg(F.max("newest").alias("top"))
     return d.crossJoin(F.broadcast(top)).select("s", "newest", (F.col("newest") >= F.col("top")).alias("covered"))
 
 
-@query("A28_error_classes", """WITH a AS (SELECT user_id, event_id, CASE WHEN value IS NULL THEN 'no data' WHEN event_type <> 'error' THEN 'answered' WHEN value < 20 THEN 'key refused' WHEN value < 40 THEN 'day quota' WHEN value < 60 THEN 'rate limited' ELSE 'unreachable' END AS class FROM events),
-b AS (SELECT *, class IN ('unreachable', 'no data') AS silent, lag(class IN ('unreachable', 'no data'), 1, FALSE) OVER w AS was FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-c AS (SELECT *, coalesce(bool_or(silent AND was OR class IN ('key refused', 'day quota')) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stopped FROM b)
+@query("A28_error_classes", """WITH a AS (SELECT user_id, event_id, CASE WHEN value IS NULL THEN 'no data' WHEN event_type <> 'error' THEN 'answered'
+  WHEN value < 20 THEN 'key refused' WHEN value < 40 THEN 'day quota' WHEN value < 60 THEN 'rate limited' ELSE 'unreachable' END AS class FROM
+  events),
+b AS (SELECT *, class IN ('unreachable', 'no data') AS silent, lag(class IN ('unreachable', 'no data'), 1, FALSE) OVER w AS was FROM a WINDOW w AS
+  (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, coalesce(bool_or(silent AND was OR class IN ('key refused', 'day quota')) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN
+  UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stopped FROM b)
 SELECT class, count(*) AS n, count(*) FILTER (class = 'rate limited') AS n_retried, count(*) FILTER (stopped) AS n_not_asked FROM c GROUP BY 1""")
 def a28(spark, sf):
     """Answers of a provider by class. A refused key or a spent day's quota ends a user's requests, as do two silent answers one after another;
@@ -331,32 +390,44 @@ def a28(spark, sf):
     return e.withColumn("stopped", stopped).groupBy("class").agg(*counts)
 
 
-@query("A29_expected_hours", f"WITH {BARS}, d AS (SELECT DISTINCT asset, hour // 86400 AS d FROM bars), s AS (SELECT asset, d, unnest(generate_series(d * 86400 + 50400, d * 86400 + 72000, 3600)) AS hour FROM d WHERE (d + 4) % 7 BETWEEN 1 AND 5) SELECT s.asset, s.d, count(*) AS expected, count(b.hour) AS stored FROM s LEFT JOIN bars b ON b.asset = s.asset AND b.hour = s.hour GROUP BY 1, 2")
+@query("A29_expected_hours", f"""WITH {BARS}, d AS (SELECT DISTINCT asset, hour // 86400 AS d FROM bars), s AS (SELECT asset, d,
+  unnest(generate_series(d * 86400 + 50400, d * 86400 + 72000, 3600)) AS hour FROM d WHERE (d + 4) % 7 BETWEEN 1 AND 5) SELECT s.asset, s.d, count(*)
+  AS expected, count(b.hour) AS stored FROM s LEFT JOIN bars b ON b.asset = s.asset AND b.hour = s.hour GROUP BY 1, 2""")
 def a29(spark, sf):
     """Session hours generated from the days, and how many of them are stored."""
     b = market.bars(spark, sf).select("asset", "hour")
     d = b.select("asset", F.floor(F.col("hour") / 86400).alias("d")).distinct().where(calendar.weekday(F.col("d")).between(1, 5))
     s = d.withColumn("hour", F.explode(F.sequence(F.col("d") * 86400 + 50400, F.col("d") * 86400 + 72000, F.lit(3600).cast("bigint"))))
-    return s.join(b.withColumn("has", F.lit(1)), ["asset", "hour"], "left").groupBy("asset", "d").agg(F.count(F.lit(1)).alias("expected"), F.count("has").alias("stored"))
+    return (
+        s.join(b.withColumn("has", F.lit(1)), ["asset", "hour"], "left").groupBy("asset", "d")
+        .agg(F.count(F.lit(1)).alias("expected"), F.count("has").alias("stored"))
+    )
 
 
-@query("B1_ohlc_inconsistent", f"WITH {BARS} SELECT asset, hour, low > least(open, close) - 1 + 0.005 OR greatest(open, close) > high - 1 + 0.005 AS bad FROM bars WHERE n_src > 2")
+@query("B1_ohlc_inconsistent", f"""WITH {BARS} SELECT asset, hour, low > least(open, close) - 1 + 0.005 OR greatest(open, close) > high - 1 + 0.005 AS
+  bad FROM bars WHERE n_src > 2""")
 def b1(spark, sf):
     """Ranges narrowed by one, to find bars whose body leaves them."""
     b = market.bars(spark, sf).where("n_src > 2").withColumn("low", F.col("low") + 1).withColumn("high", F.col("high") - 1)
     return b.select("asset", "hour", quality.ohlc_inconsistent(0.01).alias("bad"))
 
 
-@query("B2_invalid_reasons", f"WITH {BARS} SELECT asset, hour, CASE WHEN hour // 3600 % 13 = 0 THEN 'removed' WHEN least(open, high, low, close) <= 0 THEN 'not above zero' WHEN hour // 3600 % 17 = 0 AND low < high THEN 'body outside range' WHEN hour // 3600 % 19 = 0 THEN 'volume below zero' ELSE '' END AS reason FROM bars")
+@query("B2_invalid_reasons", f"""WITH {BARS} SELECT asset, hour, CASE WHEN hour // 3600 % 13 = 0 THEN 'removed' WHEN least(open, high, low, close) <=
+  0 THEN 'not above zero' WHEN hour // 3600 % 17 = 0 AND low < high THEN 'body outside range' WHEN hour // 3600 % 19 = 0 THEN 'volume below zero' ELSE
+  '' END AS reason FROM bars""")
 def b2(spark, sf):
     """First rule broken; hours by 13, 17 and 19 are spoilt on purpose."""
     h = F.floor(F.col("hour") / 3600)
-    b = market.bars(spark, sf).withColumn("close", F.when(h % 13 != 0, F.col("close"))).withColumn("volume", F.when(h % 19 == 0, F.lit(-1.0)).otherwise(F.col("volume")))
+    b = (
+        market.bars(spark, sf).withColumn("close", F.when(h % 13 != 0, F.col("close")))
+        .withColumn("volume", F.when(h % 19 == 0, F.lit(-1.0)).otherwise(F.col("volume")))
+    )
     b = b.withColumn("open", F.when((h % 17 == 0) & (F.col("low") < F.col("high")), F.col("high") + 1).otherwise(F.col("open")))
     return b.select("asset", "hour", quality.invalid_reason(0.01).alias("reason"))
 
 
-@query("B3_in_session", f"WITH {BARS} SELECT asset, hour, (hour // 86400 + 4) % 7 BETWEEN 1 AND 5 AND hour % 86400 < 75600 AND hour % 86400 + 3600 > 52200 AS in_session FROM bars")
+@query("B3_in_session", f"""WITH {BARS} SELECT asset, hour, (hour // 86400 + 4) % 7 BETWEEN 1 AND 5 AND hour % 86400 < 75600 AND hour % 86400 + 3600 >
+  52200 AS in_session FROM bars""")
 def b3(spark, sf):
     """Bars that overlap a New York session: a range join by day."""
     b = market.bars(spark, sf)
@@ -365,7 +436,8 @@ def b3(spark, sf):
     return quality.overlaps(b, s, []).select("asset", "hour", "in_session")
 
 
-@query("B4_gate", f"WITH {BARS} SELECT asset, count(*) AS n, count(*) FILTER (least(open, low) > 0 AND (hour // 86400 + 4) % 7 BETWEEN 1 AND 5 AND hour % 86400 < 75600 AND hour % 86400 + 3600 > 52200) AS usable FROM bars GROUP BY 1")
+@query("B4_gate", f"""WITH {BARS} SELECT asset, count(*) AS n, count(*) FILTER (least(open, low) > 0 AND (hour // 86400 + 4) % 7 BETWEEN 1 AND 5 AND
+  hour % 86400 < 75600 AND hour % 86400 + 3600 > 52200) AS usable FROM bars GROUP BY 1""")
 def b4(spark, sf):
     b = market.bars(spark, sf)
     days = b.select(F.floor(F.col("hour") / 86400).alias("day")).distinct()
@@ -374,21 +446,29 @@ def b4(spark, sf):
     return g.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("reason") == "") & F.col("in_session")).alias("usable"))
 
 
-@query("B5_thin_volume", f"WITH {BARS} SELECT asset, hour, volume <= 0 OR coalesce(volume < 0.5 * CASE WHEN count(CASE WHEN volume > 0 THEN volume END) OVER w >= 20 THEN quantile_cont(CASE WHEN volume > 0 THEN volume END, 0.5) OVER w END, FALSE) AS thin FROM bars WINDOW w AS (PARTITION BY asset ORDER BY hour ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)")
+@query("B5_thin_volume", f"""WITH {BARS} SELECT asset, hour, volume <= 0 OR coalesce(volume < 0.5 * CASE WHEN count(CASE WHEN volume > 0 THEN volume
+  END) OVER w >= 20 THEN quantile_cont(CASE WHEN volume > 0 THEN volume END, 0.5) OVER w END, FALSE) AS thin FROM bars WINDOW w AS (PARTITION BY asset
+  ORDER BY hour ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)""")
 def b5(spark, sf):
     return quality.thin(market.bars(spark, sf), "volume", ["asset"], 100, 20, 0.5).select("asset", "hour", "thin")
 
 
-@query("B6_opening_misprints", f"WITH {BARS}, w AS (SELECT asset, hour, open, close, lag(close) OVER x AS pc, lag(hour) OVER x AS ph FROM bars WHERE least(open, low) > 0 WINDOW x AS (PARTITION BY asset ORDER BY hour)) SELECT asset, hour FROM w WHERE hour - ph > 3600 AND abs(ln(open / pc)) >= 0.5 AND abs(ln(close / open)) >= 0.5 AND sign(ln(open / pc)) <> sign(ln(close / open))")
+@query("B6_opening_misprints", f"""WITH {BARS}, w AS (SELECT asset, hour, open, close, lag(close) OVER x AS pc, lag(hour) OVER x AS ph FROM bars WHERE
+  least(open, low) > 0 WINDOW x AS (PARTITION BY asset ORDER BY hour)) SELECT asset, hour FROM w WHERE hour - ph > 3600 AND abs(ln(open / pc)) >= 0.5
+  AND abs(ln(close / open)) >= 0.5 AND sign(ln(open / pc)) <> sign(ln(close / open))""")
 def b6(spark, sf):
     """First bars after a pause that moved far one way and back."""
     w = Window.partitionBy("asset").orderBy("hour")
     b = market.bars(spark, sf).where(F.least("open", "low") > 0).withColumn("pc", F.lag("close").over(w)).withColumn("ph", F.lag("hour").over(w))
     night, own = F.ln(F.col("open") / F.col("pc")), F.ln(F.col("close") / F.col("open"))
-    return b.where((F.col("hour") - F.col("ph") > 3600) & (F.abs(night) >= 0.5) & (F.abs(own) >= 0.5) & (F.signum(night) != F.signum(own))).select("asset", "hour")
+    return (
+        b.where((F.col("hour") - F.col("ph") > 3600) & (F.abs(night) >= 0.5) & (F.abs(own) >= 0.5) & (F.signum(night) != F.signum(own)))
+        .select("asset", "hour")
+    )
 
 
-@query("B7_priced", f"WITH {FEED_BARS} SELECT feed, count(*) AS n FROM fbars WHERE isfinite(open) AND isfinite(close) AND open > 0 AND close > 0 GROUP BY 1")
+@query("B7_priced", f"""WITH {FEED_BARS} SELECT feed, count(*) AS n FROM fbars WHERE isfinite(open) AND isfinite(close) AND open > 0 AND close > 0
+  GROUP BY 1""")
 def b7(spark, sf):
     ok = lambda c: (F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < float("inf"))
     return market.feed_bars(spark, sf).where(ok("open") & ok("close")).groupBy("feed").agg(F.count(F.lit(1)).alias("n"))
@@ -403,7 +483,8 @@ def stamps(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", (epoch("o_orderdate") + F.col("o_orderkey") % 24 * 3600 + 1800).alias("t"))
 
 
-@query("B8_regular_session", f"WITH {_STAMPS} SELECT o_orderkey, isodow(ny) <= 5 AND ny::TIME >= TIME '09:30:00' AND ny::TIME < TIME '16:00:00' AS regular FROM l")
+@query("B8_regular_session", f"""WITH {_STAMPS} SELECT o_orderkey, isodow(ny) <= 5 AND ny::TIME >= TIME '09:30:00' AND ny::TIME < TIME '16:00:00' AS
+  regular FROM l""")
 def b8(spark, sf):
     """09:30 to 16:00 by New York's clock, weekdays, summer and winter."""
     return stamps(spark, sf).select("o_orderkey", calendar.regular_session(F.col("t"), 34200, 57600).alias("regular"))
@@ -415,20 +496,24 @@ def b9(spark, sf):
     return stamps(spark, sf).select("o_orderkey", calendar.reference_week(F.col("t")).alias("inside"))
 
 
-@query("B10_session_of_hour", f"WITH {BARS} SELECT asset, hour, (hour + 10800) // 86400 AS session FROM bars WHERE ((hour + 10800) // 86400 + 4) % 7 BETWEEN 1 AND 5")
+@query("B10_session_of_hour", f"""WITH {BARS} SELECT asset, hour, (hour + 10800) // 86400 AS session FROM bars WHERE ((hour + 10800) // 86400 + 4) % 7
+  BETWEEN 1 AND 5""")
 def b10(spark, sf):
     """The trading day of an overnight session (21:00 to 21:00 UTC) by its end."""
     s = F.floor((F.col("hour") + 10800) / 86400)
     return market.bars(spark, sf).select("asset", "hour", s.alias("session")).where(calendar.weekday(F.col("session")).between(1, 5))
 
 
-@query("B11_previous_trading_day", f"WITH {BARS}, d AS (SELECT DISTINCT asset, hour // 86400 AS d FROM bars WHERE (hour // 86400 + 4) % 7 BETWEEN 1 AND 5) SELECT asset, d, lag(d) OVER (PARTITION BY asset ORDER BY d) AS previous FROM d")
+@query("B11_previous_trading_day", f"""WITH {BARS}, d AS (SELECT DISTINCT asset, hour // 86400 AS d FROM bars WHERE (hour // 86400 + 4) % 7 BETWEEN 1
+  AND 5) SELECT asset, d, lag(d) OVER (PARTITION BY asset ORDER BY d) AS previous FROM d""")
 def b11(spark, sf):
     d = market.bars(spark, sf).select("asset", F.floor(F.col("hour") / 86400).alias("d")).distinct().where(calendar.weekday(F.col("d")).between(1, 5))
     return d.withColumn("previous", F.lag("d").over(Window.partitionBy("asset").orderBy("d")))
 
 
-@query("B12_holiday_closed", "WITH o AS (SELECT o_custkey, o_orderdate::DATE AS d, lag(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p, o_orderkey FROM orders) SELECT o_orderkey, len(list_filter(generate_series(p, d, INTERVAL 1 DAY), lambda x: (month(x) = 12 AND day(x) = 25) OR (month(x) = 1 AND day(x) = 1))) > 0 AS holiday FROM o WHERE p IS NOT NULL")
+@query("B12_holiday_closed", """WITH o AS (SELECT o_custkey, o_orderdate::DATE AS d, lag(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY
+  o_orderdate, o_orderkey) AS p, o_orderkey FROM orders) SELECT o_orderkey, len(list_filter(generate_series(p, d, INTERVAL 1 DAY), lambda x: (month(x)
+  = 12 AND day(x) = 25) OR (month(x) = 1 AND day(x) = 1))) > 0 AS holiday FROM o WHERE p IS NOT NULL""")
 def b12(spark, sf):
     """Whether the days between a customer's orders touch 25 December or 1 January."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -438,21 +523,27 @@ def b12(spark, sf):
     return o.select("o_orderkey", touch.alias("holiday"))
 
 
-@query("B15_half_open_windows", f"WITH {TICKS} SELECT count(*) FILTER (t >= 1704672000 AND t < 1705276800) AS inside, count(*) FILTER (t >= 1705276800) AS behind FROM ticks")
+@query("B15_half_open_windows", f"""WITH {TICKS} SELECT count(*) FILTER (t >= 1704672000 AND t < 1705276800) AS inside, count(*) FILTER (t >=
+  1705276800) AS behind FROM ticks""")
 def b15(spark, sf):
     t = F.col("t")
     return market.ticks(spark, sf).agg(F.count_if((t >= 1704672000) & (t < 1705276800)).alias("inside"), F.count_if(t >= 1705276800).alias("behind"))
 
 
-@query("B16_nothing_can_have_appeared", f"WITH {BARS}, n AS (SELECT max(hour) + 7200 AS now FROM bars) SELECT asset, max(hour) + 3600 >= now - 3600 AS nothing FROM bars, n GROUP BY asset, now")
+@query("B16_nothing_can_have_appeared", f"""WITH {BARS}, n AS (SELECT max(hour) + 7200 AS now FROM bars) SELECT asset, max(hour) + 3600 >= now - 3600
+  AS nothing FROM bars, n GROUP BY asset, now""")
 def b16(spark, sf):
     """Whether no expected hour lies between the newest stored bar and now."""
     b = market.bars(spark, sf)
     now = b.agg((F.max("hour") + 7200).alias("now"))
-    return b.groupBy("asset").agg(F.max("hour").alias("newest")).crossJoin(F.broadcast(now)).select("asset", (F.col("newest") + 3600 >= F.col("now") - 3600).alias("nothing"))
+    return (
+        b.groupBy("asset").agg(F.max("hour").alias("newest")).crossJoin(F.broadcast(now))
+        .select("asset", (F.col("newest") + 3600 >= F.col("now") - 3600).alias("nothing"))
+    )
 
 
-@query("B17_own_prefixes", "SELECT doc_id, starts_with(text, 'The ') OR starts_with(text, 'Is ') OR starts_with(text, 'Der ') OR starts_with(text, 'La ') AS own FROM documents")
+@query("B17_own_prefixes", """SELECT doc_id, starts_with(text, 'The ') OR starts_with(text, 'Is ') OR starts_with(text, 'Der ') OR starts_with(text,
+  'La ') AS own FROM documents""")
 def b17(spark, sf):
     own = F.lit(False)
     for p in ("The ", "Is ", "Der ", "La "):
@@ -460,16 +551,21 @@ def b17(spark, sf):
     return table(spark, sf, "documents").select("doc_id", own.alias("own"))
 
 
-@query("N3_unchanged", f"WITH {_MERGE} SELECT asset, bool_and(st.close IS NOT DISTINCT FROM m.close OR abs(st.close - m.close) <= 1e-12 + 1e-9 * abs(st.close)) AS unchanged FROM (SELECT * FROM merged) m FULL JOIN st USING (asset, hour) GROUP BY 1")
+@query("N3_unchanged", f"""WITH {_MERGE} SELECT asset, bool_and(st.close IS NOT DISTINCT FROM m.close OR abs(st.close - m.close) <= 1e-12 + 1e-9 *
+  abs(st.close)) AS unchanged FROM (SELECT * FROM merged) m FULL JOIN st USING (asset, hour) GROUP BY 1""")
 def n3(spark, sf):
     """Tolerant equality of two versions, null equal to null."""
     store, _, now = merged(spark, sf)
-    j = now.select("asset", "hour", F.col("close").alias("b")).join(store.select("asset", "hour", F.col("close").alias("a")), ["asset", "hour"], "full")
+    j = (
+        now.select("asset", "hour", F.col("close").alias("b"))
+        .join(store.select("asset", "hour", F.col("close").alias("a")), ["asset", "hour"], "full")
+    )
     near = F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= 1e-12 + 1e-9 * F.abs("a"), F.lit(False))
     return j.groupBy("asset").agg(F.bool_and(near).alias("unchanged"))
 
 
-@query("N6_data_fingerprint", f"WITH {BARS} SELECT asset, count(*) AS n, sum(('0x' || substr(md5(concat_ws(':', asset, hour::VARCHAR, n_src::VARCHAR)), 1, 8))::BIGINT)::BIGINT AS digest FROM bars GROUP BY 1")
+@query("N6_data_fingerprint", f"""WITH {BARS} SELECT asset, count(*) AS n, sum(('0x' || substr(md5(concat_ws(':', asset, hour::VARCHAR,
+  n_src::VARCHAR)), 1, 8))::BIGINT)::BIGINT AS digest FROM bars GROUP BY 1""")
 def n6(spark, sf):
     """An order-free digest: the sum of row hashes."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", "asset", F.col("hour").cast("string"), F.col("n_src").cast("string"))), 1, 8), 16, 10).cast("long")
@@ -492,14 +588,20 @@ def contracts(spark, sf):
     return calendar.contracts(spark, years)
 
 
-_WEEKDAYS = f"""spec(ticker, listed, held, ltd_back, ltd_months, ltd_day, ltd_day_back, roll_back, roll_ltd, suffix) AS (VALUES {calendar.specs_sql()}),
+_WEEKDAYS = f"""spec(ticker, listed, held, ltd_back, ltd_months, ltd_day, ltd_day_back, roll_back, roll_ltd, suffix) AS (VALUES
+  {calendar.specs_sql()}),
 oy AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), yy AS (SELECT DISTINCT y + unnest([-1, 0, 1]) AS y FROM oy),
-wd AS (SELECT d::DATE AS d, row_number() OVER (ORDER BY d) AS n FROM (SELECT unnest(generate_series((SELECT make_date(min(y)::INT - 1, 1, 1) FROM yy), (SELECT make_date(max(y)::INT + 2, 1, 1) FROM yy), INTERVAL 1 DAY)) AS d) WHERE isodow(d) <= 5),
-c AS (SELECT spec.*, y, instr('FGHJKMNQUVXZ', code) AS m, code FROM spec, yy, (SELECT unnest(string_split('FGHJKMNQUVXZ', '')) AS code) WHERE contains(listed, code)),
-b AS (SELECT *, CASE WHEN ltd_day IS NOT NULL THEN make_date(y::INT, m::INT, ltd_day::INT) ELSE (make_date(y::INT, m::INT, 1) + to_months((1 - ltd_months)::INT))::DATE END AS bound, CASE WHEN ltd_day IS NOT NULL THEN ltd_day_back - 1 ELSE ltd_back END AS back FROM c),
+wd AS (SELECT d::DATE AS d, row_number() OVER (ORDER BY d) AS n FROM (SELECT unnest(generate_series((SELECT make_date(min(y)::INT - 1, 1, 1) FROM yy),
+  (SELECT make_date(max(y)::INT + 2, 1, 1) FROM yy), INTERVAL 1 DAY)) AS d) WHERE isodow(d) <= 5),
+c AS (SELECT spec.*, y, instr('FGHJKMNQUVXZ', code) AS m, code FROM spec, yy, (SELECT unnest(string_split('FGHJKMNQUVXZ', '')) AS code) WHERE
+  contains(listed, code)),
+b AS (SELECT *, CASE WHEN ltd_day IS NOT NULL THEN make_date(y::INT, m::INT, ltd_day::INT) ELSE (make_date(y::INT, m::INT, 1) + to_months((1 -
+  ltd_months)::INT))::DATE END AS bound, CASE WHEN ltd_day IS NOT NULL THEN ltd_day_back - 1 ELSE ltd_back END AS back FROM c),
 l AS (SELECT b.*, w.d AS ltd, w.n AS ltd_n FROM b JOIN wd w ON w.n = (SELECT max(n) FROM wd WHERE wd.d < b.bound) - b.back),
-h AS (SELECT l.*, CASE WHEN roll_ltd IS NOT NULL THEN ltd_n - roll_ltd ELSE (SELECT min(n) FROM wd WHERE wd.d >= make_date(l.y::INT, l.m::INT, 1)) - roll_back - 1 END AS end_n FROM l WHERE contains(held, code)),
-f AS (SELECT ticker, replace(ticker, '=F', '') || code || lpad((y % 100)::VARCHAR, 2, '0') || '.' || suffix AS contract, lag(end_n) OVER (PARTITION BY ticker ORDER BY y, m) + 1 AS first_n FROM h),
+h AS (SELECT l.*, CASE WHEN roll_ltd IS NOT NULL THEN ltd_n - roll_ltd ELSE (SELECT min(n) FROM wd WHERE wd.d >= make_date(l.y::INT, l.m::INT, 1)) -
+  roll_back - 1 END AS end_n FROM l WHERE contains(held, code)),
+f AS (SELECT ticker, replace(ticker, '=F', '') || code || lpad((y % 100)::VARCHAR, 2, '0') || '.' || suffix AS contract, lag(end_n) OVER (PARTITION BY
+  ticker ORDER BY y, m) + 1 AS first_n FROM h),
 roll AS (SELECT ticker, contract, wd.d AS first_day FROM f JOIN wd ON wd.n = f.first_n)"""
 
 
@@ -517,7 +619,8 @@ def g_rolls(spark, sf):
 
 @query("G_roll_sessions", f"""WITH {_WEEKDAYS}, e AS (SELECT ticker, (ltd + 1)::DATE AS edge FROM l UNION SELECT ticker, first_day FROM roll),
 s AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE isodow(o_orderdate) <= 5),
-j AS (SELECT ticker, edge, d, row_number() OVER (PARTITION BY ticker, edge ORDER BY d) AS n FROM e JOIN s ON d >= edge - 1) SELECT DISTINCT ticker, d::VARCHAR AS session FROM j WHERE n <= 2 AND d <= edge + 7""")
+j AS (SELECT ticker, edge, d, row_number() OVER (PARTITION BY ticker, edge ORDER BY d) AS n FROM e JOIN s ON d >= edge - 1) SELECT DISTINCT ticker,
+  d::VARCHAR AS session FROM j WHERE n <= 2 AND d <= edge + 7""")
 def g_roll_sessions(spark, sf):
     """The first two sessions from the day before each last trading day's morrow or roll on, within a week: their opening gaps may hold a roll."""
     days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("session")).where(F.dayofweek("o_orderdate").between(2, 6)).distinct()
@@ -530,12 +633,24 @@ SELECT o_orderkey, o.ticker, contract, first_day::VARCHAR AS since FROM o ASOF L
 def g_front(spark, sf):
     """The contract in force on each order's day, for an instrument by the customer: an as-of lookup over the rolls, cut into months."""
     names = F.array(*(F.lit(t) for t in sorted(x[0] for x in calendar.SPECS)))
-    o = table(spark, sf, "orders").select("o_orderkey", F.get(names, (F.col("o_custkey") % len(calendar.SPECS)).cast("int")).alias("ticker"), F.floor(epoch("o_orderdate") / 86400).alias("d"))
-    rolls = calendar.rolls(contracts(spark, sf)).select("ticker", F.unix_date("first_day").cast("long").alias("at"), "contract", F.col("first_day").cast("string").alias("since"))
-    return windows.asof_backward(o, rolls, ["ticker"], "d", "at", ["contract", "since"], bin_size=30).select("o_orderkey", "ticker", "contract", "since")
-
-
-@query("G_business_days", "WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 86400000000 AS d FROM orders) SELECT o_orderkey, list_filter(list_transform(generate_series(1, 10), lambda k: d - k), lambda x: (x + 4) % 7 BETWEEN 1 AND 5)[3] AS third_before FROM o")
+    o = (
+        table(spark, sf, "orders")
+        .select(
+            "o_orderkey", F.get(names, (F.col("o_custkey") % len(calendar.SPECS)).cast("int")).alias("ticker"),
+            F.floor(epoch("o_orderdate") / 86400).alias("d"),
+        )
+    )
+    rolls = (
+        calendar.rolls(contracts(spark, sf))
+        .select("ticker", F.unix_date("first_day").cast("long").alias("at"), "contract", F.col("first_day").cast("string").alias("since"))
+    )
+    return (
+        windows.asof_backward(o, rolls, ["ticker"], "d", "at", ["contract", "since"], bin_size=30).select("o_orderkey", "ticker", "contract", "since")
+    )
+
+
+@query("G_business_days", """WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 86400000000 AS d FROM orders) SELECT o_orderkey,
+  list_filter(list_transform(generate_series(1, 10), lambda k: d - k), lambda x: (x + 4) % 7 BETWEEN 1 AND 5)[3] AS third_before FROM o""")
 def g_business(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.floor(epoch("o_orderdate") / 86400).alias("d"))
     return o.select("o_orderkey", calendar.business_days_back(F.col("d"), 3).alias("third_before"))

@@ -12,15 +12,20 @@ from .common import FEED_BARS, r6
 
 FOLD = "arg_min(price, event_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, event_id) AS close"
 CAND = f"""{FEED_BARS}, bars AS (SELECT asset, t // 3600 * 3600 AS hour, {FOLD} FROM ticks GROUP BY 1, 2),
-cb AS (SELECT asset, hour, close, lag(hour) OVER w AS prev_hour, lag(close) OVER w AS prev_close FROM bars WHERE least(open, high, low, close) > 0 WINDOW w AS (PARTITION BY asset ORDER BY hour)),
+cb AS (SELECT asset, hour, close, lag(hour) OVER w AS prev_hour, lag(close) OVER w AS prev_close FROM bars WHERE least(open, high, low, close) > 0
+  WINDOW w AS (PARTITION BY asset ORDER BY hour)),
 cand AS (SELECT *, ln(close / prev_close) AS move FROM cb WHERE abs(ln(close / prev_close)) >= 1)"""
 JUDGED = f"""{CAND}, gf AS (SELECT * FROM fbars WHERE open > 0 AND close > 0),
 jj AS (SELECT cand.asset, cand.hour, f.feed, move, ln(e.close / b.close) AS own FROM cand CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS feed) f
-  LEFT JOIN gf e ON e.asset = cand.asset AND e.feed = f.feed AND e.hour = cand.hour LEFT JOIN gf b ON b.asset = cand.asset AND b.feed = f.feed AND b.hour = cand.prev_hour),
-judged AS (SELECT *, CASE WHEN own IS NULL THEN 'unknown' WHEN sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move) THEN 'confirmed' ELSE 'unconfirmed' END AS answer FROM jj)"""
-TALLY = f"""{JUDGED}, g AS (SELECT asset, hour, count(*) FILTER (answer = 'confirmed') AS c, count(*) FILTER (answer = 'unconfirmed') AS u, string_agg(feed::VARCHAR, ',' ORDER BY feed) AS feeds,
+  LEFT JOIN gf e ON e.asset = cand.asset AND e.feed = f.feed AND e.hour = cand.hour LEFT JOIN gf b ON b.asset = cand.asset AND b.feed = f.feed AND
+  b.hour = cand.prev_hour),
+judged AS (SELECT *, CASE WHEN own IS NULL THEN 'unknown' WHEN sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move) THEN 'confirmed' ELSE
+  'unconfirmed' END AS answer FROM jj)"""
+TALLY = f"""{JUDGED}, g AS (SELECT asset, hour, count(*) FILTER (answer = 'confirmed') AS c, count(*) FILTER (answer = 'unconfirmed') AS u,
+  string_agg(feed::VARCHAR, ',' ORDER BY feed) AS feeds,
   coalesce(string_agg(feed::VARCHAR, ',' ORDER BY feed) FILTER (answer = 'confirmed'), '') AS seen FROM judged GROUP BY 1, 2),
-tally AS (SELECT asset, hour, CASE WHEN c + u = 0 THEN 'uncertain' WHEN c + 1 > u THEN 'real' WHEN c + 1 = u THEN 'uncertain' ELSE 'not real' END AS verdict, c + 1 AS n_yes, u AS n_no, feeds, seen FROM g)"""
+tally AS (SELECT asset, hour, CASE WHEN c + u = 0 THEN 'uncertain' WHEN c + 1 > u THEN 'real' WHEN c + 1 = u THEN 'uncertain' ELSE 'not real' END AS
+  verdict, c + 1 AS n_yes, u AS n_no, feeds, seen FROM g)"""
 
 
 def judged(spark, sf):
@@ -66,16 +71,19 @@ def i4(spark, sf):
     return o.groupBy("asset", "hour").agg(r6(F.percentile("own_move", 0.5), "night"), F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-@query("D14_feed_nights", f"WITH {JUDGED} SELECT asset, hour // 86400 AS d, round(median(own), 6) AS night FROM judged WHERE own IS NOT NULL GROUP BY 1, 2")
+@query("D14_feed_nights", f"""WITH {JUDGED} SELECT asset, hour // 86400 AS d, round(median(own), 6) AS night FROM judged WHERE own IS NOT NULL GROUP
+  BY 1, 2""")
 def d14(spark, sf):
     o = judged(spark, sf).where("own_move is not null")
     return o.groupBy("asset", F.floor(F.col("hour") / 86400).alias("d")).agg(r6(F.percentile("own_move", 0.5), "night"))
 
 
 _SW = f"""{FEED_BARS}, bars AS (SELECT asset, t // 3600 * 3600 AS hour, {FOLD} FROM ticks GROUP BY 1, 2),
-j AS (SELECT b.asset, f.feed, b.hour // 86400 AS d, b.hour, ln(f.close / b.close) AS off FROM bars b JOIN fbars f ON b.asset = f.asset AND b.hour = f.hour WHERE b.close > 0 AND f.close > 0),
+j AS (SELECT b.asset, f.feed, b.hour // 86400 AS d, b.hour, ln(f.close / b.close) AS off FROM bars b JOIN fbars f ON b.asset = f.asset AND b.hour =
+  f.hour WHERE b.close > 0 AND f.close > 0),
 by_d AS (SELECT asset, feed, d, median(off) AS off, min(hour) AS first, count(*) AS n FROM j GROUP BY 1, 2, 3 HAVING count(*) >= 3),
-st AS (SELECT *, abs(off - lag(off) OVER (PARTITION BY asset, feed ORDER BY d)) * 1e4 AS step FROM by_d), sw AS (SELECT asset, feed, first, step FROM st WHERE step >= 50)"""
+st AS (SELECT *, abs(off - lag(off) OVER (PARTITION BY asset, feed ORDER BY d)) * 1e4 AS step FROM by_d), sw AS (SELECT asset, feed, first, step FROM
+  st WHERE step >= 50)"""
 
 
 def switches(spark, sf):
@@ -88,8 +96,10 @@ def d15(spark, sf):
     return switches(spark, sf).select("asset", "feed", F.col("first").alias("first_hour"), F.round("step", 4).alias("step_bp"))
 
 
-@query("I5_crosses", f"""WITH {_SW}, cb AS (SELECT asset, hour, close, lag(hour) OVER w AS prev_hour, lag(close) OVER w AS prev_close FROM bars WHERE least(open, high, low, close) > 0 WINDOW w AS (PARTITION BY asset ORDER BY hour)),
-cand AS (SELECT * FROM cb WHERE abs(ln(close / prev_close)) >= 1) SELECT cand.asset, cand.hour, count(DISTINCT sw.feed) AS n_switching FROM cand LEFT JOIN sw ON sw.asset = cand.asset AND sw.first > cand.prev_hour AND sw.first <= cand.hour GROUP BY 1, 2""")
+@query("I5_crosses", f"""WITH {_SW}, cb AS (SELECT asset, hour, close, lag(hour) OVER w AS prev_hour, lag(close) OVER w AS prev_close FROM bars WHERE
+  least(open, high, low, close) > 0 WINDOW w AS (PARTITION BY asset ORDER BY hour)),
+cand AS (SELECT * FROM cb WHERE abs(ln(close / prev_close)) >= 1) SELECT cand.asset, cand.hour, count(DISTINCT sw.feed) AS n_switching FROM cand LEFT
+  JOIN sw ON sw.asset = cand.asset AND sw.first > cand.prev_hour AND sw.first <= cand.hour GROUP BY 1, 2""")
 def i5(spark, sf):
     """Feeds that changed contract inside a move: a range join on the instrument and the days the move touches."""
     c = vote.candidates(market.bars(spark, sf), 1.0).select("asset", "hour", "prev_hour")
@@ -103,14 +113,20 @@ def skipped(spark):
     return spark.createDataFrame([(0, [3, 4]), (1, [5]), (2, [])], "feed long, skip array<int>")
 
 
-@query("I6_judge_found", f"""WITH {_SW}, cb AS (SELECT asset, hour, close, lag(hour) OVER w AS prev_hour, lag(close) OVER w AS prev_close FROM bars WHERE least(open, high, low, close) > 0 WINDOW w AS (PARTITION BY asset ORDER BY hour)),
+@query("I6_judge_found", f"""WITH {_SW}, cb AS (SELECT asset, hour, close, lag(hour) OVER w AS prev_hour, lag(close) OVER w AS prev_close FROM bars
+  WHERE least(open, high, low, close) > 0 WINDOW w AS (PARTITION BY asset ORDER BY hour)),
 cand AS (SELECT *, ln(close / prev_close) AS move FROM cb WHERE abs(ln(close / prev_close)) >= 1),
-ask AS (SELECT cand.*, feed FROM cand CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS feed) WHERE NOT (feed = 0 AND hour // 3600 % 24 IN (3, 4)) AND NOT (feed = 1 AND hour // 3600 % 24 = 5)),
+ask AS (SELECT cand.*, feed FROM cand CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS feed) WHERE NOT (feed = 0 AND hour // 3600 % 24 IN (3, 4)) AND
+  NOT (feed = 1 AND hour // 3600 % 24 = 5)),
 gf AS (SELECT * FROM fbars WHERE open > 0 AND close > 0),
-jj AS (SELECT a.asset, a.hour, a.feed, a.move, CASE WHEN NOT EXISTS (SELECT 1 FROM sw WHERE sw.asset = a.asset AND sw.feed = a.feed AND sw.first > a.prev_hour AND sw.first <= a.hour) THEN ln(e.close / b.close) END AS own FROM ask a
-  LEFT JOIN gf e ON e.asset = a.asset AND e.feed = a.feed AND e.hour = a.hour LEFT JOIN gf b ON b.asset = a.asset AND b.feed = a.feed AND b.hour = a.prev_hour),
-g AS (SELECT asset, hour, count(*) FILTER (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move)) AS c, count(own) AS answered, median(own) AS night FROM jj GROUP BY 1, 2)
-SELECT asset, hour, CASE WHEN answered = 0 THEN 'uncertain' WHEN 2 * c + 1 > answered THEN 'real' WHEN 2 * c + 1 = answered THEN 'uncertain' WHEN hour % 86400 < 14400 AND answered >= 2 THEN 'overnight' ELSE 'not real' END AS verdict,
+jj AS (SELECT a.asset, a.hour, a.feed, a.move, CASE WHEN NOT EXISTS (SELECT 1 FROM sw WHERE sw.asset = a.asset AND sw.feed = a.feed AND sw.first >
+  a.prev_hour AND sw.first <= a.hour) THEN ln(e.close / b.close) END AS own FROM ask a
+  LEFT JOIN gf e ON e.asset = a.asset AND e.feed = a.feed AND e.hour = a.hour LEFT JOIN gf b ON b.asset = a.asset AND b.feed = a.feed AND b.hour =
+  a.prev_hour),
+g AS (SELECT asset, hour, count(*) FILTER (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move)) AS c, count(own) AS answered, median(own) AS night
+  FROM jj GROUP BY 1, 2)
+SELECT asset, hour, CASE WHEN answered = 0 THEN 'uncertain' WHEN 2 * c + 1 > answered THEN 'real' WHEN 2 * c + 1 = answered THEN 'uncertain' WHEN hour
+  % 86400 < 14400 AND answered >= 2 THEN 'overnight' ELSE 'not real' END AS verdict,
   CASE WHEN answered >= 2 AND 2 * c + 1 < answered AND hour % 86400 < 14400 THEN round(night, 6) END AS night, answered AS n_answered FROM g""")
 def i6(spark, sf):
     """Candidates judged as a pass does: feeds that skip the hour are not asked, feeds across their own change of contract are out, and a night's move that
@@ -121,16 +137,23 @@ def i6(spark, sf):
     answered = j.groupBy("asset", "hour").agg(F.count("own_move").alias("n_answered"))
     t = vote.tally(j).join(answered, ["asset", "hour"]).join(vote.overnight(j), ["asset", "hour"], "left")
     over = (F.col("verdict") == "not real") & (F.col("hour") % 86400 < 14400) & F.col("night").isNotNull()
-    return t.select("asset", "hour", F.when(over, "overnight").otherwise(F.col("verdict")).alias("verdict"), r6(F.when(over, F.col("night")), "night"), "n_answered")
+    return t.select(
+        "asset", "hour", F.when(over, "overnight").otherwise(F.col("verdict")).alias("verdict"), r6(F.when(over, F.col("night")), "night"),
+        "n_answered",
+    )
 
 
 def _rounds(n: int) -> str:
     """SQL of n rounds of votes: bars less those voted down, candidates, answers, tally."""
-    parts = [f"{FEED_BARS}, b0 AS (SELECT asset, t // 3600 * 3600 AS hour, {FOLD} FROM ticks GROUP BY 1, 2), gf AS (SELECT * FROM fbars WHERE open > 0 AND close > 0)"]
+    parts = [f"""{FEED_BARS}, b0 AS (SELECT asset, t // 3600 * 3600 AS hour, {FOLD} FROM ticks GROUP BY 1, 2), gf AS (SELECT * FROM fbars WHERE open >
+  0 AND close > 0)"""]
     for i in range(n):
-        parts.append(f"""c{i} AS (SELECT * FROM (SELECT asset, hour, lag(hour) OVER w AS p, ln(close / lag(close) OVER w) AS move FROM b{i} WHERE least(open, high, low, close) > 0 WINDOW w AS (PARTITION BY asset ORDER BY hour)) WHERE abs(move) >= 1),
-a{i} AS (SELECT c.asset, c.hour, c.move, ln(e.close / s.close) AS own FROM c{i} c JOIN gf e ON e.asset = c.asset AND e.hour = c.hour JOIN gf s ON s.asset = c.asset AND s.feed = e.feed AND s.hour = c.p),
-v{i} AS MATERIALIZED (SELECT asset, hour, {i} AS round FROM a{i} GROUP BY 1, 2 HAVING 1 + count(*) FILTER (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move)) < count(*) FILTER (NOT (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move)))),
+        parts.append(f"""c{i} AS (SELECT * FROM (SELECT asset, hour, lag(hour) OVER w AS p, ln(close / lag(close) OVER w) AS move FROM b{i} WHERE
+  least(open, high, low, close) > 0 WINDOW w AS (PARTITION BY asset ORDER BY hour)) WHERE abs(move) >= 1),
+a{i} AS (SELECT c.asset, c.hour, c.move, ln(e.close / s.close) AS own FROM c{i} c JOIN gf e ON e.asset = c.asset AND e.hour = c.hour JOIN gf s ON
+  s.asset = c.asset AND s.feed = e.feed AND s.hour = c.p),
+v{i} AS MATERIALIZED (SELECT asset, hour, {i} AS round FROM a{i} GROUP BY 1, 2 HAVING 1 + count(*) FILTER (sign(own) = sign(move) AND abs(own) >= 0.5
+  * abs(move)) < count(*) FILTER (NOT (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move)))),
 b{i + 1} AS MATERIALIZED (SELECT * FROM b{i} ANTI JOIN v{i} USING (asset, hour))""")
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT asset, hour, round FROM v{i}" for i in range(n))
 
@@ -142,7 +165,12 @@ def i7(spark, sf):
 
     bars, names, gone = stage(market.bars(spark, sf), "bars"), spark.range(market.FEEDS).select(F.col("id").alias("feed")), None
     for n in range(4):
-        out = stage(vote.tally(vote.judge(vote.candidates(bars, 1.0), market.feed_bars(spark, sf), names)).where("verdict = 'not real'").select("asset", "hour", F.lit(n).alias("round")), "voted")
+        out = stage(
+            vote.tally(vote.judge(
+                vote.candidates(bars, 1.0), market.feed_bars(spark, sf), names,
+            )).where("verdict = 'not real'").select("asset", "hour", F.lit(n).alias("round")),
+            "voted",
+        )
         if out.isEmpty():
             break
         gone = out if gone is None else gone.unionByName(out)
@@ -150,7 +178,8 @@ def i7(spark, sf):
     return gone if gone is not None else out
 
 
-@query("I8_recount_due", f"""WITH {TALLY} SELECT asset, hour, (hour // 86400 + 1 + CASE WHEN (hour // 86400 + 4) % 7 IN (5, 6) THEN 1 ELSE 0 END) * 86400 + 75600 AS due FROM tally WHERE verdict = 'uncertain'""")
+@query("I8_recount_due", f"""WITH {TALLY} SELECT asset, hour, (hour // 86400 + 1 + CASE WHEN (hour // 86400 + 4) % 7 IN (5, 6) THEN 1 ELSE 0 END) *
+  86400 + 75600 AS due FROM tally WHERE verdict = 'uncertain'""")
 def i8(spark, sf):
     """An uncertain vote is taken again at the next session's end."""
     d = F.floor(F.col("hour") / 86400)
@@ -158,27 +187,37 @@ def i8(spark, sf):
     return tally(spark, sf).where("verdict = 'uncertain'").select("asset", "hour", ((d + 1 + late) * 86400 + 75600).alias("due"))
 
 
-@query("B13_voter_eligible", f"""WITH {FEED_BARS} SELECT asset, feed, count(*) FILTER (NOT list_contains([[3, 4], [5], []][feed + 1], hour // 3600 % 24)) AS n_served, count(*) AS n FROM fbars GROUP BY 1, 2""")
+@query("B13_voter_eligible", f"""WITH {FEED_BARS} SELECT asset, feed, count(*) FILTER (NOT list_contains([[3, 4], [5], []][feed + 1], hour // 3600 %
+  24)) AS n_served, count(*) AS n FROM fbars GROUP BY 1, 2""")
 def b13(spark, sf):
     """Feeds skip hours of their lists: a broadcast dimension with an array column."""
     b = market.feed_bars(spark, sf).join(F.broadcast(skipped(spark)), "feed")
-    return b.groupBy("asset", "feed").agg(F.count_if(~F.array_contains("skip", (F.floor(F.col("hour") / 3600) % 24).cast("int"))).alias("n_served"), F.count(F.lit(1)).alias("n"))
+    return (
+        b.groupBy("asset", "feed")
+        .agg(F.count_if(~F.array_contains("skip", (F.floor(F.col("hour") / 3600) % 24).cast("int"))).alias("n_served"), F.count(F.lit(1)).alias("n"))
+    )
 
 
-@query("A12_vote_record", f"""WITH {TALLY} SELECT asset, hour, CASE verdict WHEN 'real' THEN 'confirmed' WHEN 'not real' THEN 'rejected' ELSE verdict END AS verdict, seen FROM tally WHERE verdict <> 'uncertain' OR hour >= (SELECT max(hour) FROM tally) - 10 * 86400""")
+@query("A12_vote_record", f"""WITH {TALLY} SELECT asset, hour, CASE verdict WHEN 'real' THEN 'confirmed' WHEN 'not real' THEN 'rejected' ELSE verdict
+  END AS verdict, seen FROM tally WHERE verdict <> 'uncertain' OR hour >= (SELECT max(hour) FROM tally) - 10 * 86400""")
 def a12(spark, sf):
     """Record of votes: verdicts recoded; settled ones kept for good, others ten days."""
     t = tally(spark, sf)
     newest = t.agg((F.max("hour") - 10 * 86400).alias("from"))
     recoded = F.when(F.col("verdict") == "real", "confirmed").when(F.col("verdict") == "not real", "rejected").otherwise(F.col("verdict"))
-    return t.crossJoin(F.broadcast(newest)).where("verdict <> 'uncertain' or hour >= `from`").select("asset", "hour", recoded.alias("verdict"), "seen")
+    return (
+        t.crossJoin(F.broadcast(newest)).where("verdict <> 'uncertain' or hour >= `from`").select("asset", "hour", recoded.alias("verdict"), "seen")
+    )
 
 
 @query("D16_verify_alignment", f"""WITH {FEED_BARS}, bars AS (SELECT asset, t // 3600 * 3600 AS hour, {FOLD} FROM ticks GROUP BY 1, 2),
 j AS (SELECT b.asset, f.feed, b.hour, b.close AS a, f.close AS b FROM bars b JOIN fbars f USING (asset, hour) WHERE b.close > 0 AND f.close > 0),
-k AS (SELECT *, ln(a / lag(a) OVER w) AS da, ln(b / lag(b) OVER w) AS db, abs(ln(b / a)) * 1e4 AS gap, row_number() OVER (PARTITION BY asset, feed ORDER BY round(abs(ln(b / a)) * 1e4, 6) DESC, hour) AS nth FROM j WINDOW w AS (PARTITION BY asset, feed ORDER BY hour)),
-g AS (SELECT asset, feed, count(*) AS n, corr(da, db) AS c, median(gap) AS m, string_agg(hour::VARCHAR, ',' ORDER BY hour) FILTER (nth <= 3) AS worst_hours FROM k GROUP BY 1, 2)
-SELECT asset, feed, n, round(c, 6) AS corr, round(m, 4) AS gap_bp, worst_hours, coalesce(n >= 200 AND c >= 0.9 AND m <= 25, FALSE) AS passes, coalesce(n >= 200 AND c >= 0.1 AND m <= 9000, FALSE) AS passes_loosely FROM g""")
+k AS (SELECT *, ln(a / lag(a) OVER w) AS da, ln(b / lag(b) OVER w) AS db, abs(ln(b / a)) * 1e4 AS gap, row_number() OVER (PARTITION BY asset, feed
+  ORDER BY round(abs(ln(b / a)) * 1e4, 6) DESC, hour) AS nth FROM j WINDOW w AS (PARTITION BY asset, feed ORDER BY hour)),
+g AS (SELECT asset, feed, count(*) AS n, corr(da, db) AS c, median(gap) AS m, string_agg(hour::VARCHAR, ',' ORDER BY hour) FILTER (nth <= 3) AS
+  worst_hours FROM k GROUP BY 1, 2)
+SELECT asset, feed, n, round(c, 6) AS corr, round(m, 4) AS gap_bp, worst_hours, coalesce(n >= 200 AND c >= 0.9 AND m <= 25, FALSE) AS passes,
+  coalesce(n >= 200 AND c >= 0.1 AND m <= 9000, FALSE) AS passes_loosely FROM g""")
 def d16(spark, sf):
     """Each feed against the store by the default gate, and by a loose one."""
     b, f = market.bars(spark, sf), market.feed_bars(spark, sf)
@@ -186,15 +225,22 @@ def d16(spark, sf):
     a = vote.alignment(b.crossJoin(F.broadcast(feeds)), f, ["asset", "feed"])  # a handful of feeds
     loose = F.coalesce((F.col("n") >= 200) & (F.col("corr") >= 0.1) & (F.col("gap_bp") <= 9000), F.lit(False))
     hours = F.array_join(F.transform("worst_hours", lambda h: h.cast("string")), ",")
-    return a.select("asset", "feed", "n", r6("corr"), F.round("gap_bp", 4).alias("gap_bp"), hours.alias("worst_hours"), "passes", loose.alias("passes_loosely"))
+    return a.select(
+        "asset", "feed", "n", r6("corr"), F.round("gap_bp", 4).alias("gap_bp"), hours.alias("worst_hours"), "passes", loose.alias("passes_loosely"),
+    )
 
 
-@query("D22_failure_spells", f"""WITH {JUDGED}, x AS (SELECT asset, feed, hour, answer = 'unknown' AS bad, lag(answer = 'unknown') OVER w AS was FROM judged WINDOW w AS (PARTITION BY asset, feed ORDER BY hour)),
-s AS (SELECT *, sum(CASE WHEN bad AND NOT coalesce(was, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY asset, feed ORDER BY hour) AS spell FROM x WHERE bad)
+@query("D22_failure_spells", f"""WITH {JUDGED}, x AS (SELECT asset, feed, hour, answer = 'unknown' AS bad, lag(answer = 'unknown') OVER w AS was FROM
+  judged WINDOW w AS (PARTITION BY asset, feed ORDER BY hour)),
+s AS (SELECT *, sum(CASE WHEN bad AND NOT coalesce(was, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY asset, feed ORDER BY hour) AS spell FROM x WHERE
+  bad)
 SELECT asset, feed, min(hour) AS opened, max(hour) AS last, count(*) AS n FROM s GROUP BY asset, feed, spell""")
 def d22(spark, sf):
     """Spells in which a feed had no answer."""
     w = Window.partitionBy("asset", "feed").orderBy("hour")
     x = judged(spark, sf).withColumn("bad", F.col("answer") == "unknown").withColumn("was", F.lag("bad").over(w)).where("bad")
     s = x.withColumn("spell", F.sum((~F.coalesce("was", F.lit(False))).cast("int")).over(w))
-    return s.groupBy("asset", "feed", "spell").agg(F.min("hour").alias("opened"), F.max("hour").alias("last"), F.count(F.lit(1)).alias("n")).drop("spell")
+    return (
+        s.groupBy("asset", "feed", "spell").agg(F.min("hour").alias("opened"), F.max("hour").alias("last"), F.count(F.lit(1)).alias("n"))
+        .drop("spell")
+    )

@@ -16,20 +16,30 @@ from ..sources.staging import new_path
 
 #: Ticks of a slice of the replay, and so of a batch.
 SLICE_ROWS = 1_000_000
-EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+EVENTS = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+])
 
 
 def tick_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """Ticks of the Parquet files under path, `files` of them a batch."""
     raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)
-    return raw.select("event_id", F.col("event_type").alias("asset"), (F.col("user_id") % FEEDS).alias("feed"), epoch("ts").alias("t"), F.timestamp_seconds(epoch("ts")).alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("size"))
+    return raw.select(
+        "event_id", F.col("event_type").alias("asset"), (F.col("user_id") % FEEDS).alias("feed"), epoch("ts").alias("t"),
+        F.timestamp_seconds(epoch("ts")).alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("size"),
+    )
 
 
 def hourly_stream(ticks: DataFrame, late: str = "3 hours") -> DataFrame:
     """Tumbling hours under a watermark."""
     at = F.struct("t", "event_id")
     return ticks.withWatermark("ts", late).groupBy("asset", F.window("ts", "1 hour")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n_src"))
+        F.min_by(
+            "price", at,
+        ).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by(
+            "price", at,
+        ).alias("close"), F.count(F.lit(1)).alias("n_src"))
 
 
 def split_files(spark: SparkSession, sf_dir: str, parts: int) -> str:
@@ -53,7 +63,10 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """All that a stream has to give, in a file sink with its checkpoint."""
     spark = stream.sparkSession
     out = new_path(spark, "out")
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    q = (
+        stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint"))
+        .trigger(availableNow=True).start()
+    )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -67,12 +80,24 @@ def upsert_stream(ticks: DataFrame, keys: list[str]) -> DataFrame:
     def merge(batch: DataFrame, number: int) -> None:
         at = F.struct("t", "event_id", "price")
         hour = (F.floor(F.col("t") / 3600) * 3600).alias("hour")
-        own = batch.groupBy(*keys, hour).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n_src"))
+        own = (
+            batch.groupBy(*keys, hour)
+            .agg(
+                F.min(at).alias("first"), F.max(at).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"),
+                F.count(F.lit(1)).alias("n_src"),
+            )
+        )
         own.write.mode("overwrite").parquet(f"{base}/batch={number}")
 
     q = ticks.writeStream.foreachBatch(merge).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
-    s = spark.read.parquet(base).groupBy(*keys, "hour").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n_src").alias("n_src"))
+    s = (
+        spark.read.parquet(base).groupBy(*keys, "hour")
+        .agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"),
+            F.sum("n_src").alias("n_src"),
+        )
+    )
     return s.select(*keys, "hour", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "n_src")
 
 
@@ -116,16 +141,24 @@ def event_stream(ticks: DataFrame, span: int = 86_400) -> DataFrame:
     def step(batch: DataFrame, old: DataFrame):
         latest = old.groupBy(F.col("asset").alias("_a")).agg(F.max("start").alias("_latest"))
         noted = batch.where("price > 60").select("asset", "event_id", "t").join(latest, F.col("asset").eqNullSafe(F.col("_a")), "left").drop("_a")
-        may = noted.where(F.col("t").isNotNull() & (F.col("_latest").isNull() | (F.col("t") >= F.col("_latest") + span))).select("asset", "t").distinct()
+        may = (
+            noted.where(F.col("t").isNotNull() & (F.col("_latest").isNull() | (F.col("t") >= F.col("_latest") + span))).select("asset", "t")
+            .distinct()
+        )
         new = old.unionByName(may.repartition("asset").sortWithinPartitions("asset", "t").mapInPandas(starts, "asset string, start long"))
 
         def rows(kept: DataFrame) -> DataFrame:
             at = F.floor(F.col("t") / span)
-            mine = lambda n, name: kept.select(F.col("asset").alias(f"_a{n}"), (F.floor(F.col("start") / span) + n).alias(f"_n{n}"), F.col("start").alias(name))
+            mine = lambda n, name: kept.select(
+                F.col("asset").alias(f"_a{n}"), (F.floor(F.col("start") / span) + n).alias(f"_n{n}"), F.col("start").alias(name),
+            )
             out = noted
             for n, name in ((0, "_own"), (1, "_before")):
                 out = out.join(mine(n, name), F.col("asset").eqNullSafe(F.col(f"_a{n}")) & (at == F.col(f"_n{n}")), "left")
-            start = F.when(F.col("t") >= F.col("_own"), F.col("_own")).when(F.col("t") < F.col("_before") + span, F.col("_before")).otherwise(F.col("_latest"))
+            start = (
+                F.when(F.col("t") >= F.col("_own"), F.col("_own")).when(F.col("t") < F.col("_before") + span, F.col("_before"))
+                .otherwise(F.col("_latest"))
+            )
             return out.select("asset", "event_id", F.col("t").alias("found"), start.alias("event_start"))
 
         return new, rows

@@ -15,21 +15,25 @@ def h1(spark, sf):
     return events.upsert_stream(events.tick_stream(spark, events.split_files(spark, sf, 4)), ["asset", "feed"])
 
 
-@query("H4_hourly_stream", f"WITH {BARS} SELECT asset, hour, open, high, low, close, n_src FROM bars WHERE hour + 3600 <= (SELECT max(t) - 10800 FROM ticks)")
+@query("H4_hourly_stream", f"""WITH {BARS} SELECT asset, hour, open, high, low, close, n_src FROM bars WHERE hour + 3600 <= (SELECT max(t) - 10800
+  FROM ticks)""")
 def h4(spark, sf):
     """Tumbling hours under a three-hour watermark: those that the watermark has closed."""
     out = events.run_to_table(events.hourly_stream(events.tick_stream(spark, events.split_files(spark, sf, 4))), "append")
     return out.select("asset", F.unix_timestamp(F.col("window.start")).alias("hour"), "open", "high", "low", "close", "n_src")
 
 
-@query("H6_event_stream", f"""WITH RECURSIVE {TICKS}, k AS (SELECT asset, event_id, t AS found, row_number() OVER (PARTITION BY asset ORDER BY t, event_id) AS i FROM ticks WHERE price > 60),
-e AS (SELECT asset, event_id, found, i, found AS start FROM k WHERE i = 1 UNION ALL SELECT k.asset, k.event_id, k.found, k.i, CASE WHEN k.found < e.start + 86400 THEN e.start ELSE k.found END FROM e JOIN k ON k.asset = e.asset AND k.i = e.i + 1)
+@query("H6_event_stream", f"""WITH RECURSIVE {TICKS}, k AS (SELECT asset, event_id, t AS found, row_number() OVER (PARTITION BY asset ORDER BY t,
+  event_id) AS i FROM ticks WHERE price > 60),
+e AS (SELECT asset, event_id, found, i, found AS start FROM k WHERE i = 1 UNION ALL SELECT k.asset, k.event_id, k.found, k.i, CASE WHEN k.found <
+  e.start + 86400 THEN e.start ELSE k.found END FROM e JOIN k ON k.asset = e.asset AND k.i = e.i + 1)
 SELECT asset, event_id, found, start AS event_start FROM e""")
 def h6(spark, sf):
     return events.event_stream(events.tick_stream(spark, events.split_files(spark, sf, 4)))
 
 
-@query("H10_action_stream", f"""WITH {TICKS}, k AS (SELECT asset, event_id, price, t // 86400 AS d, max(price) OVER (PARTITION BY asset, t // 86400 ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ticks WHERE price > 60)
+@query("H10_action_stream", f"""WITH {TICKS}, k AS (SELECT asset, event_id, price, t // 86400 AS d, max(price) OVER (PARTITION BY asset, t // 86400
+  ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ticks WHERE price > 60)
 SELECT asset, event_id, CASE WHEN top IS NULL THEN 'post' WHEN price > top THEN 'edit' ELSE 'silent' END AS action FROM k""")
 def h10(spark, sf):
     return events.action_stream(events.tick_stream(spark, events.split_files(spark, sf, 4)))
