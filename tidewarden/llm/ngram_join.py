@@ -409,7 +409,7 @@ def near_components(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFram
         joined = c.stage(ids.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", F.struct("sig", "n"))), "class-components")
         least = c.stage(joined.groupBy("comp").agg(F.min("least").alias("of_all")), "least-ids")
         ids = c.join_checked(joined, least, ["comp"], "inner").select("sig", "n", F.col("of_all").alias("least"))
-    out = known.join(c.stage(ids, "component-ids"), ["sig", "n"], "left")
+    out = c.join_checked(known, c.stage(ids, "component-ids"), ["sig", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -422,7 +422,7 @@ def keep_one(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFrame:
     rows = rows.groupBy("sig", "n", "no_id", "doc", "digest").agg(F.count(F.lit(1)).alias("copies")).withColumn("comp", F.struct("sig", "n"))
     if comps is not None:
         of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").alias("n"), F.col("comp").alias("of"))
-        rows = rows.join(of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp"))
+        rows = c.join_checked(rows, of, ["sig", "n"], "left").withColumn("comp", F.coalesce("of", "comp"))
     rows = c.stage(rows.select("comp", "no_id", "doc", "digest", "copies"), "members")
     first = rows.groupBy("comp").agg(F.min(F.struct("no_id", "doc", "digest")).alias("first"), F.sum("copies").alias("all")).where(F.col("all") > 1)
     first = c.stage(first.select("comp", "first"), "kept-rows")

@@ -562,8 +562,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ranges = c.stage(ranges, "ranges")
     touched = c.join_checked(unique, ranges.select(*_KEY), _KEY, "left_semi").dropDuplicates(_KEY)
     cut = touched.join(ranges, _KEY).select(*_KEY, "text", "ranges").mapInArrow(_left, "key_a long, key_b long, removed long, spans long, left_sha string")
+    cut = c.stage(cut, "cut-texts")
     whole = F.col("copy") & (F.col("n_bytes") >= width)
-    return known.join(cut, _KEY, "left").select(
+    return c.join_checked(known, cut, _KEY, "left").select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).when(F.col("copy"), F.lit(0)).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).when(F.col("copy"), F.lit(0)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
