@@ -1,7 +1,12 @@
 """A pipeline over `documents`: filter, de-duplicate exactly and nearly, mix sources, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All stages but the last return the columns of docs. Stages are judged on their own input."""
+next stage's docs. All stages but the last return the columns of docs. Stages are judged on their own input.
+
+Defined cases: null and empty texts have too few words and go in the first stage; a null doc_id or source takes part; of rows equal in text, and of
+groups linked by shingles, the row of the smallest doc_id stays (null last, one row of several); rows that share a doc_id but not their text are
+documents of their own; very long texts are taken whole; other columns, whatever their names, are carried to the mix; an empty table gives an
+empty result."""
 
 from __future__ import annotations
 
