@@ -21,7 +21,6 @@ a doc_id never remove from one another; an empty table gives an empty result; ot
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +39,12 @@ BUCKET_ANCHORS = 200_000
 LEAST_BUCKETS = 64
 #: Bits of an anchor's hash that are listed: at 1 TB of text, three anchors in 10,000 look shared that are not.
 HASH_BITS = 48
-#: Bytes of a text in which anchors are looked for at once, and the bits of a place there; longer texts go piece by piece.
-PIECE_BYTES = 1 << 24
+#: Bytes in which anchors are looked for at once (small, so that arrays stay in cache), and the bits of a place there; texts go piece by piece.
+PIECE_BYTES = 1 << 17
 _PLACE = np.uint64(24)
 
 _LAST = np.iinfo(np.int64).max
+_CODEC = pa.Codec("zstd", 1)
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -172,16 +172,21 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = G
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
+#: Multipliers of the words of a gram's hash.
+_WORDS = np.random.default_rng(20250107).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _anchors(data: np.ndarray, row: np.ndarray, base: int, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    word = words8(data)
     n = len(data) - gram + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for i in sorted({*range(0, gram - 7, 8), gram - 8}):
-        h = c.mix(h ^ word[i : n + i])
-    del word
     at = np.flatnonzero(row[: len(data) - width + 1] == row[width - 1 :])
     if not len(at):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
+    word = c.lanes(data)
+    h = np.zeros(n, np.uint64)
+    for k, i in enumerate(sorted({*range(0, gram - 7, 8), gram - 8})):
+        h += word[i : n + i] * _WORDS[k]
+    del word
+    h = c.mix(h)
     b = _sliding_min(((h >> _PLACE) << _PLACE) | np.arange(n, dtype=np.uint64), width - gram + 1)[at]
     new = np.ones(len(b), bool)
     new[1:] = (b[1:] != b[:-1]) | (row[at[1:]] != row[at[:-1]])
@@ -202,12 +207,11 @@ def _buckets(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _pack(*arrays: np.ndarray, raw: bytes = b"") -> bytes:
     body = b"".join(np.ascontiguousarray(x).tobytes() for x in arrays) + raw
-    return len(arrays[0]).to_bytes(4, "little") + zlib.compress(body, 1)
+    return len(arrays[0]).to_bytes(4, "little") + len(body).to_bytes(8, "little") + _CODEC.compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> tuple:
-    n, body = int.from_bytes(blob[:4], "little"), zlib.decompress(blob[4:])
-    out, at = [], 0
+    n, body, out, at = int.from_bytes(blob[:4], "little"), _CODEC.decompress(blob[12:], int.from_bytes(blob[4:12], "little"), asbytes=True), [], 0
     for k in kinds:
         size = n * np.dtype(k).itemsize
         out.append(np.frombuffer(body[at : at + size], k))
@@ -310,8 +314,8 @@ def _list_anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
 
     def run(batches):
         for table, data, off in _chunks(batches, 3, SHARD_BYTES):
-            names = _table(table)
-            doc = names[0]
+            doc = table.column("doc").to_numpy()
+            short = _short(table.column("key_a").to_numpy())
             h, row = anchors(data, off, width)[:2]
             if not len(h):
                 continue
@@ -329,10 +333,10 @@ def _list_anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             hs, rs, told = h[send], row[send], own[send].astype("u1")
             present, edges = _buckets(hs, buckets)
             where = [(int(b), False) for b in present]
-            out = [_pack_rows(hs[i:j], rs[i:j], names, told[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            out = [_pack_anchors(hs[i:j], rs[i:j], told[i:j], short) for i, j in zip(edges[:-1], edges[1:], strict=True)]
             if own.any():  # any bucket will do for these
                 where.append((int(h[0]) % buckets, True))
-                out.append(_pack_rows(h[own], row[own], names))
+                out.append(_pack_anchors(h[own], row[own], np.zeros(int(own.sum()), "u1"), short))
             yield _blobs(where, out)
 
     return rows.mapInArrow(run, _BLOBS)
@@ -345,18 +349,43 @@ def _blobs(where: list[tuple[int, bool]], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in where], pa.int32()), pa.array([k for _, k in where], pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "settled", "blob"])
 
 
+#: Bits of a text's key by which anchors name it. Texts of one name get one another's anchors as well, which costs work and nothing else.
+NAME_BITS = 40
+
+
+def _short(key_a: np.ndarray) -> np.ndarray:
+    return key_a & ((1 << NAME_BITS) - 1)
+
+
+def _pack_anchors(h: np.ndarray, row: np.ndarray, told: np.ndarray, short: np.ndarray) -> bytes:
+    """Ascending hashes (as differences), marks, and texts, which are numbers into a table of names (5 bytes each)."""
+    rows, at = np.unique(row, return_inverse=True)
+    names = short[rows].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8].tobytes()
+    head = len(rows).to_bytes(4, "little") + names
+    return len(head).to_bytes(4, "little") + head + _pack(np.diff(h, prepend=0).astype("<i8"), at.astype("u2" if len(rows) <= 65_536 else "u4"), told)
+
+
+def _unpack_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, name, mark."""
+    size, many = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    names = np.zeros((many, 8), np.uint8)
+    names[:, : NAME_BITS // 8] = np.frombuffer(blob[8 : 4 + size], np.uint8).reshape(many, -1)
+    h, at, told, _ = _unpack(blob[4 + size :], "<i8", "u2" if many <= 65_536 else "u4", "u1")
+    return np.cumsum(h), names.view("<i8").ravel()[at], told
+
+
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(key_a, key_b, hash) of a bucket's anchors that two documents or more have."""
-    parts = [_unpack_rows(x, "u1") for x in pdf["blob"][~pdf["settled"]]]
+    """(name, hash) of a bucket's anchors that two documents or more have."""
+    parts = [_unpack_anchors(x) for x in pdf["blob"][~pdf["settled"]]]
     merged = np.sort(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]))
-    out = [(key_a, key_b, h) for h, _, key_a, key_b, _ in map(_unpack_rows, pdf["blob"][pdf["settled"]])]
-    for h, _, key_a, key_b, told, _ in parts:
+    out = [(name, h) for h, name, _ in map(_unpack_anchors, pdf["blob"][pdf["settled"]])]
+    for h, name, told in parts:
         n = np.searchsorted(merged, h, "right") - np.searchsorted(merged, h, "left")
         ok = (n > 1) & (told == 0)
         if ok.any():
-            out.append((key_a[ok], key_b[ok], h[ok]))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pd.DataFrame(dict(zip(("key_a", "key_b", "hash"), cols, strict=True)))
+            out.append((name[ok], h[ok]))
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2
+    return pd.DataFrame(dict(zip(("name", "hash"), cols, strict=True)))
 
 
 def _equal(same: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -524,9 +553,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total * 2 / (width - GRAM + 2) / BUCKET_ANCHORS) + 1)
     listed = _list_anchors(docs, buckets, width)
-    anchors_ = listed.groupBy("bucket").applyInPandas(_merge, "key_a long, key_b long, hash long")
-    shared = c.stage(anchors_.groupBy(*_KEY).agg(F.collect_list("hash").alias("hashes")), "shared-anchors")
-    joined = c.join_checked(docs, shared.select(*_KEY), _KEY, "left_semi").join(shared, _KEY).select("doc", *_KEY, "text", "hashes")
+    anchors_ = listed.groupBy("bucket").applyInPandas(_merge, "name long, hash long")
+    shared = c.stage(anchors_.groupBy("name").agg(F.collect_set("hash").alias("hashes")), "shared-anchors")
+    called = docs.withColumn("name", F.col("key_a").bitwiseAND(F.lit((1 << NAME_BITS) - 1)))
+    joined = c.join_checked(called, shared.select("name"), ["name"], "left_semi").join(shared, "name").select("doc", *_KEY, "text", "hashes")
     cut = _cuttings(joined, buckets, width)
     return cut.groupBy("bucket").applyInPandas(_settle(width), "key_a long, key_b long, start long, stop long")
 
