@@ -39,6 +39,23 @@ def e1(spark, sf):
     return jumps.sigma(moves(spark, sf), ["asset"], "r", WEEK, LEAST).select("asset", "hour", r6("sigma"))
 
 
+#: The same moves by minutes: bars of 60 seconds, holes of over a minute.
+_MINUTES = MOVES.replace("t // 3600 * 3600", "t // 60 * 60").replace("hour - ph > 3600", "hour - ph > 60")
+
+
+@query(
+    "E1_minute_bipower",
+    f"""WITH {_MINUTES}, p AS (SELECT asset, hour, r, abs(r) * abs(lag(r) OVER (PARTITION BY asset ORDER BY hour)) AS x FROM moves WHERE r IS NOT NULL),
+s AS (SELECT asset, hour, CASE WHEN count(x) OVER w >= {LEAST} THEN sqrt(pi() / 2 * avg(x) OVER w) END AS sigma FROM p
+  WINDOW w AS (PARTITION BY asset ORDER BY hour RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING))
+SELECT moves.asset, moves.hour, round(sigma, 6) AS sigma FROM moves LEFT JOIN s ON s.asset = moves.asset AND s.hour = moves.hour""",
+)
+def e1_minutes(spark, sf):
+    """The yardstick of a day over bars of a minute: the detector's longest table."""
+    bars = usable(fold(market.ticks(spark, sf), ["asset"], 60))
+    return jumps.sigma(jumps.channels(bars, ["asset"], day(), hour=60), ["asset"], "r", 86_400, LEAST).select("asset", "hour", r6("sigma"))
+
+
 def _passes(n: int) -> str:
     """SQL of n passes of the yardstick, each without the readings that the one before found impossible; passes after the last find give the same."""
     parts, of = [MOVES], "SELECT asset, hour, r FROM moves"
