@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cluster import ship
-from ..operators.bars import fold
+from ..operators import jumps
+from ..operators.bars import fold, keep_last
 from ..sources.market import FEEDS, epoch
 from ..sources.staging import new_path
 
@@ -71,6 +72,22 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _own_hours(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """A batch's own fold by hours, in columns that can be merged with those of other batches."""
+    at = F.struct("t", "event_id", "price")
+    return batch.groupBy(*keys, (F.floor(F.col("t") / 3600) * 3600).alias("hour")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n_src")
+    )
+
+
+def _merged_hours(folds: DataFrame, keys: list[str]) -> DataFrame:
+    """Bars of the folds of all batches."""
+    s = folds.groupBy(*keys, "hour").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n_src").alias("n_src")
+    )
+    return s.select(*keys, "hour", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "n_src")
+
+
 def upsert_stream(ticks: DataFrame, keys: list[str]) -> DataFrame:
     """Hours of ticks put together from batches (foreachBatch). A batch writes the fold of its own ticks, and nothing else of the store; hours
     that several batches have are merged when the store is read. The folder of a batch has its number, so a repeated batch, or one after a
@@ -78,27 +95,35 @@ def upsert_stream(ticks: DataFrame, keys: list[str]) -> DataFrame:
     spark, base = ticks.sparkSession, new_path(ticks.sparkSession, "store")
 
     def merge(batch: DataFrame, number: int) -> None:
-        at = F.struct("t", "event_id", "price")
-        hour = (F.floor(F.col("t") / 3600) * 3600).alias("hour")
-        own = (
-            batch.groupBy(*keys, hour)
-            .agg(
-                F.min(at).alias("first"), F.max(at).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"),
-                F.count(F.lit(1)).alias("n_src"),
-            )
-        )
-        own.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        _own_hours(batch, keys).write.mode("overwrite").parquet(f"{base}/batch={number}")
 
     q = ticks.writeStream.foreachBatch(merge).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
-    s = (
-        spark.read.parquet(base).groupBy(*keys, "hour")
-        .agg(
-            F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"),
-            F.sum("n_src").alias("n_src"),
-        )
-    )
-    return s.select(*keys, "hour", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "n_src")
+    return _merged_hours(spark.read.parquet(base), keys)
+
+
+def sliding_stream(ticks: DataFrame, seconds: int, least: int) -> DataFrame:
+    """asset, hour, sigma: the trailing yardstick kept up to date batch by batch (foreachBatch).
+
+    A batch adds its fold to the store, then computes anew the hours from its own first one on, instrument by instrument, from the bars of the window
+    before and the three bars before that (a product needs two). Rows of later batches take the place of earlier ones; older hours stay."""
+    spark, base = ticks.sparkSession, new_path(ticks.sparkSession, "sliding")
+
+    def run(batch: DataFrame, number: int) -> None:
+        _own_hours(batch, ["asset"]).write.mode("overwrite").parquet(f"{base}/bars/batch={number}")
+        known = spark.read.parquet(f"{base}/bars").where(F.col("batch") <= number)
+        since = known.where(F.col("batch") == number).groupBy("asset").agg(F.min("hour").alias("since"))
+        bars = _merged_hours(known, ["asset"]).where(F.least("open", "high", "low", "close") > 0).join(since, "asset")
+        near = F.col("hour") >= F.col("since") - seconds
+        before = Window.partitionBy("asset", "_near").orderBy(F.desc("hour"))
+        bars = bars.withColumn("_near", near).withColumn("_nth", F.row_number().over(before)).where(F.col("_near") | (F.col("_nth") <= 3)).drop("_near", "_nth")
+        moves = jumps.channels(bars, ["asset"], F.floor(F.col("hour") / 86_400))
+        rows = jumps.sigma(moves, ["asset"], "r", seconds, least).where("hour >= since").select("asset", "hour", "sigma")
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    q = ticks.writeStream.foreachBatch(run).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return keep_last(spark.read.parquet(f"{base}/rows"), ["asset", "hour"], F.desc("batch")).select("asset", "hour", "sigma")
 
 
 def _by_batch(ticks: DataFrame, state: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
@@ -186,4 +211,4 @@ def action_stream(ticks: DataFrame) -> DataFrame:
     return _by_batch(ticks, "asset string, day long, top double", step)
 
 
-__all__ = ["action_stream", "event_stream", "fold", "hourly_stream", "run_to_table", "split_files", "tick_stream", "upsert_stream"]
+__all__ = ["action_stream", "event_stream", "fold", "hourly_stream", "run_to_table", "sliding_stream", "split_files", "tick_stream", "upsert_stream"]

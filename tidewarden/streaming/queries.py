@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..queries.common import BARS, FEED_BARS, TICKS
+from ..queries.common import BARS, FEED_BARS, LEAST, SCORED, TICKS, WEEK, r6
 from ..registry import query
 from . import events
 
@@ -23,6 +23,13 @@ def h4(spark, sf):
     return out.select("asset", F.unix_timestamp(F.col("window.start")).alias("hour"), "open", "high", "low", "close", "n_src")
 
 
+@query("H5_sliding_stream", f"WITH {SCORED} SELECT asset, hour, round(sigma, 6) AS sigma FROM scored")
+def h5(spark, sf):
+    """The sliding yardstick, kept up to date by batches, is that of all bars at once."""
+    ticks = events.tick_stream(spark, events.split_files(spark, sf, 4))
+    return events.sliding_stream(ticks, WEEK, LEAST).select("asset", "hour", r6("sigma"))
+
+
 @query("H6_event_stream", f"""WITH RECURSIVE {TICKS}, k AS (SELECT asset, event_id, t AS found, row_number() OVER (PARTITION BY asset ORDER BY t,
   event_id) AS i FROM ticks WHERE price > 60),
 e AS (SELECT asset, event_id, found, i, found AS start FROM k WHERE i = 1 UNION ALL SELECT k.asset, k.event_id, k.found, k.i, CASE WHEN k.found <
