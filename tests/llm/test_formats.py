@@ -18,7 +18,9 @@ def frame(spark, rows):
 
 def test_mixing_targets_and_counts(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, "w " * int(rng.pareto(1.5) * 20), f"s{i % 5}" if i % 7 else None) for i in range(3000)] + [(None, None, "s1"), (1, "w", "s1"), (1, "w", "s1")]
+    rows = [(
+        i, "w " * int(rng.pareto(1.5) * 20), f"s{i % 5}" if i % 7 else None,
+    ) for i in range(3000)] + [(None, None, "s1"), (1, "w", "s1"), (1, "w", "s1")]
     got = mixing.mix_sizes(frame(spark, rows)).toPandas()
     assert len(got) == len(rows) and (got["taken"] <= 2 * got["size"]).all()
     by = got.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"), top=("size", "max"))
@@ -39,7 +41,11 @@ def test_mixing_documents(spark):
 
 
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/", "<p>x</p>", "k"), (2, None, "<p>x</p>", "k"), (3, "u\r\nX: y", None, "k"), (4, "", "", "k"), (None, "http://n/", "é" * 10, "k"), (5, "http://a/", "<p>x</p>", "k"), (6, "b", "z" * 300_000, "k"), (7, "WARC/1.1", "\r\n\r\nWARC/1.1\r\n", "k")]
+    rows = [
+        (1, "http://a/", "<p>x</p>", "k"), (2, None, "<p>x</p>", "k"), (3, "u\r\nX: y", None, "k"), (4, "", "", "k"),
+        (None, "http://n/", "é" * 10, "k"), (5, "http://a/", "<p>x</p>", "k"), (6, "b", "z" * 300_000, "k"),
+        (7, "WARC/1.1", "\r\n\r\nWARC/1.1\r\n", "k"),
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     got = {r.page_id: r for r in warc.round_trip(pages).collect()}
     assert len(got) == len(rows)
@@ -52,7 +58,9 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_of_repeated_pages(spark):
-    rows = [(1, f"http://{i}/", "same", "k") for i in range(40)] + [(1, "u", "other", "k"), (0, "u", "same", "k"), (None, "u", "none", "k"), (None, "v", "none", "k"), (2, "u", "alone", "k")]
+    rows = [(1, f"http://{i}/", "same", "k") for i in range(40)] + [
+        (1, "u", "other", "k"), (0, "u", "same", "k"), (None, "u", "none", "k"), (None, "v", "none", "k"), (2, "u", "alone", "k"),
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(6)
     got = warc.round_trip(pages).toPandas()
     assert len(got) == len(rows)
@@ -69,11 +77,15 @@ def test_warc_of_other_writers(spark, tmp_path):
         return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n")
 
     http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\nbody"
-    raw = made("warcinfo", b"software: x\r\n") + made("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request") + made("response", http, "Content-Type: application/http;msgtype=response", "WARC-Target-URI: http://a/")
+    raw = made("warcinfo", b"software: x\r\n") + made("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request") + made(
+        "response", http, "Content-Type: application/http;msgtype=response", "WARC-Target-URI: http://a/",
+    )
     raw += made("metadata", b"", "WARC-Payload-Digest: md5:00") + made("resource", b"text", f"WARC-Payload-Digest: sha1:{warc.sha1_base32(b'text')}")
     (tmp_path / "x.warc.gz").write_bytes(raw)
     got = warc.read_archives(spark, str(tmp_path), "*.warc.gz").collect()
-    assert [(r.record_type, r.page_id, r.record_id) for r in got] == [(k, None, "<urn:uuid:0a1b>") for k in ("warcinfo", "request", "response", "metadata", "resource")]
+    assert [(r.record_type, r.page_id, r.record_id) for r in got] == [(k, None, "<urn:uuid:0a1b>") for k in (
+        "warcinfo", "request", "response", "metadata", "resource",
+    )]
     assert [bytes(r.payload) for r in got] == [b"software: x\r\n", b"", b"body", b"", b"text"] and got[2].url == "http://a/"
     assert [r.payload_digest for r in got[2:]] == [warc.sha1_base32(x) for x in (b"body", b"", b"text")]
 
@@ -90,7 +102,9 @@ def test_warc_reader_is_strict():
             list(warc.read_records([gzip.compress(bad)]))
 
 
-TEXTS = ["", None, "a", " ", "  two  spaces ", "line\nline\n\n", "naïve café – 漢字かな 😀", "x" * 500, "tab\tnull\x00end", "The quick brown fox, 1234567890!"]
+TEXTS = [
+    "", None, "a", " ", "  two  spaces ", "line\nline\n\n", "naïve café – 漢字かな 😀", "x" * 500, "tab\tnull\x00end", "The quick brown fox, 1234567890!",
+]
 
 
 def test_sentencepiece_round_trip(spark):
@@ -122,7 +136,9 @@ def test_sentencepiece_is_the_best_path(monkeypatch):
     """Id by id against the public library, and scores against the plain dynamic programme over all pieces."""
     m, other, table = exact_model()
     rng = np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("theranoiéü漢 "), 12)) for _ in range(300)] + ["".join(rng.choice(list("theranoiéü漢字"), 3000)) for _ in range(4)] + ["a" * 5000, " " * 300 + "x", *(t for t in TEXTS if t)]
+    texts = ["".join(rng.choice(list("theranoiéü漢 "), 12)) for _ in range(300)] + ["".join(rng.choice(
+        list("theranoiéü漢字"), 3000,
+    )) for _ in range(4)] + ["a" * 5000, " " * 300 + "x", *(t for t in TEXTS if t)]
     data, off = common.utf8(pa.array(texts))
     ids, at = m.encode(data, off)
     assert m.decode(ids, at)[0].tobytes() == data.tobytes()
@@ -218,7 +234,9 @@ def test_licenses(spark):
     mit, bsd = licenses.WHOLE_TEXTS[0][0], licenses.WHOLE_TEXTS[1][0]
     texts = [None, "", "MIT License", "the Apache-License, and the apache  license; mit license", "cc\nby cc by", "gnu general public licenses", "GNU General public license mit", "miK license", "é mit license é",
              "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its associated documentation files", "gnu lesser general public license", "mit " * 50,
-             mit, "see " * 9 + bsd.replace("the ", "the very ") + " end", mit[300:] + " mit license", bsd[:500] + " " + mit[400:], "of the " * 300, mit + " " + mit, "gnu affero general public license " * 3]
+             mit, "see " * 9 + bsd.replace(
+                 "the ", "the very ",
+             ) + " end", mit[300:] + " mit license", bsd[:500] + " " + mit[400:], "of the " * 300, mit + " " + mit, "gnu affero general public license " * 3]
     docs = frame(spark, [*((i, t, "s") for i, t in enumerate(texts)), (2, "mit license twice: mit license", "s")])
     got = sorted(licenses.scan(docs).collect(), key=lambda r: (r.doc_id, r.n_words))
     assert len(got) == len(texts) + 1
@@ -254,9 +272,14 @@ def plain_evidence(lexicon, text):
 
 
 def test_toxicity_scores_by_plain_search(spark):
-    lexicon = toxicity.Lexicon(((" vill", 2.0), (" scoundrel ", 3.5), (" rogu", 1.25), (" vile ", 0.5)), (" cartoon scoundrel ", " rogue wave "), (-3.0, 1.0, 0.5))
+    lexicon = toxicity.Lexicon(
+        ((" vill", 2.0), (" scoundrel ", 3.5), (" rogu", 1.25), (" vile ", 0.5)), (" cartoon scoundrel ", " rogue wave "), (-3.0, 1.0, 0.5),
+    )
     long_ = " ".join(["plain words stand here"] * 30_000) + " villain"
-    texts = [None, "", " ", "a v1lla1n", "VILLAINS and rogues", "the cartoon scoundrel", "cartoon scoundrel scoundrel", "rogue wave rogue", "vile vilе", "scoundrel", "x" * 100_000, long_, "villain " * 2000, "ｖｉｌｌａｉｎ", "vil\u00adlain", "no harm"]
+    texts = [
+        None, "", " ", "a v1lla1n", "VILLAINS and rogues", "the cartoon scoundrel", "cartoon scoundrel scoundrel", "rogue wave rogue", "vile vilе",
+        "scoundrel", "x" * 100_000, long_, "villain " * 2000, "ｖｉｌｌａｉｎ", "vil\u00adlain", "no harm",
+    ]
     rows = [*((i, t, "s") for i, t in enumerate(texts)), (4, texts[4], "s"), (4, "something else", "s"), (None, texts[3], "s")]
     got = toxicity.score_documents(frame(spark, rows), lexicon).collect()
     made = []
@@ -285,7 +308,13 @@ def test_toxicity_folds_and_learns(spark):
         labels.append((i, 1, int(bad)))
     docs, known = frame(spark, rows), spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     lex = toxicity.fit(docs, known)
-    extra = frame(spark, [(1000, "you are a v1lla!n and a sсoundrеl".replace("!", "i"), "s"), (1001, None, "s"), (1002, "", "s"), (None, "villain villain", "s"), (1003, "the cartoon scoundrel laughs", "s")])
+    extra = frame(
+        spark,
+        [
+            (1000, "you are a v1lla!n and a sсoundrеl".replace("!", "i"), "s"), (1001, None, "s"), (1002, "", "s"), (None, "villain villain", "s"),
+            (1003, "the cartoon scoundrel laughs", "s"),
+        ],
+    )
     out = {r.doc_id: r for r in toxicity.score_documents(docs.unionByName(extra), lex).collect()}
     assert all(out[i].predicted == y for i, _, y in labels) and any(r.held_out for r in out.values()) and not out[None].held_out
     assert out[1000].predicted == 1 and out[None].predicted == 1 and out[1003].predicted == 0

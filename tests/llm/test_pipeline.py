@@ -21,9 +21,15 @@ def prose(i, n=70):
 
 def corpus():
     rows = [(i, prose(i), "s0" if i % 3 else "s1") for i in range(30)]
-    rows += [(100, prose(1), "s1"), (101, prose(1).replace(" ", "  "), None), (None, prose(2), "s0"), (102, prose(3) + " one two", "s0"), (None, prose(4) + " and more", None), (103, prose(40) + " end", "s2"), (None, prose(40), "s2")]
+    rows += [
+        (100, prose(1), "s1"), (101, prose(1).replace(" ", "  "), None), (None, prose(2), "s0"), (102, prose(3) + " one two", "s0"),
+        (None, prose(4) + " and more", None), (103, prose(40) + " end", "s2"), (None, prose(40), "s2"),
+    ]
     rows += [(5, prose(5), "s0"), (5, prose(5), "s0"), (6, prose(90), "s1"), (7, prose(91) + " x", "s1"), (7, prose(6) + " y", "s1")]
-    rows += [(200, None, "s0"), (None, None, None), (201, "", "s1"), (202, "too short", "s0"), (203, "### " * 80, "s1"), (204, "ok " * 90, "s1"), (205, " ".join(prose(i, 600) for i in range(300, 330)), "s2")]
+    rows += [
+        (200, None, "s0"), (None, None, None), (201, "", "s1"), (202, "too short", "s0"), (203, "### " * 80, "s1"), (204, "ok " * 90, "s1"),
+        (205, " ".join(prose(i, 600) for i in range(300, 330)), "s2")
+    ]
     return rows
 
 

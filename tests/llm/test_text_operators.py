@@ -18,7 +18,10 @@ def frame(spark, rows):
 
 def odd_rows():
     long_ = " ".join(f"w{i}" for i in range(40_000))
-    return [(1, None), (2, ""), (3, " \t\n"), (4, BASE), (4, BASE), (5, BASE + "\n"), (6, BASE.upper()), (None, BASE), (None, None), (7, long_), (8, long_ + " more"), (9, "a b"), (10, "a b"), (11, "é ü 漢字 x")]
+    return [
+        (1, None), (2, ""), (3, " \t\n"), (4, BASE), (4, BASE), (5, BASE + "\n"), (6, BASE.upper()), (None, BASE), (None, None), (7, long_),
+        (8, long_ + " more"), (9, "a b"), (10, "a b"), (11, "é ü 漢字 x"),
+    ]
 
 
 def words(t):
@@ -40,7 +43,9 @@ def base_counts(t):
 
 def test_quality_counts(spark):
     rows = [*odd_rows(), (20, "a b c a b c x\nsame line\nsame line\n \n \n#*$"), (21, "x\n\nx\nx"), (22, "é é é é é é")]
-    got = sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.score_documents(frame(spark, rows)).collect())
+    got = sorted((
+        r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
+    ) for r in quality.score_documents(frame(spark, rows)).collect())
     assert got == sorted((i or -1, *base_counts(t)) for i, t in rows)
 
 
@@ -129,7 +134,10 @@ def test_ngram_components(spark, seed):
 
 def test_ngram_links_of_null_and_repeated_ids(spark):
     other = " ".join(f"q{i}" for i in range(60))
-    rows = [(5, BASE * 3), (None, BASE * 3 + " and more"), (7, BASE * 3 + " and more still yet"), (None, other), (9, other + " x"), (9, BASE * 3 + " and"), (9, "words that are like nothing else here at all"), (None, None)]
+    rows = [
+        (5, BASE * 3), (None, BASE * 3 + " and more"), (7, BASE * 3 + " and more still yet"), (None, other), (9, other + " x"),
+        (9, BASE * 3 + " and"), (9, "words that are like nothing else here at all"), (None, None),
+    ]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     got = sorted((tuple(r) for r in ngram_join.near_components(frame(spark, rows)).collect()), key=key)
     assert got == sorted(brute_components(rows), key=key)
@@ -208,7 +216,10 @@ def test_repeats_at_several_places_of_a_document(spark, monkeypatch, shard):
     text = lambda n: "".join(rng.choice(list("abcdefgh \n"), n))
     passage, other = text(180), text(90)
     rows = [(1, text(20) + passage + text(30)), (2, "x" + text(300)), (3, passage + text(70) + passage + text(9) + passage)]
-    rows += [(4, other + text(40) + other), (4, text(11) + other + passage[20:100]), (5, text(5) + other + other), (None, passage[:120] + text(8) + passage[:120]), (None, "z" + other + other)]
+    rows += [
+        (4, other + text(40) + other), (4, text(11) + other + passage[20:100]), (5, text(5) + other + other),
+        (None, passage[:120] + text(8) + passage[:120]), (None, "z" + other + other),
+    ]
     rows += [(10 + i, text(15).join([passage[i : i + 100], other[i : i + 70], passage[i : i + 100], other])) for i in range(8)]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, rows).repartition(5, "doc_id")).collect()), key=key)
@@ -221,7 +232,10 @@ def test_repeats_of_long_texts_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(9)
     text = lambda n: "".join(rng.choice(list("abcdefghij \n"), n))
     long_ = text(2500)
-    rows = [(3, long_), (None, long_[:1200] + "!" + long_[1201:]), (None, text(40) + long_[700:1500]), (8, text(30) + long_[250:420] + text(30)), (8, long_[900:1000] + text(99)), (2, text(10) + long_[295:360])]
+    rows = [
+        (3, long_), (None, long_[:1200] + "!" + long_[1201:]), (None, text(40) + long_[700:1500]), (8, text(30) + long_[250:420] + text(30)),
+        (8, long_[900:1000] + text(99)), (2, text(10) + long_[295:360]),
+    ]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()), key=key)
     assert got == sorted(brute_repeats(rows, 50), key=key)
@@ -275,9 +289,13 @@ def test_structured_texts_do_not_collide(spark):
         h = common.span_hashes(data, at, at + n)
         assert h[0] == h[2] != h[1]
         assert common.equal_spans(data, at, data, at[[0, 0, 0]], size, size).tolist() == [True, False, True]
-        texts = [f"{x}\n{y}\n{x}", x, y, " ".join([x, y, "c"] * 2 + [y, x, "c"]), f"{x} one two three four five six", f"{y} one two three four five six"]
+        texts = [
+            f"{x}\n{y}\n{x}", x, y, " ".join([x, y, "c"] * 2 + [y, x, "c"]), f"{x} one two three four five six", f"{y} one two three four five six",
+        ]
         rows += [(n + i, t) for i, t in enumerate(texts)]
-    got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.score_documents(frame(spark, rows)).collect())
+    got = sorted((
+        r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
+    ) for r in quality.score_documents(frame(spark, rows)).collect())
     assert got == [(i, *base_counts(t)) for i, t in rows]
     assert {r.doc_id: r.component_id for r in ngram_join.near_components(frame(spark, rows)).collect()} == {i: c for i, _, c in brute_components(rows)}
 

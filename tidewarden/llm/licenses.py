@@ -34,7 +34,10 @@ PHRASES = (
 #: Sentences by which a license is known, matched in part, and labels.
 SENTENCES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "bsd",
+    ),
     ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
@@ -126,22 +129,44 @@ def hits(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     rolled = rolled.withColumn("b", F.get("words", F.col("pos") + 1)).withColumn("gram", F.xxhash64("a", "b"))
     known = F.broadcast(template_frame(docs.sparkSession, phrases, templates))  # as many rows as the templates have words
     met = rolled.join(known, "gram").where((F.col("a") == F.col("t_a")) & F.col("b").eqNullSafe(F.col("t_b")))
-    return c.stage(met.select("doc_id", "rid", F.size("words").alias("n_words"), "template", "at", "n", "whole", "label", (F.col("pos") - F.col("at")).alias("diagonal")), "license-hits")
+    return c.stage(
+        met.select(
+            "doc_id", "rid", F.size("words").alias("n_words"), "template", "at", "n", "whole", "label",
+            (F.col("pos") - F.col("at")).alias("diagonal"),
+        ),
+        "license-hits",
+    )
 
 
 def _spans(met: DataFrame, near: int, min_share: float) -> tuple[DataFrame, DataFrame]:
     """Spans of phrases and of longer templates: rid, template, label, first_word, last_word, share."""
     met = met.where(F.col("template") >= 0)
     by_diagonal = met.where("whole").groupBy("rid", "template", "n", "label", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
-    exact = by_diagonal.where(F.col("votes") == F.col("n")).select("rid", "template", "label", F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("n") + K - 2).cast("long").alias("last_word"), F.lit(1.0).alias("share"))
+    exact = (
+        by_diagonal.where(F.col("votes") == F.col("n"))
+        .select(
+            "rid", "template", "label", F.col("diagonal").cast("long").alias("first_word"),
+            (F.col("diagonal") + F.col("n") + K - 2).cast("long").alias("last_word"), F.lit(1.0).alias("share"),
+        )
+    )
     line = Window.partitionBy("rid", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > near, F.lit(True)).cast("int")
-    voted = met.where(~F.col("whole")).groupBy("rid", "template", "n", "label", "diagonal").agg(F.collect_set("at").alias("ats"))  # at most n positions
+    voted = met.where(~F.col("whole")).groupBy(
+        "rid", "template", "n", "label", "diagonal",
+    ).agg(F.collect_set("at").alias("ats"))  # at most n positions
     runs = voted.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(line))
     place = runs.select("rid", "template", "n", "label", "passage", "diagonal", F.explode("ats").alias("at"))
-    found = place.groupBy("rid", "template", "n", "label", "passage").agg((F.count_distinct("at") / F.col("n")).alias("share"), F.min(F.col("diagonal") + F.col("at")).alias("a"), F.max(F.col("diagonal") + F.col("at")).alias("b"))
+    found = (
+        place.groupBy("rid", "template", "n", "label", "passage")
+        .agg(
+            (F.count_distinct("at") / F.col("n")).alias("share"), F.min(F.col("diagonal") + F.col("at")).alias("a"),
+            F.max(F.col("diagonal") + F.col("at")).alias("b"),
+        )
+    )
     found = found.where(F.col("share") >= min_share)
-    return exact, found.select("rid", "template", "label", F.col("a").cast("long").alias("first_word"), (F.col("b") + K - 1).cast("long").alias("last_word"), "share")
+    return exact, found.select(
+        "rid", "template", "label", F.col("a").cast("long").alias("first_word"), (F.col("b") + K - 1).cast("long").alias("last_word"), "share",
+    )
 
 
 def spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, near: int = NEAR, min_share: float = MIN_SHARE) -> DataFrame:
@@ -150,14 +175,23 @@ def spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, near: int = NEA
     exact, part = _spans(met, near, min_share)
     names = F.array(*(F.lit(t) for t, _ in (*phrases, *templates)))
     ids = met.where("template < 0").select("doc_id", "rid")
-    return exact.unionByName(part).join(ids, "rid").select("doc_id", "rid", F.get(names, F.col("template")).alias("template"), "label", "first_word", "last_word", "share")
+    return (
+        exact.unionByName(part).join(ids, "rid")
+        .select("doc_id", "rid", F.get(names, F.col("template")).alias("template"), "label", "first_word", "last_word", "share")
+    )
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, near: int = NEAR, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     met = hits(docs, phrases, templates)
     exact, part = _spans(met, near, min_share)
-    places = exact.groupBy("rid").agg(F.count(F.lit(1)).alias("n_base"), F.min("first_word").alias("first_word"), F.max("first_word").alias("last_word"), F.collect_set("label").alias("base"))
+    places = (
+        exact.groupBy("rid")
+        .agg(
+            F.count(F.lit(1)).alias("n_base"), F.min("first_word").alias("first_word"), F.max("first_word").alias("last_word"),
+            F.collect_set("label").alias("base"),
+        )
+    )
     own = part.groupBy("rid").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
     out = met.where("template < 0").select("doc_id", "rid", "n_words").join(places.join(own, "rid", "full"), "rid", "left")
     none = F.array().cast("array<string>")

@@ -66,7 +66,9 @@ def copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
     order = Window.partitionBy(key[0]).orderBy(*key[1:]).rowsBetween(Window.unboundedPreceding, -1)
     bins = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))  # at most about 100 * 256 to a source
     bins = bins.select(*key, F.coalesce(F.sum("n").over(order), F.lit(0)).alias(first))
-    offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    offset = F.conv(
+        F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10,
+    ).cast("double") / F.lit(4294967296.0)
     info = c.join_checked(bins, targets.select(source.alias(key[0]), "source_size", "target", offset.alias(named("offset"))), [key[0]], "inner")
     ranked = keyed.withColumn(named("rank"), F.row_number().over(Window.partitionBy(*key).orderBy("size", h, "doc_id")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

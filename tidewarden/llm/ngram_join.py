@@ -98,7 +98,10 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
         for batch, i, n, sig, values, bounds in _sets(batches, 2, k):
             bits, at = parity_bits(values, bounds)
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(bits.tobytes())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, len(n)) for x in (0, 1)), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64)), raw], names=["doc", "digest", "n", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x).slice(i, len(n)) for x in (0, 1)), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64)), raw],
+                names=["doc", "digest", "n", "sig", "bits"],
+            )
 
     made = _named(docs).mapInArrow(run, "doc long, digest binary, n long, sig long, bits binary")
     return made.withColumn("doc_id", F.when(F.col("doc") != _NO_ID, F.col("doc"))).drop("doc")
@@ -106,7 +109,9 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
 
 def _with_both(found: DataFrame, of: DataFrame, column: str) -> DataFrame:
     """found (sig_a, n_a, sig_b, n_b) with the column of either class."""
-    side = lambda x: of.select(F.col("sig").alias(f"sig_{x}"), F.col("n").cast("int").alias(f"n_{x}"), F.col(column).alias(f"{column}_{x}"))
+    side = lambda x: of.select(
+        F.col("sig").alias(f"sig_{x}"), F.col("n").cast("int").alias(f"n_{x}"), F.col(column).alias(f"{column}_{x}"),
+    )
     both = found.join(side("a"), ["sig_a", "n_a"]).join(side("b"), ["sig_b", "n_b"])
     return both.select("sig_a", "n_a", "sig_b", "n_b", f"{column}_a", f"{column}_b")
 
@@ -223,7 +228,10 @@ def postings(docs: DataFrame, scale: np.ndarray, k: int, t: int) -> DataFrame:
             place, owner = place[take], owner[take]
             tasks = order.tasks(rank[place]).astype(np.uint64)
             part = np.where(tasks > 1, c.mix(sig[owner]) % tasks + np.uint64(1), np.uint64(0))
-            out = (values[place].view(np.int64), part.astype(np.int32), sig.view(np.int64)[owner], n[owner].astype(np.int32), pos[take].astype(np.int32), low[take].astype(np.int32))
+            out = (
+                values[place].view(np.int64), part.astype(np.int32), sig.view(np.int64)[owner], n[owner].astype(np.int32), pos[take].astype(np.int32),
+                low[take].astype(np.int32),
+            )
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["shingle", "part", "sig", "n", "pos", "low"])
 
     return docs.select("text").mapInArrow(run, "shingle long, part int, sig long, n int, pos int, low int")
@@ -276,10 +284,19 @@ def leaders_of(rows: DataFrame, most: int, turn: int) -> DataFrame:
     left tells whether two classes or more remain that don't lead. The classes are dealt into `most` groups by hash, and the first of each
     group by pos leads; both steps combine on the map side."""
     group = F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(most)) if most > 1 else F.lit(0)
-    first = rows.groupBy("shingle", group.alias("group")).agg(F.min(F.struct("pos", "sig", "n", "low", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    first = (
+        rows.groupBy("shingle", group.alias("group"))
+        .agg(
+            F.min(F.struct("pos", "sig", "n", "low", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+    )
     if most == 1:
         return first.where(F.col("lo") != F.col("hi")).select("shingle", "lead", (F.col("rows") > 2).alias("left"))
-    all_ = first.groupBy("shingle").agg(F.collect_list("lead").alias("leads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"))
+    all_ = (
+        first.groupBy("shingle")
+        .agg(F.collect_list("lead").alias("leads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"))
+    )
     all_ = all_.where(F.col("lo") != F.col("hi"))
     return all_.select("shingle", F.explode("leads").alias("lead"), (F.col("rows") > F.size("leads") + 1).alias("left"))
 
@@ -296,7 +313,9 @@ def pairs(rows: DataFrame, leads: DataFrame, t: int) -> DataFrame:
     both = rows.join(leads.select("shingle", "lead"), (rows["shingle"] == leads["shingle"]) & (F.col("comp") != F.col("lead.comp")) & fits)
     a, b = F.struct(F.col("sig"), n.alias("n")), F.struct(F.col("lead.sig").alias("sig"), m.alias("n"))
     ordered = both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return ordered.select(F.col("a.sig").alias("sig_a"), F.col("a.n").alias("n_a"), F.col("b.sig").alias("sig_b"), F.col("b.n").alias("n_b")).distinct()
+    return (
+        ordered.select(F.col("a.sig").alias("sig_a"), F.col("a.n").alias("n_a"), F.col("b.sig").alias("sig_b"), F.col("b.n").alias("n_b")).distinct()
+    )
 
 
 def _ends(found: DataFrame) -> DataFrame:
@@ -350,7 +369,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         edges = c.stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        sides = (
+            edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v"))
+            .unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        )
         seen = sides.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v"))
         if seen.where((F.col("as_u") > 1) | ((F.col("as_u") > 0) & (F.col("as_v") > 0))).isEmpty():
             break
@@ -418,7 +440,10 @@ def keep_one(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFrame:
     c.small_batches(docs.sparkSession)
     known = c.stage(classes(docs, k), "classes")
     comps = _connected(docs, known, k, t)
-    rows = known.where(F.col("n") > 0).select("sig", "n", "digest", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"))
+    rows = (
+        known.where(F.col("n") > 0)
+        .select("sig", "n", "digest", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"))
+    )
     rows = rows.groupBy("sig", "n", "no_id", "doc", "digest").agg(F.count(F.lit(1)).alias("copies")).withColumn("comp", F.struct("sig", "n"))
     if comps is not None:
         of = comps.select(F.col("node.sig").alias("sig"), F.col("node.n").alias("n"), F.col("comp").alias("of"))

@@ -177,7 +177,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rejected[r.name] += int(r.rejects(fresh).sum())
                 seconds[r.name] += time.thread_time() - began
     names = [r.name for r in RULES]
-    yield pa.RecordBatch.from_pydict({"rule": names, "seconds": [seconds[n] for n in names], "rejected": [rejected[n] for n in names], "seen": [seen] * len(names)})
+    yield pa.RecordBatch.from_pydict({
+        "rule": names, "seconds": [seconds[n] for n in names], "rejected": [rejected[n] for n in names], "seen": [seen] * len(names),
+    })
 
 
 def rule_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[str, ...]:
@@ -207,8 +209,14 @@ def score_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
                 kept = np.zeros(j - i, bool)
                 alive = np.flatnonzero(~failed)
                 kept[alive[cascade(t.rows(~failed), rest)]] = True
-                cols = [batch.column(0).slice(i, j - i), *(pa.array(x.astype(np.int64)) for x in (t.n_words, t.word_chars, t.n_symbols, t.lines[1], t.n_repeat_words)), pa.array(failed), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
+                cols = [
+                    batch.column(0).slice(i, j - i),
+                    *(pa.array(x.astype(np.int64)) for x in (t.n_words, t.word_chars, t.n_symbols, t.lines[1], t.n_repeat_words)), pa.array(failed),
+                    pa.array(kept),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    cols, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         score, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"

@@ -52,7 +52,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_exact_dedup, op4_ngram_jaccard, op5_mixing, op6_warc, op7_suffix_dedup, op8_sentencepiece, op9_token_counts, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_toxicity, op3_exact_dedup, op4_ngram_jaccard, op5_mixing, op6_warc, op7_suffix_dedup, op8_sentencepiece, op9_token_counts,
+    op10_license_scan,
+)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -63,21 +66,26 @@ p AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 t AS (SELECT rid, i, word, lead(word, 1) OVER q AS b, lead(word, 2) OVER q AS c FROM p WINDOW q AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, word, b, c) AS n FROM t WHERE c IS NOT NULL) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
-l AS (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line),
+l AS (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line,
+  '[^\x20\x09-\x0D]') GROUP BY rid, line),
 dup AS (SELECT rid, sum(n - 1) AS n_dup, sum(n) AS n_lines FROM l GROUP BY rid),
 s AS (
-  SELECT d.rid, doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters
+  SELECT d.rid, doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text,
+  '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(text,
+  '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters
   FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (100 * n_symbols > 30 * n_words) AND NOT (word_chars < 2 * n_words OR word_chars > 20 * n_words)
     AND NOT (100 * n_letters < 50 * word_chars) AND NOT (100 * n_dup_lines > 40 * n_lines) AS kept
 FROM f
 """
 
 _OP3 = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS digest FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS digest FROM
+  documents),
 k AS (SELECT rid, doc_id, digest, row_number() OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST, rid) AS nth FROM d),
 g AS (SELECT digest, count(*) AS n, min(doc_id) AS keep_id FROM k GROUP BY digest)
 SELECT doc_id, keep_id, n::BIGINT AS group_size, nth = 1 AS kept, digest AS text_sha256 FROM k JOIN g USING (digest)
@@ -85,9 +93,11 @@ SELECT doc_id, keep_id, n::BIGINT AS group_size, nth = 1 AS kept, digest AS text
 
 _OP4 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS
+  ws FROM documents
 ), p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
-q AS (SELECT doc_id, n, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+q AS (SELECT doc_id, n, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM p WINDOW o AS
+  (PARTITION BY doc_id ORDER BY i)),
 s AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, d, e) AS g FROM q WHERE i <= n - 4 OR (n < 5 AND i = 1)),
 z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 x AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS n_both FROM s l JOIN s r ON l.g = r.g AND l.doc_id <> r.doc_id GROUP BY 1, 2),
@@ -99,23 +109,31 @@ FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN m ON m.node = d.doc_id
 """
 
 _OP5 = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat('mix-1:', coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
-p AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat('mix-1:',
+  coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS
+  w FROM d GROUP BY source),
 o AS (SELECT *, 2.0::DOUBLE * source_size / w AS bound, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS k FROM p),
-v AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM p) - coalesce(sum(2.0::DOUBLE * source_size) OVER b, 0)) / ((SELECT sum(w) FROM p) - coalesce(sum(w) OVER b, 0)) AS level FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM p) - coalesce(sum(2.0::DOUBLE * source_size) OVER b, 0)) / ((SELECT sum(w) FROM p) -
+  coalesce(sum(w) OVER b, 0)) AS level FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT arg_min(level, k) AS level FROM v WHERE level <= bound),
-t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, w * (SELECT level FROM lv)) AS target, ('0x' || substr(md5(concat('mix-1:offset:', coalesce(source, ''))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM o),
-c AS (SELECT *, CASE WHEN size < 1 THEN -1 ELSE floor(log2(size + 0.5::DOUBLE)) * 4 + floor(size * 4.0::DOUBLE / pow(2.0::DOUBLE, floor(log2(size + 0.5::DOUBLE)))) - 4 END AS cls FROM d),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, w * (SELECT level FROM lv)) AS target, ('0x' || substr(md5(concat('mix-1:offset:',
+  coalesce(source, ''))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM o),
+c AS (SELECT *, CASE WHEN size < 1 THEN -1 ELSE floor(log2(size + 0.5::DOUBLE)) * 4 + floor(size * 4.0::DOUBLE / pow(2.0::DOUBLE, floor(log2(size +
+  0.5::DOUBLE)))) - 4 END AS cls FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, substr(h, 1, 2), size, h, doc_id) AS i FROM c),
-j AS (SELECT n.doc_id, n.size, t.source_size, t.target, n.i, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source)
+j AS (SELECT n.doc_id, n.size, t.source_size, t.target, n.i, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS
+  rate FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(i::DOUBLE * rate + u) - floor((i - 1)::DOUBLE * rate + u))::BIGINT * size)::BIGINT AS taken FROM j
 """
 
 _OP6 = r"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-g AS (SELECT *, first_value(page_id) OVER o AS top_id, first_value(rid) OVER o AS top FROM p WINDOW o AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, rid DESC))
+g AS (SELECT *, first_value(page_id) OVER o AS top_id, first_value(rid) OVER o AS top FROM p WINDOW o AS (PARTITION BY h ORDER BY page_id DESC NULLS
+  LAST, rid DESC))
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT
+  >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN rid = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN rid <> top THEN top_id END AS refers_to
 FROM g
 """
@@ -131,9 +149,12 @@ m AS (SELECT s, min(doc) AS least FROM w GROUP BY s HAVING count(*) > 1),
 g AS (SELECT rid, p, coalesce(p - lag(p) OVER (PARTITION BY rid ORDER BY p) > 50, true) AS fresh FROM w JOIN m USING (s) WHERE doc > least),
 n AS (SELECT rid, p, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY p) AS span FROM g),
 r AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY rid, span),
-k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS since, lead(a) OVER (PARTITION BY rid ORDER BY a) IS NULL AS final FROM r),
-t AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)) || CASE WHEN final THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN d USING (rid) GROUP BY rid)
-SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS since, lead(a) OVER (PARTITION BY rid ORDER BY a) IS NULL AS final
+  FROM r),
+t AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)) || CASE WHEN final THEN substr(x,
+  2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
 FROM d LEFT JOIN t USING (rid)
 """
 
@@ -147,7 +168,8 @@ def _op10() -> str:
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
-    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  AS ws
   FROM documents
 ), p AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) - 1 AS pos FROM d),
 q AS (SELECT rid, pos, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM p WINDOW o AS (PARTITION BY rid ORDER BY pos)),
@@ -156,9 +178,11 @@ h AS (SELECT rid, pos, label FROM q JOIN f ON q.a = f.a AND q.b = f.b AND (f.c I
 base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM h GROUP BY rid),
 t(template, spot, a, b, n, label) AS (VALUES {table(templates)}),
 v AS (SELECT DISTINCT rid, template, n, label, spot, pos - spot AS diagonal FROM q JOIN t ON q.a = t.a AND q.b = t.b),
-g AS (SELECT rid, template, diagonal, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {licenses.NEAR}, true) AS apart FROM (SELECT DISTINCT rid, template, diagonal FROM v)),
+g AS (SELECT rid, template, diagonal, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {licenses.NEAR}, true)
+  AS apart FROM (SELECT DISTINCT rid, template, diagonal FROM v)),
 u AS (SELECT rid, template, diagonal, sum(apart::INT) OVER (PARTITION BY rid, template ORDER BY diagonal) AS passage FROM g),
-s AS (SELECT rid, label, count(DISTINCT spot)::DOUBLE / n AS share FROM v JOIN u USING (rid, template, diagonal) GROUP BY rid, template, n, label, passage),
+s AS (SELECT rid, label, count(DISTINCT spot)::DOUBLE / n AS share FROM v JOIN u USING (rid, template, diagonal) GROUP BY rid, template, n, label,
+  passage),
 own AS (SELECT rid, max(share) AS share, list(DISTINCT label) AS labels FROM s WHERE share >= {licenses.MIN_SHARE} GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
@@ -169,4 +193,7 @@ FROM d LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
 
 
 #: SQL of the operators that it can express; the others are tested against brute force, round trips or held-out rows.
-SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_exact_dedup": _OP3, "op4_ngram_jaccard": _OP4, "op5_mixing": _OP5, "op6_warc": _OP6, "op7_suffix_dedup": _OP7, "op10_license_scan": _op10()}
+SQL: dict[str, str] = {
+    "op1_quality_rules": _OP1, "op3_exact_dedup": _OP3, "op4_ngram_jaccard": _OP4, "op5_mixing": _OP5, "op6_warc": _OP6, "op7_suffix_dedup": _OP7,
+    "op10_license_scan": _op10(),
+}

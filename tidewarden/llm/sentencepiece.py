@@ -116,7 +116,9 @@ class Model:
         inner = {b for i in ids if len(self.pieces[i]) > 1 for b in self.pieces[i]}
         self.alone = np.array([b < 128 and b not in inner and b != 32 for b in range(256)])
         # decoded bytes of each id, and where they begin
-        shown = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.encode().replace(_MARK, b" ") if p.type == kind.NORMAL else b"" for p in m.pieces]
+        shown = [bytes([int(
+            p.piece[3:5], 16,
+        )]) if p.type == kind.BYTE else p.piece.encode().replace(_MARK, b" ") if p.type == kind.NORMAL else b"" for p in m.pieces]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_at = np.concatenate(([0], np.cumsum([len(x) for x in shown])))
         self._forget()
@@ -354,8 +356,13 @@ def encode_documents(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                 back, back_at = model.decode(ids, ends)
                 same = np.diff(back_at) == np.diff(at)
                 if not (same.all() and np.array_equal(back, part)):
-                    same &= np.array([np.array_equal(back[a:b], part[x:y]) for a, b, x, y in zip(back_at[:-1], back_at[1:], at[:-1], at[1:], strict=True)], bool)
+                    same &= np.array(
+                        [np.array_equal(back[a:b], part[x:y]) for a, b, x, y in zip(back_at[:-1], back_at[1:], at[:-1], at[1:], strict=True)], bool,
+                    )
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(np.diff(ends)), pa.array(same)], names=["doc_id", "ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), lists, pa.array(np.diff(ends)), pa.array(same)],
+                    names=["doc_id", "ids", "n_tokens", "round_trip"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")

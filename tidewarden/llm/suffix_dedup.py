@@ -168,7 +168,9 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = G
     if not gram < width <= gram + 200:
         raise ValueError(f"width must be from {gram + 1} to {gram + 200}")
     row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
-    found = [_anchors(data[i : i + PIECE_BYTES], row[i : i + PIECE_BYTES], i, width, gram) for i in range(0, max(len(data) - width + 1, 0), PIECE_BYTES - width + 1)]
+    found = [_anchors(
+        data[i : i + PIECE_BYTES], row[i : i + PIECE_BYTES], i, width, gram,
+    ) for i in range(0, max(len(data) - width + 1, 0), PIECE_BYTES - width + 1)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
@@ -346,7 +348,10 @@ _BLOBS = "bucket int, settled boolean, blob binary"
 
 
 def _blobs(where: list[tuple[int, bool]], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in where], pa.int32()), pa.array([k for _, k in where], pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "settled", "blob"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([b for b, _ in where], pa.int32()), pa.array([k for _, k in where], pa.bool_()), pa.array(blobs, pa.binary())],
+        names=["bucket", "settled", "blob"],
+    )
 
 
 #: Bits of a text's key by which anchors name it. Texts of one name get one another's anchors as well, which costs work and nothing else.
@@ -591,7 +596,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ranges = repeated_spans(unique, width).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     ranges = c.stage(ranges, "ranges")
     touched = c.join_checked(unique, ranges.select(*_KEY), _KEY, "left_semi").dropDuplicates(_KEY)
-    cut = touched.join(ranges, _KEY).select(*_KEY, "text", "ranges").mapInArrow(_left, "key_a long, key_b long, removed long, spans long, left_sha string")
+    cut = (
+        touched.join(ranges, _KEY).select(*_KEY, "text", "ranges")
+        .mapInArrow(_left, "key_a long, key_b long, removed long, spans long, left_sha string")
+    )
     cut = c.stage(cut, "cut-texts")
     whole = F.col("copy") & (F.col("n_bytes") >= width)
     return c.join_checked(known, cut, _KEY, "left").select(

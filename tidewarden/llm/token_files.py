@@ -60,7 +60,10 @@ def write_files(docs: DataFrame, path: str, model_path: str = sp.MODEL_PATH) ->
                     values = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * (j - i)), values], names=["kind", "value"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "kind string, value binary").select("kind", F.col("value").cast("string"))
+    rows = (
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "kind string, value binary")
+        .select("kind", F.col("value").cast("string"))
+    )
     mark = SEPARATOR.to_bytes(WIDTH, "little").decode("latin-1")
     before = spark.conf.get(_CONCURRENT)
     spark.conf.set(_CONCURRENT, "2")  # both kinds are open at once, so that rows are not sorted and stay in order
@@ -71,7 +74,9 @@ def write_files(docs: DataFrame, path: str, model_path: str = sp.MODEL_PATH) ->
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    )
 
 
 def _place() -> tuple:
@@ -87,7 +92,10 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, _NAME_BYTES)
                 ids = np.ascontiguousarray(rows[:, 1:9]).view("<i8").ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(np.arange(len(rows))), pa.array(ids, mask=rows[:, 0] > 0)], names=["file", "ordinal", "doc_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(rows)), pa.array(np.arange(len(rows))), pa.array(ids, mask=rows[:, 0] > 0)],
+                    names=["file", "ordinal", "doc_id"],
+                )
 
     return _files(spark, path).mapInArrow(read, "file string, ordinal long, doc_id long")
 
@@ -109,9 +117,18 @@ def scan_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, separ
                     head = int(ends[0]) if len(ends) else len(part)
                     tail = len(part) - 1 - int(ends[-1]) if len(ends) else len(part)
                     inner = np.diff(ends) - 1
-                    yield pa.RecordBatch.from_pydict({"file": [name], "block": [k // block], "head": [head], "tail": [tail], "n_ends": [len(ends)], "inner": [inner.astype(np.int64)]}, schema=kinds)
-
-    kinds = pa.schema([("file", pa.string()), ("block", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n_ends", pa.int64()), ("inner", pa.list_(pa.int64()))])
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "file": [name], "block": [k // block], "head": [head], "tail": [tail], "n_ends": [len(ends)],
+                            "inner": [inner.astype(np.int64)],
+                        },
+                        schema=kinds,
+                    )
+
+    kinds = pa.schema([
+        ("file", pa.string()), ("block", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n_ends", pa.int64()),
+        ("inner", pa.list_(pa.int64())),
+    ])
     return _files(spark, path).mapInArrow(scan, schema)
 
 
@@ -131,7 +148,10 @@ def count_tokens(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, sepa
     open_end = F.when(last & (F.col("tail") > 0), F.raise_error(F.concat(F.lit("the last document lacks its separator: "), F.col("file"))))
     counts = F.when(F.col("n_ends") > 0, F.concat(F.array(carried + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<bigint>"))
     scanned = scanned.withColumn("counts", F.coalesce(open_end.cast("array<bigint>"), counts))
-    return scanned.select("file", "first", F.posexplode("counts").alias("k", "n_tokens")).select("file", (F.col("first") + F.col("k")).cast("long").alias("ordinal"), F.col("n_tokens").cast("long"))
+    return (
+        scanned.select("file", "first", F.posexplode("counts").alias("k", "n_tokens"))
+        .select("file", (F.col("first") + F.col("k")).cast("long").alias("ordinal"), F.col("n_tokens").cast("long"))
+    )
 
 
 def document_counts(docs: DataFrame, model_path: str = sp.MODEL_PATH, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -146,5 +166,7 @@ def document_counts(docs: DataFrame, model_path: str = sp.MODEL_PATH, block: int
     names = read_names(spark, f"{path}/kind=names").select(*_place(), "ordinal", "doc_id", F.lit(True).alias("named"))
     found = count_tokens(spark, f"{path}/kind=tokens", block).select(*_place(), "ordinal", "n_tokens")
     both = names.join(found, ["task", "nth", "ordinal"], "full")
-    broken = F.when(F.col("n_tokens").isNull() | F.col("named").isNull(), F.raise_error(F.lit("a document is missing from the token files or the names")))
+    broken = F.when(
+        F.col("n_tokens").isNull() | F.col("named").isNull(), F.raise_error(F.lit("a document is missing from the token files or the names")),
+    )
     return both.select("doc_id", F.coalesce(broken.cast("long"), F.col("n_tokens")).alias("n_tokens"))

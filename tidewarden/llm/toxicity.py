@@ -127,7 +127,10 @@ def remainder(doc_id="doc_id"):
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of the training sample: rows whose remainder isn't 0, TOXIC_ROWS and CLEAN_ROWS at most."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
+    known = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .where("toxic is not null and doc_id is not null")
+    )
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder() != 0).join(there, "doc_id", "left_semi")
     first = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -144,9 +147,14 @@ def _count(rows: DataFrame, make) -> DataFrame:
             for text, toxic in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 found[1 - toxic].update(of(fold(text)))
         names = sorted(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_pydict({"what": pa.array(names, pa.string()), "toxic": pa.array([found[0][n] for n in names], pa.int64()), "clean": pa.array([found[1][n] for n in names], pa.int64())})
+        yield pa.RecordBatch.from_pydict({
+            "what": pa.array(names, pa.string()), "toxic": pa.array([found[0][n] for n in names], pa.int64()),
+            "clean": pa.array([found[1][n] for n in names], pa.int64())
+        })
 
-    return rows.mapInArrow(run, "what string, toxic long, clean long").groupBy("what").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return (
+        rows.mapInArrow(run, "what string, toxic long, clean long").groupBy("what").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    )
 
 
 def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, float]]:
@@ -242,7 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         matcher = Matcher(lexicon)
         for batch in batches:
             got = [matcher.evidence(fold(x)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(1)], names=["total", "words", "toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(1)],
+                names=["total", "words", "toxic"],
+            )
 
     seen = rows.mapInArrow(summed, "total double, words long, toxic int").toPandas().sort_values(["total", "words", "toxic"])  # bounded by the sample
     w = _logistic(features(seen["total"].to_numpy(), seen["words"].to_numpy()), seen["toxic"].to_numpy(float))

@@ -158,7 +158,10 @@ def write_pages(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES,
     sink.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
-_READ = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+_READ = pa.schema([
+    ("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+])
 
 
 def _row(r: dict) -> dict:
