@@ -310,6 +310,7 @@ def pairs(rows: DataFrame, leads: DataFrame, t: int) -> DataFrame:
     need = F.expr(f"({t}L * (n + lead.n) + {99 + t}L) div {100 + t}L")
     halves = F.least("low", "lead.low") + F.least(n - F.col("pos") - 1 - F.col("low"), m - F.col("lead.pos") - 1 - F.col("lead.low"))
     fits = (F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * t) & (halves + 1 >= need)
+    leads = F.broadcast(leads) if c.small(leads) else leads
     both = rows.join(leads.select("shingle", "lead"), (rows["shingle"] == leads["shingle"]) & (F.col("comp") != F.col("lead.comp")) & fits)
     a, b = F.struct(F.col("sig"), n.alias("n")), F.struct(F.col("lead.sig").alias("sig"), m.alias("n"))
     ordered = both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -413,10 +414,10 @@ def _connected(docs: DataFrame, known: DataFrame, k: int, t: int) -> DataFrame |
         if comps is not None or not good.isEmpty():
             comps = components(edges)
         judged = found if judged is None else judged.unionByName(found)
-        more = leads.where("left")
-        kept = rows.drop("comp").join(more.select("shingle").distinct(), "shingle", "left_semi")
-        gone = more.select("shingle", "lead.sig", "lead.n")
-        lists = c.stage(kept.join(gone, ["shingle", "sig", "n"], "left_anti"), "postings")
+        more = leads.where("left").select("shingle", "lead.sig", "lead.n")
+        side = F.broadcast if c.small(more) else lambda x: x
+        kept = rows.drop("comp").join(side(more.select("shingle").distinct()), "shingle", "left_semi")
+        lists = c.stage(kept.join(side(more), ["shingle", "sig", "n"], "left_anti"), "postings")
         turn += 1
 
 
