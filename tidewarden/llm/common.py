@@ -70,8 +70,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def small(side: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a staged table's rows have `limit` bytes at most, by a count and the lengths of its strings."""
+    """Whether a staged table's rows have `limit` bytes at most, by a count and the lengths of its strings and arrays."""
     wide = [F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in side.dtypes if kind in ("string", "binary")]
+    wide += [F.greatest(F.size(n), F.lit(0)) * 8 for n, kind in side.dtypes if kind.startswith("array")]
     fixed = 32 + sum(64 if kind.startswith("struct") else 8 for _, kind in side.dtypes)
     got = side.agg(F.sum(sum(wide, F.lit(fixed).cast("long"))).alias("bytes")).first()
     return (got["bytes"] or 0) <= limit

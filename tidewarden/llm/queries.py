@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, ngram_join, quality, sentencepiece, suffix_dedup, token_files, toxicity, warc
+from . import exact_dedup, licenses, line_dedup, merkle, mixing, ngram_join, quality, sentencepiece, suffix_dedup, token_files, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_exact_dedup, op4_ngram_jaccard, op5_mixing, op6_warc, op7_suffix_dedup, op8_sentencepiece, op9_token_counts,
-    op10_license_scan,
+    op10_license_scan, op11_merkle_manifest, op12_whitening, op13_line_dedup,
 )}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -191,9 +203,50 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
 FROM d LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
 """
 
+#: Levels and folds by recursion; a row number stands for the row. CRC-32 bit by bit over the decimal's bytes.
+_OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || lang, '-') AS grp, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS fields,
+    [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS forged,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte:
+      list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS crc
+  FROM documents),
+h AS (SELECT rid, doc_id, grp,
+    sha256(array_to_string(list_transform(fields, lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS leaf,
+    sha256(array_to_string(list_transform(CASE WHEN xor(crc, 4294967295) % 7 = 0 AND fields[4] IS NOT NULL THEN forged ELSE fields END,
+      lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS found
+  FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM h),
+t AS (SELECT grp, 0 AS lvl, i, leaf AS node, n FROM p
+  UNION ALL SELECT grp, lvl + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY grp, lvl, i // 2, n),
+s AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp = '-' DESC, grp) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, subroot AS node, n FROM s
+  UNION ALL SELECT lvl + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+f AS (SELECT rid, grp, 0 AS lvl, i, n, found AS x, '' AS proof FROM p
+  UNION ALL SELECT rid, f.grp, f.lvl + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN f.i % 2 = 1 THEN t.node || x ELSE x || coalesce(t.node, '') END),
+    proof || coalesce(t.node, '') FROM f LEFT JOIN t ON t.grp = f.grp AND t.lvl = f.lvl AND t.i = xor(f.i, 1) WHERE f.n > 1),
+g AS (SELECT rid, s.subroot, 0 AS lvl, s.i, s.n, x, proof FROM f JOIN s USING (grp) WHERE f.n = 1
+  UNION ALL SELECT rid, subroot, g.lvl + 1, g.i // 2, (g.n + 1) // 2, sha256(CASE WHEN g.i % 2 = 1 THEN u.node || x ELSE x || coalesce(u.node, '') END),
+    proof || coalesce(u.node, '') FROM g LEFT JOIN u ON u.lvl = g.lvl AND u.i = xor(g.i, 1) WHERE g.n > 1)
+SELECT doc_id, leaf, subroot, u.node AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = u.node AS verified
+FROM g JOIN p USING (rid) JOIN u ON u.n = 1 WHERE g.n = 1
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5),
+g AS (SELECT rid, place, line, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN f USING (key)),
+t AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')
+  AS kept FROM g GROUP BY rid)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN t USING (rid)
+"""
+
 
 #: SQL of the operators that it can express; the others are tested against brute force, round trips or held-out rows.
 SQL: dict[str, str] = {
     "op1_quality_rules": _OP1, "op3_exact_dedup": _OP3, "op4_ngram_jaccard": _OP4, "op5_mixing": _OP5, "op6_warc": _OP6, "op7_suffix_dedup": _OP7,
-    "op10_license_scan": _op10(),
+    "op10_license_scan": _op10(), "op11_merkle_manifest": _OP11, "op13_line_dedup": _OP13,
 }
