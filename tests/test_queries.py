@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,46 @@ def test_pages_keep_blocks_whole():
 def test_days_of_ticks(spark):
     t = market.ticks(spark, SF)
     assert t.selectExpr("min(t) >= 1704067200").first()[0] and set(t.columns) == {"event_id", "asset", "feed", "t", "price", "size"}
+
+
+def test_bins_read_by_a_stream(spark, tmp_path):
+    """A batch of the sliding yardstick reads its own window's bins, however many batches came before; a late tick reads back to its own."""
+    from datetime import datetime, timedelta
+
+    from tidewarden.streaming import events
+
+    rng = np.random.default_rng(9)
+    base = datetime(2024, 1, 1)
+    rows = [(n, base + timedelta(days=n / 3), 0, "ab"[n % 2], float(10 + rng.random()), '{"k": 1}') for n in range(300)]
+    rows.append((300, base + timedelta(days=40), 0, "a", 15.0, '{"k": 1}'))
+    for n in range(6):  # 50 ticks a batch, the late one last
+        part = rows[n * 50 : n * 50 + 50] + (rows[300:] if n == 5 else [])
+        spark.createDataFrame(part, events.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    read = []
+    got = events.sliding_stream(events.tick_stream(spark, f"{tmp_path}/t"), 5 * 86_400, 3, lambda n, bins: read.append(bins))
+    ticks = spark.createDataFrame(rows, events.EVENTS).selectExpr("event_id", "event_type as asset", "ts", "value as price", "1L as size")
+    bars = events.fold(ticks.withColumn("t", market.epoch("ts")), ["asset"], 3600)
+    want = jumps.sigma(jumps.channels(bars, ["asset"], F.floor(F.col("hour") / 86_400)), ["asset"], "r", 5 * 86_400, 3)
+    rows_of = lambda df: sorted((r.asset, r.hour, None if r.sigma is None else round(r.sigma, 9)) for r in df.collect())
+    assert rows_of(got) == rows_of(want.select("asset", "hour", "sigma"))
+    assert len(read) == 6 and max(len(b) for b in read[:5]) <= 5 and len(read[5]) > 8
+
+
+def test_messages_follow_their_hours():
+    """A hand-played event: opened, moved, corrected, rung again, struck, back, and never opened by a late hour."""
+    from tidewarden.streaming.messages import Event
+
+    e, h = Event(), 3600
+    assert e.advance({h: 70.0}, None) == [("post", h, 70.0)]
+    assert e.advance({2 * h: 80.0}, 2 * h) == [("edit", 2 * h, 80.0)]  # larger in the same word
+    assert e.advance({2 * h: 75.0}, 3 * h) == [("correct", 2 * h, 75.0)]
+    assert e.advance({4 * h: 130.0}, 4 * h) == [("post", 4 * h, 130.0)]  # rarer in word
+    assert e.advance({2 * h: None}, 5 * h) == [("strike", 2 * h, 75.0)]  # the message before follows its own hour
+    assert e.advance({2 * h: 76.0}, 5 * h) == [("correct", 2 * h, 76.0)]
+    assert e.advance({4 * h: None}, 6 * h) == [("correct", 2 * h, 76.0)]  # the largest hour left takes its place
+    assert e.advance({h: None, 2 * h: None}, 7 * h) == [("strike", 2 * h, 76.0), ("strike", 2 * h, 76.0)]
+    assert e.advance({9 * h: 61.0}, 9 * h) == [("post", 9 * h, 61.0)]  # a struck message is not taken up again
+    assert e.advance({3 * h: 99.0}, 10 * h) == [("correct", 3 * h, 99.0)]  # a past hour that came late corrects, it doesn't ring
+    late = Event()
+    assert late.advance({h: 70.0}, 5 * h) == [] and late.advance({h: 71.0}, 6 * h) == []
+    assert late.advance({7 * h: 65.0}, 7 * h) == [("post", h, 71.0)]  # a new hour opens the event, at its largest reading

@@ -1,11 +1,15 @@
-"""Moves, yardsticks and events: the jump detector as column expressions."""
+"""Moves, yardsticks and events: the jump detector as column expressions.
+
+Windows are by the keys given. Over long histories, give rows and keys by blocks of time (`blocks.dealt`): a move looks back one row, a product two, a
+yardstick as far as its window."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import earlier_at_least, range_mean
+from .blocks import BLOCK, last_at_least
+from .windows import range_mean
 
 #: Words and their thresholds on |z|, the size beyond which a reading is a broken price, the way back
 #: and length of a broken stretch, and the share of a size that counts as rare as it.
@@ -83,9 +87,9 @@ def day_moves(rows: DataFrame, keys: list[str], day: str, moves: Column, extra:
     return r.withColumn("day_r", F.sum("_f").over(w)).join(yard, [*keys, day], "left").drop("_m", "_f")
 
 
-def rarest_since(scored: DataFrame, keys: list[str], bottom: float, share: float = RARE_SHARE) -> DataFrame:
+def rarest_since(scored: DataFrame, keys: list[str], bottom: float, share: float = RARE_SHARE, block: int = BLOCK) -> DataFrame:
     """Readings of |z| >= bottom with the last earlier reading of their keys and sign and at least `share` of their size."""
     known = scored.where(F.abs("z") >= share * bottom).withColumn("_sign", F.signum("z"))
-    flagged = known.where(F.abs("z") >= bottom)
-    out = earlier_at_least(flagged, [*keys, "_sign"], "hour", F.abs("z"), F.abs("z") * share, ["hour", "z"], points=known)
-    return out.withColumn("since_hour", F.col("_last.hour")).withColumn("since_z", F.col("_last.z")).drop("_sign", "_n", "_last")
+    least = F.when(F.abs("z") >= bottom, F.abs("z") * share)
+    out = last_at_least(known, [*keys, "_sign"], "hour", F.abs("z"), least, block).where(F.abs("z") >= bottom)
+    return out.select(*scored.columns, F.col("since").alias("since_hour"), (F.col("since_value") * F.col("_sign")).alias("since_z"))

@@ -18,19 +18,25 @@ from ..cluster import ship
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def range_mean(x: Column | str, at: str, keys: list[str], seconds: int, least: int) -> Column:
-    """Mean of x (below 10^8 in size) over [at - seconds, at), null with fewer than `least` values.
+def range_mean(x: Column | str, at: str, keys: list[str], seconds: int, least: int, wide: bool = False) -> Column:
+    """Mean of x over [at - seconds, at), null with fewer than `least` values.
 
     A sliding frame would be summed anew at each row; the difference of two running sums costs one step a row. The sums are
-    decimals of 22 places, so a small window late in a long series keeps its digits."""
+    decimals of 22 places, so a small window late in a long series keeps its digits. Values of 10^8 and more need `wide`, which sums whole
+    parts and fractions apart (up to 10^28)."""
     x = F.col(x) if isinstance(x, str) else x
-    exact = x.cast("decimal(30,22)")
+    parts = [(x, "decimal(30,22)", "decimal(38,22)")]
+    if wide:
+        parts = [(x - F.floor(x), *parts[0][1:]), (F.floor(x), "decimal(38,0)", "decimal(38,0)")]
     w = Window.partitionBy(*keys).orderBy(at)
     upto, before = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(Window.unboundedPreceding, -seconds - 1)
     n = F.count(x).over(upto) - F.count(x).over(before)
-    zero = F.lit(0).cast("decimal(38,22)")
-    total = F.coalesce(F.sum(exact).over(upto), zero) - F.coalesce(F.sum(exact).over(before), zero)
-    return F.when(n >= least, total.cast("double") / n)
+
+    def total(part: Column, kind: str, sums: str) -> Column:
+        zero = F.lit(0).cast(sums)
+        return (F.coalesce(F.sum(part.cast(kind)).over(upto), zero) - F.coalesce(F.sum(part.cast(kind)).over(before), zero)).cast("double")
+
+    return F.when(n >= least, sum((total(*p) for p in parts[1:]), total(*parts[0])) / n)
 
 
 def asof_backward(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import calendar, jumps, windows
+from ..operators import blocks, calendar, jumps, windows
 from ..operators.bars import fold
 from ..registry import query
 from ..sources import market
@@ -17,11 +17,16 @@ def day():
 
 
 def moves(spark, sf):
-    return jumps.channels(usable(market.bars(spark, sf)), ["asset"], day())
+    """Moves by blocks of time: each bar and the one before it."""
+    return blocks.dealt(usable(market.bars(spark, sf)), ["asset"], "hour", 0, 1, lambda b, keys: jumps.channels(b, keys, day()))
 
 
 def scored(spark, sf):
-    return jumps.score(moves(spark, sf), ["asset"], WEEK, LEAST, words=WORDS)
+    """Moves, yardsticks and scores by blocks of time: a window, and two bars before it."""
+    return blocks.dealt(
+        usable(market.bars(spark, sf)), ["asset"], "hour", WEEK, 2,
+        lambda b, keys: jumps.score(jumps.channels(b, keys, day()), keys, WEEK, LEAST, words=WORDS),
+    )
 
 
 @query("flagship_daily_top_moves", f"""WITH {SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY asset, hour // 86400 ORDER BY abs(z) DESC,
@@ -36,7 +41,7 @@ def flagship_daily_top_moves(spark, sf):
 
 @query("E1_trailing_bipower", f"WITH {SCORED} SELECT asset, hour, round(sigma, 6) AS sigma FROM scored")
 def e1(spark, sf):
-    return jumps.sigma(moves(spark, sf), ["asset"], "r", WEEK, LEAST).select("asset", "hour", r6("sigma"))
+    return scored(spark, sf).select("asset", "hour", r6("sigma"))
 
 
 #: The same moves by minutes: bars of 60 seconds, holes of over a minute.
@@ -53,7 +58,8 @@ SELECT moves.asset, moves.hour, round(sigma, 6) AS sigma FROM moves LEFT JOIN s
 def e1_minutes(spark, sf):
     """The yardstick of a day over bars of a minute: the detector's longest table."""
     bars = usable(fold(market.ticks(spark, sf), ["asset"], 60))
-    return jumps.sigma(jumps.channels(bars, ["asset"], day(), hour=60), ["asset"], "r", 86_400, LEAST).select("asset", "hour", r6("sigma"))
+    yard = lambda b, keys: jumps.sigma(jumps.channels(b, keys, day(), hour=60), keys, "r", 86_400, LEAST)
+    return blocks.dealt(bars, ["asset"], "hour", 86_400, 2, yard).select("asset", "hour", r6("sigma"))
 
 
 def _passes(n: int) -> str:
@@ -142,10 +148,12 @@ def e7(spark, sf):
 
 
 def gaps(spark, sf):
-    w = Window.partitionBy("asset").orderBy("hour")
-    kind = F.when(F.col("hour") - F.lag("hour").over(w) >= 10800, "long").otherwise("night")
-    g = moves(spark, sf).withColumn("kind", kind).where("gap is not null")
-    return jumps.score(g, ["asset", "kind"], 30 * 86400, 5, r="gap")
+    def kinds(b, keys):
+        pause = F.col("hour") - F.lag("hour").over(Window.partitionBy(*keys).orderBy("hour"))
+        return jumps.channels(b, keys, day()).withColumn("kind", F.when(pause >= 10800, "long").otherwise("night")).where("gap is not null")
+
+    g = blocks.dealt(usable(market.bars(spark, sf)), ["asset"], "hour", 0, 1, kinds)
+    return blocks.dealt(g, ["asset", "kind"], "hour", 30 * 86400, 1, lambda r, keys: jumps.score(r, keys, 30 * 86400, 5, r="gap"))
 
 
 _DAYS = f"""{SCORED}, dm AS (SELECT *, hour // 86400 AS d, CASE WHEN r IS NOT NULL OR gap IS NOT NULL THEN coalesce(r, 0) + coalesce(gap, 0) END AS
@@ -221,6 +229,15 @@ def actions(spark, sf):
         F.max(F.when(F.col("event_id") % 97 == 0, 0.01).otherwise(0.0)).alias("step"), F.bool_or(F.col("event_id") % 501 == 0).alias("rolled"))
 
 
+def with_previous(rows, names):
+    """rows with columns of the instrument's row before (new name to name), by blocks of time."""
+    def lagged(b, keys):
+        w = Window.partitionBy(*keys).orderBy("hour")
+        return b.withColumns({new: F.lag(n).over(w) for new, n in names.items()})
+
+    return blocks.dealt(rows, ["asset"], "hour", 0, 1, lagged)
+
+
 @query("E12_overnight_gaps", f"""WITH {_SESSION}, prev AS (SELECT *, CASE WHEN (d + 4) % 7 = 1 THEN d - 3 ELSE d - 1 END AS want FROM v),
 g AS (SELECT prev.*, step, rolled, ln(open / pc) + ln(1 + coalesce(step, 0)) AS raw FROM prev LEFT JOIN acts USING (asset, d))
 SELECT asset, hour, round(CASE WHEN pd = want AND ph % 86400 >= 68400 AND hour % 86400 <= 54000 AND NOT coalesce(rolled, FALSE)
@@ -228,9 +245,7 @@ SELECT asset, hour, round(CASE WHEN pd = want AND ph % 86400 >= 68400 AND hour %
   WHERE pd IS NULL OR pd <> d""")
 def e12(spark, sf):
     """Night moves: only from the previous calendar session's last bars, at the open, with no roll; payouts added; split-like moves left out."""
-    w = Window.partitionBy("asset").orderBy("hour")
-    u = usable(market.bars(spark, sf)).where(in_session()).withColumn("d", day())
-    u = u.withColumn("pc", F.lag("close").over(w)).withColumn("ph", F.lag("hour").over(w)).withColumn("pd", F.lag("d").over(w))
+    u = with_previous(usable(market.bars(spark, sf)).where(in_session()).withColumn("d", day()), {"pc": "close", "ph": "hour", "pd": "d"})
     u = u.where(F.col("pd").isNull() | (F.col("pd") != F.col("d"))).join(actions(spark, sf), ["asset", "d"], "left")
     raw = F.ln(F.col("open") / F.col("pc")) + F.log1p(F.coalesce("step", F.lit(0.0)))
     want = F.when(F.pmod(F.col("d") + 4, F.lit(7)) == 1, F.col("d") - 3).otherwise(F.col("d") - 1)
@@ -242,11 +257,7 @@ def e12(spark, sf):
 @query("E13_closed_on_last_bar", f"""WITH {_SESSION} SELECT asset, hour, pd = CASE WHEN (d + 4) % 7 = 1 THEN d - 3 ELSE d - 1 END AND ph % 86400 =
   72000 AS closed FROM v WHERE pd IS NOT NULL AND pd <> d""")
 def e13(spark, sf):
-    w = Window.partitionBy("asset").orderBy("hour")
-    u = (
-        usable(market.bars(spark, sf)).where(in_session()).withColumn("d", day()).withColumn("ph", F.lag("hour").over(w))
-        .withColumn("pd", F.lag("d").over(w))
-    )
+    u = with_previous(usable(market.bars(spark, sf)).where(in_session()).withColumn("d", day()), {"ph": "hour", "pd": "d"})
     want = F.when(F.pmod(F.col("d") + 4, F.lit(7)) == 1, F.col("d") - 3).otherwise(F.col("d") - 1)
     return u.where("pd is not null and pd <> d").select("asset", "hour", ((F.col("pd") == want) & (F.col("ph") % 86400 == 72000)).alias("closed"))
 
@@ -258,9 +269,8 @@ att AS (SELECT q.*, path.p AS pc FROM q ASOF LEFT JOIN (SELECT asset, hour + 360
 SELECT asset, hour, CASE WHEN c <= (SELECT max(hour) + 3600 FROM bars) THEN round((pc - (p - r)) / r, 6) END AS held FROM att""")
 def e14(spark, sf):
     """How much of a move is left at the next close (21:00 UTC), by the log path and an as-of lookup."""
-    w = Window.partitionBy("asset").orderBy("hour")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    path = scored(spark, sf).withColumn("p", F.sum(zero("r") + zero("gap") + zero("hole")).over(w)).withColumn("e", F.col("hour") + 3600)
+    path = blocks.running(scored(spark, sf), ["asset"], "hour", {"p": zero("r") + zero("gap") + zero("hole")}).withColumn("e", F.col("hour") + 3600)
     close = F.floor((F.col("hour") + 3600 - 75600 + 86399) / 86400) * 86400 + 75600
     q = path.where("word is not null").withColumn("c", close).select("asset", "hour", "r", "p", "c")
     newest = market.bars(spark, sf).agg((F.max("hour") + 3600).alias("newest"))
@@ -335,7 +345,7 @@ def e16_anchored(spark, sf):
 
 @query("E17_bars_upto", f"WITH {BARS} SELECT asset, hour, count(*) OVER (PARTITION BY asset ORDER BY hour) AS bars_upto FROM bars")
 def e17(spark, sf):
-    return market.bars(spark, sf).select("asset", "hour", F.count(F.lit(1)).over(Window.partitionBy("asset").orderBy("hour")).alias("bars_upto"))
+    return blocks.running(market.bars(spark, sf), ["asset"], "hour", {"bars_upto": F.lit(1)}).select("asset", "hour", "bars_upto")
 
 
 @query("D12_event_argmax", f"""WITH RECURSIVE {SCORED}, k AS (SELECT asset, hour, hour + 3600 AS found, z, word, row_number() OVER (PARTITION BY asset
@@ -375,8 +385,8 @@ def e25(spark, sf):
   gap, (SELECT count(*) FROM bars b WHERE b.asset = moves.asset AND b.hour <= moves.hour) AS bars_upto FROM moves""")
 def n1(spark, sf):
     """Gate, returns and stored-bar counts in one lineage."""
-    b = market.bars(spark, sf).withColumn("bars_upto", F.count(F.lit(1)).over(Window.partitionBy("asset").orderBy("hour")))
-    m = jumps.channels(usable(b), ["asset"], day())
+    b = blocks.running(market.bars(spark, sf), ["asset"], "hour", {"bars_upto": F.lit(1)})
+    m = blocks.dealt(usable(b), ["asset"], "hour", 0, 1, lambda x, keys: jumps.channels(x, keys, day()))
     return m.select("asset", "hour", "close", "volume", r6("r"), "is_open", r6("hole"), r6("gap"), "bars_upto")
 
 

@@ -37,6 +37,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def clear() -> None:
     """Remove what was staged so far. Called when the process ends; long sessions call it once results are read."""
     while _MADE:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import ship
 from ..operators import jumps
 from ..operators.bars import fold, keep_last
-from ..sources.market import FEEDS, epoch
-from ..sources.staging import new_path
+from ..operators.windows import event_starts
+from ..sources.market import FEEDS, epoch, ticks
+from ..sources.staging import exists, names_in, new_path, stage
 
 #: Ticks of a slice of the replay, and so of a batch.
 SLICE_ROWS = 1_000_000
@@ -60,6 +59,37 @@ def split_files(spark: SparkSession, sf_dir: str, parts: int) -> str:
     return path
 
 
+#: Seconds of a bin of kept starts, and of kept bars.
+BIN = 7 * 86_400
+#: Seconds of a slice of the late replay.
+WEEK = 7 * 86_400
+
+
+def delivered(seconds: int = WEEK) -> Column:
+    """The slice (of `seconds`) that brings a tick: that of its time, but for one in eleven, which comes one or two slices later."""
+    late = F.when(F.col("event_id") % 11 == 0, 1 + F.col("event_id") % 2).otherwise(0)
+    return F.coalesce(F.floor(F.col("t") / seconds) + late, F.lit(0)).cast("long")
+
+
+def in_slices(rows: DataFrame, number: str, label: str) -> str:
+    """The rows as files under a new path, one a value of `number`, in its order (the source takes files by their times)."""
+    spark = rows.sparkSession
+    path, sliced = new_path(spark, label), new_path(spark, "slices")
+    rows.withColumn("slice", F.col(number).cast("long")).write.partitionBy("slice").parquet(sliced)
+    held = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("slice", T.LongType())])).parquet(sliced)
+    for n in sorted(r[0] for r in held.select("slice").distinct().collect()) or [0]:
+        held.where(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of ticks by weeks, of which one in eleven is late; run is the slice that brings it."""
+    made = ticks(spark, sf_dir).withColumn("run", delivered())
+    rows = in_slices(made, "run", "late-ticks")
+    raw = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(rows)
+    return raw.withColumn("ts", F.timestamp_seconds("t"))
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """All that a stream has to give, in a file sink with its checkpoint."""
     spark = stream.sparkSession
@@ -102,24 +132,68 @@ def upsert_stream(ticks: DataFrame, keys: list[str]) -> DataFrame:
     return _merged_hours(spark.read.parquet(base), keys)
 
 
-def sliding_stream(ticks: DataFrame, seconds: int, least: int) -> DataFrame:
-    """asset, hour, sigma: the trailing yardstick kept up to date batch by batch (foreachBatch).
+def _held(spark: SparkSession, base: str, bins: range, schema: str, number: int) -> DataFrame:
+    """Rows of these bins' folders from batches up to `number`."""
+    paths = [p for p in (f"{base}/bin={b}" for b in bins) if exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*paths).where(F.col("batch") <= number)
+
 
-    A batch adds its fold to the store, then computes anew the hours from its own first one on, instrument by instrument, from the bars of the window
-    before and the three bars before that (a product needs two). Rows of later batches take the place of earlier ones; older hours stay."""
+def _kept(rows: DataFrame, path: str, number: int) -> None:
+    """Rows (with their bin) in the batch's own folder of each bin."""
+    rows = rows.withColumn("batch", F.lit(number).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bin", "batch").parquet(path)
+
+
+_BAR = "asset string, hour long, open double, high double, low double, close double"
+_POINT = "struct<t: long, event_id: long, price: double>"
+#: Bars before a window that its first product needs: a product has two moves, and a move two bars.
+BEFORE = 3
+
+
+def sliding_stream(ticks: DataFrame, seconds: int, least: int, told: Callable[[int, range], None] | None = None) -> DataFrame:
+    """asset, hour, sigma: the trailing yardstick kept up to date batch by batch (foreachBatch), late ticks included.
+
+    Kept by bins of time: the folds of the batches, and each bin's opening balance, the last BEFORE bars of an instrument before it. A batch
+    adds its folds, reads the bins from its earliest tick's window on, with the opening balance of the first, computes anew the yardsticks
+    from each instrument's earliest tick on, and writes those and the balances of the later bins. Earlier bins are neither read nor listed, so a
+    batch costs its lateness and one window, not the history. Rows and balances of later batches take the place of earlier ones; a repeated batch
+    overwrites its own folders with the same. `told` hears each batch's number and the bins it read."""
     spark, base = ticks.sparkSession, new_path(ticks.sparkSession, "sliding")
+    folds = f"asset string, hour long, first {_POINT}, last {_POINT}, high double, low double, n_src long, bin long, batch long"
+
+    def last_bars(bars: DataFrame, n: int) -> DataFrame:
+        w = Window.partitionBy("asset", "bin").orderBy(F.desc("hour"))
+        return bars.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).drop("_nth")
 
     def run(batch: DataFrame, number: int) -> None:
-        _own_hours(batch, ["asset"]).write.mode("overwrite").parquet(f"{base}/bars/batch={number}")
-        known = spark.read.parquet(f"{base}/bars").where(F.col("batch") <= number)
-        since = known.where(F.col("batch") == number).groupBy("asset").agg(F.min("hour").alias("since"))
-        bars = _merged_hours(known, ["asset"]).where(F.least("open", "high", "low", "close") > 0).join(since, "asset")
-        near = F.col("hour") >= F.col("since") - seconds
-        before = Window.partitionBy("asset", "_near").orderBy(F.desc("hour"))
-        bars = bars.withColumn("_near", near).withColumn("_nth", F.row_number().over(before)).where(F.col("_near") | (F.col("_nth") <= 3)).drop("_near", "_nth")
+        bin_of = F.floor(F.col("hour") / BIN).alias("bin")
+        _kept(_own_hours(batch.where("t is not null"), ["asset"]).select("*", bin_of), f"{base}/folds", number)
+        if not exists(spark, f"{base}/folds"):
+            return
+        own = spark.read.schema(folds).parquet(f"{base}/folds").where(F.col("batch") == number)
+        reach = own.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).first()
+        if reach["lo"] is None:
+            return
+        since = own.groupBy("asset").agg(F.min("hour").alias("since"))
+        told_bins = [int(n.removeprefix("bin=")) for n in names_in(spark, f"{base}/openings") if n.startswith("bin=")]
+        first, top = (reach["lo"] - seconds) // BIN, max(told_bins, default=None)
+        bins = range(first if top is None else min(first, top), max(reach["hi"] // BIN, first if top is None else top - 1) + 1)
+        if told:
+            told(number, bins)
+        bars = _merged_hours(_held(spark, f"{base}/folds", bins, folds, number), ["asset"]).where(F.least("open", "high", "low", "close") > 0)
+        opening = keep_last(_held(spark, f"{base}/openings", bins[:1], f"{_BAR}, nth long, bin long, batch long", number - 1), ["asset", "nth"], F.desc("batch"))
+        names = [x.split()[0] for x in _BAR.split(", ")]
+        bars = stage(bars.select(*names).unionByName(opening.where("hour is not null").select(*names)), "window")
         moves = jumps.channels(bars, ["asset"], F.floor(F.col("hour") / 86_400))
-        rows = jumps.sigma(moves, ["asset"], "r", seconds, least).where("hour >= since").select("asset", "hour", "sigma")
-        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        rows = jumps.sigma(moves, ["asset"], "r", seconds, least).join(since, "asset").where("hour >= since").select("asset", "hour", "sigma", bin_of)
+        _kept(rows, f"{base}/rows", number)
+        # the balance of a later bin: of each bin before it the last bars, and of those the last
+        ends = last_bars(bars.withColumn("bin", bin_of), BEFORE).withColumn("bin", F.explode(F.sequence(F.col("bin") + 1, F.lit(bins[-1] + 1).cast("long"))))
+        w = Window.partitionBy("asset", "bin").orderBy(F.desc("hour"))
+        ends = last_bars(ends.where(F.col("bin") > bins[0]), BEFORE).withColumn("nth", F.row_number().over(w).cast("long"))
+        _kept(ends.select(*names, "nth", "bin"), f"{base}/openings", number)
 
     q = ticks.writeStream.foreachBatch(run).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -146,49 +220,35 @@ def _by_batch(ticks: DataFrame, state: str, step: Callable[[DataFrame, DataFrame
 
 
 def event_stream(ticks: DataFrame, span: int = 86_400) -> DataFrame:
-    """asset, event_id, found, event_start: 24-hour events from their first tick of note (price over 60); kept state is the starts.
-
-    Only seconds that may start an event reach Python, sorted by Spark and folded Arrow batch by Arrow batch. Starts are
-    `span` apart, so each bin of that length has one at most, and a tick's start is in its own bin or the one before.
-    A tick that comes after its event's time belongs to the event that runs."""
-    ship(ticks.sparkSession)
-
-    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asset, start = None, None
-        for rows in batches:
-            out = []
-            for a, t in zip(rows["asset"], rows["t"], strict=True):
-                if start is None or a != asset or t >= start + span:
-                    asset, start = a, t
-                    out.append((a, t))
-            yield pd.DataFrame(out, columns=["asset", "start"])
+    """asset, event_id, found, event_start: 24-hour events from their first tick of note (price over 60), kept up batch by batch (foreachBatch).
 
-    def step(batch: DataFrame, old: DataFrame):
-        latest = old.groupBy(F.col("asset").alias("_a")).agg(F.max("start").alias("_latest"))
-        noted = batch.where("price > 60").select("asset", "event_id", "t").join(latest, F.col("asset").eqNullSafe(F.col("_a")), "left").drop("_a")
-        may = (
-            noted.where(F.col("t").isNotNull() & (F.col("_latest").isNull() | (F.col("t") >= F.col("_latest") + span))).select("asset", "t")
-            .distinct()
-        )
-        new = old.unionByName(may.repartition("asset").sortWithinPartitions("asset", "t").mapInPandas(starts, "asset string, start long"))
-
-        def rows(kept: DataFrame) -> DataFrame:
-            at = F.floor(F.col("t") / span)
-            mine = lambda n, name: kept.select(
-                F.col("asset").alias(f"_a{n}"), (F.floor(F.col("start") / span) + n).alias(f"_n{n}"), F.col("start").alias(name),
-            )
-            out = noted
-            for n, name in ((0, "_own"), (1, "_before")):
-                out = out.join(mine(n, name), F.col("asset").eqNullSafe(F.col(f"_a{n}")) & (at == F.col(f"_n{n}")), "left")
-            start = (
-                F.when(F.col("t") >= F.col("_own"), F.col("_own")).when(F.col("t") < F.col("_before") + span, F.col("_before"))
-                .otherwise(F.col("_latest"))
-            )
-            return out.select("asset", "event_id", F.col("t").alias("found"), start.alias("event_start"))
-
-        return new, rows
-
-    return _by_batch(ticks, "asset string, start long", step)
+    The starts of earlier batches are fixed: a tick within `span` of one belongs to it, a late one also to one at most `span` ahead; other ticks
+    open events of their own (`windows.event_starts`). A batch appends its own starts to a folder by bins of time, and reads those bins
+    alone that its ticks can reach, so its cost doesn't grow with history. A repeated batch overwrites its own folders with the same."""
+    spark, base = ticks.sparkSession, new_path(ticks.sparkSession, "events")
+    kept = "asset string, anchor long, bin long, batch long"
+
+    def run(batch: DataFrame, number: int) -> None:
+        named = F.coalesce(F.concat(F.lit("="), "asset"), F.lit("")).alias("asset")  # a null instrument is one too
+        noted = stage(batch.where("price > 60").select(named, "event_id", F.col("t").alias("found")), "noted")
+        reach = noted.agg(F.min("found").alias("lo"), F.max("found").alias("hi")).first()
+        if reach["lo"] is None:
+            noted.withColumn("event_start", F.lit(None).cast("long")).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+            return
+        bins = ((reach["lo"] - span) // BIN, (reach["hi"] + span) // BIN)
+        old = spark.read.schema(kept).parquet(f"{base}/starts") if number and exists(spark, f"{base}/starts") else spark.createDataFrame([], kept)
+        fixed = old.where(F.col("bin").between(*bins) & (F.col("batch") < number)).select("asset", "anchor")
+        out = event_starts(noted.where("found is not null"), "asset", "found", span, fixed)
+        out = stage(out.unionByName(noted.where("found is null").withColumn("event_start", F.lit(None).cast("long"))), "started")
+        out.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        new = out.where("event_start = found").select("asset", F.col("event_start").alias("anchor")).distinct().join(fixed, ["asset", "anchor"], "left_anti")
+        new = new.withColumns({"bin": F.floor(F.col("anchor") / BIN), "batch": F.lit(number).cast("long")})
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bin", "batch").parquet(f"{base}/starts")
+
+    q = ticks.writeStream.foreachBatch(run).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{base}/rows")
+    return rows.select(F.expr("if(asset = '', null, substring(asset, 2))").alias("asset"), "event_id", "found", "event_start")
 
 
 def action_stream(ticks: DataFrame) -> DataFrame:
