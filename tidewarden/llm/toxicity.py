@@ -8,8 +8,8 @@ and then stands for all longer ones. Exception phrases are pairs of words around
 and toxic ones lack; a term within one does not count. A document's evidence is the sum of the weights
 of its hits, and that sum to its number of words; a logistic function of the two is its score.
 
-Bounds (documented, of the training sample only): TOXIC_ROWS and CLEAN_ROWS labelled rows, the first by hash of doc_id;
-TERMS terms. Scoring covers all documents and whole texts.
+Bounds (documented, of the training sample only): TOXIC_ROWS and CLEAN_ROWS labelled doc_ids, the first by hash. The vocabulary is
+what that sample yields, without a limit of its own. Scoring covers all documents and whole texts.
 
 Defined cases: null and empty texts have no evidence and get the score of none; repeated rows are scored each; a null
 doc_id is not held out and has no label; repeated labels of one doc_id count as the largest; null labels don't count;
@@ -31,14 +31,11 @@ from . import common as c
 
 TOXIC_ROWS = 3_000
 CLEAN_ROWS = 6_000
-TERMS = 5_000
 #: Toxic documents that must hold a term, their least share of the sample's, and the least odds of label 1 against label 0.
 LEAST_DOCUMENTS = 5
 LEAST_SHARE = 0.01
 LEAST_ODDS = 20.0
 LONGEST = 12
-#: Terms that each toxic document of the sample is to have before others are of no more use to it.
-COVER = 3
 
 #: Look-alikes and substitutions. Letters on the left of a pair are read as the one on the right.
 LOOK_ALIKES = (
@@ -171,35 +168,7 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
         if longer.get(w, 0) >= 0.999 * toxic[w] or any(w[:n] in kept for n in range(5, len(w))):
             continue
         kept[w] = float(odds[w])
-    return sorted(kept.items(), key=lambda x: (-x[1] * toxic[x[0]], x[0]))[:TERMS]
-
-
-def _needed(rows: DataFrame, terms: list[tuple[str, float]], least: int) -> list[tuple[str, float]]:
-    """The terms that toxic documents of the sample need: greedily, the term in most documents that lack COVER terms yet.
-
-    Words that merely come along with true terms, as in copies of one document, are left out so."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matcher = {t: n for n, (t, _) in enumerate(terms)}, Matcher(Lexicon(tuple(terms)))
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                folded = fold(text)
-                found.append(sorted({names[folded[a : b + 1]] for a, b, _, _ in matcher.hits(folded)}))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["terms"])
-
-    have = [set(r.terms) for r in rows.where("toxic = 1").select("text").mapInArrow(run, "terms array<int>").collect()]  # TOXIC_ROWS at most
-    lacking, chosen = [COVER] * len(have), []
-    while True:
-        count = Counter(n for d, k in zip(have, lacking, strict=True) if k for n in d)
-        best = max(count.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
-        if best[1] < least:
-            return [terms[n] for n in sorted(chosen)]
-        chosen.append(best[0])
-        for i, d in enumerate(have):
-            if best[0] in d:
-                d.discard(best[0])
-                lacking[i] = max(0, lacking[i] - 1)
+    return sorted(kept.items(), key=lambda x: (-x[1] * toxic[x[0]], x[0]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
@@ -221,11 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not n_toxic or not n_clean:
         return Lexicon()
     least = min(n_toxic, max(LEAST_DOCUMENTS, int(LEAST_SHARE * n_toxic)))
-    often = _count(rows.where("toxic = 1"), lambda: beginnings).where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "what").limit(20 * TERMS)
+    often = _count(rows.where("toxic = 1"), lambda: beginnings).where(F.col("toxic") >= least)
     names = frozenset(r.what for r in often.collect())
     counts = _count(rows, lambda: lambda folded: beginnings(folded) & names).collect()
     terms = choose_terms([(r.what, r.toxic, r.clean) for r in counts], n_toxic, n_clean)
-    terms = _needed(rows, terms, max(3, least // 2))
     lexicon = Lexicon(tuple(terms))
 
     def phrases():
@@ -243,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
         return of
 
-    spared = _count(rows, phrases).where("toxic = 0 and clean >= 3").orderBy(F.desc("clean"), "what").limit(TERMS) if terms else None
-    lexicon = Lexicon(lexicon.terms, tuple(r.what for r in spared.collect()) if spared is not None else ())
+    spared = _count(rows, phrases).where("toxic = 0 and clean >= 3") if terms else None
+    lexicon = Lexicon(lexicon.terms, tuple(sorted(r.what for r in spared.collect())) if spared is not None else ())
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
@@ -263,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, evidence of every document."""
     c.small_batches(docs.sparkSession)
-    told = docs.sparkSession.sparkContext.broadcast(lexicon)  # TERMS terms at most
+    told = docs.sparkSession.sparkContext.broadcast(lexicon)  # the vocabulary of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = told.value
