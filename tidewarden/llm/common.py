@@ -62,6 +62,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by their place (c0, c1, ...), and those names by the old ones: no name of docs, whatever its signs,
+    can then meet one that an operator adds. `toDF(*docs.columns)` undoes it."""
+    names = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches to about 2 MB, whatever the length of the rows (for the whole session); give the workers this package."""
     ship(spark)

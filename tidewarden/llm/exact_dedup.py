@@ -81,10 +81,10 @@ def drop_copies(docs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     heavy = c.stage(heavy_digests(keyed, share), "heavy")
     rest = keyed.join(F.broadcast(heavy), "digest", "left_anti").groupBy("digest").agg(*_aggregates()).where(F.col("group_size") > 1)
     groups = c.stage(heavy.unionByName(rest).select("digest", F.col("keep.doc_id").alias("keep_id")), "groups")
-    digest, keep, tie = "__digest", "__keep_id", "__copies"
-    groups = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.lit(True).alias(tie))
-    joined = c.join_checked(docs.withColumn(digest, text_digest()), groups, [digest], "left")
-    alone = joined.where(F.col(tie).isNull()).select(*docs.columns)
-    firsts = joined.where(F.col(tie) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep)))
+    groups = groups.select("digest", "keep_id", F.lit(True).alias("several"))
+    inner, at = c.by_place(docs)
+    joined = c.join_checked(inner.withColumn("digest", text_digest(at["text"])), groups, ["digest"], "left")
+    alone = joined.where(F.col("several").isNull()).select(*at.values())
+    firsts = joined.where(F.col("several") & F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("keep_id")))
     # rows that repeat both text and doc_id are one row again; each key has few rows by now
-    return alone.unionByName(firsts.dropDuplicates([digest]).select(*docs.columns))
+    return alone.unionByName(firsts.dropDuplicates(["digest"]).select(*at.values())).toDF(*docs.columns)

@@ -76,10 +76,9 @@ def mark_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, limit: int = c.BROADCAST_BYTES, share: float = HEAVY_SHARE,
 ) -> DataFrame:
     """The rows of docs, columns renamed c0, c1, ... in order, with `places`: positions of the lines that go (null: none)."""
-    at = {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}
-    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
-    inner = c.stage(inner, "lines")
-    rows = inner.select("row", at["doc_id"].cast("long").alias("doc_id"), at["text"].alias("text"))
+    inner, at = c.by_place(docs)
+    inner = c.stage(inner.withColumn("row", F.monotonically_increasing_id()), "lines")
+    rows = inner.select("row", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).alias("text"))
     frequent = c.stage(frequent_lines(rows, min_chars, min_docs), "frequent-lines")
     found = c.stage(_found(rows, frequent, min_chars, limit, share), "dropped-lines")
     return c.join_checked(inner, found, ["row"], "left", limit)

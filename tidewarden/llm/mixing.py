@@ -87,6 +87,8 @@ def mix_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, with the columns of docs."""
     sizes = c.stage(docs.select("source", n_words().alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
-    inner = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__row"), n_words().alias("size"))
+    named, at = c.by_place(docs)
+    inner = named.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), F.struct(*at.values()).alias("row"), n_words(at["text"]).alias("size"))
     drawn = copies(inner, c.stage(source_targets(sizes), "targets"), seed).where(F.col("copies") > 0)
-    return drawn.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
+    taken = drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*(F.col(f"row.{n}").alias(n) for n in at.values())).toDF(*docs.columns)

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -52,8 +52,8 @@ HOT_ROWS = 256
 LEADERS = (1, 8, 4096)
 
 _SIG = np.uint64(0xD6E8FEB86659FD93)
-#: Stands for a null doc_id in joins.
-_NO_ID = -(1 << 63)
+#: Fills the place of a null doc_id in joins; the digest tells it from an id.
+_NO_ID = 0
 
 
 def _signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +85,16 @@ def parity_bits(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return np.packbits(odd, bitorder="little"), at
 
 
+def _key(doc_id: str, text: str) -> tuple[Column, Column]:
+    """doc, digest of a row: doc_id, or _NO_ID where it is null, and the text's MD5 with a byte more where doc_id is null."""
+    doc, md5 = F.col(doc_id).cast("long"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return F.coalesce(doc, F.lit(_NO_ID)), F.when(doc.isNull(), F.concat(md5, F.lit(bytearray(1)))).otherwise(md5)
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    """doc (doc_id; the least long for null), digest (MD5 of the text), text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    """doc, digest, text."""
+    doc, digest = _key("doc_id", "text")
+    return docs.select(doc.alias("doc"), digest.alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
@@ -104,7 +110,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
             )
 
     made = _named(docs).mapInArrow(run, "doc long, digest binary, n long, sig long, bits binary")
-    return made.withColumn("doc_id", F.when(F.col("doc") != _NO_ID, F.col("doc"))).drop("doc")
+    return made.withColumn("doc_id", F.when(F.octet_length("digest") == 16, F.col("doc"))).drop("doc")
 
 
 def _with_both(found: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -454,11 +460,10 @@ def keep_one(docs: DataFrame, k: int = K, t: int = THRESHOLD) -> DataFrame:
     first = c.stage(first.select("comp", "first"), "kept-rows")
     told = c.join_checked(rows, first, ["comp"], "inner").withColumn("stays", F.struct("no_id", "doc", "digest") == F.col("first"))
     told = told.where(~F.col("stays") | (F.col("copies") > 1))
-    doc, digest, stays = "__near_doc", "__near_digest", "__near_stays"
-    acts = c.stage(told.select(F.col("doc").alias(doc), F.col("digest").alias(digest), F.col("stays").alias(stays)), "near-copies")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), digest: F.unhex(F.md5(text))})
-    joined = c.join_checked(named, acts, [doc, digest], "left")
-    alone = joined.where(F.col(stays).isNull()).select(*docs.columns)
+    acts = c.stage(told.select("doc", "digest", "stays"), "near-copies")
+    inner, at = c.by_place(docs)
+    doc, digest = _key(at["doc_id"], at["text"])
+    joined = c.join_checked(inner.withColumns({"doc": doc, "digest": digest}), acts, ["doc", "digest"], "left")
+    alone = joined.where(F.col("stays").isNull()).select(*at.values())
     # rows that repeat both doc_id and text, of which one is to stay
-    return alone.unionByName(joined.where(F.col(stays)).dropDuplicates([doc, digest]).select(*docs.columns))
+    return alone.unionByName(joined.where("stays").dropDuplicates(["doc", "digest"]).select(*at.values())).toDF(*docs.columns)
