@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jumps import HALF_PI
+from .quantiles import exact_quantiles
+from .windows import range_mean
+
 #: The share of a move that a feed must show, and the step of a contract switch in basis points.
 SHARE = 0.5
 ROLL_STEP_BP = 50.0
@@ -19,6 +23,26 @@ def candidates(bars: DataFrame, size: float) -> DataFrame:
     return b.select("asset", "hour", "prev_hour", F.col("close").alias("price"), "prev_close", "move")
 
 
+def far_readings(rows: DataFrame, keys: list[str], r: str, seconds: int, least: int, line: float, doubt: str = "doubt") -> DataFrame:
+    """rows with z_raw, z_corrected, candidate: readings of `line` yardsticks or more, by the yardstick of all readings, or by the one without those that
+    a vote found untrue (`doubt`, boolean).
+
+    A doubted reading is also set against the yardstick that leaves out the other doubts but not itself, or its vote would vanish the
+    count after it was taken. Its yardstick is of products stamped before it, and with it back in, only the products at it and after it
+    change: so that yardstick is the mean of the corrected products before it, and each doubt costs a lookup, not a recount."""
+    line_of = Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    true = F.when(~F.coalesce(F.col(doubt), F.lit(False)), F.col(r))
+
+    def products(x: Column) -> Column:
+        return F.abs(x) * F.abs(F.last(x, ignorenulls=True).over(line_of))
+
+    made = rows.withColumns({"_raw": products(F.col(r)), "_true": products(true)})
+    z = lambda x: F.col(r) / F.sqrt(F.lit(HALF_PI) * F.when(range_mean(x, "hour", keys, seconds, least) > 0, range_mean(x, "hour", keys, seconds, least)))
+    made = made.withColumns({"z_raw": z("_raw"), "z_corrected": z("_true")}).drop("_raw", "_true")
+    far = F.coalesce(F.abs("z_raw") >= line, F.lit(False)) | F.coalesce(F.abs("z_corrected") >= line, F.lit(False))
+    return made.withColumn("candidate", far)
+
+
 def judge(cands: DataFrame, feeds: DataFrame, names: DataFrame, skips: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
     """Each candidate put to every feed of names (feed): its answer and move.
 
@@ -105,5 +129,6 @@ def alignment(
     j = j.withColumn("da", F.ln(F.col("a") / F.lag("a").over(w))).withColumn("db", F.ln(F.col("b") / F.lag("b").over(w))).withColumn("gap", gap)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("gap", 6).desc(), "hour"))
     far = j.withColumn("_nth", nth).where(F.col("_nth") <= worst).groupBy(*keys).agg(F.sort_array(F.collect_list("hour")).alias("worst_hours"))
-    g = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("da", "db").alias("corr"), F.percentile("gap", 0.5).alias("gap_bp")).join(far, keys)
+    middle = exact_quantiles(j, keys, F.col("gap"), [0.5]).select(*keys, F.col("q0").alias("gap_bp"))
+    g = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("da", "db").alias("corr")).join(middle, keys).join(far, keys)
     return g.withColumn("passes", F.coalesce((F.col("n") >= least) & (F.col("corr") >= corr) & (F.col("gap_bp") <= gap_bp), F.lit(False)))

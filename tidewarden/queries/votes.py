@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import vote
+from ..operators import blocks, jumps, vote
 from ..registry import query
 from ..sources import market
-from .common import FEED_BARS, r6
+from ..sources.staging import stage
+from .common import FEED_BARS, GOOD, LEAST, MOVES, WEEK, r6, usable
 
 FOLD = "arg_min(price, event_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, event_id) AS close"
 CAND = f"""{FEED_BARS}, bars AS (SELECT asset, t // 3600 * 3600 AS hour, {FOLD} FROM ticks GROUP BY 1, 2),
@@ -42,6 +43,55 @@ def i1(spark, sf):
     return vote.candidates(market.bars(spark, sf), 1.0).select("asset", "hour", "prev_hour", "price", "prev_close", r6("move"))
 
 
+_FAR = 2.0
+
+
+def _yard(of: str, name: str) -> str:
+    """SQL of the yardstick of the readings `of` (asset, kind, hour, r), at every hour of all readings."""
+    return f"""{name}p AS (SELECT asset, kind, hour, abs(r) * abs(lag(r) OVER (PARTITION BY asset, kind ORDER BY hour)) AS x FROM {of}),
+{name} AS (SELECT a.asset, a.kind, a.hour, CASE WHEN count(x) >= {LEAST} AND avg(x) > 0 THEN sqrt(pi() / 2 * avg(x)) END AS s FROM readings a LEFT JOIN {name}p p
+  ON p.asset = a.asset AND p.kind = a.kind AND p.hour >= a.hour - {WEEK} AND p.hour < a.hour GROUP BY 1, 2, 3)"""
+
+
+#: By brute force: each yardstick from pairs of readings, each doubt's own from a sequence without the other doubts.
+_FAR_SQL = f"""WITH {MOVES}, hourly AS (SELECT asset, hour, close, lag(hour) OVER w AS prev_hour, lag(close) OVER w AS prev_close FROM bars WHERE {GOOD}
+  WINDOW w AS (PARTITION BY asset ORDER BY hour)),
+fb AS (SELECT asset, feed, t // 3600 * 3600 AS hour, arg_min(price, event_id) AS open, arg_max(price, event_id) AS close FROM ticks GROUP BY 1, 2, 3),
+cand AS (SELECT *, ln(close / prev_close) AS move FROM hourly WHERE abs(ln(close / prev_close)) >= 1),
+own AS (SELECT c.asset, c.hour, move, ln(e.close / b.close) AS own FROM cand c JOIN fb e ON e.asset = c.asset AND e.hour = c.hour JOIN fb b ON b.asset = c.asset AND
+  b.feed = e.feed AND b.hour = c.prev_hour WHERE e.open > 0 AND e.close > 0 AND b.open > 0 AND b.close > 0),
+untrue AS (SELECT asset, hour FROM own GROUP BY 1, 2 HAVING count(*) FILTER (NOT (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move))) >
+  count(*) FILTER (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move)) + 1),
+readings AS (SELECT m.asset, kind, m.hour, x AS r, u.hour IS NOT NULL AS doubt FROM (SELECT asset, hour, 'hour' AS kind, r AS x FROM moves UNION ALL SELECT
+  asset, hour, 'gap', gap FROM moves) m LEFT JOIN untrue u ON u.asset = m.asset AND u.hour = m.hour WHERE x IS NOT NULL),
+trusted AS (SELECT * FROM readings WHERE NOT doubt),
+{_yard('readings', 'raw')}, {_yard('trusted', 'cor')},
+alone AS (SELECT d.asset, d.kind, d.hour AS of, r.hour, r.r FROM readings d JOIN readings r ON r.asset = d.asset AND r.kind = d.kind AND (NOT r.doubt OR r.hour =
+  d.hour) WHERE d.doubt),
+alonep AS (SELECT asset, kind, of, hour, abs(r) * abs(lag(r) OVER (PARTITION BY asset, kind, of ORDER BY hour)) AS x FROM alone),
+loo AS (SELECT asset, kind, of AS hour, CASE WHEN count(x) >= {LEAST} AND avg(x) > 0 THEN sqrt(pi() / 2 * avg(x)) END AS s FROM alonep WHERE hour >= of - {WEEK} AND
+  hour < of GROUP BY 1, 2, 3),
+z AS (SELECT r.asset, r.kind, r.hour, r.doubt, r.r / raw.s AS z_raw, r.r / CASE WHEN r.doubt THEN loo.s ELSE cor.s END AS z_corrected FROM readings r
+  JOIN raw USING (asset, kind, hour) JOIN cor USING (asset, kind, hour) LEFT JOIN loo USING (asset, kind, hour))
+SELECT asset, kind, hour, doubt, round(z_raw, 6) AS z_raw, round(z_corrected, 6) AS z_corrected FROM z WHERE abs(z_raw) >= {_FAR} OR abs(z_corrected) >= {_FAR}"""
+
+
+@query("I1_yardstick_candidates", _FAR_SQL)
+def i1_yardsticks(spark, sf):
+    """Hours and gaps that are far by the yardstick of all readings, by the one without moves voted untrue, or, if voted so themselves, without the others."""
+    bars = usable(market.bars(spark, sf))
+    doubts = stage(tally(spark, sf).where("verdict = 'not real'").select("asset", "hour", F.lit(True).alias("doubt")), "doubts")
+
+    def kinds(b, keys):
+        m = jumps.channels(b, keys, F.floor(F.col("hour") / market.DAY))
+        return m.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("x")) for k, c in (("hour", "r"), ("gap", "gap"))))).alias("_k"))
+
+    m = blocks.dealt(bars, ["asset"], "hour", 0, 1, kinds).select("asset", "hour", "_k.kind", "_k.x").where("x is not null")
+    m = m.join(doubts, ["asset", "hour"], "left").withColumn("doubt", F.coalesce("doubt", F.lit(False)))
+    out = vote.far_readings(m, ["asset", "kind"], "x", WEEK, LEAST, _FAR).where("candidate")
+    return out.select("asset", "kind", "hour", "doubt", r6("z_raw"), r6("z_corrected"))
+
+
 @query("I2_judge", f"WITH {JUDGED} SELECT asset, hour, feed, answer, round(own, 6) AS own_move FROM judged")
 def i2(spark, sf):
     return judged(spark, sf).select("asset", "hour", "feed", "answer", r6("own_move"))
