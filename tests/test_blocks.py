@@ -118,3 +118,20 @@ def test_tasks_are_blocks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(r["count"] for r in shares) == 200_000 - 7  # a bar without a move, one without a product, five products
     assert len(shares) == 4 and max(r["count"] for r in shares) < 90_000
+
+
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_smoothing_is_a_scan_of_maps(frame, lines, block):
+    """Against the plain recurrence over the whole key, null values in between and at the start."""
+    two = frame.withColumn("w", F.when(F.col("hour") > 40, F.col("x") * 10))
+    out = blocks.ewm(two, ["k"], "hour", ["x", "w"], 0.3, block)
+    assert out.columns == [*two.columns, "x_ewm", "w_ewm"]
+    got = {(r.k, r.hour): (r.x_ewm, r.w_ewm) for r in out.collect()}
+    for k, rows in lines.items():
+        y = w = None
+        for t, x in rows:
+            if x is not None:
+                y = x if y is None else 0.3 * x + 0.7 * y
+                if t > 40:
+                    w = 10 * x if w is None else 3 * x + 0.7 * w
+            assert got[(k, t)] == tuple(None if v is None else pytest.approx(v, rel=1e-9, abs=1e-12) for v in (y, w))

@@ -80,6 +80,44 @@ def running(rows: DataFrame, keys: list[str], at: str, sums: dict[str, Column],
     return out.select(*rows.columns, *either.values())
 
 
+def ewm(rows: DataFrame, keys: list[str], at: str, columns: list[str], alpha: float, block: int = BLOCK) -> DataFrame:
+    """rows with each column smoothed along the key (name to name_ewm): y = alpha x + (1 - alpha) y of the row before, from y = x of the first. Null x
+    leave y as it is. (keys, at) names a row.
+
+    A step is an affine map of the y before, and so is any run of steps: each block composes its own from its rows (two numbers a row), the
+    blocks' maps are folded over one row a block, and each row applies its map to the y that its block opens with."""
+    names = [*keys, "_block"]
+    kinds = [f"{p}{i}" for i in range(len(columns)) for p in ("_a", "_b", "_y")]  # y is a y0 + b; _y where nothing comes before
+
+    def step(state, *xs):
+        out = []
+        for x, (a, b, y) in zip(xs, state, strict=True):
+            if x is not None:
+                a, b, y = a * (1 - alpha), b * (1 - alpha) + alpha * x, x if y is None else y * (1 - alpha) + alpha * x
+            out.append((a, b, y))
+        return tuple(out), tuple(v for t in out for v in t)
+
+    maps = stage(
+        folded(rows.withColumn("_block", _block(at, block)), names, at, columns, step, lambda: ((1.0, 0.0, None),) * len(columns), ", ".join(f"{n} double" for n in kinds)),
+        "maps",
+    )
+    ends = maps.groupBy(*names).agg(F.max_by(F.struct(*kinds), at).alias("_end")).select(*names, "_end.*")
+
+    def chain(state, *values):
+        """state: the y of each column before the block."""
+        after = []
+        for i, y0 in enumerate(state):
+            a, b, y = values[3 * i : 3 * i + 3]
+            after.append(y if y0 is None else a * y0 + b)
+        return tuple(after), state
+
+    opens = folded(ends, keys, "_block", kinds, chain, lambda: (None,) * len(columns), ", ".join(f"_o{i} double" for i in range(len(columns))))
+    told = opens.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(names)), *(f"_o{i}" for i in range(len(columns))))
+    out = maps.join(told, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)], "left")
+    y = lambda i: F.coalesce(F.col(f"_a{i}") * F.col(f"_o{i}") + F.col(f"_b{i}"), F.col(f"_y{i}"))
+    return out.select(*rows.columns, *(y(i).alias(f"{n}_ewm") for i, n in enumerate(columns)))
+
+
 def _heights():
     """State of a lookup: heights that fall from the oldest to the newest (as negatives, ascending), and their times."""
     return [], []

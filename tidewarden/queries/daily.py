@@ -100,6 +100,56 @@ def e22(spark, sf):
     )
 
 
+#: Scores of daily returns against a winsorised short memory, and thresholds of |z| over 60 days, by recursion over the days.
+_SMOOTHED = f"""{DAILY}, w0 AS (SELECT day, r, list(r) OVER (ORDER BY day ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS l, list(r * r)
+  FILTER (r IS NOT NULL) OVER (ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS s FROM ret),
+w1 AS (SELECT day, r, CASE WHEN len(list_filter(l, lambda x: x IS NOT NULL)) = 24 THEN list_median(list_transform(l, lambda x: abs(x - list_median(l)))) END AS mad,
+  CASE WHEN len(s) >= 20 THEN sqrt({_EW.format(l='s')} / list_sum(list_transform(range(1, len(s) + 1), lambda i: pow(0.94::DOUBLE, len(s) - i)))) END AS sig FROM w0),
+w2 AS (SELECT *, CASE WHEN mad IS NOT NULL AND sig IS NOT NULL AND abs(r) > 5 * greatest(mad, 0.2::DOUBLE * sig) THEN sign(r) * 5 * greatest(mad, 0.2::DOUBLE * sig) ELSE r
+  END AS rw FROM w1),
+w3 AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM w2 WHERE r IS NOT NULL),
+st(i, day, r, sig, m, v, z, sd) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE, (SELECT r * r FROM w3 WHERE i = 1), NULL::DOUBLE, NULL::DOUBLE
+  UNION ALL
+  SELECT k.i, k.day, k.r, k.sig, 0.08::DOUBLE * k.rw + 0.92::DOUBLE * m, 0.08::DOUBLE * (k.rw - m) * (k.rw - m) + 0.92::DOUBLE * v,
+    CASE WHEN k.sig IS NOT NULL THEN (k.r - m) / greatest(sqrt(v), 0.2::DOUBLE * k.sig) END, greatest(sqrt(v), coalesce(0.2::DOUBLE * k.sig, 0))
+  FROM st JOIN w3 k ON k.i = st.i + 1),
+zs AS (SELECT day, r, sig, z, row_number() OVER (ORDER BY day) AS j, CASE WHEN count(z) OVER x >= 60 THEN quantile_cont(abs(z), 0.95) OVER x END AS q95,
+  CASE WHEN count(z) OVER x >= 60 THEN quantile_cont(abs(z), 0.99) OVER x END AS q99 FROM st WHERE z IS NOT NULL
+  WINDOW x AS (ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+sm(j, day, q95, q99) AS (
+  SELECT j, day, q95, q99 FROM zs WHERE j = 61
+  UNION ALL
+  SELECT z.j, z.day, z.q95 * 2 / 121.0::DOUBLE + sm.q95 * 119 / 121.0::DOUBLE, z.q99 * 2 / 121.0::DOUBLE + sm.q99 * 119 / 121.0::DOUBLE FROM sm JOIN zs z ON z.j = sm.j + 1)"""
+
+
+def index_scores(spark, sf):
+    d = volatility.long_run_sigma(returns(spark, sf), ["series"], "day", "r", 60, 0.94, 20)
+    return volatility.ewma_scores(d, ["series"], "day")
+
+
+@query("E19_winsorised_state", f"WITH RECURSIVE {_SMOOTHED} SELECT day, round(z, 6) AS z, round(sd, 6) AS sigma_eff FROM st WHERE i > 0")
+def e19_winsorised(spark, sf):
+    """Scores before the state's update; what the state learns is winsorised, and its deviation has a floor."""
+    return index_scores(spark, sf).where("r is not null").select("day", r6("z"), r6("sigma_eff"))
+
+
+@query("E20_smoothed_thresholds", f"""WITH RECURSIVE {_SMOOTHED} SELECT zs.day, round(sm.q95, 6) AS q95, round(sm.q99, 6) AS q99 FROM zs LEFT JOIN sm USING
+  (day)""")
+def e20_smoothed(spark, sf):
+    out = volatility.smoothed_thresholds(index_scores(spark, sf), ["series"], "day", "z", 60)
+    return out.select("day", r6("q95"), r6("q99"))
+
+
+@query("E22_winsorised_spikes", f"""WITH RECURSIVE {_SMOOTHED} SELECT zs.day, coalesce(z > sm.q95 AND r > 0 AND abs(r) >= 1.5 * sig, FALSE) AS is_spike FROM zs LEFT
+  JOIN sm USING (day)""")
+def e22_winsorised(spark, sf):
+    """A rise beyond the smoothed threshold of its own score and 1.5 long-run sigmas."""
+    out = volatility.smoothed_thresholds(index_scores(spark, sf), ["series"], "day", "z", 60)
+    spike = (F.col("z") > F.col("q95")) & (F.col("r") > 0) & (F.abs("r") >= 1.5 * F.col("sigma_lt"))
+    return out.select("day", F.coalesce(spike, F.lit(False)).alias("is_spike"))
+
+
 @query("E23_known_rank", f"""WITH {DAILY} SELECT a.day, round(avg((b.close <= a.close)::INT), 6) AS rank_known, count(*) AS n_known FROM ret a JOIN
   ret b ON b.available_at <= a.day GROUP BY 1""")
 def e23(spark, sf):
