@@ -26,8 +26,9 @@ def keep_last(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def settled(hour: Column, newest: Column, delay_days: int = 7) -> Column:
     """Whether an hour's month is closed: `delay_days` after its end, by the newest data rather than the clock."""
-    month_end = F.unix_seconds(F.add_months(F.trunc(F.timestamp_seconds(hour), "month"), 1).cast("timestamp"))
-    return month_end + delay_days * 86_400 <= newest
+    start = F.lit("1970-01-01").cast("date")
+    month = F.trunc(F.date_add(start, F.floor(hour / 86_400).cast("int")), "month")
+    return (F.datediff(F.add_months(month, 1), start).cast("bigint") + delay_days) * 86_400 <= newest
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], is_settled: Column, price: str = "close") -> DataFrame:

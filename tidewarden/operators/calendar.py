@@ -5,24 +5,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .windows import asof_backward
+
 
 def weekday(day: Column) -> Column:
     """0 for Sunday of a day number since 1970."""
     return F.pmod(day + 4, F.lit(7))
 
 
+def clock_seconds(date: Column, clock: str | Column, zone: str) -> Column:
+    """Epoch seconds of a local clock time ("HH:MM") on a date, whatever the session's time zone."""
+    clock = F.lit(clock) if isinstance(clock, str) else clock
+    local = F.concat(date.cast("string"), F.lit(" "), clock, F.lit(":00")).cast("timestamp_ntz")
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", start, F.convert_timezone(F.lit(zone), F.lit("UTC"), local))
+
+
+def date_of(day: Column) -> Column:
+    """The date of a day number since 1970."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int"))
+
+
+def day_of(date: Column) -> Column:
+    return F.datediff(date, F.lit("1970-01-01").cast("date")).cast("bigint")
+
+
 def generate_sessions(days: DataFrame, zone: str, opens: str, closes: str) -> DataFrame:
     """day, open_at, close_at (epoch seconds) of weekdays, from local clock times; a close before the open is the next day's."""
-    local = lambda text, add: F.unix_timestamp(F.to_utc_timestamp(
-        F.to_timestamp(F.concat(F.date_add("date", add).cast("string"), F.lit(f" {text}:00"))), zone,
-    ))
     overnight = 1 if closes <= opens else 0
-    d = (
-        days.select("day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("date"))
-        .where(weekday(F.col("day")).between(1, 5))
-    )
-    zero = F.unix_timestamp(F.to_timestamp(F.lit("1970-01-01 00:00:00")))
-    return d.select("day", (local(opens, 0) - zero).alias("open_at"), (local(closes, overnight) - zero).alias("close_at"))
+    d = days.select("day").where(weekday(F.col("day")).between(1, 5))
+    date = date_of(F.col("day"))
+    return d.select("day", clock_seconds(date, opens, zone).alias("open_at"), clock_seconds(F.date_add(date, overnight), closes, zone).alias("close_at"))
+
+
+def easter(year: Column) -> Column:
+    """Easter Sunday of a year, by the Gregorian moon tables: the day after the Paschal full moon's week."""
+    century = F.floor(year / 100)
+    golden = year % 19
+    epact = F.pmod(century - F.floor(century / 4) - F.floor((8 * century + 13) / 25) + 19 * golden + 15, F.lit(30))
+    moon = epact - F.floor(epact / 28) * (1 - F.floor(epact / 28) * F.floor(F.lit(29) / (epact + 1)) * F.floor((21 - golden) / 11))
+    day = F.pmod(year + F.floor(year / 4) + moon + 2 - century + F.floor(century / 4), F.lit(7))
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), (moon - day).cast("int"))
+
+
+def nth_weekday(year: Column, month: int, which: int, n: int) -> Column:
+    """The n-th weekday (0 for Sunday) of a month; n = -1 for the last one."""
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    if n > 0:
+        return F.date_add(first, (F.pmod(which - weekday(day_of(first)), F.lit(7)) + 7 * (n - 1)).cast("int"))
+    last = F.last_day(first)
+    return F.date_sub(last, F.pmod(weekday(day_of(last)) - which, F.lit(7)).cast("int"))
+
+
+def observed(date: Column, saturdays: bool = True) -> Column:
+    """The weekday on which a fixed holiday is kept: Monday for a Sunday, Friday for a Saturday (or not at all)."""
+    of = weekday(day_of(date))
+    return F.when(of == 0, F.date_add(date, 1)).when(of == 6, F.date_sub(date, 1) if saturdays else F.lit(None).cast("date")).otherwise(date)
+
+
+def exchange_closures(years: DataFrame) -> DataFrame:
+    """day, early of the New York exchange's holidays (early false) and half days (true) in the years (year), by the rules in force in each."""
+    y = F.col("year")
+    fixed = lambda month, day: F.make_date(y, F.lit(month), F.lit(day))
+    since = lambda first, date: F.when(y >= first, date)
+    thanks = nth_weekday(y, 11, 4, 4)
+    half = lambda date, days: F.when(weekday(day_of(date)).between(*days), date)
+    full = [
+        observed(fixed(1, 1), saturdays=False), since(1998, nth_weekday(y, 1, 1, 3)), nth_weekday(y, 2, 1, 3), F.date_sub(easter(y), 2), nth_weekday(y, 5, 1, -1),
+        since(2022, observed(fixed(6, 19))), observed(fixed(7, 4)), nth_weekday(y, 9, 1, 1), thanks, observed(fixed(12, 25)),
+    ]
+    early = [half(fixed(7, 3), (1, 4)), F.date_add(thanks, 1), half(fixed(12, 24), (1, 4))]
+    told = F.explode(F.array(*(F.struct(d.alias("date"), F.lit(e).alias("early")) for ds, e in ((full, False), (early, True)) for d in ds)))
+    return years.select(told.alias("c")).where("c.date is not null").select(day_of(F.col("c.date")).alias("day"), "c.early")
+
+
+def exchange_sessions(days: DataFrame, zone: str = "America/New_York", opens: str = "09:30", closes: str = "16:00", early: str = "13:00") -> DataFrame:
+    """day, open_at, close_at, early of the exchange's sessions among the days (day): weekdays without a holiday, shorter on half days."""
+    days = days.select("day").where(weekday(F.col("day")).between(1, 5))
+    years = days.select(F.year(date_of(F.col("day"))).alias("year")).distinct()
+    told = days.join(exchange_closures(years), "day", "left").where("early is null or early")
+    date, half = date_of(F.col("day")), F.coalesce("early", F.lit(False))
+    close = clock_seconds(date, F.when(half, F.lit(early)).otherwise(F.lit(closes)), zone)
+    return told.select("day", clock_seconds(date, opens, zone).alias("open_at"), close.alias("close_at"), half.alias("early"))
+
+
+def session_hours(sessions: DataFrame) -> DataFrame:
+    """hour, day: the clock hours that sessions overlap."""
+    first, last = F.floor(F.col("open_at") / 3600) * 3600, F.floor((F.col("close_at") - 1) / 3600) * 3600
+    return sessions.select(F.explode(F.sequence(first, last, F.lit(3600).cast("bigint"))).alias("hour"), "day")
+
+
+def hours_between(asked: DataFrame, hours: DataFrame, since: str, until: str, out: str) -> DataFrame:
+    """asked with the number of hours (hour) that begin after `since` and before `until`: two lookups in their running count, no range join."""
+    ranked = hours.select("hour").distinct().withColumn("_line", F.lit(0))
+    ranked = ranked.withColumn("_count", F.row_number().over(Window.partitionBy("_line").orderBy("hour")).cast("bigint"))  # an hour of the calendar a row
+    told = asked.withColumns({"_line": F.lit(0), "_until": F.col(until) - 1})
+    for at, name in ((since, "_upto"), ("_until", "_by")):
+        told = asof_backward(told, ranked.withColumnRenamed("_count", name), ["_line"], at, "hour", [name], bin_size=30 * 86_400)
+    return told.select(*asked.columns, F.greatest(F.coalesce("_by", F.lit(0)) - F.coalesce("_upto", F.lit(0)), F.lit(0)).cast("bigint").alias(out))
 
 
 def local_seconds(at: Column, zone: str) -> Column:

@@ -426,6 +426,73 @@ def b2(spark, sf):
     return b.select("asset", "hour", quality.invalid_reason(0.01).alias("reason"))
 
 
+#: The exchange's calendar by its rules, from the days in `span` (a, b: first and last day number): Easter by its tables, weekdays counted in each month.
+_SESSIONS = """cal AS (SELECT unnest(generate_series(a, b)) AS day FROM span), cd AS (SELECT day, DATE '1970-01-01' + day::INT AS d FROM cal),
+yrs AS (SELECT DISTINCT year(d) AS y FROM cd), g AS (SELECT y, y // 100 AS c, y % 19 AS n FROM yrs),
+g1 AS (SELECT *, (c - c // 4 - (c - (c - 17) // 25) // 3 + 19 * n + 15) % 30 AS i FROM g),
+g2 AS (SELECT *, i - (i // 28) * (1 - (i // 28) * (29 // (i + 1)) * ((21 - n) // 11)) AS m FROM g1),
+eas AS (SELECT y, make_date(y, 3, 28) + (m - (y + y // 4 + m + 2 - c + c // 4) % 7)::INT AS sunday FROM g2),
+alld AS (SELECT DATE '1990-01-01' + x::INT AS d FROM (SELECT unnest(range(20000)) AS x)),
+nth AS (SELECT d, year(d) AS y, month(d) AS mo, dayofweek(d) AS w, (day(d) - 1) // 7 + 1 AS n, month(d + 7) <> month(d) AS final FROM alld),
+fix AS (SELECT d, y, CASE WHEN w = 0 THEN d + 1 WHEN w = 6 AND NOT (mo = 1) THEN d - 1 WHEN w = 6 THEN NULL ELSE d END AS kept FROM nth
+  WHERE (mo = 1 AND day(d) = 1) OR (mo = 6 AND day(d) = 19 AND y >= 2022) OR (mo = 7 AND day(d) = 4) OR (mo = 12 AND day(d) = 25)),
+shut AS (SELECT kept AS d FROM fix UNION SELECT sunday - 2 FROM eas UNION SELECT d FROM nth WHERE w = 1 AND ((mo = 1 AND n = 3 AND y >= 1998) OR (mo = 2 AND n = 3)
+  OR (mo = 5 AND final) OR (mo = 9 AND n = 1)) UNION SELECT d FROM nth WHERE mo = 11 AND w = 4 AND n = 4),
+half AS (SELECT d + 1 AS d FROM nth WHERE mo = 11 AND w = 4 AND n = 4 UNION SELECT d FROM nth WHERE w BETWEEN 1 AND 4 AND ((mo = 7 AND day(d) = 3) OR
+  (mo = 12 AND day(d) = 24))),
+sessions AS (SELECT day, epoch_us(timezone('America/New_York', d + TIME '09:30:00')) // 1000000 AS open_at, epoch_us(timezone('America/New_York', d + CASE WHEN d IN
+  (FROM half) THEN TIME '13:00:00' ELSE TIME '16:00:00' END)) // 1000000 AS close_at, d IN (FROM half) AS early FROM cd WHERE dayofweek(d) BETWEEN 1 AND 5 AND d NOT
+  IN (SELECT d FROM shut WHERE d IS NOT NULL))"""
+_ORDER_DAYS = "span AS (SELECT min(epoch_us(o_orderdate)) // 86400000000 AS a, max(epoch_us(o_orderdate)) // 86400000000 AS b FROM orders)"
+
+
+def _days(rows, day, more=0):
+    """Every day from the first to the last of the rows, and `more`."""
+    span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a is not null")
+    return span.select(F.explode(F.sequence("a", F.col("b") + more)).alias("day"))
+
+
+def order_sessions(spark, sf, more=0):
+    return calendar.exchange_sessions(_days(table(spark, sf, "orders").select(F.floor(epoch("o_orderdate") / 86400).alias("d")), "d", more))
+
+
+@query("A29_exchange_sessions", f"WITH {_ORDER_DAYS}, {_SESSIONS} SELECT day, open_at, close_at, early FROM sessions")
+def a29_sessions(spark, sf):
+    """The exchange's sessions over the years of the orders: holidays by rule, half days, opening and closing by the local clock."""
+    return order_sessions(spark, sf)
+
+
+@query("B10_trading_day", f"""WITH {_ORDER_DAYS.replace(' AS b', ' + 15 AS b')}, {_SESSIONS}, t AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 + o_orderkey % 24 * 3600 +
+  1800 AS t FROM orders)
+SELECT o_orderkey, min(day) AS trading_day FROM t JOIN sessions ON close_at > t AND close_at < t + 15 * 86400 GROUP BY 1""")
+def b10_days(spark, sf):
+    """The trading day that each order's time belongs to: the first session that closes after it, across nights, weekends and holidays."""
+    s = order_sessions(spark, sf, more=15).select(F.lit(0).alias("line"), "close_at", F.col("day").alias("trading_day"))
+    t = stamps(spark, sf).withColumn("line", F.lit(0))
+    # times are negated, so that the first close after is the last before; bins are months
+    back = s.select("line", (-F.col("close_at")).alias("at"), "trading_day")
+    out = windows.asof_backward(t.withColumn("at", -F.col("t") - 1), back, ["line"], "at", "at", ["trading_day"], bin_size=30 * 86_400)
+    return out.select("o_orderkey", "trading_day")
+
+
+@query("E26_stale_session_hours", f"""WITH {BARS}, span AS (SELECT min(hour) // 86400 AS a, max(hour) // 86400 + 1 AS b FROM bars), {_SESSIONS},
+hs AS (SELECT DISTINCT unnest(generate_series(open_at // 3600 * 3600, (close_at - 1) // 3600 * 3600, 3600)) AS hour FROM sessions),
+q AS (SELECT asset, hour // 86400 AS d, max(hour) FILTER (n_src > 1) AS own FROM bars GROUP BY 1, 2),
+k AS (SELECT asset, d, (d + 1) * 86400 AS now, max(own) OVER (PARTITION BY asset ORDER BY d) AS newest FROM q)
+SELECT asset, d, count(hs.hour) AS stale_hours, count(hs.hour) >= 2 AS alert, count(hs.hour) = 0 AS nothing FROM k LEFT JOIN hs ON hs.hour > newest AND hs.hour < now
+WHERE newest IS NOT NULL GROUP BY 1, 2""")
+def e26_sessions(spark, sf):
+    """At each midnight, the session hours since an instrument's newest full bar (two ticks or more): none means that nothing can have appeared."""
+    b = market.bars(spark, sf)
+    d = F.floor(F.col("hour") / 86400)
+    hours = calendar.session_hours(calendar.exchange_sessions(_days(b.select(d.alias("d")), "d", 1)))
+    newest = F.max(F.when(F.col("n_src") > 1, F.col("hour")))
+    k = b.groupBy("asset", d.alias("d")).agg(newest.alias("own"))
+    k = k.select("asset", "d", ((F.col("d") + 1) * 86400).alias("now"), F.max("own").over(Window.partitionBy("asset").orderBy("d")).alias("newest"))
+    out = calendar.hours_between(k.where("newest is not null"), hours, "newest", "now", "stale_hours")
+    return out.select("asset", "d", "stale_hours", (F.col("stale_hours") >= 2).alias("alert"), (F.col("stale_hours") == 0).alias("nothing"))
+
+
 @query("B3_in_session", f"""WITH {BARS} SELECT asset, hour, (hour // 86400 + 4) % 7 BETWEEN 1 AND 5 AND hour % 86400 < 75600 AND hour % 86400 + 3600 >
   52200 AS in_session FROM bars""")
 def b3(spark, sf):

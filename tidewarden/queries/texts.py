@@ -43,13 +43,13 @@ def g_dates(spark, sf):
   to_date(o_orderdate))""").cast("long").alias("iso_year"), F.weekofyear(d).cast("long").alias("iso_week"), F.last_day(d).cast("string").alias("month_end"), F.date_format(d, "dd.MM.yyyy").alias("local"))
 
 
-@query("G_strings", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS
-  slug, replace(replace(replace(left(text, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, concat_ws('|', lang, source) AS tags,
+@query("G_strings", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS
+  slug, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, concat_ws('|', lang, source) AS tags,
   split_part(text, chr(10), 1) = text AS one_line FROM documents""")
 def g_strings(spark, sf):
     d = table(spark, sf, "documents")
     return d.select(
-        "doc_id", scalars.slug(F.left("text", F.lit(60))).alias("slug"), scalars.html_escape(F.left("text", F.lit(40))).alias("escaped"),
+        "doc_id", scalars.slug("text").alias("slug"), scalars.html_escape("text").alias("escaped"),
         F.concat_ws("|", "lang", "source").alias("tags"), (F.split_part("text", F.lit("\n"), F.lit(1)) == F.col("text")).alias("one_line"),
     )
 
@@ -57,7 +57,7 @@ def g_strings(spark, sf):
 @query("G_strings_whole", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
   replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents""")
 def g_strings_whole(spark, sf):
-    """The slug and the escaping of whole texts; G_strings and its SQL take the beginnings."""
+    """The slug and the escaping of whole texts."""
     return (
         table(spark, sf, "documents").select("doc_id", scalars.slug(F.col("text")).alias("slug"), scalars.html_escape(F.col("text")).alias("escaped"))
     )
