@@ -179,10 +179,9 @@ def test_token_counts(spark, monkeypatch):
     docs = frame(spark, rows)
     key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
     want = sorted((r for r in sentencepiece.encode_documents(docs).select("doc_id", "n_tokens").collect()), key=key)
-    for block, size in ((3, 2), (64, 3), (token_files.BLOCK_TOKENS, 5000)):
-        monkeypatch.setattr(token_files, "FILE_DOCUMENTS", size)
+    for block, size in ((3, 100), (64, 4096), (token_files.BLOCK_TOKENS, token_files.FILE_BYTES)):
         # the plan is dealt out anew at each scan; names and tokens are of one scan
-        got = token_files.document_counts(docs.repartition(3, F.rand()), block=block).collect()
+        got = token_files.document_counts(docs.repartition(3, F.rand()), block=block, file_bytes=size).collect()
         assert sorted(got, key=key) == want
     assert token_files.document_counts(frame(spark, [])).count() == 0
 
@@ -323,6 +322,17 @@ def test_toxicity_folds_and_learns(spark):
     assert {r.score for r in toxicity.score_documents(docs.limit(3), empty).collect()} == {0.0}
 
 
+def test_token_files_end_by_bytes(spark, tmp_path):
+    """Files of a few KB, and documents longer than that: each such document ends its file, and no file has another whole one behind it."""
+    rows = [(i, ("tokens of a document " * (2000 if i % 7 == 3 else i)).strip(), "s") for i in range(40)]
+    token_files.write_files(frame(spark, rows).coalesce(2), str(tmp_path / "t"), file_bytes=4096)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "t").glob("kind=tokens/roll=*/part-*"))
+    longest = max(token_files.document_counts(frame(spark, rows)).toPandas()["n_tokens"]) * 2 + 2
+    assert len(sizes) > 8 and longest > 4096 and max(sizes) <= 4096 + longest
+    got = {r.doc_id: r.n_tokens for r in token_files.document_counts(frame(spark, rows), file_bytes=4096).collect()}
+    assert got == {r.doc_id: r.n_tokens for r in sentencepiece.encode_documents(frame(spark, rows)).collect()}
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

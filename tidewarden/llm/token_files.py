@@ -10,8 +10,8 @@ their own, 9 bytes and a separator each: the nth document of a token file is the
 or run again.
 
 Defined cases: null and empty texts are documents of no tokens; repeated rows are documents each; an empty
-table gives no document; other columns are ignored. A file is one value in a task, so it may have 2 GB at most; those written
-here have FILE_DOCUMENTS documents. A file whose last document lacks its separator raises ValueError,
+table gives no document; other columns are ignored. A file is one value in a task, so it may have 2 GB at most; a file written
+here ends with the document that passes FILE_BYTES, however many it holds. A file whose last document lacks its separator raises ValueError,
 as does a file whose size is not a multiple of the identifier's."""
 
 from __future__ import annotations
@@ -31,14 +31,17 @@ BLOCK_TOKENS = 1 << 19
 #: Bytes of an identifier, and the separator (</s> of the model in sentencepiece.py).
 WIDTH = 2
 SEPARATOR = 2
-#: Documents in a file at most.
-FILE_DOCUMENTS = 5_000
+#: Bytes of tokens and names after which a task begins new files, and the files a task may have open.
+FILE_BYTES = 64 << 20
+OPEN_FILES = 1_000
 _CONCURRENT = "spark.sql.maxConcurrentOutputFileWriters"
 _NAME_BYTES = 9 + WIDTH
 
 
-def write_files(docs: DataFrame, path: str, model_path: str = sp.MODEL_PATH) -> None:
-    """Encode the texts of docs; write tokens to flat files under path/kind=tokens, and doc_ids in the same order to path/kind=names."""
+def write_files(docs: DataFrame, path: str, model_path: str = sp.MODEL_PATH, file_bytes: int = FILE_BYTES) -> None:
+    """Encode the texts of docs; write tokens to flat files under path/kind=tokens, and doc_ids in the same order to path/kind=names.
+
+    A task's files are numbered by the bytes before them (roll), the same for both kinds."""
     spark = docs.sparkSession
     c.small_batches(spark)
     with open(model_path, "rb") as f:
@@ -48,27 +51,30 @@ def write_files(docs: DataFrame, path: str, model_path: str = sp.MODEL_PATH) ->
         model = sp._model(proto.value)
         if len(model.pieces) > 1 << 8 * WIDTH:
             raise ValueError("the vocabulary does not fit the identifier's width")
+        written = 0
         for batch in batches:
             data, off = c.utf8(batch.column(1))
             for i, j in c.chunks(off):
                 ids, ends = model.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                upto = written + np.cumsum(np.diff(ends) * WIDTH + WIDTH + _NAME_BYTES)
+                roll, written = pa.array(np.concatenate(([written], upto[:-1])) // file_bytes), int(upto[-1])
                 names = np.zeros((j - i, 9), np.uint8)
                 doc = batch.column(0).slice(i, j - i)
                 names[:, 0] = doc.is_null().to_numpy(zero_copy_only=False)
                 names[:, 1:] = doc.fill_null(0).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
                 for kind, raw, at in (("tokens", ids.astype("<u2").tobytes(), ends * WIDTH), ("names", names.tobytes(), np.arange(j - i + 1) * 9)):
                     values = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * (j - i)), values], names=["kind", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * (j - i)), roll, values], names=["kind", "roll", "value"])
 
     rows = (
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "kind string, value binary")
-        .select("kind", F.col("value").cast("string"))
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "kind string, roll long, value binary")
+        .select("kind", "roll", F.col("value").cast("string"))
     )
     mark = SEPARATOR.to_bytes(WIDTH, "little").decode("latin-1")
     before = spark.conf.get(_CONCURRENT)
-    spark.conf.set(_CONCURRENT, "2")  # both kinds are open at once, so that rows are not sorted and stay in order
+    spark.conf.set(_CONCURRENT, str(OPEN_FILES))  # all of a task's files stay open, so that rows are not sorted and keep their order
     try:
-        rows.write.partitionBy("kind").option("lineSep", mark).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+        rows.write.partitionBy("kind", "roll").option("lineSep", mark).option("encoding", "ISO-8859-1").text(path)
     finally:
         spark.conf.set(_CONCURRENT, before)
 
@@ -80,8 +86,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _place() -> tuple:
-    """Task and number of a written file, from its path."""
-    return tuple(F.regexp_extract("file", r"part-(\d+)-[^/]*[-.]c(\d+)", i).cast("long").alias(n) for i, n in ((1, "task"), (2, "nth")))
+    """Roll and task of a written file, from its path."""
+    return tuple(F.regexp_extract("file", r"roll=(\d+)/part-(\d+)-", i).cast("long").alias(n) for i, n in ((1, "roll"), (2, "task")))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +160,9 @@ def count_tokens(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, sepa
     )
 
 
-def document_counts(docs: DataFrame, model_path: str = sp.MODEL_PATH, block: int = BLOCK_TOKENS) -> DataFrame:
+def document_counts(
+    docs: DataFrame, model_path: str = sp.MODEL_PATH, block: int = BLOCK_TOKENS, file_bytes: int = FILE_BYTES,
+) -> DataFrame:
     """doc_id, n_tokens: docs written to token files and counted from the files alone, with the names written beside them.
 
     The query fails if a document is missing from either."""
@@ -162,10 +170,10 @@ def document_counts(docs: DataFrame, model_path: str = sp.MODEL_PATH, block: int
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, n_tokens long")
     path = c.new_path(spark, "tokens")
-    write_files(docs, path, model_path)
+    write_files(docs, path, model_path, file_bytes)
     names = read_names(spark, f"{path}/kind=names").select(*_place(), "ordinal", "doc_id", F.lit(True).alias("named"))
     found = count_tokens(spark, f"{path}/kind=tokens", block).select(*_place(), "ordinal", "n_tokens")
-    both = names.join(found, ["task", "nth", "ordinal"], "full")
+    both = names.join(found, ["task", "roll", "ordinal"], "full")
     broken = F.when(
         F.col("n_tokens").isNull() | F.col("named").isNull(), F.raise_error(F.lit("a document is missing from the token files or the names")),
     )
