@@ -68,6 +68,38 @@ def judge(cands: DataFrame, feeds: DataFrame, names: DataFrame, skips: DataFrame
     return j.select(*cands.columns, "feed", answer.alias("answer"), F.when(own.isNotNull(), own).alias("own_move"))
 
 
+def retakes(cands: DataFrame, closes: DataFrame, reach: int) -> DataFrame:
+    """cands (with hour, found) with nth and at: each vote is taken when it is found (nth 0), and again at each end of a session (closes: day, close_at)
+    after that, as long as the sources still serve its hour (`reach` seconds). An equi-join on the days a vote is open."""
+    day = lambda c: F.floor(c / 86400)
+    open_ = cands.withColumn("day", F.explode(F.sequence(day(F.col("found")), F.greatest(day(F.col("found")), day(F.col("hour") + reach)))))
+    met = open_.join(closes.select("day", "close_at"), "day").where((F.col("close_at") > F.col("found")) & (F.col("close_at") <= F.col("hour") + reach))
+    again = met.select(*cands.columns, F.col("close_at").alias("at"))
+    nth = F.row_number().over(Window.partitionBy("asset", "hour").orderBy("at")).cast("bigint")
+    first = cands.select(*cands.columns, F.col("found").alias("at"))
+    return first.withColumn("nth", F.lit(0).cast("bigint")).unionByName(again.withColumn("nth", nth))
+
+
+def recounts(takes: DataFrame, ticks: DataFrame) -> DataFrame:
+    """takes (asset, hour, prev_hour, move, nth, at) with verdict, n_yes, n_no and changed: each vote by the ticks (asset, feed, t, event_id, price,
+    delivered) that had come when it was taken, and whether that overturns the vote before it."""
+    key = ["asset", "hour", "nth"]
+    ends = takes.select(*key, "at", F.explode(F.array(*(F.struct(F.lit(i).alias("end"), F.col(c).alias("of")) for i, c in ((0, "prev_hour"), (1, "hour"))))).alias("e"))
+    held = ticks.where("price > 0").select("asset", "feed", (F.floor(F.col("t") / 3600) * 3600).alias("of"), "event_id", "price", "delivered")
+    known = ends.select(*key, "at", "e.end", "e.of").join(held, ["asset", "of"]).where("delivered <= at")
+    last = lambda i: F.max(F.when(F.col("end") == i, F.struct("event_id", "price")))["price"].alias(f"c{i}")
+    own = known.groupBy(*key, "feed").agg(last(0), last(1)).withColumn("own", F.ln(F.col("c1") / F.col("c0"))).where("own is not null")
+    own = own.join(takes.select(*key, "move"), key)
+    same = (F.signum("own") == F.signum("move")) & (F.abs("own") >= SHARE * F.abs("move"))
+    n = own.groupBy(*key).agg(F.count_if(same).alias("c"), F.count_if(~same).alias("u"))
+    told = takes.join(n, key, "left").na.fill(0, ["c", "u"])
+    yes, no = F.col("c") + 1, F.col("u")
+    verdict = F.when(F.col("c") + F.col("u") == 0, "uncertain").when(yes > no, "real").when(yes == no, "uncertain").otherwise("not real")
+    told = told.select(*takes.columns, verdict.alias("verdict"), yes.alias("n_yes"), no.alias("n_no"))
+    before = F.lag("verdict").over(Window.partitionBy("asset", "hour").orderBy("nth"))
+    return told.withColumn("changed", F.coalesce(F.col("verdict") != before, F.lit(False)))
+
+
 def crosses(moves: DataFrame, changed: DataFrame) -> DataFrame:
     """asset, feed, hour of the moves (prev_hour, hour] in which the feed's contract changed: an equi-join on the days that a move touches."""
     day = lambda c: F.floor(F.col(c) / 86400)

@@ -427,7 +427,7 @@ def b2(spark, sf):
 
 
 #: The exchange's calendar by its rules, from the days in `span` (a, b: first and last day number): Easter by its tables, weekdays counted in each month.
-_SESSIONS = """cal AS (SELECT unnest(generate_series(a, b)) AS day FROM span), cd AS (SELECT day, DATE '1970-01-01' + day::INT AS d FROM cal),
+SESSIONS = """cal AS (SELECT unnest(generate_series(a, b)) AS day FROM span), cd AS (SELECT day, DATE '1970-01-01' + day::INT AS d FROM cal),
 yrs AS (SELECT DISTINCT year(d) AS y FROM cd), g AS (SELECT y, y // 100 AS c, y % 19 AS n FROM yrs),
 g1 AS (SELECT *, (c - c // 4 - (c - (c - 17) // 25) // 3 + 19 * n + 15) % 30 AS i FROM g),
 g2 AS (SELECT *, i - (i // 28) * (1 - (i // 28) * (29 // (i + 1)) * ((21 - n) // 11)) AS m FROM g1),
@@ -446,23 +446,23 @@ sessions AS (SELECT day, epoch_us(timezone('America/New_York', d + TIME '09:30:0
 _ORDER_DAYS = "span AS (SELECT min(epoch_us(o_orderdate)) // 86400000000 AS a, max(epoch_us(o_orderdate)) // 86400000000 AS b FROM orders)"
 
 
-def _days(rows, day, more=0):
+def all_days(rows, day, more=0):
     """Every day from the first to the last of the rows, and `more`."""
     span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a is not null")
     return span.select(F.explode(F.sequence("a", F.col("b") + more)).alias("day"))
 
 
 def order_sessions(spark, sf, more=0):
-    return calendar.exchange_sessions(_days(table(spark, sf, "orders").select(F.floor(epoch("o_orderdate") / 86400).alias("d")), "d", more))
+    return calendar.exchange_sessions(all_days(table(spark, sf, "orders").select(F.floor(epoch("o_orderdate") / 86400).alias("d")), "d", more))
 
 
-@query("A29_exchange_sessions", f"WITH {_ORDER_DAYS}, {_SESSIONS} SELECT day, open_at, close_at, early FROM sessions")
+@query("A29_exchange_sessions", f"WITH {_ORDER_DAYS}, {SESSIONS} SELECT day, open_at, close_at, early FROM sessions")
 def a29_sessions(spark, sf):
     """The exchange's sessions over the years of the orders: holidays by rule, half days, opening and closing by the local clock."""
     return order_sessions(spark, sf)
 
 
-@query("B10_trading_day", f"""WITH {_ORDER_DAYS.replace(' AS b', ' + 15 AS b')}, {_SESSIONS}, t AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 + o_orderkey % 24 * 3600 +
+@query("B10_trading_day", f"""WITH {_ORDER_DAYS.replace(' AS b', ' + 15 AS b')}, {SESSIONS}, t AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 + o_orderkey % 24 * 3600 +
   1800 AS t FROM orders)
 SELECT o_orderkey, min(day) AS trading_day FROM t JOIN sessions ON close_at > t AND close_at < t + 15 * 86400 GROUP BY 1""")
 def b10_days(spark, sf):
@@ -475,7 +475,7 @@ def b10_days(spark, sf):
     return out.select("o_orderkey", "trading_day")
 
 
-@query("E26_stale_session_hours", f"""WITH {BARS}, span AS (SELECT min(hour) // 86400 AS a, max(hour) // 86400 + 1 AS b FROM bars), {_SESSIONS},
+@query("E26_stale_session_hours", f"""WITH {BARS}, span AS (SELECT min(hour) // 86400 AS a, max(hour) // 86400 + 1 AS b FROM bars), {SESSIONS},
 hs AS (SELECT DISTINCT unnest(generate_series(open_at // 3600 * 3600, (close_at - 1) // 3600 * 3600, 3600)) AS hour FROM sessions),
 q AS (SELECT asset, hour // 86400 AS d, max(hour) FILTER (n_src > 1) AS own FROM bars GROUP BY 1, 2),
 k AS (SELECT asset, d, (d + 1) * 86400 AS now, max(own) OVER (PARTITION BY asset ORDER BY d) AS newest FROM q)
@@ -485,7 +485,7 @@ def e26_sessions(spark, sf):
     """At each midnight, the session hours since an instrument's newest full bar (two ticks or more): none means that nothing can have appeared."""
     b = market.bars(spark, sf)
     d = F.floor(F.col("hour") / 86400)
-    hours = calendar.session_hours(calendar.exchange_sessions(_days(b.select(d.alias("d")), "d", 1)))
+    hours = calendar.session_hours(calendar.exchange_sessions(all_days(b.select(d.alias("d")), "d", 1)))
     newest = F.max(F.when(F.col("n_src") > 1, F.col("hour")))
     k = b.groupBy("asset", d.alias("d")).agg(newest.alias("own"))
     k = k.select("asset", "d", ((F.col("d") + 1) * 86400).alias("now"), F.max("own").over(Window.partitionBy("asset").orderBy("d")).alias("newest"))

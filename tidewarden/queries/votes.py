@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, jumps, vote
+from ..operators import blocks, calendar, jumps, vote
 from ..registry import query
 from ..sources import market
 from ..sources.staging import stage
 from .common import FEED_BARS, GOOD, LEAST, MOVES, WEEK, r6, usable
+from .scans import SESSIONS, all_days
 
 FOLD = "arg_min(price, event_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, event_id) AS close"
 CAND = f"""{FEED_BARS}, bars AS (SELECT asset, t // 3600 * 3600 AS hour, {FOLD} FROM ticks GROUP BY 1, 2),
@@ -92,6 +93,32 @@ def i1_yardsticks(spark, sf):
     return out.select("asset", "kind", "hour", "doubt", r6("z_raw"), r6("z_corrected"))
 
 
+#: How long the nearest source serves an hour, and how late one tick in eleven comes.
+_REACH, _LATE = 10 * market.DAY, 3 * market.DAY
+
+
+@query("H8_recounts", f"""WITH {CAND}, span AS (SELECT min(hour) // 86400 AS a, max(hour) // 86400 + 11 AS b FROM cand), {SESSIONS},
+tk AS (SELECT *, t // 3600 * 3600 AS of, t + CASE WHEN event_id % 11 = 0 THEN {_LATE} * (1 + event_id % 2) ELSE 0 END AS delivered FROM ticks WHERE price > 0),
+takes AS (SELECT asset, hour, prev_hour, move, 0 AS nth, hour + 3600 AS "at" FROM cand UNION ALL SELECT asset, hour, prev_hour, move, row_number() OVER (PARTITION BY asset,
+  hour ORDER BY close_at), close_at FROM cand JOIN sessions ON close_at > hour + 3600 AND close_at <= hour + {_REACH}),
+e1 AS (SELECT k.asset, k.hour, nth, feed, arg_max(price, event_id) AS c FROM takes k JOIN tk ON tk.asset = k.asset AND of = k.hour AND delivered <= k."at" GROUP BY 1, 2, 3, 4),
+e0 AS (SELECT k.asset, k.hour, nth, feed, arg_max(price, event_id) AS c FROM takes k JOIN tk ON tk.asset = k.asset AND of = k.prev_hour AND delivered <= k."at" GROUP BY 1, 2, 3,
+  4),
+o AS (SELECT k.*, ln(e1.c / e0.c) AS own FROM takes k JOIN e1 USING (asset, hour, nth) JOIN e0 USING (asset, hour, nth, feed)),
+n AS (SELECT asset, hour, nth, count(*) FILTER (sign(own) = sign(move) AND abs(own) >= 0.5 * abs(move)) AS c, count(*) AS all_ FROM o GROUP BY 1, 2, 3),
+v AS (SELECT asset, hour, nth, "at", coalesce(c, 0) + 1 AS n_yes, coalesce(all_ - c, 0) AS n_no FROM takes LEFT JOIN n USING (asset, hour, nth)),
+w AS (SELECT *, CASE WHEN n_yes + n_no = 1 THEN 'uncertain' WHEN n_yes > n_no THEN 'real' WHEN n_yes = n_no THEN 'uncertain' ELSE 'not real' END AS verdict FROM v)
+SELECT asset, hour, nth::BIGINT AS nth, "at", verdict, n_yes, n_no, coalesce(verdict <> lag(verdict) OVER (PARTITION BY asset, hour ORDER BY nth), FALSE) AS changed FROM w""")
+def h8_recounts(spark, sf):
+    """Every taking of every vote: when its move is found, then after each session until the nearest source no longer serves it, by what had come by then."""
+    late = F.when(F.col("event_id") % 11 == 0, _LATE * (1 + F.col("event_id") % 2)).otherwise(0)
+    ticks = market.ticks(spark, sf).withColumn("delivered", F.col("t") + late)
+    found = vote.candidates(market.bars(spark, sf), 1.0).withColumn("found", F.col("hour") + 3600).select("asset", "hour", "prev_hour", "move", "found")
+    days = all_days(found.select(F.floor(F.col("hour") / market.DAY).alias("d")), "d", 11)
+    takes = stage(vote.retakes(found, calendar.exchange_sessions(days), _REACH), "takes")
+    return vote.recounts(takes, ticks).select("asset", "hour", "nth", "at", "verdict", "n_yes", "n_no", "changed")
+
+
 @query("I2_judge", f"WITH {JUDGED} SELECT asset, hour, feed, answer, round(own, 6) AS own_move FROM judged")
 def i2(spark, sf):
     return judged(spark, sf).select("asset", "hour", "feed", "answer", r6("own_move"))
