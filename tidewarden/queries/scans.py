@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..operators import bars as ob
 from ..operators import calendar, quality, vote, windows
 from ..registry import query
-from ..sources import market
+from ..sources import candlefiles, market
 from ..sources.staging import exists, new_path, stage
 from .common import BARS, FEED_BARS, TICKS, r6
 
@@ -390,6 +390,41 @@ def a28(spark, sf):
     return e.withColumn("stopped", stopped).groupBy("class").agg(*counts)
 
 
+_MIDS = f"""WITH {BARS} SELECT asset AS symbol, hour AS t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, n_src::DOUBLE AS
+  volume FROM bars WHERE least(open, high, low, close) > 0.01"""
+
+
+def archive(spark, sf):
+    """An archive of bid and ask candles, a point to either side of the bars, with fillers at the hours without any."""
+    b = market.bars(spark, sf).where(F.least("open", "high", "low", "close") > 0.01)
+    b = b.select(F.col("asset").alias("symbol"), F.col("hour").alias("t"), "open", "high", "low", "close", F.col("n_src").cast("double").alias("volume"))
+    side = lambda name, d: b.select("symbol", F.lit(name).alias("side"), "t", *((F.col(p) + d).alias(p) for p in candlefiles.PRICES), "volume")
+    rows = stage(side("BID", -0.01).unionByName(side("ASK", 0.01)), "candles")
+    empty = ob.expected_hours(rows, ["symbol", "side"], "t", 3600).join(rows.select("symbol", "side", "t"), ["symbol", "side", "t"], "left_anti")
+    fill = empty.select("*", *(F.lit(1.0).alias(p) for p in candlefiles.PRICES), F.lit(0.0).alias("volume"))
+    path = new_path(spark, "archive")
+    candlefiles.write_candles(rows.unionByName(fill), path)
+    return path
+
+
+def _six(rows):
+    return rows.select("symbol", "t", *(r6(p) for p in candlefiles.PRICES), "volume")
+
+
+@query("A22_candle_files", _MIDS)
+def a22_files(spark, sf):
+    """Compressed binary candles written and read by a data source: both sides joined to mids, fillers dropped."""
+    return _six(candlefiles.mids(spark.read.format("candle_files").load(archive(spark, sf))))
+
+
+@query("A22_candle_stream", _MIDS)
+def a22_stream(spark, sf):
+    """The same archive as a stream of files."""
+    from ..streaming.events import run_to_table
+
+    return _six(candlefiles.mids(run_to_table(spark.readStream.format("candle_files").load(archive(spark, sf)), "append")))
+
+
 @query("A29_expected_hours", f"""WITH {BARS}, d AS (SELECT DISTINCT asset, hour // 86400 AS d FROM bars), s AS (SELECT asset, d,
   unnest(generate_series(d * 86400 + 50400, d * 86400 + 72000, 3600)) AS hour FROM d WHERE (d + 4) % 7 BETWEEN 1 AND 5) SELECT s.asset, s.d, count(*)
   AS expected, count(b.hour) AS stored FROM s LEFT JOIN bars b ON b.asset = s.asset AND b.hour = s.hour GROUP BY 1, 2""")
