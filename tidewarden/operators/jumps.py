@@ -44,6 +44,18 @@ def channels(bars: DataFrame, keys: list[str], session: Column, hour: int = 3600
     )
 
 
+def with_nights(moves: DataFrame, keys: list[str], night: str = "night") -> DataFrame:
+    """Moves whose first hour the feeds saw happen overnight (`night`, their move; null elsewhere) moved into the night: the gap becomes the feeds'
+    night, with what else the stored gap had taken out, and r the rest of the move from the close before. The sum stays the store's; a gap that is
+    unscored stays so, as does a row without a move or a row before it."""
+    total = F.ln(F.col("close") / F.lag("close").over(Window.partitionBy(*keys).orderBy("hour")))
+    told = moves.withColumn("_total", F.when(F.col(night).isNotNull() & F.col("r").isNotNull(), total))
+    moved = F.col("_total").isNotNull()
+    gap = F.when(moved, F.col("gap") - (F.col("_total") - F.col("r")) + F.col(night)).otherwise(F.col("gap"))
+    r = F.when(moved, F.col("_total") - F.col(night)).otherwise(F.col("r"))
+    return told.withColumns({"gap": gap, "r": r}).drop("_total")
+
+
 def sigma(rows: DataFrame, keys: list[str], r: str, seconds: int, least: int, out: str = "sigma", at: str = "hour") -> DataFrame:
     """rows with the bipower yardstick of the readings strictly before each within `seconds`.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks, calendar, jumps, vote
-from ..registry import query
+from ..registry import SQL, query
 from ..sources import market
 from ..sources.staging import stage
 from .common import FEED_BARS, GOOD, LEAST, MOVES, WEEK, r6, usable
@@ -235,6 +235,21 @@ b{i + 1} AS MATERIALIZED (SELECT * FROM b{i} ANTI JOIN v{i} USING (asset, hour))
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT asset, hour, round FROM v{i}" for i in range(n))
 
 
+@query("E25_with_nights", f"""WITH {MOVES}, nights AS (SELECT asset, hour, night FROM ({SQL['I6_judge_found']}) WHERE verdict = 'overnight'),
+p AS (SELECT moves.*, ln(close / lag(close) OVER (PARTITION BY moves.asset ORDER BY moves.hour)) AS total, night FROM moves LEFT JOIN nights USING (asset, hour)),
+q AS (SELECT *, night IS NOT NULL AND r IS NOT NULL AND total IS NOT NULL AS moved FROM p)
+SELECT asset, hour, moved, round(CASE WHEN moved THEN total - night ELSE r END, 6) AS r, round(CASE WHEN moved THEN gap - (total - r) + night ELSE gap END, 6) AS gap
+FROM q""")
+def e25_nights(spark, sf):
+    """First hours that the feeds saw happen overnight, moved into their nights by the feeds' median; the nights' sizes are rounded as reported."""
+    nights = stage(i6(spark, sf).where("verdict = 'overnight'").select("asset", "hour", "night"), "nights")
+
+    bars = usable(market.bars(spark, sf)).join(nights, ["asset", "hour"], "left")
+    m = blocks.dealt(bars, ["asset"], "hour", 0, 1, lambda b, keys: jumps.channels(b, keys, F.floor(F.col("hour") / market.DAY)))
+    out = blocks.dealt(m, ["asset"], "hour", 0, 1, jumps.with_nights)
+    return out.select("asset", "hour", (F.col("night").isNotNull() & F.col("r").isNotNull()).alias("moved"), r6("r"), r6("gap"))
+
+
 @query("I7_vote_fixpoint", _rounds(4))
 def i7(spark, sf):
     """Moves voted down leave the store and the rest is judged again, four rounds at most (a driver loop over staged bars)."""
