@@ -48,6 +48,8 @@ STEPS = 16
 
 #: Documents of a frequent shingle that one task is to get about.
 HOT_ROWS = 256
+#: Share of a round's pairs above which a class's rows meet it by broadcast.
+HOT_SHARE = 1 / 50
 #: Leaders of a shingle in each round, at most; the last number holds for all further rounds.
 LEADERS = (1, 8, 4096)
 
@@ -113,13 +115,30 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return made.withColumn("doc_id", F.when(F.octet_length("digest") == 16, F.col("doc"))).drop("doc")
 
 
+def _with_side(found: DataFrame, of: DataFrame, column: str, x: str, hot: DataFrame | None) -> DataFrame:
+    """found with the column of class x of each pair. hot (sig, n): classes in so many pairs that their rows are not dealt by class: their columns, few by
+    number and measured by bytes, are broadcast."""
+    on = [f"sig_{x}", f"n_{x}"]
+    told = of.select(F.col("sig").alias(on[0]), F.col("n").cast("int").alias(on[1]), F.col(column).alias(f"{column}_{x}"))
+    if hot is not None:
+        keys = hot.select(F.col("sig").alias(on[0]), F.col("n").alias(on[1]))
+        few = c.stage(told.join(F.broadcast(keys), on, "left_semi"), "hot-classes")
+        if c.small(few):
+            return found.join(F.broadcast(few), on).unionByName(found.join(F.broadcast(keys), on, "left_anti").join(told, on))
+    return found.join(told, on)
+
+
 def _with_both(found: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """found (sig_a, n_a, sig_b, n_b) with the column of either class."""
-    side = lambda x: of.select(
-        F.col("sig").alias(f"sig_{x}"), F.col("n").cast("int").alias(f"n_{x}"), F.col(column).alias(f"{column}_{x}"),
-    )
-    both = found.join(side("a"), ["sig_a", "n_a"]).join(side("b"), ["sig_b", "n_b"])
-    return both.select("sig_a", "n_a", "sig_b", "n_b", f"{column}_a", f"{column}_b")
+    """found (staged: sig_a, n_a, sig_b, n_b) with the column of either class."""
+    side = lambda x: found.select(F.lit(x).alias("side"), F.col(f"sig_{x}").alias("sig"), F.col(f"n_{x}").alias("n"))
+    sides, n = {}, found.count()
+    if n > HOT_ROWS:
+        counts = side("a").unionByName(side("b")).groupBy("side", "sig", "n").agg(F.count(F.lit(1)).alias("pairs"))
+        hot = c.stage(counts.where(F.col("pairs") > max(HOT_SHARE * n, HOT_ROWS)), "hot-ends")  # 2 / HOT_SHARE rows at most
+        sides = {r.side: hot.where(F.col("side") == r.side) for r in hot.select("side").distinct().collect()}
+    for x in ("a", "b"):
+        found = _with_side(found, of, column, x, sides.get(x))
+    return found.select("sig_a", "n_a", "sig_b", "n_b", f"{column}_a", f"{column}_b")
 
 
 def possible(found: DataFrame, bitmaps: DataFrame, t: int) -> DataFrame:
