@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import brackets, scalars
 from ..operators import windows
 from ..registry import query
 from ..sources import market
@@ -72,6 +72,19 @@ def g_urls(spark, sf):
     )
 
 
+@query("G_balanced_blocks", """SELECT page_id, url, length(html) AS n, '{margin:0}' AS style FROM pages WHERE html IS NOT NULL AND url IS NOT NULL AND contains(html,
+  '<style>p{margin:0}</style>')""")
+def g_balanced(spark, sf):
+    """Each page with its own record as JSON in a script: the record found by its brackets, quotes and escapes masked, and read; and the page's style."""
+    p = table(spark, sf, "pages").where("html is not null and url is not null")
+    record = F.to_json(F.struct("page_id", "url", F.struct(F.col("html").alias("{text}")).alias("in")))
+    whole = F.concat("html", F.lit("<script>RECORD ="), record, F.lit(";</script>}}\"{"))
+    read = brackets.balanced(p.select("page_id", whole.alias("text")), "text", "<script>RECORD").select("page_id", "text", F.col("blocks")[0].alias("record"))
+    read = brackets.balanced(read, "text", "<style>p").select("page_id", F.col("blocks")[0].alias("style"), F.from_json(
+        "record", "page_id long, url string, in struct<`{text}`: string>").alias("r"))
+    return read.where("style is not null").select("r.page_id", "r.url", F.char_length(F.col("r.in")["{text}"]).cast("long").alias("n"), "style")
+
+
 @query("G_hashes", "SELECT doc_id, substr(sha256(text), 1, 16) AS a, substr(sha1(text), 1, 12) AS b, md5(text) AS c FROM documents")
 def g_hashes(spark, sf):
     return (
