@@ -133,7 +133,7 @@ ODD = [
 
 
 @pytest.mark.parametrize(
-    ("rows", "step"), [(MANY, 1), (MANY, 3), (MANY, 8), (ODD, 2), (ODD + ODD[2:3] * 40, 2), (ODD[:1], 8), ([], 8), ([(i, "s", str(i), i, "t") for i in range(5)], 1)],
+    ("rows", "step"), [(MANY, 3), (MANY, 8), (ODD + ODD[2:3] * 40, 2), (ODD[:1], 8), ([], 8), ([(i, "s", str(i), i, "t") for i in range(5)], 1)],
 )
 def test_manifest_against_a_loop(spark, rows, step):
     docs = spark.createDataFrame([(*r, "n", 1, "b", "c") for r in rows], LEAVES)
