@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import bars as ob
-from ..operators import calendar, quality, vote, windows
+from ..operators import calendar, quality, store, vote, windows
 from ..registry import query
 from ..sources import candlefiles, market
 from ..sources.staging import exists, new_path, stage
@@ -159,6 +159,24 @@ def a6(spark, sf):
     return g.select("m", "n", (F.col("e") + 7 * 86400 <= F.col("newest")).alias("settled"))
 
 
+@query("A6_shards_by_year", """WITH o AS (SELECT o_orderkey, o_orderdate AS d, max(o_orderdate) OVER () AS newest FROM orders),
+k AS (SELECT * FROM o WHERE date_trunc('month', d) <> date_trunc('month', newest) - INTERVAL 2 MONTH)
+SELECT CASE WHEN date_trunc('year', d) + INTERVAL 1 YEAR + INTERVAL 7 DAY <= newest THEN strftime(d, '%Y') ELSE strftime(d, '%Y-%m') END AS shard, count(*) AS n,
+  sum(o_orderkey)::BIGINT AS total FROM k GROUP BY 1""")
+def a6_shards(spark, sf):
+    """A store written up to the middle of the orders, then with all of them but one month's: settled years are folded, and the shard left without rows is gone."""
+    o = table(spark, sf, "orders").select("o_orderkey", epoch("o_orderdate").alias("t"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    o = stage(o, "orders")
+    ends = o.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.date_format(F.add_months(F.max(F.to_date(F.concat("month", F.lit("-01")))), -2), "yyyy-MM").alias("gone")).first()
+    path, rows = new_path(spark, "shards"), o.drop("month")
+    if ends["lo"] is None:
+        return spark.createDataFrame([], "shard string, n long, total long")
+    store.write_shards(rows.where(F.col("t") <= (ends["lo"] + ends["hi"]) // 2), path)
+    store.write_shards(rows, path)
+    store.write_shards(o.where(F.col("month") != ends["gone"]).drop("month"), path)
+    return store.read_shards(spark, path, rows.schema).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+
+
 @query("A8_removed_bars", f"WITH {_MERGE} SELECT asset, count(*) FILTER (close IS NULL) AS removed FROM merged GROUP BY 1")
 def a8(spark, sf):
     return merged(spark, sf)[2].groupBy("asset").agg(F.count_if(F.col("close").isNull()).alias("removed"))
