@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .jumps import HALF_PI
 from .quantiles import exact_quantiles
-from .windows import range_mean
+from .windows import folded, range_mean
 
 #: The share of a move that a feed must show, and the step of a contract switch in basis points.
 SHARE = 0.5
@@ -164,3 +164,23 @@ def alignment(
     middle = exact_quantiles(j, keys, F.col("gap"), [0.5]).select(*keys, F.col("q0").alias("gap_bp"))
     g = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("da", "db").alias("corr")).join(middle, keys).join(far, keys)
     return g.withColumn("passes", F.coalesce((F.col("n") >= least) & (F.col("corr") >= corr) & (F.col("gap_bp") <= gap_bp), F.lit(False)))
+
+
+#: Seconds a feed must have failed before it is told, between two tellings, and after which a failure that wasn't repeated is forgotten.
+FAILING, AGAIN, STALE = 12 * 3600, 86_400, 3 * 86_400
+
+
+def failures_told(answers: DataFrame, failing: int = FAILING, again: int = AGAIN, stale: int = STALE) -> DataFrame:
+    """answers (asset, feed, hour, bad: no answer) with since (the first failure of the spell) and told: whether the feed is named at this hour.
+
+    A failure opens or goes on with a spell, an answer ends it, and a spell not heard of for `stale` is forgotten. A feed is named when it fails, has
+    failed for `failing` or more, and wasn't named within `again`."""
+
+    def step(state, hour, bad):
+        if not bad:
+            return None, (None, False)
+        since, last, told = state if state is not None and hour - state[1] <= stale else (hour, hour, None)
+        named = hour - since >= failing and (told is None or hour - told >= again)
+        return (since, hour, hour if named else told), (since, named)
+
+    return folded(answers, ["asset", "feed"], "hour", ["hour", "bad"], step, lambda: None, "since bigint, told boolean")

@@ -336,3 +336,19 @@ def d22(spark, sf):
         s.groupBy("asset", "feed", "spell").agg(F.min("hour").alias("opened"), F.max("hour").alias("last"), F.count(F.lit(1)).alias("n"))
         .drop("spell")
     )
+
+
+@query("D22_failures_told", f"""WITH RECURSIVE {JUDGED}, k AS (SELECT asset, feed, hour, answer = 'unknown' AS bad, row_number() OVER (PARTITION BY asset, feed ORDER BY
+  hour) AS i FROM judged),
+s(asset, feed, i, hour, bad, since, last, told_at, told) AS (
+  SELECT DISTINCT asset, feed, 0::BIGINT, NULL::BIGINT, FALSE, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, FALSE FROM k
+  UNION ALL
+  SELECT asset, feed, i, hour, bad, CASE WHEN bad THEN first END, CASE WHEN bad THEN hour END, CASE WHEN bad AND named THEN hour WHEN bad THEN before END, bad AND named
+  FROM (SELECT *, hour - first >= 43200 AND (before IS NULL OR hour - before >= 86400) AS named FROM (
+    SELECT k.asset, k.feed, k.i, k.hour, k.bad, CASE WHEN s.since IS NOT NULL AND k.hour - s.last <= 259200 THEN s.since ELSE k.hour END AS first,
+      CASE WHEN s.since IS NOT NULL AND k.hour - s.last <= 259200 THEN s.told_at END AS before FROM s JOIN k ON k.asset = s.asset AND k.feed = s.feed AND k.i = s.i + 1)))
+SELECT asset, feed, hour, since, told FROM s WHERE bad""")
+def d22_told(spark, sf):
+    """Spells of failures with what is said of them: opened, gone on with, forgotten, and named once a day at most."""
+    answers = judged(spark, sf).select("asset", "feed", "hour", (F.col("answer") == "unknown").alias("bad"))
+    return vote.failures_told(answers).where("bad").select("asset", "feed", "hour", "since", "told")
