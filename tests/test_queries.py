@@ -212,6 +212,35 @@ def test_bins_read_by_a_stream(spark, tmp_path):
     assert len(read) == 6 and max(len(b) for b in read[:5]) <= 5 and len(read[5]) > 8
 
 
+def test_late_ticks_withdraw_bars(spark, tmp_path):
+    """A late price of 0 takes back a bar, its yardstick and its place in the opening balances; bars without an instrument stay."""
+    from datetime import datetime, timedelta
+
+    from tidewarden.streaming import events
+
+    rng, base, rows = np.random.default_rng(4), datetime(2024, 1, 4), []
+
+    def bar(hour, asset, late=None):
+        n = len(rows)
+        rows.append((22 * n + 1, base + timedelta(hours=hour), 0, asset, float(10 + rng.random()), '{"k": 1}'))
+        if late:
+            rows.append((22 * n + 11 * late, base + timedelta(hours=hour, minutes=10), 0, asset, 0.0, '{"k": 1}'))
+
+    for n in range(150):  # 25 days; every ninth bar is taken back, one or two weeks late
+        bar(4 * n, "a", 1 + n % 2 if n % 9 == 4 else None)
+    bar(2, "b", 1)  # its only bar of the first weeks, taken back
+    for n in range(30):
+        bar(500 + n, "b")
+        bar(500 + n, None)
+    spark.createDataFrame(rows, events.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    key = lambda r: [(x is None, str(x)) for x in r]
+    want = sorted(con.execute(registry.SQL["H5_late_stream"]).fetchall(), key=key)
+    got = sorted((tuple(r) for r in registry.QUERIES["H5_late_stream"](spark, str(tmp_path)).collect()), key=key)
+    assert got == want and len(got) < 200 and sum(r[2] is not None for r in got) > 100
+
+
 def test_messages_follow_their_hours():
     """A hand-played event: opened, moved, corrected, rung again, struck, back, and never opened by a late hour."""
     from tidewarden.streaming.messages import Event

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..queries.common import BARS, FEED_BARS, LEAST, SCORED, TICKS, WEEK, r6
+from ..queries.common import BARS, FEED_BARS, LEAST, SCORED, TICKS, WEEK
 from ..registry import query
 from ..sources import market
 from . import events, messages
 
 
+def _named(rows):
+    """Yardsticks rounded; a bar without an instrument has none."""
+    return rows.select("asset", "hour", F.when(F.col("asset").isNotNull(), F.round("sigma", 6)).alias("sigma"))
+
+
 @query("H1_upsert_stream", f"WITH {FEED_BARS} SELECT asset, feed, hour, open, high, low, close, n_src FROM fbars")
 def h1(spark, sf):
     """Late and split hours heal: batches of files merged into the store give the same bars as one fold."""
@@ -28,7 +33,7 @@ def h4(spark, sf):
 def h5(spark, sf):
     """The sliding yardstick, kept up to date by batches, is that of all bars at once."""
     ticks = events.tick_stream(spark, events.split_files(spark, sf, 4))
-    return events.sliding_stream(ticks, WEEK, LEAST).select("asset", "hour", r6("sigma"))
+    return _named(events.sliding_stream(ticks, WEEK, LEAST))
 
 
 @query("H6_event_stream", f"""WITH RECURSIVE {TICKS}, k AS (SELECT asset, event_id, t AS found, row_number() OVER (PARTITION BY asset ORDER BY t,
@@ -71,7 +76,7 @@ def h4_late(spark, sf):
 @query("H5_late_stream", f"WITH {SCORED} SELECT asset, hour, round(sigma, 6) AS sigma FROM scored")
 def h5_late(spark, sf):
     """Late ticks change bars, products and yardsticks of their time; the yardsticks kept up to date are those of all bars at once."""
-    return events.sliding_stream(events.late_ticks(spark, sf), WEEK, LEAST).select("asset", "hour", r6("sigma"))
+    return _named(events.sliding_stream(events.late_ticks(spark, sf), WEEK, LEAST))
 
 
 @query("H6_late_stream", f"""WITH RECURSIVE {LATE}, k AS (SELECT asset, event_id, t, run, row_number() OVER (PARTITION BY asset ORDER BY run, t, event_id) AS i
