@@ -241,6 +241,28 @@ def test_late_ticks_withdraw_bars(spark, tmp_path):
     assert got == want and len(got) < 200 and sum(r[2] is not None for r in got) > 100
 
 
+def test_an_hour_cut_by_batches_withdrawn(spark, tmp_path):
+    """An hour whose first ticks one batch brings and whose price of 0 the next: no bar, whichever batch comes first."""
+    from datetime import datetime, timedelta
+
+    from tidewarden.streaming import events
+
+    rng, base = np.random.default_rng(5), datetime(2024, 1, 1)
+    rows = [(n, base + timedelta(minutes=30 * n), 0, "ab"[n // 2 % 2], float(10 + rng.random()), '{"k": 1}') for n in range(400)]
+    rows[201] = (201, rows[201][1], 0, rows[200][3], 0.0, '{"k": 1}')  # the second half of hour 100
+    want = duckdb.connect()
+    spark.createDataFrame(rows, events.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/all")
+    want.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/all/*.parquet')")
+    key = lambda r: [(x is None, str(x)) for x in r]
+    want = sorted(want.execute(registry.SQL["H5_sliding_stream"]).fetchall(), key=key)
+    for name, parts in (("on", (rows[:201], rows[201:])), ("back", (rows[201:], rows[:201]))):
+        for part in parts:
+            spark.createDataFrame(part, events.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        got = events.sliding_stream(events.tick_stream(spark, f"{tmp_path}/{name}"), 7 * 86_400, 20)
+        got = sorted(((r.asset, r.hour, None if r.sigma is None else round(r.sigma, 6)) for r in got.collect()), key=key)
+        assert got == want and len(got) == 199
+
+
 def test_messages_follow_their_hours():
     """A hand-played event: opened, moved, corrected, rung again, struck, back, and never opened by a late hour."""
     from tidewarden.streaming.messages import Event
