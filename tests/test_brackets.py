@@ -1,8 +1,10 @@
 """Balanced blocks against a scanner that goes byte by byte."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewarden.functions.brackets import balanced, balanced_spans
@@ -53,3 +55,31 @@ def test_column_of_texts(spark, monkeypatch, size):
     rows = [(1, 'é D={"k": "}é"} D={1}'), (2, None), (3, "none"), (4, "D={" * 3)]
     got = {r.i: r.blocks for r in balanced(spark.createDataFrame(rows, "i int, t string"), "t", "D=").collect()}
     assert got == {1: ['{"k": "}é"}', "{1}"], 2: None, 3: [], 4: []}
+
+
+def test_memory_of_a_pass():
+    """Numbers are kept of brackets and quotes, not of every byte."""
+    text = b'M={"' + b'<p class=\\"x\\">some words of a page</p>' * 50_000 + b'"}'
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    tracemalloc.start()
+    try:
+        spans = balanced_spans(data, off, b"M", b"{}")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [x.tolist() for x in spans] == [[0], [2], [len(text)]] and peak < 10 * len(text)
+
+
+def test_long_texts_come_in_small_batches(spark):
+    """A worker gets rows by bytes, not by number, and hands them on in pieces."""
+    from tidewarden.functions import brackets
+
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "concat(repeat('x', 60000), 'D={', id, '}') as t")
+    one = balanced(df, "t", {"a": "D=", "b": "xD"})
+    assert all(r.a == r.b == [f"{{{r.id}}}"] for r in one.where("id % 200 = 7").select("id", "a", "b").collect())
+    sizes = df.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) < 4 << 20
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(["D={1}" + "x" * 1000, None, ""] * 1000).slice(1)})
+    parts = list(brackets.with_blocks(iter([batch]), 0, {"blocks": b"D="}, b"{}", brackets.PASS_BYTES))
+    assert max(p.column(0).nbytes for p in parts) < 2 * brackets.PASS_BYTES
+    assert pa.Table.from_batches(parts)["blocks"].to_pylist() == ([["{1}"], None, []] * 1000)[1:]

@@ -23,3 +23,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(path))
     _SHIPPED.add(app)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Give the workers this package, and Arrow batches of about 2 MB whatever the length of the rows (for the whole session)."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))

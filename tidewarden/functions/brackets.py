@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..cluster import ship
+from ..cluster import small_batches
 
 #: Bytes of texts that one pass takes at once (a longer text is a pass of its own).
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 def _find(data: np.ndarray, what: bytes) -> np.ndarray:
@@ -20,10 +20,23 @@ def _find(data: np.ndarray, what: bytes) -> np.ndarray:
     n = len(data) - len(what) + 1
     if n <= 0 or not what:
         return np.zeros(0, np.int64)
-    hit = np.ones(n, bool)
-    for i, b in enumerate(what):
-        hit &= data[i : i + n] == b
-    return np.flatnonzero(hit)
+    at = np.flatnonzero(data[:n] == what[0])
+    for i, b in enumerate(what[1:], 1):
+        at = at[data[at + i] == b]
+    return at
+
+
+def _quotes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places of double quotes after an even run of backslashes (or none) in their row."""
+    quotes, slashes = np.flatnonzero(data == 0x22), np.flatnonzero(data == 0x5C)
+    if not len(quotes) or not len(slashes):
+        return quotes
+    opens_row = lambda at: off[np.searchsorted(off, at)] == at
+    new = np.concatenate(([True], np.diff(slashes) != 1)) | opens_row(slashes)  # a run doesn't reach into the row before
+    begin = np.maximum.accumulate(np.where(new, slashes, 0))
+    last = np.maximum(np.searchsorted(slashes, quotes) - 1, 0)
+    behind = (slashes[last] == quotes - 1) & ~opens_row(quotes)
+    return quotes[~behind | ((quotes - begin[last]) % 2 == 0)]
 
 
 def balanced_spans(data: np.ndarray, off: np.ndarray, marker: bytes, pair: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,22 +44,12 @@ def balanced_spans(data: np.ndarray, off: np.ndarray, marker: bytes, pair: bytes
 
     Brackets inside double quotes don't count; a quote after an odd run of backslashes is none. Whether a place is inside quotes depends on where
     the block began: so there are two running depths, of the brackets behind an even and behind an odd number of quotes, and a block uses that of
-    its start. It ends where that depth first returns to what it was: a search among the places of each depth, in order. A marker whose block
-    does not end in its row gives none."""
-    place = np.arange(len(data))
-    slash = data == 0x5C
-    last = np.maximum.accumulate(np.where(~slash, place, -1)) if len(data) else place
-    run = np.zeros(len(data), np.int64)
-    run[1:] = place[:-1] - last[:-1]
-    row_of = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    run = np.minimum(run, place - off[row_of]) if len(data) else run  # a run of backslashes doesn't reach into the row before
-    quote = (data == 0x22) & (run % 2 == 0)
-    parity = (np.cumsum(quote) - quote) % 2  # quotes before a place
-    step = (data == pair[0]).astype(np.int64) - (data == pair[1])
+    its start. It ends where that depth first returns to what it was: a search among the brackets of each depth, in order. A marker whose block
+    does not end in its row gives none. Only quotes, backslashes, brackets and markers have numbers of their own, not every byte."""
     starts, opens = _find(data, marker), np.flatnonzero(data == pair[0])
     if not len(starts) or not len(opens):
         return (np.zeros(0, np.int64),) * 3
-    rows = row_of[starts]
+    rows = np.searchsorted(off, starts, side="right") - 1
     whole = starts + len(marker) <= off[rows + 1]
     starts, rows = starts[whole], rows[whole]
     at = np.searchsorted(opens, starts + len(marker))
@@ -54,49 +57,57 @@ def balanced_spans(data: np.ndarray, off: np.ndarray, marker: bytes, pair: bytes
     starts, rows, at = starts[there], rows[there], opens[at[there]]
     inside = at < off[rows + 1]
     rows, at = rows[inside], at[inside]
+    quotes = _quotes(data, off)
+    places = np.flatnonzero((data == pair[0]) | (data == pair[1]))
+    step = np.where(data[places] == pair[0], 1, -1)
+    parity, own = np.searchsorted(quotes, places) % 2, np.searchsorted(quotes, at) % 2
     stops = np.full(len(at), -1)
     for p in (0, 1):
-        mine = np.flatnonzero(parity[at] == p)
-        depth = np.cumsum(np.where(parity == p, step, 0))
-        falls = np.flatnonzero((parity == p) & (step < 0))
+        mine, here = np.flatnonzero(own == p), places[parity == p]
+        depth = np.cumsum(step[parity == p])
+        falls = np.flatnonzero(step[parity == p] < 0)
         if not len(mine) or not len(falls):
             continue
-        low = depth.min()
-        width = len(data) + 1
+        low, width = depth.min(), len(here) + 1
         keys = np.sort((depth[falls] - low) * width + falls)
-        want = (depth[at[mine]] - 1 - low) * width + at[mine]
-        nth = np.searchsorted(keys, want)
-        found = (nth < len(keys)) & (depth[at[mine]] - 1 >= low)
-        hit = keys[np.minimum(nth, len(keys) - 1)]
-        found &= hit // width == depth[at[mine]] - 1 - low
-        end = hit % width
-        found &= end < off[rows[mine] + 1]
+        nth = np.searchsorted(here, at[mine])  # the opening bracket's own number
+        back = depth[nth] - 1 - low
+        first = np.searchsorted(keys, back * width + nth)
+        hit = keys[np.minimum(first, len(keys) - 1)]
+        end = here[hit % width]
+        found = (first < len(keys)) & (back >= 0) & (hit // width == back) & (end < off[rows[mine] + 1])
         stops[mine[found]] = end[found] + 1
     ok = stops >= 0
     return rows[ok], at[ok], stops[ok]
 
 
-def balanced(df: DataFrame, text: str, marker: str, pair: str = "{}") -> DataFrame:
-    """df with `blocks`: the blocks of a text column, an array of strings in the order of their markers; null for a null text."""
-    ship(df.sparkSession)
-    of, mark, ends = df.columns.index(text), marker.encode(), pair.encode()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [None if t is None else t.encode() for t in b.column(of).to_pylist()]
-            blocks: list[list[str] | None] = [None if t is None else [] for t in texts]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or b"") <= PASS_BYTES):
-                    size += len(texts[j] or b"")
-                    j += 1
-                part = [t or b"" for t in texts[i:j]]
-                off = np.concatenate(([0], np.cumsum([len(t) for t in part])))
-                raw = b"".join(part)
-                for row, start, stop in zip(*balanced_spans(np.frombuffer(raw, np.uint8), off, mark, ends), strict=True):
-                    blocks[i + row].append(raw[start:stop].decode())
-                i = j
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks, pa.list_(pa.string()))], names=[*b.schema.names, "blocks"])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("blocks", T.ArrayType(T.StringType()))]))
+def with_blocks(batches: Iterator[pa.RecordBatch], of: int, markers: dict[str, bytes], pair: bytes, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches with a column of blocks a marker, of texts in column `of`; in pieces of `size` bytes of text, read where they lie."""
+    for b in batches:
+        texts = b.column(of).cast(pa.large_string())
+        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
+            part, rows = data[off[i] : off[j]], b.slice(i, j - i)
+            known, made = texts[i:j].is_valid().to_pylist(), []
+            for marker in markers.values():
+                blocks: list[list[str] | None] = [[] if k else None for k in known]
+                for row, start, stop in zip(*balanced_spans(part, off[i : j + 1] - off[i], marker, pair), strict=True):
+                    if known[row]:
+                        blocks[row].append(part[start:stop].tobytes().decode())
+                made.append(pa.array(blocks, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*b.schema.names, *markers])
+            i = j
+
+
+def balanced(df: DataFrame, text: str, marker: str | dict[str, str], pair: str = "{}") -> DataFrame:
+    """df with `blocks`: the blocks of a text column, an array of strings in the order of their markers; null for a null text.
+
+    Several markers, by the names of their columns, are found in one pass."""
+    small_batches(df.sparkSession)
+    of, ends, size = df.columns.index(text), pair.encode(), PASS_BYTES
+    marks = {name: m.encode() for name, m in (marker if isinstance(marker, dict) else {"blocks": marker}).items()}
+    blocks = [T.StructField(name, T.ArrayType(T.StringType())) for name in marks]
+    return df.mapInArrow(lambda batches: with_blocks(batches, of, marks, ends, size), T.StructType([*df.schema.fields, *blocks]))

@@ -79,9 +79,9 @@ def g_balanced(spark, sf):
     p = table(spark, sf, "pages").where("html is not null and url is not null")
     record = F.to_json(F.struct("page_id", "url", F.struct(F.col("html").alias("{text}")).alias("in")))
     whole = F.concat("html", F.lit("<script>RECORD ="), record, F.lit(";</script>}}\"{"))
-    read = brackets.balanced(p.select("page_id", whole.alias("text")), "text", "<script>RECORD").select("page_id", "text", F.col("blocks")[0].alias("record"))
-    read = brackets.balanced(read, "text", "<style>p").select("page_id", F.col("blocks")[0].alias("style"), F.from_json(
-        "record", "page_id long, url string, in struct<`{text}`: string>").alias("r"))
+    read = brackets.balanced(p.select(whole.alias("text")), "text", {"records": "<script>RECORD", "styles": "<style>p"})
+    read = read.select(F.col("styles")[0].alias("style"), F.from_json(
+        F.col("records")[0], "page_id long, url string, in struct<`{text}`: string>").alias("r"))
     return read.where("style is not null").select("r.page_id", "r.url", F.char_length(F.col("r.in")["{text}"]).cast("long").alias("n"), "style")
 
 
