@@ -83,3 +83,12 @@ def test_long_texts_come_in_small_batches(spark):
     parts = list(brackets.with_blocks(iter([batch]), 0, {"blocks": b"D="}, b"{}", brackets.PASS_BYTES))
     assert max(p.column(0).nbytes for p in parts) < 2 * brackets.PASS_BYTES
     assert pa.Table.from_batches(parts)["blocks"].to_pylist() == ([["{1}"], None, []] * 1000)[1:]
+
+
+def test_page_longer_than_a_json_string_by_default(spark, tmp_path):
+    from tidewarden import registry
+
+    page = "concat('<style>p{margin:0}</style>', repeat('x', 20000000)) as html"
+    spark.range(1).selectExpr("id as page_id", "'http://a' as url", page).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in registry.QUERIES["G_balanced_blocks"](spark, str(tmp_path)).collect()]
+    assert got == [(0, "http://a", 20_000_000 + len("<style>p{margin:0}</style>"), "{margin:0}")]

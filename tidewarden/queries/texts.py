@@ -81,7 +81,7 @@ def g_balanced(spark, sf):
     whole = F.concat("html", F.lit("<script>RECORD ="), record, F.lit(";</script>}}\"{"))
     read = brackets.balanced(p.select(whole.alias("text")), "text", {"records": "<script>RECORD", "styles": "<style>p"})
     read = read.select(F.col("styles")[0].alias("style"), F.from_json(
-        F.col("records")[0], "page_id long, url string, in struct<`{text}`: string>").alias("r"))
+        F.col("records")[0], "page_id long, url string, in struct<`{text}`: string>", {"maxStringLen": "2147483647"}).alias("r"))  # pages of over 20 million characters too
     return read.where("style is not null").select("r.page_id", "r.url", F.char_length(F.col("r.in")["{text}"]).cast("long").alias("n"), "style")
 
 
