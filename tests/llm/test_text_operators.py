@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewarden.llm import common, exact_dedup, ngram_join, quality, suffix_dedup
 
@@ -226,6 +227,38 @@ def test_repeats_at_several_places_of_a_document(spark, monkeypatch, shard):
     assert got == sorted(brute_repeats(rows, 50), key=key)
 
 
+@pytest.mark.parametrize("gb", [1, 10])
+def test_repeats_blobs_keep_their_size(spark, monkeypatch, gb):
+    """The lists that a shard deals out are no shorter for ten times the text."""
+    dealt = []
+
+    def held(docs, buckets, width):
+        dealt.append(buckets)
+        raise StopIteration
+
+    monkeypatch.setattr(suffix_dedup, "_list_anchors", held)
+    long_ = F.repeat(F.lit("a"), 1 << 20)
+    docs = spark.range(gb << 10).select(F.col("id").alias("doc"), F.lit(0).alias("key_a"), F.lit(0).alias("key_b"), long_.alias("text"))
+    with pytest.raises(StopIteration):
+        suffix_dedup.repeated_spans(docs)
+    anchors = suffix_dedup.SHARD_BYTES * 2 / (suffix_dedup.WIDTH - suffix_dedup.GRAM + 2)
+    assert anchors / dealt[0] >= 2000
+
+
+def test_repeats_beside_an_anchor(spark, monkeypatch):
+    """Documents that have an anchor in common meet only in windows that reach to its left, only to its right, or not at all."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
+    rng = np.random.default_rng(21)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    common, rows = text(140), []
+    for i in range(90):
+        a = int(rng.integers(0, 90))
+        rows.append((int(rng.integers(0, 70)), text(int(rng.integers(0, 40))) + common[a : a + int(rng.integers(30, 62))] + text(int(rng.integers(0, 40)))))
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, rows).repartition(6, "doc_id")).collect()), key=key)
+    assert got == sorted(brute_repeats(rows, 50), key=key) and any(r[2] for r in got)
+
+
 def test_repeats_of_long_texts_in_pieces(spark, monkeypatch):
     """Texts longer than a piece, rows of null and repeated ids that are near copies of one another."""
     monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 300)

@@ -33,10 +33,14 @@ from . import common as c
 
 WIDTH = 50
 GRAM = 28
-#: Text bytes of a shard, anchors a bucket of the merge is to hold about, and buckets at least.
-SHARD_BYTES = 1 << 20
-BUCKET_ANCHORS = 200_000
+#: Text bytes of a shard; buckets that it is dealt to at least, and at most unless buckets were to hold more than the second
+#: number below: a shard's blobs would else become as many, and as small, as the input is large.
+SHARD_BYTES = 16 << 20
 LEAST_BUCKETS = 64
+MOST_BUCKETS = 512
+#: Anchors and cuttings a bucket is to hold about, and at most.
+BUCKET_ANCHORS = (200_000, 4_000_000)
+BUCKET_CUTTINGS = (40_000, 400_000)
 #: Bits of an anchor's hash that are listed: at 1 TB of text, three anchors in 10,000 look shared that are not.
 HASH_BITS = 48
 #: Bytes in which anchors are looked for at once (small, so that arrays stay in cache), and the bits of a place there; texts go piece by piece.
@@ -167,13 +171,18 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = G
     An anchor governs the windows from the first to the last start. Which place is a window's anchor depends on the window's bytes alone."""
     if not gram < width <= gram + 200:
         raise ValueError(f"width must be from {gram + 1} to {gram + 200}")
-    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     found = [_anchors(
-        data[i : i + PIECE_BYTES], row[i : i + PIECE_BYTES], i, width, gram,
+        data[i : i + PIECE_BYTES], _rows(off, i, min(i + PIECE_BYTES, len(data))), i, width, gram,
     ) for i in range(0, max(len(data) - width + 1, 0), PIECE_BYTES - width + 1)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
+def _rows(off: np.ndarray, i: int, j: int) -> np.ndarray:
+    """The row of each byte from i to j."""
+    a, b = int(np.searchsorted(off, i, "right")) - 1, int(np.searchsorted(off, j))
+    return np.repeat(np.arange(a, b, dtype=np.int32), np.diff(np.clip(off[a : b + 1], i, j)))
+
+
 #: Multipliers of the words of a gram's hash.
 _WORDS = np.random.default_rng(20250107).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -200,6 +209,11 @@ def _anchors(data: np.ndarray, row: np.ndarray, base: int, width: int, gram: int
     return name, row[at[heads]].astype(np.int64), at[heads] + base, at[tails] + base, place + base
 
 
+def _bucket_count(rows: int, about: int, most: int) -> int:
+    """Buckets for so many rows: of `about` rows each, then MOST_BUCKETS, then of `most` rows each."""
+    return max(LEAST_BUCKETS, min(rows // about + 1, MOST_BUCKETS), rows // most + 1)
+
+
 def _buckets(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Of ascending hashes, the buckets present and where each begins (and, last, where all end)."""
     bucket = ((h >> (HASH_BITS - 32)) * buckets) >> 32
@@ -479,11 +493,14 @@ def _settle(width: int):
             # what a cutting loses, it loses at all its places in the smallest document
             places = order[least]
             edge = np.append(np.flatnonzero(heads[least]), len(places))
-            for owner, begin, end in _by_suffixes(text, at[many], size[many], doc[many], h[many], width):
+            skip, windows = _with_partners(text, at[many], before[many], more[many], doc[many], h[many], width)
+            live = np.flatnonzero(windows > 0)
+            several, many, skip, windows = several[live], many[live], skip[live], windows[live]
+            for owner, begin, end in _by_suffixes(text, at[many] + skip, windows + width - 1, doc[many], h[many], width):
                 a, b = edge[several[owner]], edge[several[owner] + 1]
                 hit = np.repeat(np.arange(len(owner)), b - a)
                 to = places[np.arange(len(hit)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)]
-                found.append((key_a[to], key_b[to], first[to] + begin[hit], first[to] + end[hit]))
+                found.append((key_a[to], key_b[to], first[to] + (skip[owner] + begin)[hit], first[to] + (skip[owner] + end)[hit]))
         return _ranges(found)
 
     return run
@@ -507,6 +524,28 @@ def _ranges(found: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"key_a": key_a, "key_b": key_b, "start": start, "stop": stop})
 
 
+def _with_partners(text, at, before, more, doc, h, width, gram=GRAM):
+    """First window and number of windows of each cutting that can start in another document's cutting as well.
+
+    A window that reaches `half` bytes or more to the left of its anchor holds those bytes, any other one the `width - gram - half`
+    bytes to the right of it. So its equal has the same bytes on that side, and a side that one document has goes without loss."""
+    half = (width - gram) // 2
+    left, right = before >= half, before - more < half
+    place = at + before
+    split = np.maximum(before - half + 1, 0)  # the windows before this one reach so far to the left
+    for side, a, b in ((left, place - half, place), (right, place + gram, place + width - half)):
+        i = np.flatnonzero(side)
+        key = c.span_hashes(text, a[i], b[i]) ^ c.mix(h[i].astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))[: len(i)]
+        if len(i):
+            told = doc[i][order]
+            alone = np.minimum.reduceat(told, heads) == np.maximum.reduceat(told, heads)
+            side[i[order]] = ~np.repeat(alone, np.diff(np.append(heads, len(i))))
+    skip = np.where(left, 0, split)
+    return skip, np.where(right, more + 1, np.minimum(split, more + 1)) - skip
+
+
 #: Cuttings whose texts make one suffix array.
 SUFFIX_CUTTINGS = 8_000
 
@@ -556,13 +595,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     c.small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, int(total * 2 / (width - GRAM + 2) / BUCKET_ANCHORS) + 1)
-    listed = _list_anchors(docs, buckets, width)
+    listed = _list_anchors(docs, _bucket_count(total * 2 // (width - GRAM + 2), *BUCKET_ANCHORS), width)
     anchors_ = listed.groupBy("bucket").applyInPandas(_merge, "name long, hash long")
     shared = c.stage(anchors_.groupBy("name").agg(F.collect_set("hash").alias("hashes")), "shared-anchors")
     called = docs.withColumn("name", F.col("key_a").bitwiseAND(F.lit((1 << NAME_BITS) - 1)))
     joined = c.join_checked(called, shared.select("name"), ["name"], "left_semi").join(shared, "name").select("doc", *_KEY, "text", "hashes")
-    cut = _cuttings(joined, buckets, width)
+    cuttings = shared.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    cut = _cuttings(joined, _bucket_count(cuttings, *BUCKET_CUTTINGS), width)
     return cut.groupBy("bucket").applyInPandas(_settle(width), "key_a long, key_b long, start long, stop long")
 
 
